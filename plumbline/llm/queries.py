@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, sentencepiece_bpe, simhash_dedup, token_counts
+from . import chat_format, common, secret_scan, sentencepiece_bpe, shards, simhash_dedup, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,24 @@ def op1_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(common.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+#: A conversation whose texts look like a template's control strings.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    return chat_format.digests(chat_format.examples(turns.unionByName(extra)))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(common.table(spark, sf_dir, "documents"))
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(common.table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -31,8 +49,28 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_round_trip": op1_sentencepiece_round_trip,
+    "op3_chat_format": op3_chat_format,
+    "op4_secret_scan": op4_secret_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_shards": op9_shards,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, r, x) k,
+             count(*) over (partition by conv_id) n from t),
+l as (select *, 14 + length(replace(replace(replace(replace(r, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':', '\c'))
+               + length(replace(replace(replace(x, '\', '\b'), '###', '\h'), '</turn>', '\e')) c from o),
+s as (select *, sum(c) over (partition by conv_id order by k) upto from l)
+select conv_id, cast(count(*) as bigint) n_turns,
+       sha256(string_agg(r || chr(10) || x || chr(10), '' order by k)) turns_sha256,
+       cast(coalesce(sum(case when r = 'assistant' then length(x) end), 0) as bigint) loss_chars,
+       sha256(coalesce(string_agg(case when r = 'assistant' then x end, '' order by k), '')) loss_sha256,
+       cast(sum(case when r = 'assistant' or k = n then upto else 0 end) as bigint) formatted_chars
+from s group by conv_id""",
+}

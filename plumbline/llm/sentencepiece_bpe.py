@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -229,7 +230,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
             ids = model.encode([t or "" for t in b.column(cols.index(text_col)).to_pylist()], cache)
             yield pa.RecordBatch.from_arrays([*b.columns, lists(ids)], names=[*cols, out_col])
 
-    schema = docs.select(*cols).schema.add(out_col, "array<int>")
+    schema = docs.select(*cols).schema.add(out_col, T.ArrayType(T.IntegerType()))
     return docs.select(*cols).mapInArrow(run, schema)
 
 

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK_CHARS = 20_000
-OVERLAP_CHARS = 512
+CHUNK_CHARS = 65_536
+OVERLAP_CHARS = 1024
 CACHED_SEGMENTS = 300_000
 CACHED_CHARS = 48
 #: White space other than space, tab, line feed and carriage return, in any definition.
@@ -156,4 +156,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     text = common.text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(run, rows.select("doc_id", "n_bytes").schema.add("n_tokens", "bigint").add("over_limit", "boolean"))
+    return rows.mapInArrow(run, rows.select("doc_id", "n_bytes").schema.add("n_tokens", "long").add("over_limit", "boolean"))
