@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, secret_scan, sentencepiece_bpe, shards, simhash_dedup, token_counts
+from . import chat_format, common, quality_rules, secret_scan, sentencepiece_bpe, shards, simhash_dedup, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,6 +34,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(common.table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(common.table(spark, sf_dir, "documents"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(common.table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_round_trip": op1_sentencepiece_round_trip,
     "op3_chat_format": op3_chat_format,
     "op4_secret_scan": op4_secret_scan,
+    "op6_quality_rules": op6_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_shards": op9_shards,
     "op10_token_counts": op10_token_counts,
