@@ -283,7 +283,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, blocks: int = 4, seed: int = 42, confirm: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, blocks: int = 4, seed: int = 42, confirm: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
     """``(doc_id, fp0[, fp1], component_id)``: a row for each row of ``docs``.
 
     ``confirm``: if given, a second fingerprint (seed + 1) is made, and a link also needs at most
@@ -294,10 +294,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [f"fp{k}" for k in range(n_hashes)]
     # one row per distinct fingerprint with the smallest document that has it
     classes = common.stored(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")))
-    found = trie_links(classes, radius, blocks, confirm)
+    found = trie_links(classes, radius, blocks, confirm, node_rows)
     side = lambda s: classes.select(*(F.col(n).alias(f"{s}{n[2:]}") for n in names), F.col("rep").alias(s))
     on = [[f"{s}{n[2:]}" for n in names] for s in "ab"]
     pairs = found.join(side("a"), on[0]).join(side("b"), on[1]).select("a", "b").filter("a is not null and b is not null")
     label = components(pairs).select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
     classes = classes.join(label, "rep", "left").select(*names, F.coalesce("component_id", "rep").alias("component_id"))
     return fps.join(classes, names)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id."""
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    found = near_duplicates(rows, "__row", text_col, **how).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = rows.select("__row", F.col(id_col).alias("__id"))
+    first = found.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("first"))
+    kept = common.stored(first.select(F.col("first.__row").alias("__row")))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
