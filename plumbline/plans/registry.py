@@ -1,6 +1,11 @@
-"""All registered queries of the evidence engine."""
+"""All registered queries of the evidence engine, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from . import queries_audit, queries_content, queries_names, queries_snapshots, queries_sources
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (queries_audit, queries_snapshots, queries_content, queries_names, queries_sources):
+    QUERIES |= _module.catalogue.queries
+    ORACLE_SQL |= _module.catalogue.sql
