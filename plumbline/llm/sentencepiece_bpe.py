@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,29 @@ from pyspark.sql import types as T
 from . import common
 
 SPACE = "▁"
-#: Distinct words kept in a task; beyond it the words of a batch are encoded anew.
-CACHED_WORDS = 150_000
-#: Longer words are not kept between batches.
-CACHED_CHARS = 64
+#: Distinct words and ids kept in a task; beyond either the words of a batch are encoded anew.
+CACHED_WORDS = 300_000
+CACHED_IDS = 4_000_000
 NONE = np.int32(2**31 - 1)
 
 
+class Known:
+    """The ids of words encoded so far; None stands for the end of a text."""
+
+    def __init__(self, end_id: int):
+        self.end_id = end_id
+        self.reset()
+
+    def reset(self) -> None:
+        self.slot: dict[str | None, int] = {None: 0}
+        self.ids, self.starts, self.lens = np.array([self.end_id], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words))))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lens) - lens))
+        self.ids, self.lens = np.concatenate((self.ids, ids)), np.concatenate((self.lens, lens))
+
+
 class PieceModel:
     """Vocabulary, pair ranks and piece bytes of a SentencePiece BPE model file."""
 
@@ -95,8 +112,8 @@ class PieceModel:
         hit = self.pair_key[at] == key
         return np.where(hit, self.pair_rank[at], NONE), self.pair_piece[at]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Piece ids of each word (already normalised and cut)."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per word) of words that are normalised and cut already."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         sym, char = self.char_symbol[chars], chars
@@ -127,7 +144,7 @@ class PieceModel:
                 at = at[~np.isin(own, late) | np.append(True, own[1:] != own[:-1])]
             sym, char, word, rank, piece = self._merged(sym, char, word, rank, piece, at)
         if not done:
-            return [np.empty(0, np.int32)] * len(words)
+            return np.empty(0, np.int32), np.zeros(len(words), np.int64)
         word, sym, char = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(word, kind="stable")
         return self._ids(word[order], sym[order], char[order], len(words))
@@ -167,31 +184,37 @@ class PieceModel:
         bad |= (w2[left] == w2[mine]) & (left < mine) & (r2[left] <= limit)
         return np.unique(word[a][bad])
 
-    def _ids(self, word, sym, char, n: int) -> list[np.ndarray]:
-        """Symbols to ids; a character that is no piece gives the ids of its bytes."""
-        plain = (sym >= 0) & (sym < self.size)
-        if not plain.all():
-            extra = [np.array([i], np.int32) if ok else self.byte_ids[np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8)] for i, ok, c in zip(sym.tolist(), plain.tolist(), char.tolist())]
-            word, sym = np.repeat(word, [len(x) for x in extra]), np.concatenate(extra)
-        return np.split(sym.astype(np.int32), np.searchsorted(word, np.arange(1, n)))
-
-    def encode(self, texts: list[str], cache: dict | None = None) -> list[np.ndarray]:
+    def _ids(self, word, sym, char, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per word); a character that is no piece gives the ids of its bytes."""
+        other = np.flatnonzero((sym < 0) | (sym >= self.size))
+        if len(other):
+            raw = [chr(c).encode("utf-8", "surrogatepass") for c in char[other].tolist()]
+            width = np.ones(len(sym), np.int64)
+            width[other] = [len(r) for r in raw]
+            at = np.repeat(np.isin(np.arange(len(sym)), other), width)
+            sym, word = np.repeat(sym, width), np.repeat(word, width)
+            sym[at] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        return sym.astype(np.int32), np.bincount(word, minlength=n)
+
+    def encode(self, texts: list[str], known: Known | None = None) -> list[np.ndarray]:
         """Ids of each text, then the end id."""
-        cache = {} if cache is None else cache
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        texts = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
-        words = [self.word.findall(t) for t in texts]
-        fresh = list({w for ws in words for w in ws if w not in cache})
+        known = known or Known(self.end_id)
+        words = [self.word.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        fresh = list(set().union(*words) - known.slot.keys())
         for at in range(0, len(fresh), 50_000):
             part = fresh[at : at + 50_000]
-            cache.update(zip(part, self.encode_words(part)))
-        end = np.array([self.end_id], np.int32)
-        out = [np.concatenate([*map(cache.__getitem__, ws), end]) for ws in words]
-        for w in fresh:
-            if len(w) > CACHED_CHARS:
-                del cache[w]
-        return out
+            known.add(part, *self.encode_words(part))
+        for ws in words:
+            ws.append(None)  # stands for the end id
+        total = sum(map(len, words))
+        slots = np.fromiter(map(known.slot.__getitem__, chain.from_iterable(words)), np.int64, total)
+        lens = known.lens[slots]
+        ends = np.cumsum(lens)
+        flat = known.ids[np.repeat(known.starts[slots] - ends + lens, lens) + np.arange(ends[-1] if total else 0)]
+        cuts = ends[np.cumsum([len(ws) for ws in words]) - 1].tolist() if words else []
+        if len(known.slot) > CACHED_WORDS or len(known.ids) > CACHED_IDS:
+            known.reset()
+        return [flat[s:e] for s, e in zip([0, *cuts], cuts)]
 
     # -------------------------------------------------------------- decoding
     def decode(self, ids: np.ndarray) -> str:
@@ -225,9 +248,10 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
     cols = [c for c in docs.columns if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = load(model_path), {}
+        model = load(model_path)
+        known = Known(model.end_id)
         for b in batches:
-            ids = model.encode([t or "" for t in b.column(cols.index(text_col)).to_pylist()], cache)
+            ids = model.encode([t or "" for t in b.column(cols.index(text_col)).to_pylist()], known)
             yield pa.RecordBatch.from_arrays([*b.columns, lists(ids)], names=[*cols, out_col])
 
     schema = docs.select(*cols).schema.add(out_col, T.ArrayType(T.IntegerType()))
