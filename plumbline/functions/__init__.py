@@ -133,7 +133,7 @@ def human_bytes(n: Column | str) -> Column:
     n = col(n).cast("double")
     out = F.when(n < 1024, F.concat(F.format_string("%.0f", n), F.lit(" B")))
     for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
-        bounded = F.concat(F.format_string("%.1f", n / 1024.0**i), F.lit(f" {unit}"))
+        bounded = F.concat(F.format_string("%.1f", F.bround(n / 1024.0**i, 1)), F.lit(f" {unit}"))
         out = out.otherwise(bounded) if unit == "PiB" else out.when(n < 1024.0 ** (i + 1), bounded)
     return out
 

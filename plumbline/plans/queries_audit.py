@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import schema
 from ..operators import rollup
+from ..sources import store_table
 from . import rules, tables
 from .catalogue import Catalogue
 from .oracle import AUDIT, LEVELS, PYRAMIDS
@@ -28,7 +29,9 @@ def relations(spark, sf_dir):
 
 
 def findings(spark, sf_dir):
-    return rules.audit(*relations(spark, sf_dir))
+    """All rules read the level relation, so it is stored once before they do."""
+    pyramids, levels = relations(spark, sf_dir)
+    return rules.audit(pyramids, store_table(levels))
 
 
 def rolled(spark, sf_dir):
