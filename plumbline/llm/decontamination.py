@@ -198,4 +198,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark."""
-    return with_leaks(docs, benchmark, text_col).filter(F.size("leaks") == 0).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("__doc"), F.col(text_col).alias("text"))
+    return with_leaks(rows, benchmark).filter(F.size("leaks") == 0).select("__doc.*")
