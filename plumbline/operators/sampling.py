@@ -52,12 +52,25 @@ def hashed_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame
     return rows.orderBy(order, key).limit(n)
 
 
+def suffixes(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), lambda i: F.substring(text, i, F.length(text)))
+
+
+def prefixes(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), lambda i: F.substring(text, F.lit(1), i))
+
+
 def first_suffix(rows: DataFrame, name: str, table: DataFrame, suffix: str, order: str) -> DataFrame:
-    """Each row with the first entry of a small table whose suffix ends its name (left join)."""
-    # the table is small by its nature; its size is checked all the same
-    small = F.broadcast(table) if table.count() <= 10_000 else table
-    found = rows.join(small, F.col(name).endswith(F.col(suffix)), "left")
-    return keep_first(found, rows.columns, [order])
+    """Each row with the first entry of a table whose suffix ends its name (left join).
+
+    The names' suffixes are joined by equality, so neither side is sent whole to every task.
+    """
+    distinct = rows.select(F.col(name).alias("__name")).distinct()
+    ends = distinct.select("__name", F.explode(suffixes(F.col("__name"))).alias(suffix))
+    rest = [c for c in table.columns if c != order]
+    first = ends.join(table, suffix).groupBy("__name").agg(F.min(F.struct(order, *rest)).alias("first"))
+    found = rows.join(first, F.col(name) == F.col("__name"), "left")
+    return found.select(*rows.columns, *(F.col(f"first.{c}").alias(c) for c in (order, *rest)))
 
 
 def tile_starts(size: Column, tile: int, count: int) -> Column:

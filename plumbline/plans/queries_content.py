@@ -30,12 +30,18 @@ def chosen(spark, sf_dir):
     return sampling.first_hits(samples(spark, sf_dir), ["user_id", "event_type"], ["ts", "event_id"], F.col("status") != "absent", 3, 9)
 
 
+#: Most event types that are put into a plan as a list.
+MOST_TYPES = 1000
+
+
 def sample_levels(spark, sf_dir):
-    """Each user with each type; types are few by their nature, and counted before they are sent."""
+    """Each user with each event type; the types are few, which is checked."""
     e = read(spark, sf_dir, "events")
-    types = e.groupBy().agg(F.collect_set("event_type").alias("types"))
-    users = e.select("user_id").distinct().join(F.broadcast(types))
-    return users.select("user_id", F.explode("types").alias("event_type"), F.when(F.col("user_id") % 5 == 0, False).when(F.col("user_id") % 7 != 0, True).alias("has_chunks"))
+    types = [r.event_type for r in e.select("event_type").distinct().limit(MOST_TYPES + 1).collect()]
+    if len(types) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} event types")
+    users = e.select("user_id").distinct()
+    return users.select("user_id", F.explode(F.array(*(F.lit(t) for t in sorted(types)))).alias("event_type"), F.when(F.col("user_id") % 5 == 0, False).when(F.col("user_id") % 7 != 0, True).alias("has_chunks"))
 
 
 @query("w04_first_k", SAMPLES + "select user_id, event_type, event_id, status from chosen")

@@ -30,10 +30,10 @@ def href_counts(spark, sf_dir):
     return links(spark, sf_dir).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query("c04_unquote", "select doc_id, md5(url_decode(replace(q, '+', '%2B'))) decoded from (select doc_id, replace(replace(text[1:200], '%', '%25'), ' ', '%20') q from documents)")
+@query("c04_unquote", "select doc_id, md5(url_decode(replace(q, '+', '%2B'))) decoded from (select doc_id, replace(replace(text, '%', '%25'), ' ', '%20') q from documents)")
 def unquote(spark, sf_dir):
     """Percent escapes of made-up paths; a plus stays a plus."""
-    quoted = F.replace(F.replace(F.substring("text", 1, 200), F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20"))
+    quoted = F.replace(F.replace("text", F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20"))
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(fn.unquoted(quoted).cast("binary")).alias("decoded"))
 
 
