@@ -96,7 +96,7 @@ def test_local_store_sees_hidden_files(spark, tmp_path):
     (tmp_path / "a.zarr/.zattrs").write_text('{"shape"')
     found = {r.path: r for r in datasource.scan(spark, str(tmp_path), "json", ["a.zarr/.zarray", "a.zarr/.zattrs", "a.zarr/.zgroup"], batch=2).collect()}
     assert [(found[f"a.zarr/{n}"].state, found[f"a.zarr/{n}"].reason) for n in (".zarray", ".zattrs", ".zgroup")] == [("PRESENT", None), ("PRESENT", "METADATA_UNREADABLE"), ("ABSENT", "NOT_FOUND")]
-    listed = datasource.scan(spark, str(tmp_path), "list", ["", "a.zarr"]).collect()
+    listed = datasource.scan(spark, str(tmp_path), "list", [".", "a.zarr"]).collect()
     assert listed[0].entries == ["a.zarr/"] and listed[1].entries == [".zarray", ".zattrs"]
     with pytest.raises(transport.StoreError):
         transport.LocalStore(str(tmp_path)).place("../x")
