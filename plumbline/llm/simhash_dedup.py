@@ -42,6 +42,11 @@ from . import common
 NODE_ROWS = 2048
 #: Node pairs with this many fingerprint pairs or fewer are compared outright.
 LEAF_PAIRS = 256
+#: Bounds of a task's memory: fingerprints and pairs compared at once.
+ROWS_AT_ONCE = 30_000
+#: Most removed rows whose numbers are sent to all tasks (32 MB); beyond it the texts are shuffled.
+GONE_ROWS = 4_000_000
+PAIRS_AT_ONCE = 500_000
 
 
 # ------------------------------------------------------------------ fingerprints
@@ -121,7 +126,7 @@ def trie_pairs(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int, allo
     while len(a_lo):
         done = ((a_hi - a_lo) * (b_hi - b_lo) <= LEAF_PAIRS) | (depth >= 64)
         if done.any():
-            for at in np.array_split(np.flatnonzero(done), max(1, int(((a_hi - a_lo) * (b_hi - b_lo))[done].sum() // 4_000_000))):
+            for at in np.array_split(np.flatnonzero(done), max(1, int(((a_hi - a_lo) * (b_hi - b_lo))[done].sum() // PAIRS_AT_ONCE))):
                 i, j = _expand(a_lo[at], (a_hi - a_lo)[at], b_lo[at], (b_hi - b_lo)[at])
                 near = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= radius)
                 yield i[near], j[near]
@@ -180,13 +185,21 @@ def _linked(radius: int, blocks: int, confirm: int | None):
                 i, j = i[near], j[near]
             if len(i):
                 found.append((i, j))
-            if sum(len(x[0]) for x in found) > 4_000_000:
+            if sum(len(x[0]) for x in found) > 2 * PAIRS_AT_ONCE:
                 label = _labels(len(fp), found)
                 rest = np.flatnonzero(label != np.arange(len(fp)))
                 found = [(rest, label[rest])]
         label = _labels(len(fp), found)
-        at = np.flatnonzero(label != np.arange(len(fp)))
-        return own[at], other[at], own[label[at]], other[label[at]]
+        # each component as a star around its smallest fingerprint: a cluster that meets under many
+        # keys gives the same links under each
+        by_value = np.lexsort((other, own))
+        rank = np.empty(len(fp), np.int64)
+        rank[by_value] = np.arange(len(fp))
+        best = np.full(len(fp), len(fp))
+        np.minimum.at(best, label, rank)
+        hub = by_value[best[label]]
+        at = np.flatnonzero(hub != np.arange(len(fp)))
+        return own[at], other[at], own[hub[at]], other[hub[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -203,7 +216,7 @@ def _linked(radius: int, blocks: int, confirm: int | None):
                 continue
             held.append([np.asarray(c) for c in batch.columns])
             rows += batch.num_rows
-            if rows >= 100_000:  # whole keys only; the last key may go on in the next batch
+            if rows >= ROWS_AT_ONCE:  # whole keys only; the last key may go on in the next batch
                 cols = [np.concatenate(x) for x in zip(*held)]
                 cut = int(np.flatnonzero((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]))[0])
                 yield from flush([c[:cut] for c in cols])
@@ -256,7 +269,7 @@ def trie_links(fps: DataFrame, radius: int = 3, blocks: int = 4, confirm: int |
     part = rows.select("rot", "key", "fp0", "fp1")
     out = part if out is None else out.unionByName(part)
     spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     found = out.repartition(F.col("rot"), F.col("key")).sortWithinPartitions("rot", "key").mapInArrow(_linked(radius, blocks, confirm), "a0 bigint, a1 bigint, b0 bigint, b1 bigint")
     return common.stored(found.distinct())
 
@@ -309,5 +322,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(rows, "__row", text_col, **how).select(F.col("doc_id").alias("__row"), "component_id")
     ids = rows.select("__row", F.col(id_col).alias("__id"))
     first = found.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("first"))
-    kept = common.stored(first.select(F.col("first.__row").alias("__row")))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = first.select(F.col("first.__row").alias("__row"))
+    gone = common.stored(ids.select("__row").join(kept, "__row", "left_anti"))
+    if gone.count() <= GONE_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
