@@ -96,10 +96,9 @@ def indexes(spark, sf_dir):
         for k, m in zip(key, n):
             pairs = np.stack([np.arange(m, dtype="<u8") * 100 + k % 100, np.full(m, 100, "<u8")], axis=1)
             pairs[k % m] = binary.MISSING
-            raw = pairs.tobytes()
-            crc = int(binary.crc32c_of([raw])[0]) ^ (1 if k % 10 == 0 else 0)
-            out.append(raw + crc.to_bytes(4, "little"))
-        return pd.Series(out)
+            out.append(pairs.tobytes())
+        sums = binary.crc32c_of(out).tolist()
+        return pd.Series([raw + (crc ^ (k % 10 == 0)).to_bytes(4, "little") for raw, crc, k in zip(out, sums, key)])
 
     return read(spark, sf_dir, "part").select("p_partkey", "p_size", build("p_partkey", "p_size").alias("raw"))
 

@@ -104,15 +104,19 @@ def level_findings(present: DataFrame) -> DataFrame:
 
 
 def drift_counts(present: DataFrame) -> DataFrame:
-    """Distinct values of each attribute by root; a missing value is a value of its own."""
-    distinct = lambda c: F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("None")))
+    """Distinct values of each attribute by root; a missing value is a value of its own.
+
+    A root has few levels, so sets are small; several distinct counts would multiply the rows.
+    """
+    values = lambda c: F.size(F.collect_set(c))
+    distinct = lambda c: values(F.coalesce(F.col(c).cast("string"), F.lit("None")))
     return present.groupBy("root").agg(
-        F.count_distinct(F.size("shape")).alias("ndims"),
+        values(F.size("shape")).alias("ndims"),
         distinct("dtype").alias("dtypes"),
         distinct("fill_value").alias("fills"),
         distinct("compressor_id").alias("compressors"),
         distinct("separator").alias("separators"),
-        F.count_distinct(F.when(F.col("rounding").isin("ceil", "floor"), F.col("rounding"))).alias("roundings"),
+        values(F.when(F.col("rounding").isin("ceil", "floor"), F.col("rounding"))).alias("roundings"),
         F.max(F.when(F.col("place") == 1, F.struct("path", "shape", "declared_scale"))).alias("base"),
     )
 
