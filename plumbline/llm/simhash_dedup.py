@@ -19,7 +19,7 @@ Links
     fingerprints goes one block deeper, as often as needed, so no task holds an unbounded node.
 
 Components
-    Smallest label over links, by rounds of minimum and pointer jumping on DataFrames.
+    Smallest node reachable over links, by rounds of contraction on DataFrames.
 
 Defined cases: null text is the empty text; no words gives fingerprint zero, linked like any
 other; fewer words than a shingle give one shingle of them all; repeated rows keep their own
@@ -278,20 +278,32 @@ def trie_links(fps: DataFrame, radius: int = 3, blocks: int = 4, confirm: int |
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, label)`` for every node of ``links (a, b)``; label: the smallest node reachable.
 
-    Each round takes the smallest label among neighbours and then the label of the label, so
-    chains shrink by halves. Labels are stored after each round; what goes to the driver is a
-    count.
+    Each round points every node to its smallest neighbour, follows the pointers to their roots by
+    halving, and contracts the links to links between roots, which leaves few. A component's
+    smallest node is always a root, so it is the last one. Tables are stored after each step; what
+    goes to the driver is counts.
     """
-    links = common.stored(links.select("a", "b").filter("a <> b").union(links.select("b", "a").filter("a <> b").toDF("a", "b")).distinct())
-    label = common.stored(links.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    links = common.stored(links.filter("a <> b").select(*pair("a", "b")).distinct())
+    label = None
     for _ in range(rounds):
-        near = links.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = label.join(near, "node").select("node", F.least("label", "near").alias("hop"), F.col("label").alias("old"))
-        jump = step.join(label.select(F.col("node").alias("hop"), F.col("label").alias("far")), "hop", "left")
-        new = common.stored(jump.select("node", F.least("hop", F.coalesce("far", "hop")).alias("label"), "old"))
-        moved = new.filter("label <> old").count()
-        label = new.select("node", "label")
-        if not moved:
+        ends = links.select(F.col("a").alias("node"), F.col("b").alias("near")).unionAll(links.select("b", "a"))
+        point = common.stored(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")))
+        while True:
+            far = point.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            point = common.stored(point.join(far, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+            moved = point.filter("moved").count()
+            point = point.select("node", "root")
+            if not moved:
+                break
+        if label is None:
+            label = point.withColumnRenamed("root", "label")
+        else:
+            up = point.select(F.col("node").alias("label"), F.col("root").alias("up"))
+            label = common.stored(label.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        root = lambda c: point.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        links = common.stored(links.join(root("a"), "a").join(root("b"), "b").filter("ra <> rb").select(*pair("ra", "rb")).distinct())
+        if links.isEmpty():
             return label
     raise RuntimeError("components did not settle")
 
