@@ -329,8 +329,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    """``docs`` with one row of each component: the one with the smallest id.
+
+    The rows are stored with their numbers: numbers made again by a later job may name other rows.
+    """
+    rows = common.stored(docs.withColumn("__row", F.monotonically_increasing_id()))
     found = near_duplicates(rows, "__row", text_col, **how).select(F.col("doc_id").alias("__row"), "component_id")
     ids = rows.select("__row", F.col(id_col).alias("__id"))
     first = found.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("first"))

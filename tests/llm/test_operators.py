@@ -370,3 +370,21 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() <= docs.count() and out.filter("not lossless").count() == 0
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_one_of_each_keeps_row_numbers_when_files_are_packed_anew(spark, tmp_path, monkeypatch):
+    texts = [f"copy {i // 2} of the text with some words {i // 2 * 7919}" for i in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(20).write.parquet(f"{tmp_path}/docs")
+    found, size = simhash_dedup.near_duplicates, "spark.sql.files.maxPartitionBytes"
+
+    def then_packed_anew(*a, **how):
+        out = common.stored(found(*a, **how))
+        spark.conf.set(size, "1k")
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "near_duplicates", then_packed_anew)
+    try:
+        rows = simhash_dedup.one_of_each(spark.read.parquet(f"{tmp_path}/docs"), radius=0, blocks=4).collect()
+    finally:
+        spark.conf.unset(size)
+    assert sorted(r.text for r in rows) == sorted(set(texts))
