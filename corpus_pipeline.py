@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns
 Parquet and read again for the next one. All but the last return the columns of ``documents``.
 
 1. Quality classifier: documents whose text is unlike the trusted text of their language go.
-2. SimHash near-duplicates: one document of each group stays. Five-word shingles; a link is at
-   most 26 differing bits of 128 (and 15 of the first 64), where documents with a similarity of
-   0.8 differ in 19 on average; unrelated ones differ in 64.
+2. SimHash near-duplicates: one document of each group stays. Five-word shingles; candidates
+   differ in at most 32 bits of 128 (and 15 of the first 64), where documents with a similarity of
+   0.8 differ in 19 on average; what joins two candidates is an exact similarity of 0.8 or more.
 3. Benchmark decontamination: documents that hold a benchmark item go.
 4. Secret scan: secrets are replaced by a mark in the text.
 5. SentencePiece: token ids of each text, and whether decoding gives the text again.
@@ -28,7 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.one_of_each(docs, shingle=5, radius=15, blocks=8, confirm=26, node_rows=100_000)
+    return simhash_dedup.one_of_each(docs, shingle=5, radius=15, blocks=8, confirm=32, node_rows=100_000, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

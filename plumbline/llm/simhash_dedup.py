@@ -18,6 +18,13 @@ Links
     the pairs of nodes within the first budget, and a pair of nodes with more than ``NODE_ROWS``
     fingerprints goes one block deeper, as often as needed, so no task holds an unbounded node.
 
+Similarity
+    The stage of the pipeline takes linked fingerprints as candidates only. Of each distinct set of
+    shingles among them one text is read again, and two sets are joined if their exact Jaccard
+    similarity reaches the limit. Two such sets share a shingle among the rarest of each
+    (``n - ceil(limit * n) + 1`` of n), so sets meet at those shingles: first with the smallest and
+    the largest set of each, which joins groups of copies by few pairs, then all that are still apart.
+
 Components
     Smallest node reachable over links, by rounds of contraction on DataFrames.
 
@@ -47,6 +54,8 @@ ROWS_AT_ONCE = 30_000
 #: Most removed rows whose numbers are sent to all tasks (32 MB); beyond it the texts are shuffled.
 GONE_ROWS = 4_000_000
 PAIRS_AT_ONCE = 500_000
+#: Most rounds that join similar sets by few pairs before all pairs still apart are compared.
+STAR_ROUNDS = 2
 
 
 # ------------------------------------------------------------------ fingerprints
@@ -77,19 +86,47 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * ones > len(hashes)].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, n_hashes: int = 1) -> DataFrame:
-    """``(doc_id, fp0, fp1, ...)``: a row for each row of ``docs``; fingerprints as signed bigints."""
+def set_key(hashes: np.ndarray) -> bytes:
+    """128 bits that name the set of the hashes."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(np.unique(hashes).astype("<u8").tobytes())
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, n_hashes: int = 1, keys: bool = False) -> DataFrame:
+    """``(doc_id, fp0, fp1, ...)``: a row for each row of ``docs``; fingerprints as signed bigints.
+    With ``keys`` also ``set_key``, the name of the set of shingles."""
     common.small_batches(docs.sparkSession)
     names = [f"fp{k}" for k in range(n_hashes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            cols = [np.array([fingerprint(shingle_hashes(t, shingle, seed + k)) for t in texts], np.uint64).view(np.int64) for k in range(n_hashes)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in cols)], names=["doc_id", *names])
+            prints, sets = np.empty((n_hashes, b.num_rows), np.uint64), []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for k in range(n_hashes):
+                    hashes = shingle_hashes(t, shingle, seed + k)
+                    prints[k, i] = fingerprint(hashes)
+                    if keys and k == 0:
+                        sets.append(set_key(hashes))
+            cols = [pa.array(c.view(np.int64)) for c in prints]
+            more = [pa.array(sets, pa.binary())] if keys else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, *more], names=["doc_id", *names, *["set_key"][: len(more)]])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), common.text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + (", set_key binary" if keys else ""))
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """``(node, hashes)``: the distinct shingle hashes of each row of ``docs``."""
+    common.small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle, seed)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("node"), common.text_or_empty(text_col).alias("text"))
+    return rows.mapInArrow(run, "node bigint, hashes array<bigint>")
 
 
 # ------------------------------------------------------------------ trie self-join
@@ -308,18 +345,85 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, blocks: int = 4, seed: int = 42, confirm: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
+# ------------------------------------------------------------------ similarity
+def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(node, label)`` for every node of ``sets (node, hashes)`` that is similar to another one:
+    components over all pairs whose Jaccard similarity is ``similarity`` or more."""
+    words = sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("uses")).filter("uses > 1")
+    shared = words.join(often, "word").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("uses", "word"))).alias("words"))
+    # the words of one set only are the rarest; the small number keeps rounding from losing a word
+    take = F.expr(f"int(n - ceil({similarity}D * n - 1e-9D) + 1 - (n - size(words)))")
+    rare = common.stored(shared.filter(take > 0).select("node", "n", F.explode(F.slice("words", 1, take)).alias("w")).select("node", "n", F.col("w.word").alias("word")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"h{s}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("common"), (F.size("ha") + F.size("hb")).alias("total"))
+        return common.stored(both.filter(F.expr(f"common >= {similarity}D * (total - common) - 1e-9D")).select("a", "b"))
+
+    sized = F.expr(f"least(na, nb) >= {similarity}D * greatest(na, nb) - 1e-9D")
+    tried = edges = label = None
+    # Each round compares sets with two of those that have the same word, later ones with two that
+    # differ from word to word; it ends when all that meet are together or nothing new is found.
+    for again in range(STAR_ROUNDS):
+        own = F.col("node") if not again else F.xxhash64("node", "word", F.lit(again))
+        ends = rare.groupBy("word").agg(*(f(F.struct(own.alias("by"), "node", "n", *(["label"] if again else []))).alias(e) for f, e in ((F.min, "lo"), (F.max, "hi"))))
+        met = rare.join(ends.filter("lo.node <> hi.node"), "word").withColumn("e", F.explode(F.array("lo", "hi"))).filter("label <> e.label" if again else "node <> e.node")
+        met = met.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("e.node").alias("b"), F.col("e.n").alias("nb")).filter(sized)
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        met = common.stored(met if tried is None else met.join(tried, ["a", "b"], "left_anti"))
+        tried = met if tried is None else tried.unionAll(met)
+        found = verified(met)
+        if again and found.isEmpty():
+            break
+        edges = found if edges is None else edges.unionAll(found)
+        label = components(edges)
+        rare = rare.select("node", "n", "word").join(label, "node", "left").select("node", "n", "word", F.coalesce("label", "node").alias("label"))
+        apart = rare.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("word")
+        rare = common.stored(rare.join(apart, "word", "left_semi"))
+    one = lambda s: rare.select("word", *(F.col(c).alias(f"{c[0]}{s}") for c in ("n", "label")), F.col("node").alias(s))
+    rest = one("a").join(one("b"), "word").filter("a < b and la <> lb").filter(sized).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
+    # what two sets can share: the rare words that both have, and what comes after these in one of them
+    most = F.expr(f"met + ceil({similarity}D * greatest(na, nb) - 1e-9D) - 1")
+    rest = rest.filter(most >= F.expr(f"{similarity}D / (1 + {similarity}D) * (na + nb) - 1e-9D")).select("a", "b")
+    more = verified(rest.join(tried, ["a", "b"], "left_anti"))
+    return label if more.isEmpty() else components(edges.unionAll(more))
+
+
+def similar_components(docs: DataFrame, fps: DataFrame, links: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, similarity: float) -> DataFrame:
+    """``fps`` with ``component_id``: sets of shingles at ``similarity`` or more are together, if the
+    fingerprints of both have links or other sets."""
+    names = ["fp0", "fp1"]
+    sets = common.stored(fps.groupBy(*names, "set_key").agg(F.min("doc_id").alias("rep")))
+    near = links.select(F.col("a0").alias("fp0"), F.col("a1").alias("fp1")).unionAll(links.select("b0", "b1"))
+    near = near.unionAll(sets.groupBy(*names).count().filter("count > 1").select(*names)).distinct()
+    reps = sets.groupBy("set_key").agg(F.min("rep").alias("rep"))
+    drawn = sets.join(near, names, "left_semi").select("set_key").distinct()
+    nodes = common.stored(reps.join(drawn, "set_key").select(F.col("rep").alias(id_col)))
+    if nodes.count() <= GONE_ROWS:
+        nodes = F.broadcast(nodes)
+    label = similar_sets(common.stored(shingle_sets(docs.join(nodes, id_col, "left_semi"), id_col, text_col, shingle, seed)), similarity)
+    reps = reps.join(label.select(F.col("node").alias("rep"), F.col("label").alias("component_id")), "rep", "left")
+    return fps.join(reps.select("set_key", F.coalesce("component_id", "rep").alias("component_id")), "set_key").drop("set_key")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, blocks: int = 4, seed: int = 42, confirm: int | None = None, node_rows: int = NODE_ROWS, similarity: float | None = None) -> DataFrame:
     """``(doc_id, fp0[, fp1], component_id)``: a row for each row of ``docs``.
 
     ``confirm``: if given, a second fingerprint (seed + 1) is made, and a link also needs at most
-    ``confirm`` differing bits in the 128 of both.
+    ``confirm`` differing bits in the 128 of both. ``similarity``: if given (with ``confirm``, and
+    ids that are bigints, unique and not null), links are candidates, and what joins documents is
+    the exact Jaccard similarity of their sets of shingles.
     """
     n_hashes = 1 if confirm is None else 2
-    fps = common.stored(fingerprints(docs, id_col, text_col, shingle, seed, n_hashes))
+    fps = common.stored(fingerprints(docs, id_col, text_col, shingle, seed, n_hashes, similarity is not None))
     names = [f"fp{k}" for k in range(n_hashes)]
     # one row per distinct fingerprint with the smallest document that has it
     classes = common.stored(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")))
     found = trie_links(classes, radius, blocks, confirm, node_rows)
+    if similarity is not None:
+        return similar_components(docs, fps, found, id_col, text_col, shingle, seed, similarity)
     side = lambda s: classes.select(*(F.col(n).alias(f"{s}{n[2:]}") for n in names), F.col("rep").alias(s))
     on = [[f"{s}{n[2:]}" for n in names] for s in "ab"]
     pairs = found.join(side("a"), on[0]).join(side("b"), on[1]).select("a", "b").filter("a is not null and b is not null")

@@ -388,3 +388,29 @@ def test_one_of_each_keeps_row_numbers_when_files_are_packed_anew(spark, tmp_pat
     finally:
         spark.conf.unset(size)
     assert sorted(r.text for r in rows) == sorted(set(texts))
+
+
+def test_near_dedup_of_the_pipeline_against_brute_force(spark):
+    """Planted pairs at 0.5 to 0.9, a group of copies, a template, and one line that outweighs all others."""
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = []
+    for k in range(60):
+        base = [word() for _ in range(400)]
+        j = (0.5, 0.6, 0.7, 0.78, 0.82, 0.9)[k % 6]
+        same = round(404 * 2 * j / (1 + j)) + rnd.randrange(-3, 4)
+        texts += [" ".join(base), " ".join(base[:same] + [word() for _ in range(400 - same)])]
+    base = [word() for _ in range(200)]
+    texts += [" ".join(base[:at] + [word()] + base[at + 1 :]) for at in range(0, 200, 4)]
+    frame = [word() for _ in range(300)]
+    texts += [" ".join(frame + [word() for _ in range(100)]) for _ in range(30)]
+    texts += [" ".join(["one line again"] * 400 + [word() for _ in range(30)]) for _ in range(12)]
+    texts += [texts[0].upper(), None, " "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    sets = [set() if not (w := (t or "").lower().split()) else {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = set(brute_components(list(range(len(texts))), sets, near))
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()}
+    assert got == want
