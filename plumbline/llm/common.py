@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to a Python task at once. Documents may be large, so batches stay small.
+#: Rows that a Python task turns into objects at once. Spark bounds an Arrow batch by bytes.
 BATCH_ROWS = 512
+#: Rows of a few bytes each that may be sent to all tasks (some 32 MB).
+FEW_ROWS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,23 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Arrow batches: long documents come in few rows a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; a folder of our own is set only where that is unset
-    (local tests).
+    Read from ``spark.checkpoint.dir``; a folder of our own is made only where that is unset and
+    Spark runs in one process (tests). On a cluster that is an error, as machines share no folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
-        folder = tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
@@ -49,6 +56,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """``df`` (stored, narrow rows) marked for broadcasting if it has at most ``rows`` rows; a
+    larger one is left to shuffled joins."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_or_empty(col: str = "text"):
     """Null text counts as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -163,7 +163,6 @@ class Benchmark:
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "leaks") -> DataFrame:
     """``docs`` with ``out_col``: array of (item_id, start_word, end_word, similarity), the best window
     of each item that the text holds."""
-    common.small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
@@ -182,7 +181,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str | None]], text_col: str, o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(shared.value)
-        for b in batches:
+        for b in common.slices(batches):
             before = b.column(cols.index(out_col)).to_pylist()
             found = [x + bench.leaks(t) for x, t in zip(before, b.column(cols.index(text_col)).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(found, kind) if c == out_col else b.column(i) for i, c in enumerate(cols)], names=cols)

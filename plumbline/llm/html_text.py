@@ -294,12 +294,11 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` without ``html_col``, with ``out_col``: the main text."""
-    common.small_batches(pages.sparkSession)
     cols = [c for c in pages.columns if c not in (out_col, html_col)]
     rows = pages.select(*cols, F.col(html_col).alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             texts = pa.array([main_text(p) for p in b.column(len(cols)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], texts], names=[*cols, out_col])
 

@@ -1,326 +1,360 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The units are characters (``ORDER`` = 4): each language has an alphabet of the ``LETTERS`` most
-common characters of its trusted text, the rest fall into classes. Word n-grams were left out:
-joining each document's words with their counts shuffles several times the input.
+The units are characters, all of Unicode as they are (``ORDER`` = 5): the model has every n-gram
+of the trusted text and grows with it. Word n-grams were left out: hardly any repeats inside a
+document, so joining them moves several times the input.
 
 Model: n-gram counts of all trusted documents but the held-out tenth, gathered per task and summed
 over shards of (language, n-gram); continuation counts, discounts from counts of counts, context
-totals and discounted shares by joins of the sharded counts on (language, order, context).
+totals and discounted shares by joins of the sharded counts on (language, context).
 
-Scoring: the model goes to the tasks if it has at most ``MODEL_ROWS`` rows (an alphabet bounds it;
-usually it has some ten thousand a language), else each document's n-gram counts are joined with
-it (``bits_by_join``). Both give the same bits.
+Scoring, by joins with the sharded model: documents of one language are packed and dealt to blocks
+of about ``BLOCK_BYTES``; each block asks for its distinct n-grams once, the questions are joined
+with the model on (language, n-gram), and the answers go back to the block, where each document's
+perplexity is computed. So what is shuffled is a block's distinct n-grams, not each document's.
+Packs are Arrow streams of whole rows, compressed; documents move once.
 
 Verdict: the bits per character, with ``PRIOR_CHARS`` characters at the language's mean (short
 texts say little), must not exceed the language's quantile over held-out trusted documents by more
 than the factor ``SLACK`` in perplexity.
 
-Languages with fewer than ``LEAST_DOCS`` trusted documents, beyond the first ``LANGUAGES``, or
-null use the model of all trusted text together. Defined cases: null text is the empty text; a text
-without characters is rejected with null perplexity; without any trusted document everything is
-kept; null ids are never trusted; repeated rows keep their rows; empty tables give empty results;
-other columns are ignored.
+Languages with fewer than ``LEAST_DOCS`` trusted documents (or none held out), and null, use the
+model of all trusted text together. Defined cases: null text is the empty text; a text without
+characters is rejected with null perplexity; without any trusted document everything is kept; null
+ids are never trusted; repeated rows keep their rows; empty tables give empty results; other
+columns pass unchanged, but for one that has the name of the result column, which is replaced.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
-ORDER = 4
-LETTERS = 40
-#: Codes below LETTERS are letters of the alphabet, then come the classes; 0 is before the text.
-CLASSES = 8
-SIZE = LETTERS + CLASSES
+ORDER = 5
+#: Stands before a text as often as an n-gram needs it; a code point that is no character.
+START = "\U0010ffff"
 ALL = "*"
-LANGUAGES = 60
 LEAST_DOCS = 20
 HELD_OUT = 10
 QUANTILE = 0.99
 SLACK = 1.2
 PRIOR_CHARS = 32
-MODEL_ROWS = 4_000_000
-TRUSTED_ROWS = 4_000_000
 #: Parts of a bit in which quantiles are counted.
 STEPS = 256
-
-
-def class_table() -> np.ndarray:
-    """Class of each code point that is no letter of the alphabet."""
-    out = np.full(0x110000, 7, np.uint8)
-    for i in range(0x3000):
-        c = chr(i)
-        out[i] = 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 if c.isspace() else 5 if c in ".,;:!?'\"()-" else 6
-    return out
-
-
-def points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-
-
-def keys(text: str, table: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each character, as a number in base ``SIZE``."""
-    codes = np.concatenate((np.zeros(ORDER - 1, np.int32), table[points(text)].astype(np.int32)))
-    out = np.zeros(len(codes) - ORDER + 1, np.int32)
-    for j in range(ORDER):
-        out = out * SIZE + codes[j : j + len(out)]
-    return out
-
-
-class Alphabets:
-    """Code tables by language; what has none uses the one of all text."""
-
-    def __init__(self, letters: dict[str, list[int]]):
-        base = class_table()
-        self.table = {}
-        for lang, chars in letters.items():
-            self.table[lang] = base.copy()
-            self.table[lang][chars] = np.arange(CLASSES, CLASSES + len(chars))
-
-    def of(self, lang: str | None) -> str:
-        return lang if lang in self.table else ALL
+#: Bytes of text in a block, and in the packs that are dealt to blocks.
+BLOCK_BYTES = 32_000_000
+PACK_BYTES = 2_000_000
+#: Characters looked at together, and n-grams that a task holds before it hands on their counts.
+CHARS_AT_ONCE = 1_000_000
+GRAMS_AT_ONCE = 500_000
+LANGUAGE_ROWS = 100_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+# ------------------------------------------------------------------ n-grams of texts
+def pieces(texts: list[str], order: int) -> Iterator[list[tuple[int, str]]]:
+    """Groups of (document, piece) of about ``CHARS_AT_ONCE``; a piece starts with the ``order - 1``
+    characters before it, so that each character of a text ends exactly one n-gram of one piece."""
+    held, size, before = [], 0, START * (order - 1)
+    for doc, text in enumerate(texts):
+        for at in range(0, len(text), CHARS_AT_ONCE):
+            head = before if not at else text[at - order + 1 : at]
+            held.append((doc, head + text[at : at + CHARS_AT_ONCE]))
+            size += len(held[-1][1])
+            if size >= CHARS_AT_ONCE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def windows(group: list[tuple[int, str]], order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct n-grams, which of them ends at each character, the character's document)."""
+    joined = "".join(piece for _, piece in group)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    key = np.zeros(len(points) - order + 1, np.uint64)
+    for j in range(order):
+        key = (key ^ points[j : j + len(key)]) * MIX
+        key ^= key >> np.uint64(29)
+    sizes = np.array([len(piece) for _, piece in group])
+    chars = sizes - order + 1  # n-grams that lie inside the piece
+    starts = np.cumsum(sizes) - sizes
+    at = np.repeat(starts - (np.cumsum(chars) - chars), chars) + np.arange(int(chars.sum()))
+    which, _ = pd.factorize(key[at])
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
+    return [joined[p : p + order] for p in at[first].tolist()], which, np.repeat([doc for doc, _ in group], chars)
 
 
 # ------------------------------------------------------------------ counts
 def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``(lang, text, held)`` of the trusted documents: quality 1 and not toxic."""
     ids = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("lang"), common.text_or_empty(text_col).alias("text"))
-    if ids.count() <= TRUSTED_ROWS:  # 32 MB; beyond it both sides are shuffled
-        ids = F.broadcast(ids)
-    rows = rows.join(ids, "__id", "left_semi").filter("text <> ''")
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(lang_col), F.lit(ALL)).alias("lang"), common.text_or_empty(text_col).alias("text"))
+    rows = rows.join(common.broadcast_if_few(ids), "__id", "left_semi").filter("text <> ''")
     return rows.select("lang", "text", (F.pmod(F.xxhash64("__id"), F.lit(HELD_OUT)) == 0).alias("held"))
 
 
-def alphabets(trusted: DataFrame) -> dict[str, list[int]]:
-    """Most common code points by language, at most ``LANGUAGES`` and that of all text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = defaultdict(int)
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = np.bincount(points(text))
-                for k in (lang, ALL) if lang is not None and lang != ALL else (ALL,):
-                    docs[k] += 1
-                    old = seen.get(k, n[:0])
-                    if len(old) < len(n):
-                        old = np.concatenate((old, np.zeros(len(n) - len(old), old.dtype)))
-                    old[: len(n)] += n
-                    seen[k] = old
-        for k, n in seen.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(n[at], docs[k]))], names=["lang", "point", "n"])
-
-    counts = trusted.filter("not held").select("lang", "text").mapInArrow(run, "lang string, point bigint, n bigint").groupBy("lang", "point").agg(F.sum("n").alias("n"))
-    top = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "point"))
-    rows = counts.filter("point >= 0").withColumn("rank", top).filter(F.col("rank") <= LETTERS)
-    docs = counts.filter("point < 0").select("lang", F.col("n").alias("docs")).filter((F.col("lang") == ALL) | (F.col("docs") >= LEAST_DOCS))
-    docs = docs.orderBy(F.desc("docs"), "lang").limit(LANGUAGES + 1)
-    out: dict[str, list[int]] = {}
-    for r in rows.join(F.broadcast(docs), "lang").orderBy("lang", "rank").collect():  # 61 alphabets at most
-        out.setdefault(r.lang, []).append(r.point)
-    return out
-
-
-def counts(trusted: DataFrame, letters: dict[str, list[int]]) -> DataFrame:
-    """``(lang, key, c)``: counts of all n-grams of the trusted text that is not held out."""
-    shared = trusted.sparkSession.sparkContext.broadcast(letters)
+def counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(lang, gram, c)``: counts of all n-grams of ``order`` characters of the rows ``(lang, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet = Alphabets(shared.value)
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        held: dict[str, Counter] = {}
 
-        def merged(parts):
-            k, n = (np.concatenate(x) for x in zip(*parts))
-            k, at = np.unique(k, return_inverse=True)
-            return [(k, np.bincount(at, weights=n).astype(np.int64))]
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, found in held.items():
+                grams = sorted(found)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array([found[g] for g in grams], pa.int64())], names=["lang", "gram", "c"])
+            held.clear()
 
-        for b in batches:
-            by: dict[str, list[np.ndarray]] = defaultdict(list)
+        for b in common.slices(batches):
+            by: dict[str, list[str]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = alphabet.of(lang)
-                for k in {own, ALL}:
-                    by[k].append(keys(text, alphabet.table[k]))
-            for k, parts in by.items():
-                held[k].append(np.unique(np.concatenate(parts), return_counts=True))
-                if len(held[k]) > 8:
-                    held[k] = merged(held[k])
-        for k, parts in held.items():
-            key, n = merged(parts)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(key)), pa.array(key.astype(np.int64)), pa.array(n)], names=["lang", "key", "c"])
+                by.setdefault(lang, []).append(text)
+            for lang, texts in by.items():
+                for group in pieces(texts, order):
+                    grams, which, _ = windows(group, order)
+                    found = held.setdefault(lang, Counter())
+                    for g, n in zip(grams, np.bincount(which, minlength=len(grams)).tolist()):
+                        found[g] += n
+            if sum(map(len, held.values())) > GRAMS_AT_ONCE:
+                yield from rows()
+        yield from rows()
 
-    rows = trusted.filter("not held").select("lang", "text").mapInArrow(run, "lang string, key bigint, c bigint")
-    return common.stored(rows.groupBy("lang", "key").agg(F.sum("c").alias("c")))
+    found = trusted.select("lang", "text").mapInArrow(run, "lang string, gram string, c bigint")
+    return found.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+
+
+def with_pooled(counts_: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Counts of the languages in ``fitted`` and, as language ``ALL``, of all text together."""
+    own = counts_.filter(F.col("lang") != ALL).join(common.broadcast_if_few(fitted.select("lang"), LANGUAGE_ROWS), "lang", "left_semi")
+    pooled = counts_.groupBy("gram").agg(F.sum("c").alias("c")).select(F.lit(ALL).alias("lang"), "gram", "c")
+    return own.unionByName(pooled)
 
 
 # ------------------------------------------------------------------ model
-def model(top: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(lang, ord, key, p)`` of the n-grams seen and ``(lang, ord, key, g)`` of their contexts.
+def model(top: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(lang, gram, p, g)`` for n-grams of 0 to ``order`` characters.
 
-    The probability of an n-gram is its own discounted share p (0 if it was not seen) plus the
-    weight g of its context (1 if that was not seen) times the probability of the n-gram without
-    its first character; below a single character: 1 / SIZE.
+    The probability of an n-gram's last character is its own discounted share p (none: 0) plus the
+    weight g of the characters before (none: 1) times the probability without the first of them;
+    that of no characters at all is p of the empty n-gram: 1 by the number of characters and one.
     """
-    by_order = {ORDER: top}
-    for o in range(ORDER - 1, 0, -1):  # continuation counts: how many characters stand before
-        by_order[o] = by_order[o + 1].groupBy("lang", (F.col("key") % SIZE**o).alias("key")).agg(F.count("*").alias("c"))
-    seen = reduce(DataFrame.unionByName, [rows.select("lang", F.lit(o).alias("ord"), "key", F.floor(F.col("key") / SIZE).alias("context"), "c") for o, rows in by_order.items()])
-    seen = common.stored(seen)
+    by_order = {order: common.stored(top)}
+    for o in range(order - 1, 0, -1):  # continuation counts: how many characters stand before
+        lower = by_order[o + 1].groupBy("lang", F.substring("gram", 2, o).alias("gram")).agg(F.count("*").alias("c"))
+        by_order[o] = common.stored(lower)
+    seen = reduce(DataFrame.unionByName, [rows.select("lang", F.lit(o).alias("ord"), "gram", F.substring("gram", 1, o - 1).alias("context"), "c") for o, rows in by_order.items()])
     few = seen.groupBy("lang", "ord").agg(*(F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     usual = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
     amount = lambda i: F.when(usual, F.greatest(F.lit(0.0), F.least(F.lit(float(i)), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(F.lit(i / 2)).alias(f"d{i}")
-    few = few.select("lang", "ord", amount(1), amount(2), amount(3))
+    few = common.broadcast_if_few(common.stored(few.select("lang", "ord", amount(1), amount(2), amount(3))))
     contexts = seen.groupBy("lang", "ord", "context").agg(F.sum("c").alias("total"), *(F.count_if(F.col("c") == i if i < 3 else F.col("c") >= 3).alias(f"m{i}") for i in (1, 2, 3)))
-    contexts = contexts.join(F.broadcast(few), ["lang", "ord"])  # a row per language and order
+    contexts = contexts.join(few, ["lang", "ord"])
     minus = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    probs = seen.join(contexts, ["lang", "ord", "context"]).select("lang", "ord", "key", ((F.col("c") - minus) / F.col("total")).alias("p"))
-    weights = contexts.select("lang", "ord", F.col("context").alias("key"), (sum(F.col(f"d{i}") * F.col(f"m{i}") for i in (1, 2, 3)) / F.col("total")).alias("g"))
-    return common.stored(probs), common.stored(weights)
+    none = F.lit(None).cast("double")
+    shares = seen.join(contexts, ["lang", "ord", "context"]).select("lang", "gram", ((F.col("c") - minus) / F.col("total")).alias("p"), none.alias("g"))
+    weights = contexts.select("lang", F.col("context").alias("gram"), none.alias("p"), (sum(F.col(f"d{i}") * F.col(f"m{i}") for i in (1, 2, 3)) / F.col("total")).alias("g"))
+    empty = by_order[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p")).select("lang", F.lit("").alias("gram"), "p", none.alias("g"))
+    rows = shares.unionByName(weights).unionByName(empty)
+    return common.stored(rows.groupBy("lang", "gram").agg(F.max("p").alias("p"), F.max("g").alias("g")))
+
+
+def closed(grams: set[str]) -> set[str]:
+    """The n-grams with all that their probabilities ask for: suffixes, and what comes before the
+    last character of each."""
+    out, level = set(), grams
+    while level:
+        out |= level
+        level = {g[1:] for g in level if g} - out
+    return out | {g[:-1] for g in out}
+
+
+class Answers:
+    """Probabilities from the rows of the model that a block asked for."""
+
+    def __init__(self, gram: list[str], p: list[float | None], g: list[float | None]):
+        self.share = {x: v for x, v in zip(gram, p) if v is not None}
+        self.weight = {x: v for x, v in zip(gram, g) if v is not None}
+        self.known = {"": self.share.get("", 1.0)}
+
+    def probability(self, gram: str) -> float:
+        """Of the last character after those before it."""
+        if gram not in self.known:
+            self.known[gram] = self.share.get(gram, 0.0) + self.weight.get(gram[:-1], 1.0) * self.probability(gram[1:])
+        return self.known[gram]
+
+    def score(self, texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, bits) of each text."""
+        bits = np.zeros(len(texts))
+        for group in pieces(texts, order):
+            grams, which, doc = windows(group, order)
+            own = -np.log2(np.array([self.probability(x) for x in grams]))
+            bits += np.bincount(doc, weights=own[which], minlength=len(texts))
+        return np.array([len(t) for t in texts], np.int64), bits
 
 
-class Tables:
-    """The model as arrays; bits of each possible n-gram by language, filled when first used."""
+# ------------------------------------------------------------------ scoring
+def packed(rows: DataFrame, carried: int) -> DataFrame:
+    """``(own, block, pack)`` from rows whose last two columns are the language of the model and its
+    number of blocks, and whose first ``carried`` ones are packed."""
 
-    def __init__(self, letters: dict[str, list[int]], probs: dict, weights: dict):
-        self.alphabet, self.probs, self.weights = Alphabets(letters), probs, weights
-        self.full: dict[str, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    def bits(self, lang: str) -> np.ndarray:
-        if lang not in self.full:
-            p = np.full(1, 1 / SIZE)
-            for o in range(1, ORDER + 1):
-                key, g = self.weights.get((lang, o), (np.empty(0, np.int64), np.empty(0)))
-                weight = np.ones(SIZE ** (o - 1))
-                weight[key] = g
-                rest = np.broadcast_to(p, (1, SIZE)) if o == 1 else np.tile(p.reshape(-1, SIZE), (SIZE, 1))
-                p = (weight[:, None] * rest).ravel()
-                key, own = self.probs.get((lang, o), (np.empty(0, np.int64), np.empty(0)))
-                p[key] += own
-            self.full[lang] = -np.log2(p).astype(np.float32)
-        return self.full[lang]
+        held: dict[str, list[pa.RecordBatch]] = {}
+        size, blocks = Counter(), {}
 
-    def score(self, lang: str | None, text: str) -> tuple[int, float]:
-        """(characters, bits)"""
-        own = self.alphabet.of(lang)
-        k = keys(text, self.alphabet.table[own])
-        return len(k), float(self.bits(own)[k].sum(dtype=np.float64))
+        def pack(own: str) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[own][0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(held.pop(own)).combine_chunks())
+            body = sink.getvalue().to_pybytes()
+            del size[own]
+            # the pack's content decides its block, so packs made anew go to the same one
+            return pa.RecordBatch.from_arrays([pa.array([own]), pa.array([xxhash.xxh64_intdigest(body) % blocks[own]], pa.int64()), pa.array([body], pa.binary())], names=["own", "block", "pack"])
 
+        for b in common.slices(batches):
+            own = b.column(carried).to_pylist()
+            for lang in dict.fromkeys(own):
+                at = [i for i, x in enumerate(own) if x == lang]
+                part = b.select(range(carried)).take(pa.array(at))
+                blocks[lang] = b.column(carried + 1)[at[0]].as_py()
+                held.setdefault(lang, []).append(part)
+                size[lang] += part.nbytes
+                if size[lang] >= PACK_BYTES:
+                    yield pack(lang)
+            if size.total() > 16 * PACK_BYTES:
+                yield pack(max(size, key=size.get))
+        for lang in list(held):
+            yield pack(lang)
 
-def as_arrays(rows: DataFrame, value: str) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
-    got = rows.toPandas()  # checked: MODEL_ROWS at most
-    return {(lang, int(o)): (part["key"].to_numpy(np.int64), part[value].to_numpy(np.float64)) for (lang, o), part in got.groupby(["lang", "ord"])}
+    return rows.mapInArrow(run, "own string, block bigint, pack binary")
 
 
-# ------------------------------------------------------------------ scoring
-def bits_by_tables(rows: DataFrame, tables) -> DataFrame:
-    """``rows`` (lang, text, ...) with ``chars`` and ``bits``, and without ``text``."""
-    cols = [c for c in rows.columns if c != "text"]
-    rows = rows.select(*cols, "text")
+def unpacked(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all()
+
+
+def questions(packs: DataFrame, text_at: int, order: int) -> DataFrame:
+    """``(own, block, gram)``: what each block asks the model, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model_ = Tables(*tables.value)
-        for b in batches:
-            got = [model_.score(lang, t) for lang, t in zip(b.column(cols.index("lang")).to_pylist(), b.column(len(cols)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.float64())], names=[*cols, "chars", "bits"])
+        block, grams = None, set()
 
-    return rows.mapInArrow(run, rows.select(*cols).schema.add("chars", "long").add("bits", "double"))
+        def rows() -> Iterator[pa.RecordBatch]:
+            if block is not None:
+                asked = sorted(closed(grams) | {""})
+                yield pa.RecordBatch.from_arrays([pa.array([block[0]] * len(asked), pa.string()), pa.array([block[1]] * len(asked), pa.int64()), pa.array(asked, pa.string())], names=["own", "block", "gram"])
+                grams.clear()
 
+        for b in batches:  # sorted by block
+            for own, number, body in zip(*(c for c in b.columns)):
+                if (own.as_py(), number.as_py()) != block:
+                    yield from rows()
+                    block = own.as_py(), number.as_py()
+                texts = [t or "" for t in unpacked(body.as_py()).column(text_at).to_pylist()]
+                for group in pieces(texts, order):
+                    grams.update(windows(group, order)[0])
+        yield from rows()
 
-def bits_by_join(rows: DataFrame, letters: dict[str, list[int]], probs: DataFrame, weights: DataFrame) -> DataFrame:
-    """As ``bits_by_tables``, by joins of n-gram counts with the sharded model.
+    return packs.sortWithinPartitions("own", "block").mapInArrow(run, "own string, block bigint, gram string")
 
-    Counts are summed before the joins; a row takes part under a number of its own.
-    """
-    cols = [c for c in rows.columns if c != "text"]
-    rows = common.stored(rows.withColumn("__row", F.monotonically_increasing_id()))
-    shared = rows.sparkSession.sparkContext.broadcast(letters)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet = Alphabets(shared.value)
-        for b in batches:
-            for row, lang, text in zip(*(c.to_pylist() for c in b.columns)):
-                own = alphabet.of(lang)
-                k, n = np.unique(keys(text, alphabet.table[own]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(k), pa.int64()), pa.array([own] * len(k)), pa.array(k.astype(np.int64)), pa.array(n)], names=["__row", "lang", "key", "n"])
-
-    grams = rows.select("__row", "lang", "text").mapInArrow(run, "__row bigint, lang string, key bigint, n bigint")
-    p = F.lit(1 / SIZE)
-    for o in range(1, ORDER + 1):
-        grams = grams.withColumns({"__k": F.col("key") % SIZE**o, "__c": F.floor((F.col("key") % SIZE**o) / SIZE)})
-        grams = grams.join(probs.filter(F.col("ord") == o).select("lang", F.col("key").alias("__k"), F.col("p").alias(f"p{o}")), ["lang", "__k"], "left").drop("__k")
-        grams = grams.join(weights.filter(F.col("ord") == o).select("lang", F.col("key").alias("__c"), F.col("g").alias(f"g{o}")), ["lang", "__c"], "left").drop("__c")
-        p = F.coalesce(f"p{o}", F.lit(0.0)) + F.coalesce(f"g{o}", F.lit(1.0)) * p
-    sums = grams.groupBy("__row").agg(F.sum("n").alias("chars"), F.sum(-F.log2(p) * F.col("n")).alias("bits"))
-    out = rows.select(*cols, "__row").join(sums, "__row", "left")
-    return out.select(*cols, F.coalesce("chars", F.lit(0)).cast("bigint").alias("chars"), F.coalesce("bits", F.lit(0.0)).alias("bits"))
+def scored(docs: DataFrame, model_: DataFrame, languages: DataFrame, lang_col: str, text_col: str, order: int = ORDER) -> DataFrame:
+    """``docs`` with the columns ``__own`` (language of the model), ``__chars`` and ``__bits``.
+
+    languages: ``(lang, own)``; a language that isn't there uses the model of all text.
+    """
+    cols, text_at = docs.columns, docs.columns.index(text_col)
+    lang = F.coalesce(F.col(lang_col), F.lit(ALL))
+    sizes = docs.groupBy(lang.alias("lang")).agg(F.sum(F.octet_length(F.coalesce(text_col, F.lit("")))).alias("bytes"))
+    sizes = sizes.join(common.broadcast_if_few(languages, LANGUAGE_ROWS), "lang", "left").select("lang", F.coalesce("own", F.lit(ALL)).alias("own"), "bytes")
+    sizes = sizes.select(F.col("lang").alias("__lang"), F.col("own").alias("__own"), F.ceil(F.sum("bytes").over(W.partitionBy("own")) / BLOCK_BYTES + F.lit(0.5)).cast("bigint").alias("__blocks"))
+    sizes = common.stored(sizes)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sizes.select("__own", "__blocks").distinct().agg(F.coalesce(F.sum("__blocks"), F.lit(0))).first()[0])
+    rows = docs.withColumn("__lang", lang).join(common.broadcast_if_few(sizes, LANGUAGE_ROWS), "__lang").select(*cols, "__own", "__blocks")
+    # both branches below read one exchange: the documents are shuffled once
+    packs = packed(rows, len(cols)).repartition(min(parts, 20_000), "own", "block")
+    answers = questions(packs, text_at, order).join(model_.withColumnRenamed("lang", "own"), ["own", "gram"]).select("own", "block", "gram", "p", "g")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__own", T.StringType()), T.StructField("__chars", T.LongType()), T.StructField("__bits", T.DoubleType())])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = Answers(*(right.column(c).to_pylist() for c in ("gram", "p", "g")))
+        out = []
+        for own, body in zip(left.column("own").to_pylist(), left.column("pack")):
+            rows = unpacked(body.as_py())
+            chars, bits = got.score([t or "" for t in rows.column(text_at).to_pylist()], order)
+            out.append(pa.table([*rows.columns, pa.array([own] * len(chars), pa.string()), pa.array(chars), pa.array(bits)], names=schema.names))
+        return pa.concat_tables(out) if out else pa.Table.from_batches([], pa.schema([]))
+
+    keys = ["own", "block"]
+    return packs.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(score, schema)
 
 
 class Classifier:
     """The fitted model and the limits of each language."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, model_rows: int = MODEL_ROWS):
-        common.small_batches(docs.sparkSession)
+    def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER):
+        self.order = order
         trusted = trusted_rows(docs, labels)
-        self.letters = alphabets(trusted)
-        self.limits: dict[str, tuple[float, float]] = {}
-        if not self.letters:
+        gathered = common.stored(counts(trusted.filter("not held"), order))
+        self.fitted = not gathered.isEmpty()
+        if not self.fitted:
             return
-        self.probs, self.weights = model(counts(trusted, self.letters))
-        self.tables = None
-        if self.probs.count() + self.weights.count() <= model_rows:
-            self.tables = docs.sparkSession.sparkContext.broadcast((self.letters, as_arrays(self.probs, "p"), as_arrays(self.weights, "g")))
+        known = trusted.groupBy("lang").agg(F.count_if(~F.col("held")).alias("docs"), F.count_if("held").alias("held"))
+        known = known.filter((F.col("docs") >= LEAST_DOCS) & (F.col("held") > 0)).select("lang", F.col("lang").alias("own"))
+        self.languages = common.stored(known)
+        self.model = model(with_pooled(gathered, self.languages), order)
         self.limits = self._limits(trusted.filter("held").select("lang", "text"), quantile, slack)
 
-    def bits(self, rows: DataFrame) -> DataFrame:
-        return bits_by_tables(rows, self.tables) if self.tables else bits_by_join(rows, self.letters, self.probs, self.weights)
-
-    def _limits(self, held: DataFrame, quantile: float, slack: float) -> dict[str, tuple[float, float]]:
-        """(mean bits, most bits) per character of each language, from held-out trusted documents."""
-        rows = common.stored(self.bits(held).select("lang", "chars", "bits"))
-        rows = rows.unionAll(rows.withColumn("lang", F.lit(ALL))).filter(F.col("lang").isin(*self.letters))
-        mean = {r.lang: r.mean for r in rows.groupBy("lang").agg((F.sum("bits") / F.sum("chars")).alias("mean")).collect()}
-        step = F.floor((F.col("bits") + PRIOR_CHARS * F.create_map(*(F.lit(x) for kv in mean.items() for x in kv))[F.col("lang")]) / (F.col("chars") + PRIOR_CHARS) * STEPS) if mean else F.lit(0)
-        steps = rows.groupBy("lang", step.alias("step")).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(W.partitionBy("lang").orderBy("step")) / F.sum("n").over(W.partitionBy("lang"))
-        reached = steps.withColumn("upto", upto).filter(F.col("upto") >= quantile).groupBy("lang").agg(F.min("step").alias("step")).collect()
-        return {r.lang: (mean[r.lang], (r.step + 1) / STEPS + float(np.log2(slack))) for r in reached}
-
-    def judged(self, docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-        """``docs`` without its text, with ``perplexity``, ``threshold`` and ``kept``."""
-        made = (text_col, lang_col, "chars", "bits", "perplexity", "threshold", "kept")
-        rows = docs.select(*(F.col(c) for c in docs.columns if c not in made), F.col(lang_col).alias("lang"), common.text_or_empty(text_col).alias("text"))
-        cols = [c for c in rows.columns if c != "text"]
-        if not self.limits:
-            return rows.select(*cols, F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-        spare = self.limits.get(ALL) or next(iter(self.limits.values()))
-        lookup = lambda i: F.coalesce(F.create_map(*(F.lit(x) for k, v in self.limits.items() for x in (k, v[i])))[F.col("lang")], F.lit(spare[i]))
-        score = (F.col("bits") + PRIOR_CHARS * lookup(0)) / (F.col("chars") + PRIOR_CHARS)
-        return self.bits(rows).select(
-            *cols,
-            F.when(F.col("chars") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("chars"))).alias("perplexity"),
-            F.pow(F.lit(2.0), lookup(1)).alias("threshold"),
-            ((F.col("chars") > 0) & (score <= lookup(1))).alias("kept"),
-        )
+    def _limits(self, held: DataFrame, quantile: float, slack: float) -> DataFrame:
+        """``(__own, mean, most)``: mean and most bits per character, from held-out trusted documents."""
+        pooled = held.withColumn("lang", F.lit(ALL))
+        rows = held.filter(F.col("lang") != ALL).join(common.broadcast_if_few(self.languages.select("lang"), LANGUAGE_ROWS), "lang", "left_semi").unionByName(pooled)
+        rows = common.stored(scored(rows, self.model, self.languages, "lang", "text", self.order).select("__own", "__chars", "__bits"))
+        mean = rows.groupBy("__own").agg((F.sum("__bits") / F.sum("__chars")).alias("mean"))
+        steps = rows.join(common.broadcast_if_few(mean, LANGUAGE_ROWS), "__own").groupBy("__own", "mean", F.floor(_rate(F.col("mean")) * STEPS).alias("step")).agg(F.count("*").alias("n"))
+        own = W.partitionBy("__own")
+        upto = F.sum("n").over(own.orderBy("step")) / F.sum("n").over(own)
+        reached = steps.withColumn("upto", upto).filter(F.col("upto") >= quantile).groupBy("__own", "mean").agg(F.min("step").alias("step"))
+        return common.stored(reached.select("__own", "mean", ((F.col("step") + 1) / STEPS + F.log2(F.lit(slack))).alias("most")))
+
+    def judged(self, docs: DataFrame, lang_col: str = "lang", text_col: str = "text", out_col: str = "quality") -> DataFrame:
+        """``docs`` with ``out_col``: struct of perplexity, threshold, kept."""
+        docs = docs.select(*(c for c in docs.columns if c != out_col))
+        verdict = lambda perplexity, threshold, kept: F.struct(perplexity.alias("perplexity"), threshold.alias("threshold"), kept.alias("kept")).alias(out_col)
+        none = F.lit(None).cast("double")
+        if not self.fitted:
+            return docs.select("*", verdict(none, none, F.lit(True)))
+        rows = scored(docs, self.model, self.languages, lang_col, text_col, self.order)
+        rows = rows.join(common.broadcast_if_few(self.limits, LANGUAGE_ROWS), "__own", "left")
+        kept = (F.col("__chars") > 0) & (F.coalesce(_rate(F.col("mean")) <= F.col("most"), F.lit(True)))
+        perplexity = F.when(F.col("__chars") > 0, F.pow(F.lit(2.0), F.col("__bits") / F.col("__chars")))
+        return rows.select(*docs.columns, verdict(perplexity, F.pow(F.lit(2.0), F.col("most")), kept))
 
     def kept(self, docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
         """The rows of ``docs`` that are kept, with their columns."""
-        rows = docs.select(F.struct("*").alias("__doc"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-        return self.judged(rows).filter("kept").select("__doc.*")
+        return self.judged(docs, lang_col, text_col, "__quality").filter("__quality.kept").drop("__quality")
+
+
+def _rate(mean):
+    """Bits per character with some characters at the mean."""
+    return (F.col("__bits") + PRIOR_CHARS * mean) / (F.col("__chars") + PRIOR_CHARS)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, lang, perplexity, threshold, kept)``: a row for each row of ``docs``."""
     rows = Classifier(docs, labels).judged(docs.select("doc_id", "lang", "text"))
-    return rows.select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("threshold", 4).alias("threshold"), "kept")
+    return rows.select("doc_id", "lang", F.round("quality.perplexity", 4).alias("perplexity"), F.round("quality.threshold", 4).alias("threshold"), "quality.kept")

@@ -180,13 +180,12 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """``docs`` with ``out_col``: array of (kind, start, end)."""
-    common.small_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c != out_col]
     schema = docs.select(*cols).schema.add(out_col, SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in common.slices(batches):
             found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find(t or "")] for t in b.column(cols.index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*cols, out_col])
 
@@ -195,12 +194,11 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> D
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mark``; overlapping spans count as one."""
-    common.small_batches(docs.sparkSession)
     cols = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = cols.index(text_col)
-        for b in batches:
+        for b in common.slices(batches):
             out = []
             for t in b.column(at).to_pylist():
                 parts, done = [], 0

@@ -244,13 +244,12 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with ``out_col`` array<int>: the ids of the whole text, then the end id."""
-    common.small_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         known = Known(model.end_id)
-        for b in batches:
+        for b in common.slices(batches):
             ids = model.encode([t or "" for t in b.column(cols.index(text_col)).to_pylist()], known)
             yield pa.RecordBatch.from_arrays([*b.columns, lists(ids)], names=[*cols, out_col])
 
@@ -260,12 +259,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` with ``out_col`` string: the text of ``ids_col`` (null: empty)."""
-    common.small_batches(rows.sparkSession)
     cols = [c for c in rows.columns if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
-        for b in batches:
+        for b in common.slices(batches):
             ids = b.column(cols.index(ids_col))
             flat, off = np.asarray(ids.values if hasattr(ids, "values") else ids.flatten()), np.asarray(ids.offsets)
             texts = ["" if null else model.decode(flat[s:e]) for s, e, null in zip(off[:-1].tolist(), off[1:].tolist(), np.asarray(ids.is_null(), bool).tolist())]

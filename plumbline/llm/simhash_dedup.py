@@ -96,11 +96,10 @@ def set_key(hashes: np.ndarray) -> bytes:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, n_hashes: int = 1, keys: bool = False) -> DataFrame:
     """``(doc_id, fp0, fp1, ...)``: a row for each row of ``docs``; fingerprints as signed bigints.
     With ``keys`` also ``set_key``, the name of the set of shingles."""
-    common.small_batches(docs.sparkSession)
     names = [f"fp{k}" for k in range(n_hashes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             prints, sets = np.empty((n_hashes, b.num_rows), np.uint64), []
             for i, t in enumerate(b.column(1).to_pylist()):
                 for k in range(n_hashes):
@@ -118,10 +117,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
     """``(node, hashes)``: the distinct shingle hashes of each row of ``docs``."""
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             sets = [np.unique(shingle_hashes(t, shingle, seed)).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 

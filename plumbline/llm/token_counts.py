@@ -146,11 +146,10 @@ class Counter:
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)``: a row for each row of ``docs``."""
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer_path, chunk, overlap)
-        for b in batches:
+        for b in common.slices(batches):
             n = np.array(counter.count(b.column(2).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 import struct
@@ -85,32 +86,91 @@ def test_sentencepiece_any_text():
 
 
 # ------------------------------------------------------------------ 2
+def brute_kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney from its definition: probability of a character after others."""
+    S = kneser_ney.START
+    grams = {order: collections.Counter(x[i : i + order] for x in (S * (order - 1) + t for t in texts) for i in range(len(x) - order + 1))}
+    for o in range(order - 1, 0, -1):
+        grams[o] = collections.Counter(g[1:] for g in grams[o + 1])
+    cut = {}
+    for o, found in grams.items():
+        n = [sum(c == i for c in found.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] or n[2] else 0
+        cut[o] = [0] + [min(i, max(0, i - (i + 1) * y * n[i + 1] / n[i])) if all(n[1:]) else i / 2 for i in (1, 2, 3)]
+    followers = collections.defaultdict(list)
+    for o, found in grams.items():
+        for g, c in found.items():
+            followers[o, g[:-1]].append(c)
+
+    def probability(gram):
+        o = len(gram)
+        if not o:
+            return 1 / (len(grams[1]) + 1)
+        after = followers.get((o, gram[:-1]), [])
+        if not after:
+            return probability(gram[1:])
+        c = grams[o].get(gram, 0)
+        weight = sum(cut[o][min(x, 3)] for x in after) / sum(after)
+        return max(0, c - cut[o][min(c, 3)]) / sum(after) + weight * probability(gram[1:])
+
+    return probability
+
+
+def brute_bits(probability, text, order):
+    x = kneser_ney.START * (order - 1) + text
+    return -sum(math.log2(probability(x[i : i + order])) for i in range(len(text)))
+
+
+@pytest.mark.parametrize("order", [2, 5])
+def test_kneser_ney_against_its_definition(spark, order, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "CHARS_AT_ONCE", 37)  # texts are cut and rejoined
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 300)  # many blocks
+    monkeypatch.setattr(kneser_ney, "PACK_BYTES", 100)
+    rnd = random.Random(order)
+    texts = ["".join(rnd.choice("aab bcé中\U0001f600d") for _ in range(rnd.randrange(1, 90))) for _ in range(40)]
+    others = ["", "zzz", "abc\x00中x", "a" * 200, *texts[:3]]
+    top = kneser_ney.counts(spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(3), order)
+    fitted = kneser_ney.model(top, order)
+    probability = brute_kneser_ney(texts, order)
+    for context in ["", texts[0][: order - 1], kneser_ney.START * (order - 1)]:  # a distribution over the characters and one unknown
+        assert abs(sum(probability(context + c) for c in {*"".join(texts), "\x01"}) - 1) < 1e-9
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(others)] + [(99, None, "en")], "id int, text string, lang string")
+    got = {r.id: (r["__chars"], r["__bits"]) for r in kneser_ney.scored(docs, fitted, spark.createDataFrame([("en", "en")], "lang string, own string"), "lang", "text", order).collect()}
+    assert got.pop(99) == (0, 0.0) and got.keys() == set(range(len(others)))
+    for i, t in enumerate(others):
+        assert got[i][0] == len(t) and abs(got[i][1] - brute_bits(probability, t, order)) < 1e-9 * max(1, len(t))
+
+
 def test_kneser_ney(spark, docs, empty):
-    trusted = spark.createDataFrame([(i, "the river and the green stone house of light " * 3 + str(i), "en", "s", 0) for i in range(100, 160)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    junk = spark.createDataFrame([(900, "$$$ ### !!! %%% " * 20, "en", "s", 0), (901, None, None, "s", 0), (902, "the green river", "xx", "s", 0)], trusted.schema)
+    trusted = spark.createDataFrame([(i, "the river and the green stone house of light " * 3 + str(i), "en", "s", 0, "x", "y") for i in range(100, 160)], "doc_id bigint, text string, lang string, source string, n_chars bigint, quality string, own string")
+    junk = spark.createDataFrame([(900, "$$$ ### !!! %%% " * 20, "en", "s", 0, "x", "y"), (901, None, None, "s", 0, "x", "y"), (902, "the river and the green stone house of light ", "xx", "s", 0, "x", "y")], trusted.schema)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(100, 160)] + [(900, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     every = trusted.unionByName(junk)
     fit = kneser_ney.Classifier(every, labels)
-    got = {r.doc_id: r for r in fit.judged(every).collect()}
-    assert not got[900].kept and not got[901].kept and got[901].perplexity is None and got[902].kept
+    got = {r.doc_id: r.quality for r in fit.judged(every).collect()}
+    assert len(got) == 63 and not got[900].kept and not got[901].kept and got[901].perplexity is None and got[902].kept
     assert sum(got[i].kept for i in range(100, 160)) >= 57
-    rows = every.select("doc_id", "lang", common.text_or_empty().alias("text"))
-    a, b = ({r.doc_id: (r.chars, round(r.bits, 2)) for r in f.collect()} for f in (fit.bits(rows), kneser_ney.bits_by_join(rows, fit.letters, fit.probs, fit.weights)))
-    assert a == b
-    p = 2.0 ** -kneser_ney.Tables(*fit.tables.value).bits("en").astype(float).reshape(-1, kneser_ney.SIZE)
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
-    assert fit.kept(every).columns == every.columns
-    assert kneser_ney.Classifier(docs, labels.limit(0)).judged(docs).filter("not kept").count() == 0
+    assert fit.kept(every).columns == every.columns and {r.quality for r in fit.kept(every).select("quality").collect()} == {"x"}
+    assert kneser_ney.Classifier(docs, labels.limit(0)).judged(docs).filter("not quality.kept").count() == 0
     assert kneser_ney.Classifier(empty, labels).kept(empty).count() == 0
-
-
-def test_kneser_ney_counts(spark):
-    df = spark.createDataFrame([("en", "abab", False), ("en", "abc", False)] * 15, "lang string, text string, held boolean")
-    letters = kneser_ney.alphabets(df)
-    table = kneser_ney.Alphabets(letters).table["en"]
-    want = collections.Counter(k for t in ("abab", "abc") for k in kneser_ney.keys(t, table).tolist())
-    got = {r.key: r.c for r in kneser_ney.counts(df, letters).filter("lang = 'en'").collect()}
-    assert got == {k: 15 * n for k, n in want.items()}
+    hard = kneser_ney.Classifier(docs.unionByName(every, allowMissingColumns=True), labels).judged(docs)
+    assert hard.count() == docs.count()
+
+
+def test_kneser_ney_has_a_model_for_each_of_many_languages(spark):
+    rnd, rows = random.Random(1), []
+    for k in range(80):
+        letters = [chr(0x4E00 + 400 * k + j) for j in range(300)] if k % 2 else [chr(97 + (k + j) % 26) for j in range(7)]
+        words = ["".join(rnd.choice(letters) for _ in range(3)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(rnd.choice(words) for _ in range(40)), f"l{k}", 1) for i in range(24)]
+        rows.append((100 * k + 99, "".join(rnd.choice(letters) for _ in range(160)), f"l{k}", 0))  # the same characters at random
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, quality int").repartition(4)
+    fit = kneser_ney.Classifier(df, df.select("doc_id", "quality", F.lit(0).alias("toxic")))
+    held = set(r.lang for r in fit.languages.collect())
+    got = fit.judged(df.drop("quality")).collect()
+    assert len(held) > 60  # those with a held-out document
+    assert {r.lang for r in got if not r.quality.kept and r.doc_id % 100 == 99} >= held
+    assert sum(not r.quality.kept for r in got if r.doc_id % 100 != 99 and r.lang in held) < 0.1 * len(got)
 
 
 # ------------------------------------------------------------------ 3
