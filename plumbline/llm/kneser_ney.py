@@ -158,8 +158,11 @@ def model(top: DataFrame, order: int = ORDER) -> DataFrame:
     few = seen.groupBy("lang", "ord").agg(*(F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     usual = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
-    amount = lambda i: F.when(usual, F.greatest(F.lit(0.0), F.least(F.lit(float(i)), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(F.lit(i / 2)).alias(f"d{i}")
-    few = common.broadcast_if_few(common.stored(few.select("lang", "ord", amount(1), amount(2), amount(3))))
+    # a discount that is not above zero would leave unseen n-grams nothing
+    formula = lambda i: i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+    amount = lambda i: F.when(usual, F.when(formula(i) > 0, formula(i))).alias(f"d{i}")
+    few = few.select("lang", "ord", amount(1), amount(2), amount(3)).fillna({f"d{i}": i / 2 for i in (1, 2, 3)})
+    few = common.broadcast_if_few(common.stored(few))
     contexts = seen.groupBy("lang", "ord", "context").agg(F.sum("c").alias("total"), *(F.count_if(F.col("c") == i if i < 3 else F.col("c") >= 3).alias(f"m{i}") for i in (1, 2, 3)))
     contexts = contexts.join(few, ["lang", "ord"])
     minus = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))

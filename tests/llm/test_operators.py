@@ -96,7 +96,7 @@ def brute_kneser_ney(texts, order):
     for o, found in grams.items():
         n = [sum(c == i for c in found.values()) for i in range(5)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] or n[2] else 0
-        cut[o] = [0] + [min(i, max(0, i - (i + 1) * y * n[i + 1] / n[i])) if all(n[1:]) else i / 2 for i in (1, 2, 3)]
+        cut[o] = [0] + [d if all(n[1:]) and (d := i - (i + 1) * y * n[i + 1] / n[i]) > 0 else i / 2 for i in (1, 2, 3)]
     followers = collections.defaultdict(list)
     for o, found in grams.items():
         for g, c in found.items():
