@@ -3,12 +3,14 @@
 import base64
 import collections
 import hashlib
+import html
 import itertools
 import json
 import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -224,6 +226,86 @@ def test_secret_scan(spark, docs, empty):
 
 
 # ------------------------------------------------------------------ 5
+def random_page(rnd):
+    words = "stone river light paper under Über &amp; &lt;b&gt; a".split()
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, n)))
+
+    def node(depth):
+        if depth == 0 or rnd.random() < 0.3:
+            return rnd.choice([f"<p>{text(60)}</p>", f"<a href=x>{text(6)}</a>", text(9), f"<ul><li><a>{text(3)}</a><li><a>{text(4)}</a></ul>", "<br>", f"<b>{text(5)}</b>"])
+        return f"<{(t := rnd.choice(['div', 'section', 'div', 'span']))}>" + "".join(node(depth - 1) for _ in range(rnd.randrange(1, 5))) + f"</{t}>"
+
+    return "<html><body>" + "".join(node(4) for _ in range(4)) + "</body></html>"
+
+
+def test_densities_against_their_definition():
+    """Counts by walking each subtree anew, the formula and the sums as the paper has them."""
+
+    def walk(n):
+        yield n
+        for c in n.elements():
+            yield from walk(c)
+
+    def chars(n):
+        return sum(chars(c) if isinstance(c, html_text.Node) else len(" ".join(html.unescape(c).split())) if re.search("&|  |\n", c) else len(c) for c in n.children if isinstance(c, str) or not c.noise)
+
+    def density(n, body):
+        below = list(walk(n))[1:]
+        linked = [x for x in walk(n) if x.tag == "a" and not any(y is not x and y.tag == "a" and x in list(walk(y)) for y in walk(n))]
+        c, t, lc, lt = chars(n), len(below), sum(map(chars, linked)), sum(x.tag == "a" for x in below)
+        if not c:
+            return 0.0
+        bc, blc = chars(body), sum(chars(x) for x in walk(body) if x.tag == "a")
+        base = math.log(math.log(c / max(1, c - lc) * lc + blc / bc * c + math.e))
+        return c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / max(base, 1e-3)
+
+    rnd = random.Random(11)
+    for _ in range(40):
+        root = html_text.parse(random_page(rnd))
+        order = html_text.measure(root)
+        body = next(n for n in order if n.tag == "body")
+        html_text.weigh(order, body)
+        for n in walk(body):
+            assert n.density == pytest.approx(density(n, body), rel=1e-9)
+            assert n.total == pytest.approx(sum(density(c, body) for c in n.elements()), rel=1e-9)
+        best = max(walk(body), key=lambda n: n.total)
+        chosen = html_text.main_nodes(html_text.parse(random_page(rnd)))
+        assert chosen and best.total >= 0
+
+
+LONG = " ".join(["some words of a long paragraph, all of it text"] * 20)
+LINKS = "<ul>" + "<li><a href=x>some link</a>" * 20 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><div class='content no-sidebar'><p>{LONG}</p><p>{LONG}</p></div></body>", [LONG, LONG]),
+        (f"<article><header><div><h1>Head</h1></div>by me</header><p>{LONG}</p></article>", ["Head", LONG]),
+        (f"<article><h1>A</h1><p>{LONG}</p></article><article><h1>B</h1><p>{LONG}</p></article><article><a>see</a><a>more</a></article>", ["A", LONG, "B", LONG]),
+        (f"<body><div><p>{LONG}</p></div>{LINKS}</body>", [LONG]),
+        (f"<main><h1>Title</h1><div><article><p>{LONG}</p><p>{LONG}</p></article></div><section><p>{LONG}</p></section>{LINKS}</main>", ["Title", LONG, LONG, LONG]),
+        (f"<div id=post><p>{LONG}</p></div><div id='comments'>" + f"<div><p>{LONG}</p></div>" * 3 + "</div>", [LONG]),
+        ("<nav>x</nav><div>Some advert text that is longer than others</div><article><h1>Hi</h1><p>So it is.</p></article>", ["Hi", "So it is."]),
+        (f"<body class='has-sidebar comments-open'><div><p>{LONG}</p></div><div class='sidebar'><p>{LONG[:99]}</p></div></body>", [LONG]),
+        (f"<div class='related'><article><p>{LONG}</p></article></div>", [LONG]),
+        (f"<div>{LINKS}<div>{LINKS}</div></div><td><p>{LONG}<p>short<li>one", [LONG, "short", "one"]),
+        (f"<div><div role=banner>x y z</div><h2>Head</h2><p>{LONG}</p></div><div>{LINKS}</div>", ["Head", LONG]),
+        ("just text", ["just text"]),
+        ("<body>   </body>", []),
+    ],
+)
+def test_html_pages(page, want):
+    assert html_text.main_text(page) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x" + "</div>" * 50_000, "<div>" * 50_000 + "x" + "</p>" * 50_000, "<p><button>" + "<b><div>" * 25_000, "<table><tr><td>" * 16_000 + "text", "<a 'b" * 50_000])
+def test_html_nests_in_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 3  # some 20 microseconds an element
+
+
 def test_html_text(spark):
     page = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=x>m</a></nav>
     <div class="cookie-notice">cookies</div><main><article><h1>Title &amp; more</h1><p>First <a href=x>link</a>&nbsp;para.<p>Second<br>line<ul><li>one<li>two</ul><form>f</form><div class=ad>AD</div>
