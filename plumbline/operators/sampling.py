@@ -9,6 +9,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from ..sources import store_table
+
+
+def placed(rows: DataFrame, order: Sequence[str], place: str, by: Sequence[str] = (), size: str | None = None) -> DataFrame:
+    """``rows`` with their ``place`` (from 1) in ``order`` inside each key, and the key's ``size``.
+
+    Rows are dealt to ranges of (key, order), numbered there, and moved on by the counts of the
+    ranges before, so neither a hot key nor the whole relation is sorted by one task.
+    """
+    dealt = store_table(rows.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    own = W.partitionBy(*by)  # a row per key and range that it lies in
+    before = counts.select(*by, "__part", (F.sum("__n").over(own.orderBy("__part")) - F.col("__n")).alias("__before"), F.sum("__n").over(own).alias("__size"))
+    inside = F.row_number().over(W.partitionBy("__part", *by).orderBy(*order))
+    out = dealt.withColumn("__own", inside).join(before, ["__part", *by])
+    return out.select(*rows.columns, (F.col("__before") + F.col("__own")).alias(place), *([F.col("__size").alias(size)] if size else []))
 
 
 def keep_first(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -35,15 +51,15 @@ def until_gap(rows: DataFrame, by: str, position: str) -> DataFrame:
 
 def even_sample(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """n rows of each key, evenly by position: places floor(i * size / n)."""
-    size, place = F.count("*").over(W.partitionBy(*by)), F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1
     wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("__size") / n))
-    return rows.withColumns({"__size": size, "place": place}).filter((F.col("__size") <= n) | F.array_contains(wanted, F.col("place").cast("bigint"))).drop("__size")
+    ranked = placed(rows, order, "place", by, "__size").withColumn("place", (F.col("place") - 1).cast("int"))
+    return ranked.filter((F.col("__size") <= n) | F.array_contains(wanted, F.col("place").cast("bigint"))).drop("__size")
 
 
 def spread_sample(rows: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """k rows of each key spread over its whole extent, both ends included."""
-    size, place = F.count("*").over(W.partitionBy(*by)), F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1
-    return rows.withColumns({"__size": size, "place": place}).filter(F.array_contains(fn.spread_positions(F.col("__size"), k), F.col("place").cast("bigint"))).drop("__size")
+    ranked = placed(rows, order, "place", by, "__size").withColumn("place", (F.col("place") - 1).cast("int"))
+    return ranked.filter(F.array_contains(fn.spread_positions(F.col("__size"), k), F.col("place").cast("bigint"))).drop("__size")
 
 
 def hashed_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 
+PERCENTILES = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
+
 
 def support(voxels: DataFrame, plane: str, predicted: Column, supported: Column) -> DataFrame:
     """Positives and phantoms by plane and in total (null plane); fractions null without positives."""
@@ -20,17 +22,15 @@ def depth_statistics(rows: DataFrame, depth: str, value: str) -> DataFrame:
     finite = fn.is_finite(value)
     x = F.when(finite, F.col(value))
     mean, square = F.avg(x), F.avg(x * x)
-    part = lambda p: F.round(F.percentile(x, p), 6)
-    return rows.groupBy(depth).agg(
+    stats = rows.groupBy(depth).agg(
         F.count("*").alias("n"),
         F.round(F.count_if(finite) / F.count("*"), 6).alias("finite_fraction"),
         F.round(F.count_if(finite & (F.col(value) != 0)) / F.count("*"), 6).alias("nonzero_fraction"),
         F.round(mean, 6).alias("mean"),
         F.round(F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)), 6).alias("std"),
-        part(0.01).alias("p01"),
-        part(0.5).alias("p50"),
-        part(0.99).alias("p99"),
+        F.percentile(x, F.array(*(F.lit(p) for p in PERCENTILES.values()))).alias("__p"),
     )
+    return stats.withColumns({name: F.round(F.get("__p", F.lit(i)), 6) for i, name in enumerate(PERCENTILES)}).drop("__p")
 
 
 def gradient(rows: DataFrame, depth: str, line: str, position: str, value: str) -> DataFrame:

@@ -34,20 +34,20 @@ lv as (
     case when sk % 19 = 0 then 'ABSENT' when sk % 23 = 0 then 'UNKNOWN' else 'PRESENT' end chunk_state,
     case when l_orderkey % 2 = 0 then 3 else 2 end zarr_format,
     case when pk % 41 <> 0 then ['z', 'y', 'x'] end dimension_names,
-    case when pk % 43 = 0 then 0 when pk % 47 = 0 then 2 else 1 end n_scale,
-    case when pk % 61 = 0 then 2 else 3 end scale_len,
-    case when pk % 59 = 0 then 2 end translation_len
+    case when l_orderkey % 14 = 7 then [] else list_concat(
+      list_transform(range(case when pk % 43 = 0 then 0 when pk % 47 = 0 then 2 else 1 end), lambda i: {'kind': 'scale', 'len': case when pk % 61 = 0 then 2 when pk % 67 = 0 then null else 3 end}),
+      case when pk % 59 = 0 then [{'kind': 'translation', 'len': 2}] else [] end) end transforms
   from ls)"""
 )
 
 PYRAMIDS = """
 py as (
   select 'root/' || k root, case when k % 40 = 0 then 'UNKNOWN' when k % 40 in (5, 6) then 'ABSENT' else 'PRESENT' end state,
-    case k % 40 when 0 then 'SERVER_ERROR' when 1 then 'METADATA_UNREADABLE' end reason,
+    case when k % 40 = 0 then 'SERVER_ERROR' when k % 40 = 1 then 'METADATA_UNREADABLE' when k % 80 = 7 then 'AUDIT_ERROR' end reason,
     k % 40 >= 10 has_multiscales, k % 40 >= 8 is_group, k % 40 >= 9 multiscales_key,
     case k % 40 when 2 then 'array' when 3 then 'headerless_chunks' when 4 then 'container' when 5 then 'absent' when 6 then 'empty' else 'unknown' end node_kind,
     case k % 7 when 1 then '0.4' when 2 then '0.5' when 3 then '0.6' when 4 then '0.10' when 5 then 'junk' when 6 then '0.3' end version,
-    k % 7 in (0, 1, 2, 6) modelled, k % 7 <> 0 declared, k % 7 in (0, 1, 2) transforms, k % 7 = 2 v5,
+    k % 7 in (0, 1, 2, 6) modelled, k % 7 <> 0 declared, k % 7 in (1, 2) or k % 14 = 0 transforms, k % 7 = 2 v5,
     case k % 11 when 0 then ['y', 'x'] when 1 then ['z', 'y', 'y'] when 2 then ['z'] else ['z', 'y', 'x'] end axes,
     k % 11 r11, k % 13 r13, k % 5 = 0 has_unit, k % 9 = 0 marked, k % 21 = 0 beyond, k
   from (select o_orderkey k from orders))"""
@@ -87,14 +87,15 @@ rt as (
       true spatial, base_scale[1] <> 1.0 scaled
     from dr join py using (root) where py.has_multiscales)),
 cf as (
-  select own.*, py.axes, py.declared, py.transforms, py.v5, case when len(py.axes) > 0 then len(py.axes) else coalesce(len(own.shape), 0) end ndim
+  select own.* exclude (transforms), own.transforms ts, py.axes, py.declared, py.transforms, py.v5, case when len(py.axes) > 0 then len(py.axes) else coalesce(len(own.shape), 0) end ndim
   from own join py using (root) where py.modelled and root in (select root from pr)),
 f as (
   select root, '' as level, 'ACCESS_UNKNOWN' code, 'UNKNOWN' evidence_state from py where not has_multiscales and state = 'UNKNOWN'
   union all select root, '', 'METADATA_UNREADABLE', 'PRESENT' from py where not has_multiscales and state <> 'UNKNOWN' and reason = 'METADATA_UNREADABLE'
   union all select root, '', case node_kind when 'array' then 'BARE_ARRAY' when 'headerless_chunks' then 'HEADERLESS_CHUNK_STORE' when 'container' then 'CONTAINER_NO_GROUP_HEADER'
       when 'absent' then 'ROOT_ABSENT' when 'empty' then 'EMPTY_ZARR_DIR' else 'NOT_A_ZARR_GROUP' end, state
-    from py where not has_multiscales and not is_group and k % 40 not in (0, 1)
+    from py where not has_multiscales and not is_group and k % 40 not in (0, 1) and k % 80 <> 7
+  union all select root, '', 'AUDIT_ERROR', 'PRESENT' from py where reason = 'AUDIT_ERROR'
   union all select root, '', case when multiscales_key then 'MULTISCALE_EMPTY' else 'NOT_MULTISCALE' end, 'PRESENT' from py where not has_multiscales and is_group
   union all select root, path, case when state = 'UNKNOWN' then 'ACCESS_UNKNOWN' when reason = 'METADATA_UNREADABLE' then 'METADATA_UNREADABLE' else 'LEVEL_MISSING' end, state
     from own where not present
@@ -121,12 +122,13 @@ f as (
   union all select root, '', 'AXES_INVALID', 'PRESENT' from rt where modelled and (
       r11 in (1, 2) or (r13 <> 0 and case when r13 = 1 then true else len(axes) not in (2, 3) end))
   union all select root, path, 'DIMENSION_NAMES_MISMATCH', 'PRESENT' from cf where v5 and present and zarr_format = 3 and dimension_names is distinct from axes
-  union all select root, path, 'TRANSFORM_SCALE_COUNT', 'PRESENT' from cf where transforms and n_scale <> 1
-  union all select root, path, 'TRANSFORM_ARITY', 'PRESENT' from cf where transforms and n_scale > 0 and ndim > 0 and scale_len <> ndim and not coalesce(len(axes) <> len(shape) and scale_len = len(shape), false)
-  union all select root, path, 'TRANSFORM_ARITY', 'PRESENT' from cf where transforms and ndim > 0 and translation_len <> ndim and not coalesce(len(axes) <> len(shape) and translation_len = len(shape), false)),
+  union all select root, path, 'TRANSFORM_SCALE_COUNT', 'PRESENT' from cf where transforms and len(list_filter(ts, lambda t: t.kind = 'scale')) <> 1
+  -- each transform whose payload is no list or has another length than the axes, unless it agrees with the array and the axes don't
+  union all select root, path, 'TRANSFORM_ARITY', 'PRESENT' from (select *, unnest(ts).len n from cf where transforms and ndim > 0)
+    where n is null or (n <> ndim and not coalesce(len(axes) <> len(shape) and n = len(shape), false))),
 fi as (
   select root, level, code, case
-      when code in ('MULTISCALE_EMPTY', 'LEVEL_MISSING', 'LEVEL_NO_CHUNKS', 'SEPARATOR_DRIFT', 'DTYPE_DRIFT', 'SCALE_SHAPE_MISMATCH', 'DEGENERATE_LEVEL', 'NDIM_DRIFT', 'HEADERLESS_CHUNK_STORE', 'METADATA_UNREADABLE', 'PHYSICAL_SCALE_CONTRADICTION') then 'high'
+      when code in ('MULTISCALE_EMPTY', 'LEVEL_MISSING', 'LEVEL_NO_CHUNKS', 'SEPARATOR_DRIFT', 'DTYPE_DRIFT', 'SCALE_SHAPE_MISMATCH', 'DEGENERATE_LEVEL', 'NDIM_DRIFT', 'HEADERLESS_CHUNK_STORE', 'METADATA_UNREADABLE', 'PHYSICAL_SCALE_CONTRADICTION', 'AUDIT_ERROR') then 'high'
       when code in ('LEVEL_UNDECLARED', 'SCALE_NONMONOTONIC', 'FILL_DRIFT', 'MIXED_ROUNDING') then 'medium'
       when code in ('NOT_A_ZARR_GROUP', 'NOT_MULTISCALE', 'BARE_ARRAY', 'CHUNK_EXCEEDS_SHAPE', 'ACCESS_UNKNOWN', 'PHYSICAL_SCALE_UNKNOWN', 'OME_VERSION_UNMODELLED') then 'info'
       else 'low' end severity, evidence_state

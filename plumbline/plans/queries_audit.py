@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import schema
-from ..operators import rollup
+from ..operators import rollup, sampling
 from ..sources import store_table
 from . import rules, tables
 from .catalogue import Catalogue
@@ -20,7 +20,7 @@ WITH_LEVELS = "with " + LEVELS + " "
 RULES = (
     "ACCESS_UNKNOWN METADATA_UNREADABLE BARE_ARRAY HEADERLESS_CHUNK_STORE CONTAINER_NO_GROUP_HEADER ROOT_ABSENT EMPTY_ZARR_DIR NOT_A_ZARR_GROUP NOT_MULTISCALE MULTISCALE_EMPTY "
     "LEVEL_MISSING DEGENERATE_LEVEL LEVEL_NO_CHUNKS LEVEL_UNDECLARED NDIM_DRIFT AXES_MISMATCH PHYSICAL_SCALE_CONTRADICTION PHYSICAL_SCALE_UNKNOWN OME_VERSION_UNMODELLED AXES_INVALID "
-    "DIMENSION_NAMES_MISMATCH TRANSFORM_SCALE_COUNT TRANSFORM_ARITY DTYPE_DRIFT FILL_DRIFT COMPRESSOR_DRIFT SEPARATOR_DRIFT SCALE_NONMONOTONIC SCALE_SHAPE_MISMATCH MIXED_ROUNDING CHUNK_EXCEEDS_SHAPE"
+    "DIMENSION_NAMES_MISMATCH TRANSFORM_SCALE_COUNT TRANSFORM_ARITY DTYPE_DRIFT FILL_DRIFT COMPRESSOR_DRIFT SEPARATOR_DRIFT SCALE_NONMONOTONIC SCALE_SHAPE_MISMATCH MIXED_ROUNDING CHUNK_EXCEEDS_SHAPE AUDIT_ERROR"
 ).split()
 
 
@@ -29,9 +29,7 @@ def relations(spark, sf_dir):
 
 
 def findings(spark, sf_dir):
-    """All rules read the level relation, so it is stored once before they do."""
-    pyramids, levels = relations(spark, sf_dir)
-    return rules.audit(pyramids, store_table(levels))
+    return rules.audit(*relations(spark, sf_dir))
 
 
 def rolled(spark, sf_dir):
@@ -92,13 +90,11 @@ def gate_totals(spark, sf_dir):
     return gate(spark, sf_dir).agg(F.count_if(~F.col("fail")).alias("n_pass"), F.count_if("fail").alias("n_fail"))
 
 
-@query("l01_gate_order", AUDIT + f"select root, fail, row_number() over (order by fail desc, root) place from (select root, {GATE} <> 'pass' fail from verdicts) where fail order by place limit 100")
+@query("l01_gate_order", AUDIT + f"select root, fail, row_number() over (order by fail desc, root) place from (select root, {GATE} <> 'pass' fail from verdicts)")
 def gate_order(spark, sf_dir):
-    """The first hundred of the gate's report: failing roots first."""
-    top = gate(spark, sf_dir).filter("fail").orderBy(F.desc("fail"), "root").limit(100)
-    from pyspark.sql import Window
-
-    return top.select("root", "fail", F.row_number().over(Window.orderBy(F.desc("fail"), "root")).cast("bigint").alias("place"))
+    """The gate's report: all roots, failing ones first, then by root."""
+    rows = gate(spark, sf_dir).select("root", "fail", (~F.col("fail")).alias("passes"))
+    return sampling.placed(rows, ["passes", "root"], "place").select("root", "fail", "place")
 
 
 @query("l03_counter_order", AUDIT + "select code, count(*) n from findings group by 1")
@@ -137,7 +133,8 @@ def queue(spark, sf_dir):
     from verdicts v left join (select root, count(*) declared, count(*) filter (present) present from lv group by 1) c using (root)
     left join (select root, string_agg(level || ':' || code || ':' || evidence_state, ';' order by level, code, severity, evidence_state) listed from findings group by 1) x using (root)""")
 def reports(spark, sf_dir):
-    docs = rollup.reports(rolled(spark, sf_dir), findings(spark, sf_dir), tables.levels(spark, sf_dir))
+    found = store_table(findings(spark, sf_dir))
+    docs = rollup.reports(rules.integrity(tables.pyramids(spark, sf_dir), found), found, tables.levels(spark, sf_dir))
     listed = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f.level, f.code, f.evidence_state)), ";")
     return docs.select("root", "integrity", "max_severity", "verdict", "coverage.declared", "coverage.present", listed.alias("listed"))
 

@@ -53,21 +53,20 @@ def v3_headers(spark, sf_dir):
     return parsed(spark, sf_dir, 3)
 
 
-query("r32_audit_error", WITH_LEVELS + "select root, path, 'AUDIT_ERROR' code from lv where present and (length(path) + length(root)) % 10 = 9")(
-    lambda spark, sf_dir: parsed(spark, sf_dir, 2).unionByName(parsed(spark, sf_dir, 3)).filter("code is not null").select("root", "path", "code")
-)
+N_SCALE = "case when declared_scale is null then 0 else len(list_filter(transforms, lambda t: t.kind = 'scale')) end"
+DATASETS = WITH_LEVELS + f"select root, idx, path, case when n_scale > 0 then declared_scale[1] end scale, cast(n_scale as bigint) n_scale from (select *, {N_SCALE} n_scale from lv)"
 
 
-@query("p01_datasets", WITH_LEVELS + "select root, idx, path, declared_scale[1] scale, n_scale from lv where declared_scale is not null")
+@query("p01_datasets", DATASETS)
 def datasets(spark, sf_dir):
     """Datasets of multiscales documents, written from the levels and read back."""
     scale = F.format_string("[%s]", F.array_join(F.col("declared_scale").cast("array<string>"), ","))
     one = F.concat(F.lit('{"type":"scale","scale":'), scale, F.lit("}"))
-    transforms = F.array_join(F.array_repeat(one, F.col("n_scale")), ",")
+    n_scale = F.when(F.col("declared_scale").isNull(), 0).otherwise(F.size(F.filter("transforms", lambda t: t.kind == "scale")))
+    transforms = F.array_join(F.array_repeat(one, n_scale), ",")
     dataset = F.concat(F.lit('{"path":"'), F.col("path"), F.lit('","coordinateTransformations":['), transforms, F.lit("]}"))
-    rows = tables.levels(spark, sf_dir).filter("declared_scale is not null")
-    # one document per root and kind of layout
-    docs = rows.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("idx", dataset.alias("d")))).alias("ds"), F.max(F.struct("idx")).alias("x"))
+    # one document per root, in one of the two layouts
+    docs = tables.levels(spark, sf_dir).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("idx", dataset.alias("d")))).alias("ds"))
     body = F.concat(F.lit('{"datasets":['), F.array_join(F.transform("ds", lambda s: s.d), ","), F.lit("]}"))
     old = F.length("root") % 2 == 0
     raw = F.when(old, F.concat(F.lit('{"multiscales":['), body, F.lit("]}"))).otherwise(F.concat(F.lit('{"ome":{"version":"0.5","multiscales":['), body, F.lit("]}}")))
@@ -75,8 +74,7 @@ def datasets(spark, sf_dir):
     return found.select("root", F.col("path").cast("bigint").alias("idx"), "path", F.when(F.col("n_scale") > 0, F.get("declared_scale", F.lit(0))).alias("scale"), F.col("n_scale").cast("bigint").alias("n_scale"))
 
 
-catalogue.sql["p01_datasets"] = WITH_LEVELS + "select root, idx, path, case when n_scale > 0 then declared_scale[1] end scale, n_scale from lv where declared_scale is not null"
-query("p02_declared_scale", WITH_LEVELS + "select case when n_scale > 0 then declared_scale[1] end scale, count(*) n from lv where declared_scale is not null group by 1")(lambda spark, sf_dir: datasets(spark, sf_dir).groupBy("scale").agg(F.count("*").alias("n")))
+query("p02_declared_scale", f"select scale, count(*) n from ({DATASETS}) group by 1")(lambda spark, sf_dir: datasets(spark, sf_dir).groupBy("scale").agg(F.count("*").alias("n")))
 
 
 @query("p17_sharding", "select p_partkey, p_partkey % 3 = 0 sharded from part")

@@ -1,14 +1,12 @@
 """The pyramid rules: level and root relations in, findings out.
 
-A finding is (root, level, code, severity, evidence_state, actionable). Levels are shuffled by
-root once; windows, aggregates and joins on root reuse that partitioning. Every rule adds to an
-array of findings per row, so a relation is read once for all its rules.
+A finding is (root, level, code, severity, evidence_state, actionable). Root documents and levels
+meet once on root; windows over a root's levels and the one aggregate by root reuse that
+partitioning. Every rule adds to an array of findings of its row, so no relation is read twice.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,114 +14,119 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import schema
 
+#: What a rule gives: its code, the test, the level, the evidence state.
+Rule = tuple[str, Column, Column, Column]
+
 
-def hit(test: Column, code: str, level: Column | None = None, state: Column | None = None) -> Column:
-    """A finding where ``test`` holds, else null."""
-    none = F.lit("")
-    return F.when(test, F.struct((none if level is None else level).alias("level"), F.lit(code).alias("code"), (F.lit(schema.PRESENT) if state is None else state).alias("evidence_state")))
+def rule(code: str, test: Column, level: Column | None = None, state: Column | None = None) -> Rule:
+    return code, test, F.lit("") if level is None else level, F.lit(schema.PRESENT) if state is None else state
 
 
-def exploded(rows: DataFrame, hits: list[Column]) -> DataFrame:
-    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    return rows.select("root", F.explode(found).alias("f")).select("root", "f.level", "f.code", "f.evidence_state")
+def hits(found: list[Rule], only: str | None) -> Column:
+    """array<struct<level, code, evidence_state>>: the rules whose test holds."""
+    wanted = [r for r in found if only is None or r[0] == only]
+    each = [F.when(test, F.struct(level.alias("level"), F.lit(code).alias("code"), state.alias("evidence_state"))) for code, test, level, state in wanted]
+    return F.array_compact(F.array(*each)) if each else F.array().cast("array<struct<level:string,code:string,evidence_state:string>>")
 
 
-def root_findings(pyramids: DataFrame) -> DataFrame:
+def root_rules() -> list[Rule]:
     """What the root documents alone show."""
-    group = F.col("is_group")
-    open_ = ~F.col("has_multiscales") & (F.col("state") != schema.UNKNOWN) & ~F.equal_null("reason", F.lit("METADATA_UNREADABLE"))
+    open_ = ~F.col("has_multiscales") & (F.col("state") != schema.UNKNOWN)
+    broken, failed = F.equal_null("reason", F.lit("METADATA_UNREADABLE")), F.equal_null("reason", F.lit("AUDIT_ERROR"))
+    plain, group = open_ & ~broken & ~failed, F.col("is_group")
     kinds = {"array": "BARE_ARRAY", "headerless_chunks": "HEADERLESS_CHUNK_STORE", "container": "CONTAINER_NO_GROUP_HEADER", "absent": "ROOT_ABSENT", "empty": "EMPTY_ZARR_DIR"}
-    hits = [
-        hit(~F.col("has_multiscales") & (F.col("state") == schema.UNKNOWN), "ACCESS_UNKNOWN", state=F.lit(schema.UNKNOWN)),
-        hit(~F.col("has_multiscales") & (F.col("state") != schema.UNKNOWN) & F.equal_null("reason", F.lit("METADATA_UNREADABLE")), "METADATA_UNREADABLE"),
-        *(hit(open_ & ~group & (F.col("node_kind") == kind), code, state=F.col("state") if code in schema.NOTHING_TO_AUDIT else None) for kind, code in kinds.items()),
-        hit(open_ & ~group & ~F.col("node_kind").isin(*kinds), "NOT_A_ZARR_GROUP"),
-        hit(open_ & group & ~F.col("multiscales_key"), "NOT_MULTISCALE"),
-        hit(open_ & group & F.col("multiscales_key"), "MULTISCALE_EMPTY"),
+    return [
+        rule("ACCESS_UNKNOWN", ~F.col("has_multiscales") & (F.col("state") == schema.UNKNOWN), state=F.lit(schema.UNKNOWN)),
+        rule("METADATA_UNREADABLE", open_ & broken),
+        rule("AUDIT_ERROR", open_ & failed),
+        *(rule(code, plain & ~group & (F.col("node_kind") == kind), state=F.col("state") if code in schema.NOTHING_TO_AUDIT else None) for kind, code in kinds.items()),
+        rule("NOT_A_ZARR_GROUP", plain & ~group & ~F.col("node_kind").isin(*kinds)),
+        rule("NOT_MULTISCALE", plain & group & ~F.col("multiscales_key")),
+        rule("MULTISCALE_EMPTY", plain & group & F.col("multiscales_key")),
     ]
-    return exploded(pyramids, hits)
-
-
-def undeclared(pyramids: DataFrame, levels: DataFrame) -> DataFrame:
-    """Level directories beyond the declared ones, up to the first gap."""
-    last = levels.groupBy("root").agg(F.max("idx").alias("last"))
-    beyond = pyramids.filter("has_multiscales").join(last, "root").select("root", "last", "dirs_beyond")
-    found = F.filter(F.col("dirs_beyond"), lambda j: F.size(F.array_intersect(F.sequence(F.lit(1), j), F.col("dirs_beyond"))) == j)
-    rows = beyond.select("root", F.explode(found).alias("j"), "last")
-    return rows.select("root", (F.col("last") + F.col("j")).cast("string").alias("level"), F.lit("LEVEL_UNDECLARED").alias("code"), F.lit(schema.PRESENT).alias("evidence_state"))
 
 
-def header_findings(levels: DataFrame) -> DataFrame:
+def header_rules() -> list[Rule]:
     """Declared levels that can't be read, are degenerate or hold no chunks."""
-    gone = ~F.col("present")
-    unknown, unreadable = F.col("state") == schema.UNKNOWN, F.equal_null("reason", F.lit("METADATA_UNREADABLE"))
-    path = F.col("path")
-    hits = [
-        hit(gone & unknown, "ACCESS_UNKNOWN", path, F.lit(schema.UNKNOWN)),
-        hit(gone & ~unknown & unreadable, "METADATA_UNREADABLE", path),
-        hit(gone & ~unknown & ~unreadable, "LEVEL_MISSING", path, F.col("state")),
-        hit(F.col("present") & F.exists("shape", lambda s: s <= 0), "DEGENERATE_LEVEL", path),
-        hit(F.col("present") & F.equal_null("has_chunks", F.lit(False)), "LEVEL_NO_CHUNKS", path, F.col("chunk_state")),
+    lv, path = F.col("lv"), F.col("lv.path")
+    gone, unknown, unreadable = ~lv.present, lv.state == schema.UNKNOWN, F.equal_null(lv.reason, F.lit("METADATA_UNREADABLE"))
+    return [
+        rule("ACCESS_UNKNOWN", gone & unknown, path, F.lit(schema.UNKNOWN)),
+        rule("METADATA_UNREADABLE", gone & ~unknown & unreadable, path),
+        rule("LEVEL_MISSING", gone & ~unknown & ~unreadable, path, lv.state),
+        rule("DEGENERATE_LEVEL", lv.present & F.exists(lv.shape, lambda s: s <= 0), path),
+        rule("LEVEL_NO_CHUNKS", lv.present & F.equal_null(lv.has_chunks, F.lit(False)), path, lv.chunk_state),
     ]
-    return exploded(levels, hits)
-
-
-def with_context(levels: DataFrame) -> DataFrame:
-    """Present levels with their base (first present) and the scale before; root relation attached."""
-    own = W.partitionBy("root").orderBy("idx")
-    rows = levels.filter(F.col("present") & (F.size("shape") > 0))
-    base = F.first(F.struct("path", "shape", "declared_scale")).over(own)
-    rows = rows.withColumns({"base": base, "before": F.lag("declared_scale").over(own), "place": F.row_number().over(own)})
-    base_scale = F.coalesce(F.col("base.declared_scale"), F.transform("base.shape", lambda _: F.lit(1.0)))
-    n = F.least(F.size("declared_scale"), F.size(base_scale))
-    factor = F.zip_with(F.slice("declared_scale", F.lit(1), n), F.slice(base_scale, F.lit(1), n), fn.ratio)
-    rows = rows.withColumn("factor", F.when((F.col("place") > 1) & F.col("declared_scale").isNotNull() & (F.size("shape") == F.size("base.shape")), factor))
+
+
+def with_context(rows: DataFrame) -> DataFrame:
+    """``rows`` (root, lv, ...) with what the other levels of the root say.
+
+    base: the first level that is present with a shape; before: the one before this; rounding: how
+    the shape follows from the base's by the declared scales. Levels that are not present, or
+    have no shape, take no part.
+    """
+    own = W.partitionBy("root").orderBy("lv.idx")
+    ok = F.coalesce(F.col("lv.present") & (F.size("lv.shape") > 0), F.lit(False))
+    level = F.when(ok, F.struct("lv.path", "lv.shape", "lv.declared_scale"))
+    rows = rows.withColumns(
+        {
+            "ok": ok,
+            "base": F.first(level, ignorenulls=True).over(own),
+            "before": F.last(level, ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, -1)),
+            "any_present": F.coalesce(F.bool_or("lv.present").over(W.partitionBy("root")), F.lit(False)),
+        }
+    )
+    shape, scale, base = F.col("lv.shape"), F.col("lv.declared_scale"), F.col("base")
+    base_scale = F.coalesce(base.declared_scale, F.transform(base.shape, lambda _: F.lit(1.0)))
+    n = F.least(F.size(scale), F.size(base_scale))
+    factor = F.zip_with(F.slice(scale, F.lit(1), n), F.slice(base_scale, F.lit(1), n), fn.ratio)
+    rows = rows.withColumn("factor", F.when(ok & F.col("before").isNotNull() & scale.isNotNull() & (F.size(shape) == F.size(base.shape)), factor))
     usable = F.col("factor").isNotNull() & F.forall("factor", lambda f: f.isNotNull() & (f > 0))
-    axes = F.least(F.size("base.shape"), F.size("factor"))
-    want = lambda mode: F.zip_with(F.slice("base.shape", F.lit(1), axes), F.slice("factor", F.lit(1), axes), lambda s, f: fn.expected_extent(s, f, mode))
+    axes = F.least(F.size(base.shape), F.size("factor"))
+    want = lambda mode: F.zip_with(F.slice(base.shape, F.lit(1), axes), F.slice("factor", F.lit(1), axes), lambda s, f: fn.expected_extent(s, f, mode))
     rows = rows.withColumns({"up": F.when(usable, want("ceil")), "down": F.when(usable, want("floor"))})
-    is_up, is_down = F.col("shape") == F.col("up"), F.col("shape") == F.col("down")
+    is_up, is_down = shape == F.col("up"), shape == F.col("down")
     return rows.withColumn("rounding", F.when(F.col("up").isNotNull(), F.when(is_up & is_down, "exact").when(is_up, "ceil").when(is_down, "floor").otherwise("mismatch")))
 
 
-def level_findings(present: DataFrame) -> DataFrame:
+def level_rules() -> list[Rule]:
     """Rules that compare a level with its base or with the level before."""
-    path, scale, before = F.col("path"), F.col("declared_scale"), F.col("before")
+    ok, path, scale, before = F.col("ok"), F.col("lv.path"), F.col("lv.declared_scale"), F.col("before.declared_scale")
     n = F.least(F.size(scale), F.size(before))
-    both = scale.isNotNull() & before.isNotNull()
     falls = F.exists(F.zip_with(F.slice(before, F.lit(1), n), F.slice(scale, F.lit(1), n), lambda a, b: b < a), lambda x: x)
-    shape, chunks = F.col("shape"), F.col("chunks")
+    shape, chunks = F.col("lv.shape"), F.col("lv.chunks")
     covers = (F.size(shape) == F.size(chunks)) & F.forall(F.zip_with(chunks, shape, lambda c, s: c >= s), lambda x: x) & (fn.product(shape) > 1)
     waste = F.aggregate(F.zip_with(chunks, shape, lambda c, s: F.when(s == 0, 1.0).otherwise(c / s)), F.lit(1.0), lambda a, x: a * x)
-    hits = [
-        hit(both & (falls | (scale == before)), "SCALE_NONMONOTONIC", path),
-        hit(F.col("rounding") == "mismatch", "SCALE_SHAPE_MISMATCH", path),
-        hit(covers & (waste >= 8), "CHUNK_EXCEEDS_SHAPE", path),
+    return [
+        rule("SCALE_NONMONOTONIC", ok & scale.isNotNull() & before.isNotNull() & (falls | (scale == before)), path),
+        rule("SCALE_SHAPE_MISMATCH", ok & (F.col("rounding") == "mismatch"), path),
+        rule("CHUNK_EXCEEDS_SHAPE", ok & covers & (waste >= 8), path),
     ]
-    return exploded(present, hits)
 
 
-def drift_counts(present: DataFrame) -> DataFrame:
+def drift_counts() -> list[Column]:
     """Distinct values of each attribute by root; a missing value is a value of its own.
 
     A root has few levels, so sets are small; several distinct counts would multiply the rows.
     """
-    values = lambda c: F.size(F.collect_set(c))
-    distinct = lambda c: values(F.coalesce(F.col(c).cast("string"), F.lit("None")))
-    return present.groupBy("root").agg(
-        values(F.size("shape")).alias("ndims"),
+    values = lambda c: F.size(F.collect_set(F.when(F.col("ok"), c)))
+    distinct = lambda c: values(F.coalesce(F.col(f"lv.{c}").cast("string"), F.lit("None")))
+    return [
+        F.flatten(F.collect_list("level_hits")).alias("level_hits"),
+        values(F.size("lv.shape")).alias("ndims"),
         distinct("dtype").alias("dtypes"),
         distinct("fill_value").alias("fills"),
         distinct("compressor_id").alias("compressors"),
         distinct("separator").alias("separators"),
         values(F.when(F.col("rounding").isin("ceil", "floor"), F.col("rounding"))).alias("roundings"),
-        F.max(F.when(F.col("place") == 1, F.struct("path", "shape", "declared_scale"))).alias("base"),
-    )
+        F.max(F.when(F.col("ok") & F.col("before").isNull(), F.col("base"))).alias("base"),
+        F.max("lv.idx").alias("last"),
+    ]
 
 
-def root_level_findings(pyramids: DataFrame, present: DataFrame) -> DataFrame:
+def root_level_rules() -> list[Rule]:
     """Drift over levels and the contracts between root document and base level."""
-    rows = drift_counts(present).join(pyramids.filter("has_multiscales"), "root")
     path = F.col("base.path")
     spatial = F.transform("axes", lambda a, i: F.equal_null(F.get("axis_types", i), F.lit("space")) | F.lower(a).isin("x", "y", "z"))
     any_spatial = F.exists(spatial, lambda x: x)
@@ -132,20 +135,27 @@ def root_level_findings(pyramids: DataFrame, present: DataFrame) -> DataFrame:
     unknown = F.equal_null("marker", F.lit("unknown"))
     contradiction = unknown & ((F.col("unit").isNotNull() & any_spatial) | F.coalesce(scaled, F.lit(False)))
     version = fn.ome_version("version")
-    hits = [
-        hit(F.col("ndims") > 1, "NDIM_DRIFT"),
-        hit(F.col("dtypes") > 1, "DTYPE_DRIFT"),
-        hit(F.col("fills") > 1, "FILL_DRIFT"),
-        hit(F.col("compressors") > 1, "COMPRESSOR_DRIFT"),
-        hit(F.col("separators") > 1, "SEPARATOR_DRIFT"),
-        hit(F.col("roundings") > 1, "MIXED_ROUNDING"),
-        hit((F.size("axes") > 0) & (F.size("axes") != F.size("base.shape")), "AXES_MISMATCH", path),
-        hit(contradiction, "PHYSICAL_SCALE_CONTRADICTION", path),
-        hit(unknown & ~contradiction, "PHYSICAL_SCALE_UNKNOWN", path),
-        hit(~version.modelled, "OME_VERSION_UNMODELLED"),
-        hit(version.modelled & axes_invalid(), "AXES_INVALID"),
+    found = F.col("has_multiscales") & F.col("base").isNotNull()
+    return [
+        rule("NDIM_DRIFT", found & (F.col("ndims") > 1)),
+        rule("DTYPE_DRIFT", found & (F.col("dtypes") > 1)),
+        rule("FILL_DRIFT", found & (F.col("fills") > 1)),
+        rule("COMPRESSOR_DRIFT", found & (F.col("compressors") > 1)),
+        rule("SEPARATOR_DRIFT", found & (F.col("separators") > 1)),
+        rule("MIXED_ROUNDING", found & (F.col("roundings") > 1)),
+        rule("AXES_MISMATCH", found & (F.size("axes") > 0) & (F.size("axes") != F.size("base.shape")), path),
+        rule("PHYSICAL_SCALE_CONTRADICTION", found & contradiction, path),
+        rule("PHYSICAL_SCALE_UNKNOWN", found & unknown & ~contradiction, path),
+        rule("OME_VERSION_UNMODELLED", found & ~version.modelled),
+        rule("AXES_INVALID", found & version.modelled & axes_invalid()),
     ]
-    return exploded(rows, hits)
+
+
+def undeclared() -> Column:
+    """Level directories beyond the declared ones, up to the first gap, as ``hits`` gives them."""
+    found = F.filter(F.col("dirs_beyond"), lambda j: F.size(F.array_intersect(F.sequence(F.lit(1), j), F.col("dirs_beyond"))) == j)
+    each = F.transform(found, lambda j: F.struct((F.col("last") + j).cast("string").alias("level"), F.lit("LEVEL_UNDECLARED").alias("code"), F.lit(schema.PRESENT).alias("evidence_state")))
+    return F.when(F.col("has_multiscales") & F.col("last").isNotNull(), each)
 
 
 def axes_invalid() -> Column:
@@ -159,53 +169,48 @@ def axes_invalid() -> Column:
     return (F.size(F.array_distinct(names)) < F.size(names)) | ((F.size(names) > 0) & ~F.size(names).between(2, 5)) | (typed & (~space.isin(2, 3) | (time > 1) | (other > 1) | (rank != F.array_sort(rank))))
 
 
-def conformance_findings(pyramids: DataFrame, levels: DataFrame) -> DataFrame:
-    """Rules of the declared version on each dataset."""
-    roots = pyramids.filter("has_multiscales").select("root", "axes", fn.ome_version("version").alias("v"), F.col("version").isNotNull().alias("declared"))
-    with_levels = levels.filter(F.col("present")).select("root").distinct()  # nothing is judged without a present level
-    rows = levels.join(roots, "root").join(with_levels, "root", "left_semi").filter("v.modelled")
-    at_least = lambda minor: (F.col("v.major") > 0) | (F.col("v.minor") >= minor)
-    applies = ~F.col("declared") | at_least(4)
-    ndim = F.when(F.size("axes") > 0, F.size("axes")).otherwise(F.coalesce(F.size("shape"), F.lit(0)))
-    odd = lambda n: n.isNotNull() & (ndim > 0) & (n != ndim) & ~F.coalesce((F.size("axes") > 0) & (F.size("axes") != F.size("shape")) & (n == F.size("shape")), F.lit(False))
-    path = F.col("path")
-    hits = [
-        hit(F.col("declared") & at_least(5) & (F.size("axes") > 0) & F.col("present") & (F.col("zarr_format") == 3) & ~F.equal_null("dimension_names", "axes"), "DIMENSION_NAMES_MISMATCH", path),
-        hit(applies & (F.col("n_scale") != 1), "TRANSFORM_SCALE_COUNT", path),
-        hit(applies & (F.col("n_scale") > 0) & odd(F.col("scale_len")), "TRANSFORM_ARITY", path),
-        hit(applies & odd(F.col("translation_len")), "TRANSFORM_ARITY", path),
+def conformance_rules() -> list[Rule]:
+    """Rules of the declared version on each dataset; nothing is judged without a present level.
+
+    A version of 0.4 or more has transforms; with no version, a pyramid is held to them if any of
+    its datasets has some. A payload that is no list has no length, and is a finding too.
+    """
+    lv, path, v = F.col("lv"), F.col("lv.path"), fn.ome_version("version")
+    judged = lv.isNotNull() & F.col("any_present") & v.modelled
+    declared = F.col("version").isNotNull()
+    at_least = lambda minor: (v.major > 0) | (v.minor >= minor)
+    applies = judged & F.when(declared, at_least(4)).otherwise(F.col("has_transforms"))
+    axes = F.size("axes")
+    ndim = F.when(axes > 0, axes).otherwise(F.coalesce(F.size(lv.shape), F.lit(0)))
+    # if the axes are what is odd, AXES_MISMATCH says so once
+    excused = lambda n: F.coalesce((axes > 0) & (axes != F.size(lv.shape)) & (n == F.size(lv.shape)), F.lit(False))
+    odd = F.filter(lv.transforms, lambda t: t.len.isNull() | ((t.len != ndim) & ~excused(t.len)))
+    arity = lambda i: rule("TRANSFORM_ARITY", applies & (ndim > 0) & (F.size(odd) > i), path)
+    return [
+        rule("DIMENSION_NAMES_MISMATCH", judged & declared & at_least(5) & (axes > 0) & lv.present & (lv.zarr_format == 3) & ~F.equal_null(lv.dimension_names, F.col("axes")), path),
+        rule("TRANSFORM_SCALE_COUNT", applies & (F.size(F.filter(lv.transforms, lambda t: t.kind == "scale")) != 1), path),
+        *(arity(i) for i in range(MOST_TRANSFORMS)),
     ]
-    return exploded(rows, hits)
 
 
-#: The codes of each part of the program that a single rule can be asked from.
-PARTS = {
-    "root": "ACCESS_UNKNOWN METADATA_UNREADABLE BARE_ARRAY HEADERLESS_CHUNK_STORE CONTAINER_NO_GROUP_HEADER ROOT_ABSENT EMPTY_ZARR_DIR NOT_A_ZARR_GROUP NOT_MULTISCALE MULTISCALE_EMPTY".split(),
-    "header": "ACCESS_UNKNOWN METADATA_UNREADABLE LEVEL_MISSING DEGENERATE_LEVEL LEVEL_NO_CHUNKS".split(),
-    "undeclared": ["LEVEL_UNDECLARED"],
-    "level": "SCALE_NONMONOTONIC SCALE_SHAPE_MISMATCH CHUNK_EXCEEDS_SHAPE".split(),
-    "root_level": "NDIM_DRIFT DTYPE_DRIFT FILL_DRIFT COMPRESSOR_DRIFT SEPARATOR_DRIFT MIXED_ROUNDING AXES_MISMATCH PHYSICAL_SCALE_CONTRADICTION PHYSICAL_SCALE_UNKNOWN OME_VERSION_UNMODELLED AXES_INVALID".split(),
-    "conformance": "DIMENSION_NAMES_MISMATCH TRANSFORM_SCALE_COUNT TRANSFORM_ARITY".split(),
-}
+#: Findings of a dataset's transforms that are told apart; the model has two transforms.
+MOST_TRANSFORMS = 8
 
 
 def audit(pyramids: DataFrame, levels: DataFrame, only: str | None = None) -> DataFrame:
-    """All findings of all pyramids, or those of one code from the parts that give it."""
-    levels = levels.join(pyramids.filter("has_multiscales").select("root"), "root", "left_semi")
-    present = with_context(levels)
-    parts = {
-        "root": lambda: root_findings(pyramids),
-        "header": lambda: header_findings(levels),
-        "undeclared": lambda: undeclared(pyramids, levels),
-        "level": lambda: level_findings(present),
-        "root_level": lambda: root_level_findings(pyramids, present),
-        "conformance": lambda: conformance_findings(pyramids, levels),
-    }
-    rows = reduce(DataFrame.unionByName, [make() for name, make in parts.items() if only is None or only in PARTS[name]])
-    if only is not None:
-        rows = rows.filter(F.col("code") == only)
+    """All findings of all pyramids, or those of one code.
+
+    Root columns: see ``sources.scan``; levels of roots without multiscales are not looked at.
+    """
+    rows = pyramids.join(levels.select("root", F.struct(*(c for c in levels.columns if c != "root")).alias("lv")), "root", "left")
+    rows = with_context(rows.withColumn("lv", F.when(F.col("has_multiscales"), F.col("lv"))))
+    rows = rows.withColumn("level_hits", hits([*header_rules(), *level_rules(), *conformance_rules()], only))
+    roots = rows.groupBy("root").agg(*(F.any_value(c).alias(c) for c in pyramids.columns if c != "root"), *drift_counts())
+    found = [F.col("level_hits"), hits([*root_rules(), *root_level_rules()], only)]
+    if only in (None, "LEVEL_UNDECLARED"):
+        found.append(F.coalesce(undeclared(), F.array().cast("array<struct<level:string,code:string,evidence_state:string>>")))
     severity = fn.severity_of("code")
-    return rows.select("root", "level", "code", severity.alias("severity"), "evidence_state", (severity != "info").alias("actionable"))
+    return roots.select("root", F.inline(F.concat(*found))).select("root", "level", "code", severity.alias("severity"), "evidence_state", (severity != "info").alias("actionable"))
 
 
 # ------------------------------------------------------------------ roll-ups

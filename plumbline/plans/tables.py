@@ -40,6 +40,9 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunk = (1 + pk % 64) * F.when(sk % 7 == 0, 16).otherwise(1)
     scale = F.when(pk % 13 == 0, 1.0).otherwise(n.cast("double"))
     present = pk % 17 != 0
+    transform = lambda kind, size: F.struct(F.lit(kind).alias("kind"), size.cast("int").alias("len"))
+    scales = F.array_repeat(transform("scale", F.when(pk % 61 == 0, 2).when(pk % 67 != 0, 3)), F.when(pk % 43 == 0, 0).when(pk % 47 == 0, 2).otherwise(1))
+    moves = F.array_repeat(transform("translation", F.lit(2)), F.when(pk % 59 == 0, 1).otherwise(0))
     return rows.select(
         F.concat(F.lit("root/"), F.col("l_orderkey").cast("string")).alias("root"),
         (n - 1).alias("idx"),
@@ -58,9 +61,7 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(sk % 19 == 0, "ABSENT").when(sk % 23 == 0, "UNKNOWN").otherwise("PRESENT").alias("chunk_state"),
         F.when(F.col("l_orderkey") % 2 == 0, 3).otherwise(2).alias("zarr_format"),
         F.when(pk % 41 != 0, F.array(F.lit("z"), F.lit("y"), F.lit("x"))).alias("dimension_names"),
-        F.when(pk % 43 == 0, 0).when(pk % 47 == 0, 2).otherwise(1).alias("n_scale"),
-        F.when(pk % 61 == 0, 2).otherwise(3).alias("scale_len"),
-        F.when(pk % 59 == 0, 2).alias("translation_len"),
+        F.when(F.col("l_orderkey") % 14 == 7, F.array().cast("array<struct<kind:string,len:int>>")).otherwise(F.concat(scales, moves)).alias("transforms"),
     )
 
 
@@ -78,12 +79,13 @@ def pyramids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(
         F.concat(F.lit("root/"), k.cast("string")).alias("root"),
         F.when(m == 0, "UNKNOWN").when(m.isin(5, 6), "ABSENT").otherwise("PRESENT").alias("state"),
-        F.when(m == 0, "SERVER_ERROR").when(m == 1, "METADATA_UNREADABLE").alias("reason"),
+        F.when(m == 0, "SERVER_ERROR").when(m == 1, "METADATA_UNREADABLE").when(k % 80 == 7, "AUDIT_ERROR").alias("reason"),
         (m >= 10).alias("has_multiscales"),
         (m >= 8).alias("is_group"),
         (m >= 9).alias("multiscales_key"),
         F.when(m == 2, "array").when(m == 3, "headerless_chunks").when(m == 4, "container").when(m == 5, "absent").when(m == 6, "empty").otherwise("unknown").alias("node_kind"),
         version.alias("version"),
+        (k % 14 != 7).alias("has_transforms"),
         names.alias("axes"),
         types.alias("axis_types"),
         F.when(k % 5 == 0, "micrometer").alias("unit"),

@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from .transport import observe, open_store
 
-PYRAMID = "state string, reason string, has_multiscales boolean, is_group boolean, multiscales_key boolean, node_kind string, version string, axes array<string>, axis_types array<string>, unit string, marker string, dirs_beyond array<int>"
+PYRAMID = "state string, reason string, error string, has_multiscales boolean, is_group boolean, multiscales_key boolean, node_kind string, version string, has_transforms boolean, axes array<string>, axis_types array<string>, unit string, marker string, dirs_beyond array<int>"
 LEVEL = (
     "idx int, path string, present boolean, state string, reason string, shape array<bigint>, chunks array<bigint>, dtype string, fill_value string, compressor_id string, separator string, "
-    "declared_scale array<double>, has_chunks boolean, chunk_state string, zarr_format int, dimension_names array<string>, n_scale int, scale_len int, translation_len int"
+    "declared_scale array<double>, has_chunks boolean, chunk_state string, zarr_format int, dimension_names array<string>, transforms array<struct<kind:string,len:int>>"
 )
+#: What a root is before anything of it is known.
+EMPTY = {"state": "PRESENT", "reason": None, "error": None, "has_multiscales": False, "is_group": False, "multiscales_key": False, "node_kind": "unknown", "has_transforms": False}
 #: Names that are no chunks, and the headers among them.
 METADATA = (".zarray", ".zattrs", ".zgroup", ".zmetadata", "zarr.json")
 CHUNK = re.compile(r"\d+(\.\d+)+")
@@ -101,13 +103,12 @@ def _chunks(read: Reader, path: str, level: dict) -> tuple[bool | None, str]:
 
 def _level(read: Reader, root: str, idx: int, dataset: dict) -> dict:
     path = str(dataset.get("path", idx))
-    transforms = [t for t in dataset.get("coordinateTransformations") or [] if isinstance(t, dict)]
-    scales = [t.get("scale") for t in transforms if t.get("type") == "scale"]
-    moves = [t.get("translation") for t in transforms if t.get("type") == "translation"]
-    length = lambda values: next((len(v) for v in values if isinstance(v, list)), None)
+    given = dataset.get("coordinateTransformations")
+    transforms = [(t["type"], t.get(t["type"])) for t in given if isinstance(t, dict) and t.get("type") in ("scale", "translation")] if isinstance(given, list) else []
     doc, state, reason = _header(read, f"{root}/{path}")
-    out = {"idx": idx, "path": path, "present": doc is not None, "state": state, "reason": reason, "chunk_state": "UNKNOWN", "n_scale": len(scales), "scale_len": length(scales), "translation_len": length(moves)}
-    out["declared_scale"] = next((s for v in scales if (s := _numbers(v, float))), None)
+    out = {"idx": idx, "path": path, "present": doc is not None, "state": state, "reason": reason, "chunk_state": "UNKNOWN"}
+    out["transforms"] = [{"kind": kind, "len": len(payload) if isinstance(payload, list) else None} for kind, payload in transforms]
+    out["declared_scale"] = next((s for kind, v in transforms if kind == "scale" and (s := _numbers(v, float))), None)
     if isinstance(doc, dict):
         out |= _array(doc)
         out["has_chunks"], out["chunk_state"] = _chunks(read, f"{root}/{path}", out)
@@ -138,7 +139,7 @@ def scan_root(store, root: str) -> dict:
     attrs, a_state, a_reason = read.json(f"{root}/.zattrs") if g_state == "PRESENT" else (None, "ABSENT", None)
     newer, n_state, n_reason = read.json(f"{root}/zarr.json") if g_state == "ABSENT" else (None, "ABSENT", None)
     array, r_state, _ = read.json(f"{root}/.zarray") if g_state == n_state == "ABSENT" else (None, "ABSENT", None)
-    out = {"state": "PRESENT", "reason": None, "has_multiscales": False, "is_group": False, "multiscales_key": False, "node_kind": "unknown", "axes": [], "axis_types": [], "dirs_beyond": []}
+    out = EMPTY | {"axes": [], "axis_types": [], "dirs_beyond": []}
     states = [g_state, a_state, n_state, r_state]
     if "METADATA_UNREADABLE" in (g_reason, a_reason, n_reason):
         return {"pyramid": out | {"reason": "METADATA_UNREADABLE"}, "levels": []}
@@ -158,8 +159,9 @@ def scan_root(store, root: str) -> dict:
     if not datasets:
         return {"pyramid": out, "levels": []}
     axes = [a if isinstance(a, dict) else {"name": str(a)} for a in ms.get("axes") or []]
-    units = [a["unit"] for a in axes if (a.get("type") == "space" or str(a.get("name")).lower() in "xyz") and str(a.get("unit") or "").strip()]
+    units = [a["unit"] for a in axes if (a.get("type") == "space" or str(a.get("name")).lower() in ("x", "y", "z")) and str(a.get("unit") or "").strip()]
     version = ome.get("version", ms.get("version", "coordinateSystems" if "coordinateSystems" in ms else None))
+    out["has_transforms"] = any("coordinateTransformations" in d for d in datasets)
     out |= {"has_multiscales": True, "version": None if version is None else str(version), "axes": [str(a.get("name", "?")) for a in axes], "axis_types": [a.get("type") for a in axes], "unit": units[0] if units else None}
     out["marker"] = (ms.get("metadata") or {}).get("physical_size") if isinstance(ms.get("metadata"), dict) else None
     levels = [_level(read, root, i, d) for i, d in enumerate(datasets)]
@@ -188,7 +190,7 @@ def scan(roots: DataFrame, base: str, root_col: str = "root", replay: str | None
                 try:
                     docs.append(json.dumps(scan_root(store, root)))
                 except Exception as e:  # a root that breaks the scan is a finding of its own
-                    docs.append(json.dumps({"pyramid": {"state": "UNKNOWN", "reason": f"AUDIT_ERROR: {e}"[:200], "has_multiscales": False, "is_group": False, "multiscales_key": False, "node_kind": "unknown"}, "levels": []}))
+                    docs.append(json.dumps({"pyramid": EMPTY | {"reason": "AUDIT_ERROR", "error": repr(e)[:200]}, "levels": []}))
             yield pd.DataFrame({"root": b["root"], "doc": docs})
 
     rows = roots.select(F.col(root_col).alias("root")).distinct()
