@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import schema
 
+#: Type of findings that are not yet rows.
+NOTHING = "array<struct<level:string,code:string,evidence_state:string>>"
 #: What a rule gives: its code, the test, the level, the evidence state.
 Rule = tuple[str, Column, Column, Column]
 
@@ -26,7 +28,7 @@ def hits(found: list[Rule], only: str | None) -> Column:
     """array<struct<level, code, evidence_state>>: the rules whose test holds."""
     wanted = [r for r in found if only is None or r[0] == only]
     each = [F.when(test, F.struct(level.alias("level"), F.lit(code).alias("code"), state.alias("evidence_state"))) for code, test, level, state in wanted]
-    return F.array_compact(F.array(*each)) if each else F.array().cast("array<struct<level:string,code:string,evidence_state:string>>")
+    return F.array_compact(F.array(*each)) if each else F.array().cast(NOTHING)
 
 
 def root_rules() -> list[Rule]:
@@ -134,7 +136,7 @@ def root_level_rules() -> list[Rule]:
     scaled = F.exists(F.transform("base.declared_scale", lambda v, i: F.coalesce(F.get(spatial, i), F.lit(False)) & ~one(v)), lambda x: x)
     unknown = F.equal_null("marker", F.lit("unknown"))
     contradiction = unknown & ((F.col("unit").isNotNull() & any_spatial) | F.coalesce(scaled, F.lit(False)))
-    version = fn.ome_version("version")
+    modelled = F.col("v_modelled")
     found = F.col("has_multiscales") & F.col("base").isNotNull()
     return [
         rule("NDIM_DRIFT", found & (F.col("ndims") > 1)),
@@ -146,8 +148,8 @@ def root_level_rules() -> list[Rule]:
         rule("AXES_MISMATCH", found & (F.size("axes") > 0) & (F.size("axes") != F.size("base.shape")), path),
         rule("PHYSICAL_SCALE_CONTRADICTION", found & contradiction, path),
         rule("PHYSICAL_SCALE_UNKNOWN", found & unknown & ~contradiction, path),
-        rule("OME_VERSION_UNMODELLED", found & ~version.modelled),
-        rule("AXES_INVALID", found & version.modelled & axes_invalid()),
+        rule("OME_VERSION_UNMODELLED", found & ~modelled),
+        rule("AXES_INVALID", found & modelled & axes_invalid()),
     ]
 
 
@@ -175,26 +177,26 @@ def conformance_rules() -> list[Rule]:
     A version of 0.4 or more has transforms; with no version, a pyramid is held to them if any of
     its datasets has some. A payload that is no list has no length, and is a finding too.
     """
-    lv, path, v = F.col("lv"), F.col("lv.path"), fn.ome_version("version")
-    judged = lv.isNotNull() & F.col("any_present") & v.modelled
-    declared = F.col("version").isNotNull()
-    at_least = lambda minor: (v.major > 0) | (v.minor >= minor)
-    applies = judged & F.when(declared, at_least(4)).otherwise(F.col("has_transforms"))
-    axes = F.size("axes")
-    ndim = F.when(axes > 0, axes).otherwise(F.coalesce(F.size(lv.shape), F.lit(0)))
-    # if the axes are what is odd, AXES_MISMATCH says so once
-    excused = lambda n: F.coalesce((axes > 0) & (axes != F.size(lv.shape)) & (n == F.size(lv.shape)), F.lit(False))
-    odd = F.filter(lv.transforms, lambda t: t.len.isNull() | ((t.len != ndim) & ~excused(t.len)))
-    arity = lambda i: rule("TRANSFORM_ARITY", applies & (ndim > 0) & (F.size(odd) > i), path)
+    lv, path = F.col("lv"), F.col("lv.path")
     return [
-        rule("DIMENSION_NAMES_MISMATCH", judged & declared & at_least(5) & (axes > 0) & lv.present & (lv.zarr_format == 3) & ~F.equal_null(lv.dimension_names, F.col("axes")), path),
-        rule("TRANSFORM_SCALE_COUNT", applies & (F.size(F.filter(lv.transforms, lambda t: t.kind == "scale")) != 1), path),
-        *(arity(i) for i in range(MOST_TRANSFORMS)),
+        rule("DIMENSION_NAMES_MISMATCH", F.col("names_asked") & lv.present & (lv.zarr_format == 3) & ~F.equal_null(lv.dimension_names, F.col("axes")), path),
+        rule("TRANSFORM_SCALE_COUNT", F.col("transforms_asked") & (F.size(F.filter(lv.transforms, lambda t: t.kind == "scale")) != 1), path),
     ]
 
 
-#: Findings of a dataset's transforms that are told apart; the model has two transforms.
-MOST_TRANSFORMS = 8
+def with_conformance(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``with_context`` with what the version asks of a dataset, and how many of its
+    transforms have another length than the axes (without axes: the array)."""
+    lv, axes = F.col("lv"), F.size("axes")
+    judged = lv.isNotNull() & F.col("any_present") & F.col("v_modelled")
+    declared = F.col("version").isNotNull()
+    at_least = lambda minor: (F.col("v_major") > 0) | (F.col("v_minor") >= minor)
+    ndim = F.when(axes > 0, axes).otherwise(F.coalesce(F.size(lv.shape), F.lit(0)))
+    # if the axes are what is odd, AXES_MISMATCH says so once
+    excused = lambda n: F.coalesce((axes > 0) & (axes != F.size(lv.shape)) & (n == F.size(lv.shape)), F.lit(False))
+    asked = judged & F.when(declared, at_least(4)).otherwise(F.col("has_transforms"))
+    odd = F.size(F.filter(lv.transforms, lambda t: t.len.isNull() | ((t.len != ndim) & ~excused(t.len))))
+    return rows.withColumns({"names_asked": judged & declared & at_least(5) & (axes > 0), "transforms_asked": asked, "n_odd": F.when(asked & (ndim > 0), odd).otherwise(F.lit(0))})
 
 
 def audit(pyramids: DataFrame, levels: DataFrame, only: str | None = None) -> DataFrame:
@@ -202,13 +204,20 @@ def audit(pyramids: DataFrame, levels: DataFrame, only: str | None = None) -> Da
 
     Root columns: see ``sources.scan``; levels of roots without multiscales are not looked at.
     """
+    version = fn.ome_version("version")
+    pyramids = pyramids.withColumns({"v_modelled": version.modelled, "v_major": version.major, "v_minor": version.minor})
     rows = pyramids.join(levels.select("root", F.struct(*(c for c in levels.columns if c != "root")).alias("lv")), "root", "left")
     rows = with_context(rows.withColumn("lv", F.when(F.col("has_multiscales"), F.col("lv"))))
-    rows = rows.withColumn("level_hits", hits([*header_rules(), *level_rules(), *conformance_rules()], only))
+    rows = with_conformance(rows)
+    level_hits = hits([*header_rules(), *level_rules(), *conformance_rules()], only)
+    if only in (None, "TRANSFORM_ARITY"):  # one for each such transform
+        one = F.struct(F.col("lv.path").alias("level"), F.lit("TRANSFORM_ARITY").alias("code"), F.lit(schema.PRESENT).alias("evidence_state"))
+        level_hits = F.concat(level_hits, F.array_repeat(one, F.col("n_odd")))
+    rows = rows.withColumn("level_hits", level_hits)
     roots = rows.groupBy("root").agg(*(F.any_value(c).alias(c) for c in pyramids.columns if c != "root"), *drift_counts())
     found = [F.col("level_hits"), hits([*root_rules(), *root_level_rules()], only)]
     if only in (None, "LEVEL_UNDECLARED"):
-        found.append(F.coalesce(undeclared(), F.array().cast("array<struct<level:string,code:string,evidence_state:string>>")))
+        found.append(F.coalesce(undeclared(), F.array().cast(NOTHING)))
     severity = fn.severity_of("code")
     return roots.select("root", F.inline(F.concat(*found))).select("root", "level", "code", severity.alias("severity"), "evidence_state", (severity != "info").alias("actionable"))
 
