@@ -3,18 +3,22 @@
 Texts are lower-cased and cut into words (runs of letters, digits and underscores); shingles are
 five words (an item with fewer words is one shingle of them all). For each document:
 
-1. Places: where the document has a shingle of some item. A window without any is not similar to
-   any item, so nothing else needs windows.
-2. Windows: all windows with the length of an item that cover a place of that item, fingerprinted
-   by SimHash over their shingles, repeats counted, from running sums of bits.
-3. Index: the items' fingerprints by eight blocks of eight bits. Two fingerprints within
-   ``RADIUS`` = 23 bits agree in some block up to two bits, so looking up each block with up to
-   two bits changed guarantees all items within the radius. At the similarity asked for, the
-   chance that a similar window is further away is about one in a million.
+1. Places: where the document has a shingle of an item. A window and an item without a common one
+   have similarity 0, so for each item only the windows over its places are looked at.
+2. Windows with the length of the item, fingerprinted by SimHash over their shingles, repeats
+   counted, from running sums of bits.
+3. Hamming blocks: two fingerprints within ``RADIUS`` = 23 of 64 bits agree in one of eight blocks
+   up to two bits, so a pair that agrees so in none is given up; what is left is compared whole. At
+   the similarity asked for, the chance that a similar window is further away is about one in a
+   million.
 4. Verification: exact weighted-shingle similarity, sum of minima by sum of maxima of counts.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text, each a pass of its
-own over the documents (one for usual benchmarks).
+At that radius the blocks don't serve to look items up: each block value with up to two bits changed
+is met by 37 of 256 values, so eight lookups would return an item more than once on average.
+
+The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text, kept by each Python
+worker. A larger benchmark takes a pass over the documents for each block, and the passes' findings
+are stored and put together by row.
 
 Defined cases: null texts and items are empty and match nothing; repeated items are each reported,
 repeated documents keep their rows; a document shorter than an item is one window; among equally
@@ -26,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +44,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS = 8
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 8_000_000
 WINDOWS_AT_ONCE = 2048
 WORD = re.compile(r"\w+")
 LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start_word", T.IntegerType()), T.StructField("end_word", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
@@ -90,17 +95,9 @@ class Benchmark:
             for at, h in enumerate(self.hashes(np.array([self.vocabulary[x] for x in w], np.int64), k).tolist()):
                 places[k][h].append((item, at))
         self.places = {k: (np.array(sorted(d), np.uint64), dict(d)) for k, d in places.items()}
-        # fingerprints and their index, by length of item
-        self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        lengths = defaultdict(list)
-        for item, w in enumerate(self.words):
-            lengths[len(w)].append(item)
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS
-        for n, own in lengths.items():
-            parts = [shingles(list(self.words[i]), self.size[i]) for i in own]
-            prints = np.concatenate([_pack(_bits(p).sum(0, dtype=np.int64)[None], np.array([len(p)])) for p in parts])
-            byte = prints.view(np.uint8).reshape(-1, 8)
-            self.index[n] = (np.array(own), prints, np.stack([near[:, byte[:, b]] for b in range(BLOCKS)]))
+        parts = ((shingles(list(w), k)) for w, k in zip(self.words, self.size))
+        prints = [_pack(_bits(p).sum(0, dtype=np.int64)[None], np.array([len(p)])) for p in parts]
+        self.prints = np.concatenate(prints) if prints else np.empty(0, np.uint64)
 
     @staticmethod
     def hashes(ids: np.ndarray, k: int) -> np.ndarray:
@@ -115,9 +112,9 @@ class Benchmark:
     def leaks(self, text: str | None) -> list[dict]:
         words = words_of(text)
         ids = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words)) if words else np.empty(0, np.int64)
-        starts: dict[int, set[int]] = defaultdict(set)
         if not ids.any():
             return []
+        held: dict[int, list[int]] = defaultdict(list)  # places of each item's shingles
         zeros = np.concatenate(([0], np.cumsum(ids == 0)))
         for k, (keys, places) in self.places.items():
             if len(ids) < k:
@@ -129,15 +126,24 @@ class Benchmark:
             found = np.searchsorted(keys, h)
             hit = keys[np.minimum(found, len(keys) - 1)] == h
             for p, key in zip(at[hit].tolist(), h[hit].tolist()):
-                for n in {len(self.words[item]) for item, _ in places[key]}:
-                    starts[n].update(range(max(0, min(p - (n - k), len(words) - n)), max(0, min(p, len(words) - n)) + 1))
+                for item in {item for item, _ in places[key]}:
+                    held[item].append(p)
+        by_length: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
+        for item, own in held.items():
+            n, last = len(self.words[item]), max(0, len(words) - len(self.words[item]))
+            p = np.array(own)
+            low, high = np.clip(p - (n - self.size[item]), 0, last), np.clip(p, 0, last) + 1
+            low[1:] = np.maximum(low[1:], high[:-1])  # each start once
+            n_own = np.maximum(0, high - low)
+            by_length[n][item] = np.repeat(low - (np.cumsum(n_own) - n_own), n_own) + np.arange(int(n_own.sum()))
         best: dict[int, tuple[float, int, int]] = {}
-        for n, own in starts.items():
-            self._search(words, n, np.array(sorted(own)), best)
+        for n, items in by_length.items():
+            self._search(words, n, items, best)
         return [{"item_id": i, "start_word": s, "end_word": e, "similarity": v} for item, (v, s, e) in sorted(best.items()) for i in self.ids[item]]
 
-    def _search(self, words: list[str], n: int, starts: np.ndarray, best: dict) -> None:
-        items, prints, near = self.index[n]
+    def _search(self, words: list[str], n: int, items: dict[int, np.ndarray], best: dict) -> None:
+        """The best window of each item among its own starts; all items have n words."""
+        starts = np.unique(np.concatenate(list(items.values())))
         k = min(SHINGLE, n, len(words))
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > 4 * n) + 1):
             for at in range(0, len(part), WINDOWS_AT_ONCE):
@@ -147,17 +153,26 @@ class Benchmark:
                 ends = np.minimum(s + n, len(words))
                 count = np.maximum(1, ends - s - k + 1)
                 window = _pack(run[s - low + count] - run[s - low], count)
-                byte = window.view(np.uint8).reshape(-1, 8)
-                candidate = np.zeros((len(s), len(items)), bool)
-                for b in range(BLOCKS):
-                    candidate |= near[b][byte[:, b]]
-                w, i = np.nonzero(candidate)
-                close = np.bitwise_count(window[w] ^ prints[i]) <= RADIUS
-                for w, i in zip(w[close].tolist(), i[close].tolist()):
-                    item, start, end = int(items[i]), int(s[w]), int(ends[w])
-                    v = similarity(Counter(shingles(words[start:end], self.size[item])), self.counts[item])
-                    if v >= SIMILARITY and (item not in best or (v, -start) > (best[item][0], -best[item][1])):
-                        best[item] = (v, start, end)
+                for item, own in items.items():
+                    own = own[np.searchsorted(own, s[0]) : np.searchsorted(own, s[-1], "right")]
+                    own = np.searchsorted(s, own)
+                    apart = window[own] ^ self.prints[item]
+                    own, apart = (x[_some_block_agrees(apart)] for x in (own, apart))
+                    for w in own[np.bitwise_count(apart) <= RADIUS].tolist():
+                        start, end = int(s[w]), int(ends[w])
+                        v = similarity(Counter(shingles(words[start:end], self.size[item])), self.counts[item])
+                        if v >= SIMILARITY and (item not in best or (v, -start) > (best[item][0], -best[item][1])):
+                            best[item] = (v, start, end)
+
+
+def _some_block_agrees(apart: np.ndarray) -> np.ndarray:
+    """Which differences have a block of at most ``RADIUS // BLOCKS`` bits."""
+    return (np.bitwise_count(np.ascontiguousarray(apart).view(np.uint8).reshape(-1, BLOCKS)) <= RADIUS // BLOCKS).any(axis=1)
+
+
+@lru_cache(maxsize=1)
+def _benchmark(items: tuple[tuple[int, str | None], ...]) -> Benchmark:
+    return Benchmark(list(items))
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "leaks") -> DataFrame:
@@ -166,27 +181,30 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    out = docs.select(*(c for c in docs.columns if c != out_col)).withColumn(out_col, F.array().cast(LEAK))
-    for k in range(blocks):
-        # bounded: the rows of one block of the benchmark's text
-        rows = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toLocalIterator()]
-        out = _pass(out, rows, text_col, out_col)
-    return out
-
-
-def _pass(docs: DataFrame, items: list[tuple[int, str | None]], text_col: str, out_col: str) -> DataFrame:
+    docs = docs.select(*(c for c in docs.columns if c != out_col))
+    # bounded: the rows of one block of the benchmark's text
+    rows = lambda k: tuple((r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toLocalIterator())
+    if blocks == 1:
+        return _pass(docs, rows(0), text_col, out_col)
+    numbered = common.stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    texts = numbered.select("__row", F.col(text_col).alias("text"))
+    found = [common.stored(_pass(texts, rows(k), "text", "found").filter(F.size("found") > 0).select("__row", "found")) for k in range(blocks)]
+    found = reduce(DataFrame.unionAll, found).groupBy("__row").agg(F.flatten(F.collect_list("found")).alias(out_col))
+    return numbered.join(found, "__row", "left").select(*docs.columns, F.coalesce(out_col, F.array().cast(LEAK)).alias(out_col))
+
+
+def _pass(docs: DataFrame, items: tuple[tuple[int, str | None], ...], text_col: str, out_col: str) -> DataFrame:
     cols = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(items)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(shared.value)
+        bench = _benchmark(shared.value)
         for b in common.slices(batches):
-            before = b.column(cols.index(out_col)).to_pylist()
-            found = [x + bench.leaks(t) for x, t in zip(before, b.column(cols.index(text_col)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(found, kind) if c == out_col else b.column(i) for i, c in enumerate(cols)], names=cols)
+            found = [bench.leaks(t) for t in b.column(cols.index(text_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*cols, out_col])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, LEAK)]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

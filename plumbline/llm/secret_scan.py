@@ -10,6 +10,10 @@ der   ASN.1 DER, bare in base64 or hex or inside PEM armour: a SEQUENCE whose ne
 ssh   the OpenSSH private key container or an SSH public key: length-prefixed fields that fill the
       blob and name a key algorithm
 
+Base64 may be of either alphabet, padded or not, on one line or wrapped, with a name glued to it by
+``_`` or ``-``; hex may have ``0x`` before it or colons or blanks between bytes; PEM may have header
+lines, and an encrypted body is confirmed by its cipher line and whole cipher blocks.
+
 Positions are code points, end exclusive. Defined cases: null text is the empty text; repeated
 rows keep their rows; very long texts are scanned whole; spans are ordered by start, then kind in
 the order of ``KINDS``; empty tables give empty results; other columns are ignored.
@@ -37,12 +41,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}(?:KEY|CERTIFICATE|PARAMETERS))-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
-LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}(?:KEY|CERTIFICATE|PARAMETERS))-----")
+PEM_HEADER = re.compile(r"[ \t]*[A-Za-z][A-Za-z0-9-]*:.*")
+CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})[ \t]*$", re.MULTILINE)
+NEW_LINE = re.compile(r"\r?\n|\\r\\n|\\n")
+#: Base64 of either alphabet, on one line or wrapped: lines that follow have nothing before their text.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/_-]+)*")
+LONG_HEX = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{48,}|[0-9A-Fa-f]{2}(?:[: ][0-9A-Fa-f]{2}){23,})(?![0-9A-Fa-f:])")
+URL_SAFE = str.maketrans("-_", "+/")
 #: Which texts can hold any candidate at all; most can't, and are left after one search.
 NAME = re.compile(r"pass|secret|token|key", re.IGNORECASE | re.ASCII)
-DEEPEST = 16
 
 
 # ------------------------------------------------------------------ structure
@@ -62,18 +70,24 @@ def der_length(blob: bytes, at: int) -> tuple[int, int] | None:
     return size, at + 1 + n
 
 
-def der_elements(blob: bytes, start: int, end: int, depth: int = 0) -> list[int] | None:
-    """Tags of the elements that fill [start, end) exactly, nested ones checked; None if they don't."""
-    tags, at = [], start
-    while at < end:
+def der_elements(blob: bytes, start: int, end: int) -> list[int] | None:
+    """Tags of the elements that fill [start, end) exactly, nested ones checked however deep; None if
+    they don't."""
+    tags, ends, at = [], [end], start
+    while ends:
+        if at == ends[-1]:
+            ends.pop()
+            continue
         got = der_length(blob, at + 1)
-        if got is None or got[1] + got[0] > end:
+        if got is None or got[1] + got[0] > ends[-1]:
             return None
-        tag = blob[at]
-        if tag & 0x20 and (depth >= DEEPEST or der_elements(blob, got[1], got[1] + got[0], depth + 1) is None):
-            return None
-        tags.append(tag)
-        at = got[1] + got[0]
+        if len(ends) == 1:
+            tags.append(blob[at])
+        if blob[at] & 0x20:  # constructed: its content are elements
+            at = got[1]
+            ends.append(got[1] + got[0])
+        else:
+            at = got[1] + got[0]
     return tags
 
 
@@ -87,43 +101,44 @@ def is_der_key(blob: bytes) -> bool:
     tags = der_elements(blob, got[1], len(blob))
     if not tags or len(tags) < 2:
         return False
-    # INTEGER INTEGER ... (PKCS#1, DSA), INTEGER SEQUENCE OCTET STRING (PKCS#8),
+    # INTEGER INTEGER ... (PKCS#1, DSA), INTEGER SEQUENCE ... (PKCS#8, PKCS#12),
     # INTEGER OCTET STRING (SEC1), SEQUENCE BIT STRING (public key), SEQUENCE OCTET STRING (encrypted)
     return tags[:2] in ([2, 2], [2, 0x30], [2, 4], [0x30, 3], [0x30, 4], [0x30, 0x30])
 
 
 def is_ssh_key(blob: bytes) -> bool:
-    """Length-prefixed fields of an SSH key."""
+    """Length-prefixed fields that fill the blob: an SSH public key, or the container of private keys
+    (cipher, derivation and its options, how many keys, their public parts, the private part)."""
+    at, fields, most = 0, [], len(blob)
     if blob.startswith(b"openssh-key-v1\0"):
-        at, fields = 15, 0
-        while fields < 3:
-            if at + 4 > len(blob):
-                return False
-            at += 4 + int.from_bytes(blob[at : at + 4], "big")
-            fields += 1
-        return at + 4 <= len(blob)
-    at, fields = 0, []
+        at, most = 15, 3
     while at < len(blob):
         size = int.from_bytes(blob[at : at + 4], "big")
-        if at + 4 > len(blob) or at + 4 + size > len(blob):
+        if len(fields) == 3 and most == 3:
+            at, most = at + 4, size + 4
+            continue
+        if at + 4 > len(blob) or at + 4 + size > len(blob) or len(fields) == most:
             return False
         fields.append(blob[at + 4 : at + 4 + size])
         at += 4 + size
+    if most < len(blob):
+        return len(fields) == most > 4
     return len(fields) >= 2 and re.fullmatch(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]{2,60}", fields[0]) is not None
 
 
-def unbase64(text: str, url: bool = False) -> bytes | None:
-    text = text.rstrip("=")
+def unbase64(text: str) -> bytes | None:
+    """Bytes of base64 in either alphabet, with or without padding."""
+    text = text.rstrip("=").translate(URL_SAFE)
     if len(text) % 4 == 1:
         return None
     try:
-        return base64.b64decode(text + "=" * (-len(text) % 4), altchars=b"-_" if url else None, validate=True)
+        return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
 def is_token_header(segment: str) -> bool:
-    raw = unbase64(segment, url=True)
+    raw = unbase64(segment)
     try:
         head = json.loads(raw) if raw else None
     except (ValueError, RecursionError):
@@ -131,32 +146,82 @@ def is_token_header(segment: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
+def key_kind(blob: bytes | None) -> int | None:
+    """The index in KINDS of the key encoding that fills the blob."""
+    return None if not blob else 4 if is_der_key(blob) else 5 if is_ssh_key(blob) else None
+
+
+def armoured(text: str) -> Iterator[tuple[int, int, int]]:
+    """Keys in PEM armour; an encrypted one is confirmed by its cipher line and whole blocks."""
+    gone: set[str] = set()  # labels that end nowhere further on
+    at = 0
+    while m := PEM.search(text, at):
+        at = m.end()
+        stop = -1 if m[1] in gone else text.find(f"-----END {m[1]}-----", at)
+        if stop < 0:
+            gone.add(m[1])
+            continue
+        lines = NEW_LINE.split(text[at:stop])
+        headers = [x for x in lines if PEM_HEADER.fullmatch(x)]
+        body = unbase64("".join("".join(x.split()) for x in lines if not PEM_HEADER.fullmatch(x)))
+        cipher = CIPHER.search("\n".join(headers))
+        kind = 4 if cipher and body and len(body) % (len(cipher[1]) // 2) == 0 else key_kind(body)
+        if kind:
+            at = stop + len(m[1]) + 14
+            yield m.start(), kind, at
+
+
+def in_base64(text: str, m: re.Match) -> tuple[int, int, int] | None:
+    """The key in a run of base64 lines. DER says how long it is; a key ends where a line does."""
+    parts, at = [], m.start()
+    for sep in NEW_LINE.finditer(text, m.start(), m.end()):
+        parts.append((at, sep.start()))
+        at = sep.end()
+        while text[at] in " \t":
+            at += 1
+    parts.append((at, m.end()))
+    first = text[slice(*parts[0])]
+    glued = [i + 1 for i, c in enumerate(first) if c in "_-"]  # a name can stand before the key
+    for skip in (0, *glued):
+        head = unbase64(first[skip : skip + 16]) if len(first) - skip >= 32 else None
+        if not head or not (head[0] == 0x30 or head.startswith((b"openssh-key", b"\0\0\0"))):
+            continue
+        own = [(parts[0][0] + skip, parts[0][1]), *parts[1:]]
+        need = der_length(head, 1) if head[0] == 0x30 else None
+        chars = -(-(need[0] + need[1]) * 8 // 6) if need else None
+        ends, n = [], 0
+        for i, (s, e) in enumerate(own):
+            n += e - s
+            if chars is None or n == chars:
+                ends.append(i)
+            elif n > chars:
+                break
+        for i in dict.fromkeys((*ends[-2:], *ends[:1])):
+            kind = key_kind(unbase64("".join(text[s:e] for s, e in own[: i + 1])))
+            if kind:
+                end = own[i][1]
+                while end < own[i][1] + 2 and text[end : end + 1] == "=":
+                    end += 1
+                return own[0][0], kind, end
+    return None
+
+
 def confirmed(text: str) -> list[tuple[int, int, int]]:
     """(start, index in KINDS, end) of what the structure confirms."""
     out = []
     if "." in text:
         for m in JWT.finditer(text):
-            if is_token_header(m[1]) and unbase64(m[2], url=True) is not None and unbase64(m[3], url=True) is not None:
+            if is_token_header(m[1]) and unbase64(m[2]) is not None and unbase64(m[3]) is not None:
                 out.append((m.start(), 3, m.end()))
-    armoured = []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            body = unbase64(re.sub(r"\s|\\n|\\r|\\", "", m[2]))
-            kind = 4 if body and is_der_key(body) else 5 if body and is_ssh_key(body) else None
-            if kind:
-                out.append((m.start(), kind, m.end()))
-                armoured.append(m.span())
-    for m in BASE64.finditer(text):
-        if any(s <= m.start() < e for s, e in armoured):
-            continue
-        blob = unbase64(m[0])
-        if blob and is_der_key(blob):
-            out.append((m.start(), 4, m.end()))
-        elif blob and is_ssh_key(blob):
-            out.append((m.start(), 5, m.end()))
+    in_armour = list(armoured(text)) if "-----BEGIN " in text else []
+    out += in_armour
+    for m in RUN.finditer(text):
+        if not any(s <= m.start() < e for s, _, e in in_armour) and (found := in_base64(text, m)):
+            out.append(found)
     for m in LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            out.append((m.start(), 4, m.end()))
+        digits = m[0].replace(":", "").replace(" ", "")
+        if len(digits) % 2 == 0 and (kind := key_kind(bytes.fromhex(digits))):
+            out.append((m.start(), kind, m.end()))
     return out
 
 
