@@ -34,6 +34,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ STEPS = 256
 BLOCK_BYTES = 32_000_000
 PACK_BYTES = 2_000_000
 #: Characters looked at together, and n-grams that a task holds before it hands on their counts.
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 500_000
 GRAMS_AT_ONCE = 500_000
 LANGUAGE_ROWS = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -185,26 +186,42 @@ def closed(grams: set[str]) -> set[str]:
 
 
 class Answers:
-    """Probabilities from the rows of the model that a block asked for."""
-
-    def __init__(self, gram: list[str], p: list[float | None], g: list[float | None]):
-        self.share = {x: v for x, v in zip(gram, p) if v is not None}
-        self.weight = {x: v for x, v in zip(gram, g) if v is not None}
-        self.known = {"": self.share.get("", 1.0)}
-
-    def probability(self, gram: str) -> float:
-        """Of the last character after those before it."""
-        if gram not in self.known:
-            self.known[gram] = self.share.get(gram, 0.0) + self.weight.get(gram[:-1], 1.0) * self.probability(gram[1:])
-        return self.known[gram]
-
-    def score(self, texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities from the rows of the model that a block asked for, as Arrow arrays by length."""
+
+    def __init__(self, rows: pa.Table, order: int):
+        rows = rows.select(["gram", "p", "g"]).combine_chunks()
+        length = pc.utf8_length(rows["gram"])
+        self.order, self.by_length = order, []
+        for n in range(order + 1):
+            part = rows.filter(pc.equal(length, n)).combine_chunks()
+            gram = part["gram"].combine_chunks() if part.num_rows else pa.array([], pa.string())
+            self.by_length.append((gram, part["p"].to_numpy(), part["g"].to_numpy()))
+
+    def values(self, grams: pa.Array, n: int, which: int, none: float) -> np.ndarray:
+        """p (1) or g (2) of n-grams of n characters; ``none`` for those without."""
+        known, own = self.by_length[n][0], self.by_length[n][which]
+        if not len(known):
+            return np.full(len(grams), none)
+        at = pc.fill_null(pc.index_in(grams, known), -1).to_numpy()
+        found = np.where(at < 0, np.nan, own[at])
+        return np.where(np.isnan(found), none, found)
+
+    def probabilities(self, grams: list[str]) -> np.ndarray:
+        """Of the last character of each n-gram of ``order`` characters after those before it."""
+        whole, empty = pa.array(grams, pa.string()), self.by_length[0][1]
+        p = np.full(len(grams), empty[0] if len(empty) else 1.0)
+        for n in range(1, self.order + 1):
+            suffix = pc.utf8_slice_codeunits(whole, self.order - n, self.order)
+            before = pc.utf8_slice_codeunits(whole, self.order - n, self.order - 1)
+            p = self.values(suffix, n, 1, 0.0) + self.values(before, n - 1, 2, 1.0) * p
+        return p
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(characters, bits) of each text."""
         bits = np.zeros(len(texts))
-        for group in pieces(texts, order):
-            grams, which, doc = windows(group, order)
-            own = -np.log2(np.array([self.probability(x) for x in grams]))
-            bits += np.bincount(doc, weights=own[which], minlength=len(texts))
+        for group in pieces(texts, self.order):
+            grams, which, doc = windows(group, self.order)
+            bits += np.bincount(doc, weights=-np.log2(self.probabilities(grams))[which], minlength=len(texts))
         return np.array([len(t) for t in texts], np.int64), bits
 
 
@@ -294,11 +311,11 @@ def scored(docs: DataFrame, model_: DataFrame, languages: DataFrame, lang_col: s
     schema = T.StructType([*docs.schema.fields, T.StructField("__own", T.StringType()), T.StructField("__chars", T.LongType()), T.StructField("__bits", T.DoubleType())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = Answers(*(right.column(c).to_pylist() for c in ("gram", "p", "g")))
+        got = Answers(right, order)
         out = []
         for own, body in zip(left.column("own").to_pylist(), left.column("pack")):
             rows = unpacked(body.as_py())
-            chars, bits = got.score([t or "" for t in rows.column(text_at).to_pylist()], order)
+            chars, bits = got.score([t or "" for t in rows.column(text_at).to_pylist()])
             out.append(pa.table([*rows.columns, pa.array([own] * len(chars), pa.string()), pa.array(chars), pa.array(bits)], names=schema.names))
         return pa.concat_tables(out) if out else pa.Table.from_batches([], pa.schema([]))
 

@@ -16,7 +16,8 @@ Links
 
     The nodes at the depth of the first block are Spark's partitioning keys: a fingerprint goes to
     the pairs of nodes within the first budget, and a pair of nodes with more than ``NODE_ROWS``
-    fingerprints goes one block deeper, as often as needed, so no task holds an unbounded node.
+    fingerprints goes one block deeper, ``SPLITS`` times at most. What is still larger is cut into chunks
+    of that size, each two of which meet under a key of their own, so no task holds an unbounded node.
 
 Similarity
     The stage of the pipeline takes linked fingerprints as candidates only. Of each distinct set of
@@ -47,6 +48,8 @@ from . import common
 
 #: Most fingerprints in a pair of nodes before it is split by its next block.
 NODE_ROWS = 2048
+#: Most blocks that a pair of nodes goes down before it is cut into chunks: masks multiply.
+SPLITS = 3
 #: Node pairs with this many fingerprint pairs or fewer are compared outright.
 LEAF_PAIRS = 256
 #: Bounds of a task's memory: fingerprints and pairs compared at once.
@@ -291,20 +294,26 @@ def trie_links(fps: DataFrame, radius: int = 3, blocks: int = 4, confirm: int |
     out = None
     # A pair of nodes that is too large goes down a block; its fingerprints may meet in several
     # node pairs there, each within the budget.
-    for j in range(1, min(blocks, 4)):
+    for j in range(1, min(blocks, SPLITS + 1)):
         rows = common.stored(rows)
-        large = rows.groupBy("rot", "key").count().filter(F.col("count") > node_rows).select("rot", "key")
-        large = common.stored(large)
+        large = common.stored(rows.groupBy("rot", "key").count().filter(F.col("count") > node_rows).select("rot", "key"))
         if large.isEmpty():
             break
         part = rows.join(large, ["rot", "key"], "left_anti").select("rot", "key", "fp0", "fp1")
         out = part if out is None else out.unionByName(part)
         # order matters here: the mask of a deeper block belongs to the pair, not to one side
         rows = spread(rows.join(large, ["rot", "key"], "left_semi"), j)
+    # What is still too large is cut into chunks, and every two chunks meet under a key of their own.
+    rows = common.stored(rows)
+    large = rows.groupBy("rot", "key").count().filter(F.col("count") > node_rows)
+    large = common.stored(large.select("rot", "key", F.ceil(F.col("count") / node_rows).cast("int").alias("chunks")))
     part = rows.select("rot", "key", "fp0", "fp1")
+    if not large.isEmpty():
+        own = F.pmod(F.xxhash64("fp0", "fp1"), F.col("chunks")).cast("int")
+        cut = rows.join(large, ["rot", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        cut = cut.select("rot", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"), "chunks").alias("key"), "fp0", "fp1")
+        part = part.join(large, ["rot", "key"], "left_anti").unionByName(cut)
     out = part if out is None else out.unionByName(part)
-    spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     found = out.repartition(F.col("rot"), F.col("key")).sortWithinPartitions("rot", "key").mapInArrow(_linked(radius, blocks, confirm), "a0 bigint, a1 bigint, b0 bigint, b1 bigint")
     return common.stored(found.distinct())
 
@@ -422,12 +431,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = trie_links(classes, radius, blocks, confirm, node_rows)
     if similarity is not None:
         return similar_components(docs, fps, found, id_col, text_col, shingle, seed, similarity)
-    side = lambda s: classes.select(*(F.col(n).alias(f"{s}{n[2:]}") for n in names), F.col("rep").alias(s))
-    on = [[f"{s}{n[2:]}" for n in names] for s in "ab"]
-    pairs = found.join(side("a"), on[0]).join(side("b"), on[1]).select("a", "b").filter("a is not null and b is not null")
-    label = components(pairs).select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
-    classes = classes.join(label, "rep", "left").select(*names, F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(classes, names)
+    # nodes are fingerprints, so one that only rows without an id have still connects its neighbours
+    node = lambda s: F.col(f"{s}0") if n_hashes == 1 else F.struct(*(F.col(f"{s}{k}").alias(f"f{k}") for k in range(n_hashes)))
+    label = components(found.select(node("a").alias("a"), node("b").alias("b")))
+    classes = classes.withColumnsRenamed({n: f"n{n[2:]}" for n in names}).withColumn("node", node("n")).join(label, "node", "left")
+    classes = classes.select(*(F.col(f"n{n[2:]}").alias(n) for n in names), "rep", F.coalesce("label", "node").alias("label"))
+    least = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return fps.join(classes.join(least, "label").select(*names, "component_id"), names)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

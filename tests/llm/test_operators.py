@@ -499,7 +499,16 @@ def test_simhash(docs, empty, pairs):
     assert one.columns == docs.columns and one.filter("text = ''").count() + one.filter("text is null").count() <= 1
 
 
-@pytest.mark.parametrize("radius, blocks, node_rows", [(3, 4, 2048), (3, 4, 4), (15, 8, 2048), (6, 8, 8)])
+def test_a_row_without_id_connects_its_neighbours(spark, monkeypatch):
+    """Fingerprints 0, 7 and 63: the one in between belongs to a row whose id is null."""
+    prints = {"low": 0, "middle": 7, "high": 63, "far": 2**40 - 1}
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, *_: docs.select("doc_id", F.coalesce(*(F.when(F.col("text") == t, F.lit(p)) for t, p in prints.items())).cast("bigint").alias("fp0")))
+    df = spark.createDataFrame([(5, "high"), (3, "low"), (None, "middle"), (9, "far"), (9, "far")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.component_id) for r in simhash_dedup.near_duplicates(df).collect()}
+    assert got == {(5, 3), (3, 3), (None, 3), (9, 9)}
+
+
+@pytest.mark.parametrize("radius, blocks, node_rows", [(3, 4, 2048), (3, 4, 4), (15, 8, 2048), (6, 8, 40)])
 def test_trie_finds_all_links(spark, radius, blocks, node_rows):
     """Random fingerprints with dense clusters, with nodes so small that they are split again."""
     rnd = random.Random(radius)
