@@ -49,7 +49,7 @@ py as (
     case k % 7 when 1 then '0.4' when 2 then '0.5' when 3 then '0.6' when 4 then '0.10' when 5 then 'junk' when 6 then '0.3' end version,
     k % 7 in (0, 1, 2, 6) modelled, k % 7 <> 0 declared, k % 7 in (1, 2) or k % 14 = 0 transforms, k % 7 = 2 v5,
     case k % 11 when 0 then ['y', 'x'] when 1 then ['z', 'y', 'y'] when 2 then ['z'] else ['z', 'y', 'x'] end axes,
-    k % 11 r11, k % 13 r13, k % 5 = 0 has_unit, k % 9 = 0 marked, k % 21 = 0 beyond, k
+    k % 11 r11, k % 13 r13, k % 5 = 0 and not (k % 15 = 0 and k % 11 = 2) has_unit, k % 9 = 0 marked, k % 21 = 0 beyond, k
   from (select o_orderkey k from orders))"""
 
 AUDIT = (

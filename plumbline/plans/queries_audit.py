@@ -75,16 +75,33 @@ def integrity(spark, sf_dir):
 GATE = """case when unreadable then 'unreadable' when nothing then 'absent' when coalesce(top, -1) >= 3 then 'fail' else 'pass' end"""
 
 
-@query("g01_gate", AUDIT + f"select root, {GATE} outcome, {GATE} <> 'pass' fail, integrity, max_severity from verdicts")
+GATE_CODE = "case when unreadable then 'GATE_UNREADABLE' when nothing then 'GATE_ROOT_ABSENT' end code"
+
+
+@query("g01_gate", AUDIT + f"select root, {GATE} outcome, {GATE} <> 'pass' fail, integrity, max_severity, {GATE_CODE} from verdicts")
 def gate(spark, sf_dir):
     return rules.gate(rolled(spark, sf_dir))
 
 
-@query("g02_gate_lenient", AUDIT + f"select root, {GATE} outcome, {GATE} = 'fail' fail, integrity, max_severity from verdicts")
+@query("g02_gate_lenient", AUDIT + f"select root, {GATE} outcome, {GATE} = 'fail' fail, integrity, max_severity, {GATE_CODE} from verdicts")
 def gate_lenient(spark, sf_dir):
     return rules.gate(rolled(spark, sf_dir), ignore_unreadable=True, allow_absent=True)
 
 
+VOXELS = """, vx as (
+  select py.root, case when not py.has_multiscales or marked or base_scale is null or k % 5 <> 0 or k % 15 = 0 then 'unknown'
+    when abs(base_scale[1] * case when k % 10 = 0 then 0.001 else 1.0 end - 1.0) > 0.001 then 'mismatch' else 'match' end size
+  from py left join dr using (root))"""
+FENCE = "case when unreadable then 'unreadable' when nothing then 'absent' when size <> 'match' or coalesce(top, -1) >= 3 then 'fail' else 'pass' end"
+FENCE_CODE = "case when unreadable then 'GATE_UNREADABLE' when nothing then 'GATE_ROOT_ABSENT' when size <> 'match' then 'GATE_VOXEL_SIZE_' || upper(size) end code"
+
+
+@query("g03_gate_voxel_size", AUDIT + VOXELS + f" select root, {FENCE} outcome, {FENCE} <> 'pass' fail, integrity, max_severity, {FENCE_CODE} from verdicts join vx using (root)")
+def gate_voxel_size(spark, sf_dir):
+    """The gate where every root is asked to have voxels of one micrometre."""
+    return rules.gate(rolled(spark, sf_dir), voxels=rules.voxel_sizes(*relations(spark, sf_dir), 1.0))
+
+
 @query("a31_gate_totals", AUDIT + f"select count(*) filter ({GATE} = 'pass') n_pass, count(*) filter ({GATE} <> 'pass') n_fail from verdicts")
 def gate_totals(spark, sf_dir):
     return gate(spark, sf_dir).agg(F.count_if(~F.col("fail")).alias("n_pass"), F.count_if("fail").alias("n_fail"))

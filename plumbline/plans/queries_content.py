@@ -260,10 +260,13 @@ for _i, _code in ((1, "ABSENT"), (2, "META_MISSING"), (3, "META_UNREADABLE"), (4
         return header_codes(spark, sf_dir).filter(F.col("code") == code)
 
 
-@query("t15_content_undecoded", "select p_partkey surface from part where p_size > 48")
+@query("t15_content_undecoded", "select surface, bytes, case when bytes > 698 then 'TIFXYZ_CONTENT_UNDECODED' end code from (select p_partkey surface, case when p_partkey % 13 = 0 then 8 else 122 + 12 * p_size end bytes from part)")
 def content_undecoded(spark, sf_dir):
-    """Surfaces that are over the size cap, so their content is not judged."""
-    return read(spark, sf_dir, "part").filter("p_size > 48").select(F.col("p_partkey").alias("surface"))
+    """Surfaces whose stored image is over a size cap, so that their content is not judged."""
+    from .queries_sources import tiffs
+
+    size = F.octet_length("raw").cast("bigint")
+    return tiffs(spark, sf_dir).select(F.col("p_partkey").alias("surface"), size.alias("bytes"), F.when(size > 698, "TIFXYZ_CONTENT_UNDECODED").alias("code"))
 
 
 @query("a27_survey", CONTENT + "select code, count(distinct vec_id) n, quantile_cont(n_valid, 0.5) median_valid from codes join st using (vec_id) group by 1")

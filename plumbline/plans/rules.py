@@ -251,11 +251,37 @@ def integrity(rows: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def gate(rolled: DataFrame, fail_on: str = "high", ignore_unreadable: bool = False, allow_absent: bool = False) -> DataFrame:
-    """Fail-closed gate: unreadable, then absent, then the severity threshold."""
+def voxel_sizes(pyramids: DataFrame, levels: DataFrame, expected_um: float, tolerance_um: float = 0.001) -> DataFrame:
+    """``(root, voxel_size)``: match, mismatch or unknown, for every root.
+
+    Every spatial axis must prove the expected size by a declared scale of the base level and a
+    known unit; a size that is marked unknown, or anything that is missing, is unknown.
+    """
+    ok = F.col("present") & (F.size("shape") > 0)
+    base = levels.filter(ok).groupBy("root").agg(F.min_by(F.struct("declared_scale"), "idx").alias("base"))
+    rows = pyramids.join(base, "root", "left")
+    factor = F.create_map(*(F.lit(x) for kv in schema.UNITS.items() for x in kv))
+    scale = F.col("base.declared_scale")
+    axes = F.transform("axes", lambda a, i: F.struct(i.alias("i"), (F.equal_null(F.get("axis_types", i), F.lit("space")) | F.lower(a).isin("x", "y", "z")).alias("spatial")))
+    value = lambda i: F.get(scale, i)
+    um = lambda a: F.when(fn.is_finite(value(a.i)) & (value(a.i) > 0), value(a.i) * factor[F.lower(F.trim(F.get("axis_units", a.i)))])
+    sizes = F.transform(F.filter(axes, lambda a: a.spatial), um)
+    unproven = ~F.col("has_multiscales") | F.equal_null("marker", F.lit("unknown")) | scale.isNull() | (F.size(sizes) <= 0) | F.exists(sizes, lambda x: x.isNull())
+    status = F.when(unproven, "unknown").when(F.exists(sizes, lambda x: F.abs(x - expected_um) > tolerance_um), "mismatch").otherwise("match")
+    return rows.select("root", status.alias("voxel_size"))
+
+
+def gate(rolled: DataFrame, fail_on: str = "high", ignore_unreadable: bool = False, allow_absent: bool = False, voxels: DataFrame | None = None) -> DataFrame:
+    """Fail-closed gate: unreadable, then absent, then voxel size and severity threshold.
+
+    ``voxels``: what ``voxel_sizes`` gives, if a size is asked for. ``code`` is the gate's own finding.
+    """
     rank = fn.severity_rank("max_severity")
     threshold = schema.SEVERITIES.index(fail_on)
-    outcome = F.when(F.col("unreadable"), "unreadable").when(F.col("nothing"), "absent").when(rank >= threshold, "fail").otherwise("pass")
+    rows = rolled.withColumn("voxel_size", F.lit("match")) if voxels is None else rolled.join(voxels, "root", "left").fillna("unknown", ["voxel_size"])
+    sized = F.col("voxel_size") == "match"
+    outcome = F.when(F.col("unreadable"), "unreadable").when(F.col("nothing"), "absent").when(~sized | (rank >= threshold), "fail").otherwise("pass")
     fails = {"unreadable": not ignore_unreadable, "absent": not allow_absent, "fail": True, "pass": False}
     fail = F.create_map(*(F.lit(x) for kv in fails.items() for x in kv))[F.col("outcome")]
-    return rolled.withColumn("outcome", outcome).select("root", "outcome", fail.alias("fail"), "integrity", "max_severity")
+    code = F.when(F.col("outcome") == "unreadable", "GATE_UNREADABLE").when(F.col("outcome") == "absent", "GATE_ROOT_ABSENT").when(~sized, F.concat(F.lit("GATE_VOXEL_SIZE_"), F.upper("voxel_size")))
+    return rows.withColumn("outcome", outcome).select("root", "outcome", fail.alias("fail"), "integrity", "max_severity", code.alias("code"))

@@ -72,6 +72,8 @@ def pyramids(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.when(k % 11 == 0, F.array(F.lit("y"), F.lit("x"))).when(k % 11 == 1, F.array(F.lit("z"), F.lit("y"), F.lit("y"))).when(k % 11 == 2, F.array(F.lit("z"))).otherwise(F.array(F.lit("z"), F.lit("y"), F.lit("x")))
     kind = F.when(k % 13 == 0, F.lit(None).cast("string"))
     types = F.transform(names, lambda _, i: kind.when((k % 13 == 1) & (i == 1), "time").when(k % 13 != 0, "space"))
+    unit = lambda i: F.when((k % 5 == 0) & ~((k % 15 == 0) & (i == 0)), F.when(k % 10 == 0, "nanometer").otherwise("micrometer"))
+    units = F.transform(names, lambda _, i: unit(i))
     versions = {1: "0.4", 2: "0.5", 3: "0.6", 4: "0.10", 5: "junk", 6: "0.3"}
     version = F.lit(None).cast("string")
     for r, v in versions.items():
@@ -88,7 +90,8 @@ def pyramids(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 14 != 7).alias("has_transforms"),
         names.alias("axes"),
         types.alias("axis_types"),
-        F.when(k % 5 == 0, "micrometer").alias("unit"),
+        units.alias("axis_units"),
+        F.get(F.array_compact(units), F.lit(0)).alias("unit"),
         F.when(k % 9 == 0, "unknown").alias("marker"),
         F.when(k % 21 == 0, F.filter(F.sequence(F.lit(1), F.lit(3)), lambda j: (k + j) % 3 != 0)).otherwise(F.array().cast("array<int>")).alias("dirs_beyond"),
     )

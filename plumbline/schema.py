@@ -31,8 +31,13 @@ NOTHING_TO_AUDIT = ("ROOT_ABSENT", "EMPTY_ZARR_DIR", "TIFXYZ_ABSENT")
 VERDICTS = {"FAIL": "DO NOT TRAIN", "UNKNOWN": "DO NOT TRAIN", "WARN": "CAUTION", "PASS": "DEFER_TO_QUALITY"}
 #: dtype name: (kind, bytes)
 DTYPES = {"|u1": ("u", 1), "|i1": ("i", 1), "<u2": ("u", 2), "<i2": ("i", 2), "<u4": ("u", 4), "<i4": ("i", 4), "<f4": ("f", 4), "<f8": ("f", 8), ">u2": ("u", 2), ">f4": ("f", 4), "uint8": ("u", 1), "int8": ("i", 1), "uint16": ("u", 2), "int16": ("i", 2), "uint32": ("u", 4), "int32": ("i", 4), "float32": ("f", 4), "float64": ("f", 8)}
-#: Micrometres per unit.
-UNITS = {"nanometer": 0.001, "micrometer": 1.0, "millimeter": 1000.0, "centimeter": 10000.0, "meter": 1000000.0}
+# Micrometres per unit, for the names that are known
+UNITS = (
+    dict.fromkeys("um µm μm micron microns micrometer micrometers micrometre micrometres".split(), 1.0)
+    | dict.fromkeys("nm nanometer nanometers nanometre nanometres".split(), 1e-3)
+    | dict.fromkeys("mm millimeter millimeters millimetre millimetres".split(), 1e3)
+    | dict.fromkeys("m meter meters metre metres".split(), 1e6)
+)
 
 SEVERITY = {code: severity for group in (PYRAMID_CODES, CHUNK_CODES, SURFACE_CODES, GATE_CODES) for severity, codes in group.items() for code in codes}
 #: Severity of codes that are in no catalogue.

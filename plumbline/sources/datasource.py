@@ -72,14 +72,17 @@ def scan(spark: SparkSession, base: str, op: str, paths: list[str], **options) -
     return with_reason(reader.load())
 
 
-def observed(rows: DataFrame, base: str, op: str, path_col: str = "path", replay: str | None = None) -> DataFrame:
-    """Observations of the paths in a column: reads that depend on what was found before."""
+def observed(rows: DataFrame, base: str, op: str, path_col: str = "path", replay: str | None = None, start_col: str | None = None, length_col: str | None = None) -> DataFrame:
+    """Observations of the paths in a column: reads that depend on what was found before. Ranges and
+    suffixes take their start and length from columns."""
+    zero = F.lit(0).cast("bigint")
+    rows = rows.select(F.col(path_col).alias("path"), (F.col(start_col) if start_col else zero).alias("start"), (F.col(length_col) if length_col else zero).alias("length"))
 
     def run(batches):
         import pandas as pd
 
         store = open_store(base, replay)
         for b in batches:
-            yield pd.DataFrame([observe(store, op, p) for p in b[path_col]], columns=FIELDS)
+            yield pd.DataFrame([observe(store, op, p, int(s), int(n)) for p, s, n in zip(b["path"], b["start"], b["length"])], columns=FIELDS)
 
-    return with_reason(rows.select(path_col).mapInPandas(run, SCHEMA))
+    return with_reason(rows.mapInPandas(run, SCHEMA))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .transport import observe, open_store
 
-PYRAMID = "state string, reason string, error string, has_multiscales boolean, is_group boolean, multiscales_key boolean, node_kind string, version string, has_transforms boolean, axes array<string>, axis_types array<string>, unit string, marker string, dirs_beyond array<int>"
+PYRAMID = "state string, reason string, error string, has_multiscales boolean, is_group boolean, multiscales_key boolean, node_kind string, version string, has_transforms boolean, axes array<string>, axis_types array<string>, axis_units array<string>, unit string, marker string, dirs_beyond array<int>"
 LEVEL = (
     "idx int, path string, present boolean, state string, reason string, shape array<bigint>, chunks array<bigint>, dtype string, fill_value string, compressor_id string, separator string, "
     "declared_scale array<double>, has_chunks boolean, chunk_state string, zarr_format int, dimension_names array<string>, transforms array<struct<kind:string,len:int>>"
@@ -139,7 +139,7 @@ def scan_root(store, root: str) -> dict:
     attrs, a_state, a_reason = read.json(f"{root}/.zattrs") if g_state == "PRESENT" else (None, "ABSENT", None)
     newer, n_state, n_reason = read.json(f"{root}/zarr.json") if g_state == "ABSENT" else (None, "ABSENT", None)
     array, r_state, _ = read.json(f"{root}/.zarray") if g_state == n_state == "ABSENT" else (None, "ABSENT", None)
-    out = EMPTY | {"axes": [], "axis_types": [], "dirs_beyond": []}
+    out = EMPTY | {"axes": [], "axis_types": [], "axis_units": [], "dirs_beyond": []}
     states = [g_state, a_state, n_state, r_state]
     if "METADATA_UNREADABLE" in (g_reason, a_reason, n_reason):
         return {"pyramid": out | {"reason": "METADATA_UNREADABLE"}, "levels": []}
@@ -162,7 +162,7 @@ def scan_root(store, root: str) -> dict:
     units = [a["unit"] for a in axes if (a.get("type") == "space" or str(a.get("name")).lower() in ("x", "y", "z")) and str(a.get("unit") or "").strip()]
     version = ome.get("version", ms.get("version", "coordinateSystems" if "coordinateSystems" in ms else None))
     out["has_transforms"] = any("coordinateTransformations" in d for d in datasets)
-    out |= {"has_multiscales": True, "version": None if version is None else str(version), "axes": [str(a.get("name", "?")) for a in axes], "axis_types": [a.get("type") for a in axes], "unit": units[0] if units else None}
+    out |= {"has_multiscales": True, "version": None if version is None else str(version), "axes": [str(a.get("name", "?")) for a in axes], "axis_types": [a.get("type") for a in axes], "axis_units": [u if isinstance(u := a.get("unit"), str) else None for a in axes], "unit": units[0] if units else None}
     out["marker"] = (ms.get("metadata") or {}).get("physical_size") if isinstance(ms.get("metadata"), dict) else None
     levels = [_level(read, root, i, d) for i, d in enumerate(datasets)]
     if all(lv["path"].isdigit() for lv in levels):

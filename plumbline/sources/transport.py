@@ -108,7 +108,8 @@ class HttpStore:
 
 
 class ReplayStore(HttpStore):
-    """Answers from a table of routes: path to {status, text, json, hex, headers or raise}."""
+    """Answers from a table of routes: path to {status, text, json, hex, headers or raise}, or to such
+    answers by method, and these by the range asked for."""
 
     def __init__(self, routes: dict, default: int = 404):
         super().__init__("", tries=1)
@@ -116,6 +117,8 @@ class ReplayStore(HttpStore):
 
     def request(self, method: str, path: str, headers: dict | None = None) -> Response:
         r = self.routes.get(path.strip("/"), self.routes.get(path, {"status": self.default}))
+        r = r.get(method, r)
+        r = r.get((headers or {}).get("Range"), r)
         if "raise" in r:
             raise StoreError(r["raise"])
         body = bytes.fromhex(r["hex"]) if "hex" in r else json.dumps(r["json"]).encode() if "json" in r else r.get("text", "").encode()
@@ -153,6 +156,36 @@ class LocalStore:
         return sorted(n + "/" * os.path.isdir(os.path.join(full, n)) for n in os.listdir(full))
 
 
+def head(store, path: str) -> Response:
+    """Whether an object is there, and its size. Where HEAD is refused or gives no length, a range of
+    one byte tells both."""
+    r = store.request("HEAD", path)
+    if r.status != 405 and not (r.status == 200 and "content-length" not in r.headers):
+        return r
+    r = store.request("GET", path, {"Range": "bytes=0-0"})
+    total = r.headers.get("content-range", "").rpartition("/")[2]
+    return Response(r.status if r.status >= 400 else 200, b"", {"Content-Length": total} if total.isdigit() else {})
+
+
+def trailing(store, path: str, length: int) -> bytes:
+    """The last bytes of an object, such as a shard's index. A server that refuses suffix ranges is
+    asked for the size and then for that range; an object smaller than that is named as such."""
+    r = store.request("GET", path, {"Range": f"bytes=-{length}"})
+    if r.status == 416:
+        raise StoreError("object smaller than its index")
+    if r.status not in (400, 405, 501):
+        return checked_suffix(r, length)
+    r = head(store, path)
+    if r.status >= 400:
+        raise StoreError("404 Not Found" if r.status == 404 else f"HTTP {r.status}")
+    if "content-length" not in r.headers:
+        raise StoreError("size unknown")
+    start = int(r.headers["content-length"]) - length
+    if start < 0:
+        raise StoreError("object smaller than its index")
+    return checked_range(store.request("GET", path, {"Range": f"bytes={start}-{start + length - 1}"}), start, length)
+
+
 def open_store(base: str, replay: str | None = None, **options):
     """The store for a base: replayed routes, HTTP, or a folder."""
     if replay:
@@ -167,14 +200,15 @@ def observe(store, op: str, path: str, start: int = 0, length: int = 0) -> dict:
         if op == "list":
             row["entries"] = store.list(path)
             return row
-        headers = {"range": {"Range": f"bytes={start}-{start + length - 1}"}, "suffix": {"Range": f"bytes=-{length}"}}.get(op, {})
-        r = store.request("HEAD" if op == "head" else "GET", path, headers)
+        if op == "suffix":
+            row["body"] = trailing(store, path, length)
+            return row
+        headers = {"Range": f"bytes={start}-{start + length - 1}"} if op == "range" else {}
+        r = head(store, path) if op == "head" else store.request("GET", path, headers)
         row["status"] = r.status
         row["size"] = int(r.headers["content-length"]) if "content-length" in r.headers and r.status < 400 else None
         if op == "range":
             row["body"] = checked_range(r, start, length)
-        elif op == "suffix":
-            row["body"] = checked_suffix(r, length)
         elif r.status >= 400:
             raise StoreError("404 Not Found" if r.status == 404 else f"HTTP {r.status}")
         elif op in ("get", "json"):

@@ -173,3 +173,82 @@ def test_missing_value_is_a_value_of_its_own(spark):
 
     df = spark.createDataFrame([("r", None), ("r", "0"), ("s", None), ("s", None)], "root string, v string")
     assert [(r.root, r.observed) for r in rollup.drift(df, "root", F.col("v"), "X").collect()] == [("r", "0,None")]
+
+
+# ------------------------------------------------------------------ voxel sizes
+ROOTS = "root string, has_multiscales boolean, marker string, axes array<string>, axis_types array<string>, axis_units array<string>"
+SIZES = "root string, idx int, present boolean, shape array<bigint>, declared_scale array<double>"
+VOXEL_CASES = {
+    "match": (["z", "y", "x"], [None] * 3, ["um", " Micrometer ", "µm"], [2.0] * 3, None, "match"),
+    "nanometres": (["y", "x"], ["space"] * 2, ["nm", "nm"], [2000.0] * 2, None, "match"),
+    "within": (["x"], [None], ["micron"], [2.0009], None, "match"),
+    "mismatch": (["z", "y", "x"], [None] * 3, ["um"] * 3, [2.0, 2.0, 2.5], None, "mismatch"),
+    "other_axis_free": (["c", "y", "x"], ["channel", "space", "space"], [None, "um", "um"], [1.0, 2.0, 2.0], None, "match"),
+    "no_unit": (["y", "x"], [None] * 2, ["um", None], [2.0] * 2, None, "unknown"),
+    "strange_unit": (["x"], [None], ["furlong"], [2.0], None, "unknown"),
+    "short_scale": (["y", "x"], [None] * 2, ["um"] * 2, [2.0], None, "unknown"),
+    "no_scale": (["x"], [None], ["um"], None, None, "unknown"),
+    "not_positive": (["x"], [None], ["um"], [0.0], None, "unknown"),
+    "not_finite": (["x"], [None], ["um"], [float("inf")], None, "unknown"),
+    "marked_unknown": (["x"], [None], ["um"], [2.0], "unknown", "unknown"),
+    "no_spatial_axis": (["c"], ["channel"], ["um"], [2.0], None, "unknown"),
+}
+
+
+def test_voxel_sizes_and_the_gate(spark):
+    roots = [(r, True, m, a, t, u) for r, (a, t, u, _, m, _) in VOXEL_CASES.items()] + [("plain", False, None, [], [], []), ("no_level", True, None, ["x"], [None], ["um"])]
+    # the base is the first level that is present; later scales don't matter
+    levels = [row for r, (a, _, _, s, _, _) in VOXEL_CASES.items() for row in ((r, 0, False, None, [9.0] * 3), (r, 1, True, [4] * len(a), s), (r, 2, True, [2] * len(a), [7.0] * 3))]
+    got = rules.voxel_sizes(spark.createDataFrame(roots, ROOTS), spark.createDataFrame(levels, SIZES), 2.0)
+    want = {r: c[5] for r, c in VOXEL_CASES.items()} | {"plain": "unknown", "no_level": "unknown"}
+    assert {r.root: r.voxel_size for r in got.collect()} == want
+    rows = [("match", "DTYPE_DRIFT", "high", "PRESENT", True), ("no_unit", "ROOT_ABSENT", "low", "ABSENT", True), ("mismatch", "ACCESS_UNKNOWN", "info", "UNKNOWN", False)]
+    rolled = rules.integrity(spark.createDataFrame([(r,) for r in want], "root string"), spark.createDataFrame([(r, "", c, s, e, a) for r, c, s, e, a in rows], FINDING))
+    gated = {r.root: (r.outcome, r.fail, r.code) for r in rules.gate(rolled, voxels=got).collect()}
+    assert gated["match"] == ("fail", True, None) and gated["within"] == ("pass", False, None)
+    assert gated["no_unit"] == ("absent", True, "GATE_ROOT_ABSENT") and gated["mismatch"] == ("unreadable", True, "GATE_UNREADABLE")
+    assert gated["short_scale"] == ("fail", True, "GATE_VOXEL_SIZE_UNKNOWN") and gated["other_axis_free"][0] == "pass"
+    assert {r.code for r in rules.gate(rolled).collect()} == {None, "GATE_ROOT_ABSENT", "GATE_UNREADABLE"}
+
+
+# ------------------------------------------------------------------ servers that refuse
+def asked(op, **answers):
+    store = transport.ReplayStore({"k": answers.get("route", answers)})
+    row = transport.observe(store, op, "k", 0, 4)
+    return row["state"], row["size"], row["body"], row["error"]
+
+
+WHOLE = {"text": "0123456789"}
+ONE_BYTE = {"bytes=0-0": {"status": 206, "text": "0", "headers": {"Content-Range": "bytes 0-0/10"}}}
+LAST = {"bytes=6-9": {"status": 206, "text": "6789", "headers": {"Content-Range": "bytes 6-9/10"}}}
+
+
+@pytest.mark.parametrize(
+    "answers, want",
+    [
+        ({"HEAD": WHOLE}, ("PRESENT", 10, None, None)),
+        ({"HEAD": {"status": 405}, "GET": ONE_BYTE}, ("PRESENT", 10, None, None)),
+        ({"HEAD": {"status": 405}, "GET": {"status": 404}}, ("ABSENT", None, None, "404 Not Found")),
+        ({"HEAD": {"status": 405}, "GET": {"status": 503}}, ("UNKNOWN", None, None, "HTTP 503")),
+        ({"HEAD": {"status": 404}}, ("ABSENT", None, None, "404 Not Found")),
+        ({"HEAD": {"status": 500}}, ("UNKNOWN", None, None, "HTTP 500")),
+    ],
+)
+def test_size_probes(answers, want):
+    assert asked("head", route=answers) == want
+
+
+@pytest.mark.parametrize("refusal", [400, 405, 501])
+def test_suffix_falls_back_on_the_size(refusal):
+    refused = {"bytes=-4": {"status": refusal}}
+    assert asked("suffix", HEAD=WHOLE, GET=refused | LAST) == ("PRESENT", None, b"6789", None)
+    assert asked("suffix", HEAD={"status": 405}, GET=refused | ONE_BYTE | LAST) == ("PRESENT", None, b"6789", None)
+    assert asked("suffix", HEAD={"status": 404}, GET=refused)[0::3] == ("ABSENT", "404 Not Found")
+    assert asked("suffix", HEAD={"text": "abc"}, GET=refused)[0::3] == ("UNKNOWN", "object smaller than its index")
+    assert asked("suffix", HEAD={"status": 502}, GET=refused)[0::3] == ("UNKNOWN", "HTTP 502")
+
+
+def test_suffix_of_a_small_or_absent_object():
+    assert asked("suffix", GET={"bytes=-4": {"status": 416}})[0::3] == ("UNKNOWN", "object smaller than its index")
+    assert asked("suffix", GET={"bytes=-4": {"status": 404}})[0::3] == ("ABSENT", "404 Not Found")
+    assert asked("suffix", GET={"bytes=-4": {"status": 503}})[0::3] == ("UNKNOWN", "HTTP 503")
