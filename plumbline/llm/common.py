@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -9,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python task turns into objects at once. Spark bounds an Arrow batch by bytes.
+#: Rows that a Python task turns into objects at once, and bytes of an Arrow batch.
 BATCH_ROWS = 512
+BATCH_BYTES = 4_000_000
 #: Rows of a few bytes each that may be sent to all tasks (some 32 MB).
 FEW_ROWS = 4_000_000
 
@@ -20,11 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, as texts can be long; a bound that is smaller
+    already stays. All operators ask for the same, so their order does not matter."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``."""
+    """The same rows in batches of at most ``rows``. At the end of a task, memory that Arrow holds for
+    reuse goes back, as the worker may stay idle."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -178,6 +178,7 @@ def _benchmark(items: tuple[tuple[int, str | None], ...]) -> Benchmark:
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "leaks") -> DataFrame:
     """``docs`` with ``out_col``: array of (item_id, start_word, end_word, similarity), the best window
     of each item that the text holds."""
+    common.bound_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))

@@ -367,6 +367,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` without ``html_col``, with ``out_col``: the main text."""
+    common.bound_batches(pages.sparkSession)
     cols = [c for c in pages.columns if c not in (out_col, html_col)]
     rows = pages.select(*cols, F.col(html_col).alias("__html"))
 

@@ -317,6 +317,7 @@ def scored(docs: DataFrame, model_: DataFrame, languages: DataFrame, lang_col: s
             rows = unpacked(body.as_py())
             chars, bits = got.score([t or "" for t in rows.column(text_at).to_pylist()])
             out.append(pa.table([*rows.columns, pa.array([own] * len(chars), pa.string()), pa.array(chars), pa.array(bits)], names=schema.names))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out) if out else pa.Table.from_batches([], pa.schema([]))
 
     keys = ["own", "block"]
@@ -327,6 +328,7 @@ class Classifier:
     """The fitted model and the limits of each language."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER):
+        common.bound_batches(docs.sparkSession)
         self.order = order
         trusted = trusted_rows(docs, labels)
         gathered = common.stored(counts(trusted.filter("not held"), order))

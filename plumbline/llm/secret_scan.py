@@ -245,6 +245,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """``docs`` with ``out_col``: array of (kind, start, end)."""
+    common.bound_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c != out_col]
     schema = docs.select(*cols).schema.add(out_col, SPANS)
 
@@ -259,6 +260,7 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> D
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mark``; overlapping spans count as one."""
+    common.bound_batches(docs.sparkSession)
     cols = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

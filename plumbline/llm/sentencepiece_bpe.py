@@ -244,6 +244,7 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with ``out_col`` array<int>: the ids of the whole text, then the end id."""
+    common.bound_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +260,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` with ``out_col`` string: the text of ``ids_col`` (null: empty)."""
+    common.bound_batches(rows.sparkSession)
     cols = [c for c in rows.columns if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

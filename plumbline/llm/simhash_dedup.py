@@ -99,6 +99,7 @@ def set_key(hashes: np.ndarray) -> bytes:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, n_hashes: int = 1, keys: bool = False) -> DataFrame:
     """``(doc_id, fp0, fp1, ...)``: a row for each row of ``docs``; fingerprints as signed bigints.
     With ``keys`` also ``set_key``, the name of the set of shingles."""
+    common.bound_batches(docs.sparkSession)
     names = [f"fp{k}" for k in range(n_hashes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +121,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
     """``(node, hashes)``: the distinct shingle hashes of each row of ``docs``."""
+    common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
