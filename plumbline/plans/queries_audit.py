@@ -167,7 +167,7 @@ def finding_level(spark, sf_dir):
     return findings(spark, sf_dir).select("root", "level", "code").join(levels, ["root", "level"], "left")
 
 
-@query("a33_contract", None)
+@query("a33_contract", AUDIT + f"select distinct code, severity, '{schema.fingerprint()}' contract from findings")
 def contract(spark, sf_dir):
     """Codes that occur and their share of the contract, with its fingerprint."""
     seen = findings(spark, sf_dir).select("code", "severity").distinct()

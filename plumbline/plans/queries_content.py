@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 
-from ..operators import chunks, sampling, surfaces, voxels
+from ..functions import binary
+from ..operators import chunks, probe, sampling, surfaces, voxels
+from ..sources import store_table
 from .catalogue import Catalogue
+from . import tables
+from .oracle import LEVELS
 from .tables import read
 
 catalogue = Catalogue()
@@ -49,6 +56,56 @@ def first_k(spark, sf_dir):
     return chosen(spark, sf_dir).select("user_id", "event_type", "event_id", "status")
 
 
+# ------------------------------------------------------------------ chunk probe
+#: What a store holds at a chunk's path is decided by the first digit of the path's MD5: nothing,
+#: other values than the fill, the fill alone, or three bytes of sevens whatever the type.
+PROBE = "with " + LEVELS + """,
+ok as (select *, list_transform(range(1, len(shape) + 1), lambda i: greatest(1, cast(ceil(shape[i] / chunks[i]) as bigint))) g from lv where present),
+tot as (select *, cast(list_product(g) as bigint) total from ok),
+pos as (select *, unnest(list_sort(list_distinct(list_transform(range(9), lambda i: cast(round_even(i * (total - 1) / 8.0::double, 0) as bigint))))) flat from tot),
+ix as (select *, case when len(g) = 2 then [flat // g[2], flat % g[2]] else [flat // (g[2] * g[3]), (flat // g[3]) % g[2], flat % g[3]] end at from pos),
+ob as (select *, root || '/' || path || '/' || case when zarr_format = 3 then 'c/' || array_to_string(at, '/') when separator = '/' then array_to_string(at, '/') else array_to_string(at, '.') end obj from ix),
+fd as (select *, substr(md5(obj), 1, 1) d from ob),
+rk as (select *, row_number() over (partition by root, path order by flat) n from fd where d not in ('0', '1', '2', '3')),
+ps as (select root, path as level, obj as path, case
+    when compressor_id not in ('none', 'zlib:l1') then 'undecodable'
+    when d in ('e', 'f') and dtype <> '|u1' and not (compressor_id = 'none' and dtype = '<u2') then 'undecodable'
+    when d in ('a', 'b', 'c', 'd') then 'empty' else 'populated' end status from rk where n <= 3)
+"""
+
+
+def planted(spark, sf_dir):
+    """The objects of a store, written to the shared folder: the probe reads what is found there."""
+    @F.pandas_udf("binary")
+    def packed(raw: pd.Series, codec: pd.Series) -> pd.Series:
+        return pd.Series([zlib.compress(r) if c.startswith("zlib") else r for r, c in zip(raw, codec)])
+
+    rows = probe.candidates(tables.levels(spark, sf_dir), 3)
+    digit = F.substring(F.md5(F.col("path").cast("binary")), 1, 1)
+    width = F.create_map(*(F.lit(x) for name, v in binary.WIDTHS.items() for x in (name, v)))[F.col("dtype")]
+    hexes = F.when(digit.between("a", "d"), F.repeat(F.lit("00"), width * 8)).when(digit.isin("e", "f"), "070707").otherwise(F.repeat(F.lit("07"), width * 8))
+    return store_table(rows.filter(~digit.between("0", "3")).select("path", packed(F.unhex(hexes), F.col("compressor_id")).alias("body")))
+
+
+def probed(spark, sf_dir):
+    return probe.probe(tables.levels(spark, sf_dir), planted(spark, sf_dir))
+
+
+@query("k00_chunk_probe", PROBE + "select * from ps")
+def chunk_probe(spark, sf_dir):
+    return probed(spark, sf_dir)
+
+
+PROBED = "select root, level, count(*) n, count(*) filter (status in ('populated', 'empty')) decodable, count(*) filter (status = 'empty') as empty from ps group by 1, 2"
+
+
+@query("k00_level_codes", PROBE + f"""select lv.root, lv.path as level, case when x.n is null then case when has_chunks = false then 'CHUNK_LEVEL_NO_CHUNKS' else 'CHUNK_LEVEL_NO_SAMPLES' end else 'CHUNK_SAMPLE_ALL_EMPTY' end code,
+    case when x.n is null then 'info' else 'medium' end severity from lv left join ({PROBED}) x on lv.root = x.root and lv.path = x.level where x.n is null or (decodable > 0 and decodable = empty)""")
+def probed_level_codes(spark, sf_dir):
+    levels = tables.levels(spark, sf_dir).select("root", F.col("path").alias("level"), "has_chunks")
+    return chunks.level_codes(levels, probed(spark, sf_dir), ["root", "level"])
+
+
 CODE = "case status when 'populated' then 'CHUNK_SAMPLE_POPULATED' when 'empty' then 'CHUNK_SAMPLE_EMPTY' when 'missing' then 'CHUNK_SAMPLE_MISSING' when 'absent' then 'CHUNK_SAMPLE_ABSENT' when 'undecodable' then 'CHUNK_UNDECODEABLE' when 'checksum_mismatch' then 'SHARD_INDEX_CHECKSUM_MISMATCH' else 'CHUNK_FETCH_ERROR' end"
 
 
