@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import schema
+from ..functions.json_schema import schema_faults
 from ..operators import rollup, sampling
 from ..sources import store_table
 from . import rules, tables
@@ -156,6 +157,19 @@ def reports(spark, sf_dir):
     return docs.select("root", "integrity", "max_severity", "verdict", "coverage.declared", "coverage.present", listed.alias("listed"))
 
 
+@query("c24_report_schema", AUDIT + """select root, case k % 10 when 3 then '$.integrity: enum' when 5 then '$.coverage: required' when 7 then '$.note: additionalProperties' when 9 then '$: json' else '' end faults
+    from (select root, cast(substr(root, 6) as bigint) k from verdicts)""")
+def report_schema(spark, sf_dir):
+    """Reports as JSON, some of them damaged, against their schema."""
+    found = store_table(findings(spark, sf_dir))
+    docs = rollup.reports(rules.integrity(tables.pyramids(spark, sf_dir), found), found, tables.levels(spark, sf_dir))
+    k = F.substring("root", 6, 20).cast("bigint") % 10
+    docs = docs.withColumns({"integrity": F.when(k == 3, "BROKEN").otherwise(F.col("integrity")), "coverage": F.when(k != 5, F.col("coverage")), "note": F.when(k == 7, "x")})
+    text = F.to_json(F.struct(*docs.columns))
+    text = F.when(k == 9, F.substring(text, 2, 30)).otherwise(text)
+    return docs.select("root", F.array_join(schema_faults(text, schema.REPORT), ";").alias("faults"))
+
+
 @query("p13_finding_evidence", AUDIT + "select code, evidence_state, count(*) n from findings group by 1, 2")
 def finding_evidence(spark, sf_dir):
     return findings(spark, sf_dir).groupBy("code", "evidence_state").agg(F.count("*").alias("n"))

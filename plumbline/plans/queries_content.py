@@ -63,8 +63,8 @@ PROBE = "with " + LEVELS + """,
 ok as (select *, list_transform(range(1, len(shape) + 1), lambda i: greatest(1, cast(ceil(shape[i] / chunks[i]) as bigint))) g from lv where present),
 tot as (select *, cast(list_product(g) as bigint) total from ok),
 pos as (select *, unnest(list_sort(list_distinct(list_transform(range(9), lambda i: cast(round_even(i * (total - 1) / 8.0::double, 0) as bigint))))) flat from tot),
-ix as (select *, case when len(g) = 2 then [flat // g[2], flat % g[2]] else [flat // (g[2] * g[3]), (flat // g[3]) % g[2], flat % g[3]] end at from pos),
-ob as (select *, root || '/' || path || '/' || case when zarr_format = 3 then 'c/' || array_to_string(at, '/') when separator = '/' then array_to_string(at, '/') else array_to_string(at, '.') end obj from ix),
+ix as (select *, case when len(g) = 2 then [flat // g[2], flat % g[2]] else [flat // (g[2] * g[3]), (flat // g[3]) % g[2], flat % g[3]] end pl from pos),
+ob as (select *, root || '/' || path || '/' || case when zarr_format = 3 then 'c/' || array_to_string(pl, '/') when separator = '/' then array_to_string(pl, '/') else array_to_string(pl, '.') end obj from ix),
 fd as (select *, substr(md5(obj), 1, 1) d from ob),
 rk as (select *, row_number() over (partition by root, path order by flat) n from fd where d not in ('0', '1', '2', '3')),
 ps as (select root, path as level, obj as path, case

@@ -42,6 +42,28 @@ UNITS = (
 SEVERITY = {code: severity for group in (PYRAMID_CODES, CHUNK_CODES, SURFACE_CODES, GATE_CODES) for severity, codes in group.items() for code in codes}
 #: Severity of codes that are in no catalogue.
 DEFAULT_SEVERITY = "medium"
+#: Structure of a root's report.
+REPORT = {
+    "type": "object",
+    "required": ["root", "integrity", "max_severity", "verdict", "coverage", "findings"],
+    "additionalProperties": False,
+    "properties": {
+        "root": {"type": "string"},
+        "integrity": {"enum": ["FAIL", "UNKNOWN", "WARN", "PASS"]},
+        "max_severity": {"enum": ["none", *SEVERITIES]},
+        "verdict": {"enum": sorted(set(VERDICTS.values()))},
+        "coverage": {"type": "object", "additionalProperties": {"type": "integer"}},
+        "findings": {"type": "array", "items": {"$ref": "#/$defs/finding"}},
+    },
+    "$defs": {
+        "finding": {
+            "type": "object",
+            "required": ["level", "code", "severity", "evidence_state"],
+            "additionalProperties": False,
+            "properties": {"level": {"type": "string"}, "code": {"type": "string"}, "severity": {"enum": list(SEVERITIES)}, "evidence_state": {"enum": [PRESENT, ABSENT, UNKNOWN]}},
+        }
+    },
+}
 
 
 def fingerprint() -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline import functions as fn
 from plumbline import schema
-from plumbline.functions import binary
+from plumbline.functions import binary, json_schema
 from plumbline.operators import sampling
 from plumbline.plans import rules
 from plumbline.sources import datasource, sinks, transport
@@ -252,3 +252,30 @@ def test_suffix_of_a_small_or_absent_object():
     assert asked("suffix", GET={"bytes=-4": {"status": 416}})[0::3] == ("UNKNOWN", "object smaller than its index")
     assert asked("suffix", GET={"bytes=-4": {"status": 404}})[0::3] == ("ABSENT", "404 Not Found")
     assert asked("suffix", GET={"bytes=-4": {"status": 503}})[0::3] == ("UNKNOWN", "HTTP 503")
+
+
+# ------------------------------------------------------------------ documents and their schema
+TREE = {
+    "type": "object",
+    "required": ["name"],
+    "additionalProperties": {"type": ["integer", "null"]},
+    "properties": {"name": {"type": "string"}, "kind": {"const": "t"}, "sub": {"type": "array", "items": {"$ref": "#/$defs/t"}}},
+    "$defs": {"t": {"type": "object", "required": ["name"], "additionalProperties": False, "properties": {"name": {"enum": ["a", "b"]}, "x": {"type": "number"}}}},
+}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('{"name": "n", "kind": "t", "sub": [{"name": "a", "x": 1.5}], "other": 3, "more": null}', []),
+        ('{"kind": "u", "name": 3}', ["$.kind: const", "$.name: type"]),
+        ("[]", ["$: type"]),
+        ('{"name": "n", "other": true, "rest": 1.5}', ["$.other: type", "$.rest: type"]),
+        ('{"name": "n", "sub": [{"x": false}, 4, {"name": "c", "y": 0}]}', ["$.sub[1]: type", "$.sub[0].name: required", "$.sub[0].x: type", "$.sub[2].y: additionalProperties", "$.sub[2].name: enum"]),
+        ('{"name"', ["$: json"]),
+        (None, None),
+    ],
+)
+def test_schema_faults(spark, text, want):
+    got = spark.createDataFrame([(text,)], "doc string").select(json_schema.schema_faults("doc", TREE).alias("f")).first().f
+    assert (got if got is None else sorted(got)) == (want if want is None else sorted(want))
