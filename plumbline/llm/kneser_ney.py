@@ -54,10 +54,10 @@ PRIOR_CHARS = 32
 #: Parts of a bit in which quantiles are counted.
 STEPS = 256
 #: Bytes of text in a block, and in the packs that are dealt to blocks.
-BLOCK_BYTES = 32_000_000
-PACK_BYTES = 2_000_000
+BLOCK_BYTES = 20_000_000
+PACK_BYTES = 500_000
 #: Characters looked at together, and n-grams that a task holds before it hands on their counts.
-CHARS_AT_ONCE = 500_000
+CHARS_AT_ONCE = 250_000
 GRAMS_AT_ONCE = 500_000
 LANGUAGE_ROWS = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -255,7 +255,7 @@ def packed(rows: DataFrame, carried: int) -> DataFrame:
                 size[lang] += part.nbytes
                 if size[lang] >= PACK_BYTES:
                     yield pack(lang)
-            if size.total() > 16 * PACK_BYTES:
+            if size.total() > 32 * PACK_BYTES:
                 yield pack(max(size, key=size.get))
         for lang in list(held):
             yield pack(lang)

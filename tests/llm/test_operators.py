@@ -589,6 +589,23 @@ def test_pipeline(spark):
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
 
 
+def test_stages_on_odd_tables(spark, docs, empty):
+    """Empty tables, null ids and texts, repeated rows, very long texts, columns with clashing names."""
+    import corpus_pipeline
+
+    odd = docs.select("*", F.lit(1).alias("quality"), F.lit("x").alias("own"), F.lit(2).alias("block"), F.lit("y").alias("item_id"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
+        out = stage(spark, odd, SF)
+        if name == "tokenize":
+            assert out.count() == odd.count()
+        else:
+            assert out.columns == odd.columns and 0 < out.count() <= odd.count(), name
+            assert out.filter("quality <> 1 or own <> 'x' or block <> 2 or item_id <> 'y'").count() == 0, name
+    kept = simhash_dedup.one_of_each(odd, shingle=5, radius=15, blocks=8, confirm=32, similarity=0.8)
+    assert kept.filter("coalesce(text, '') = ''").count() == 1  # of null and empty texts one is left
+
+
 def test_one_of_each_keeps_row_numbers_when_files_are_packed_anew(spark, tmp_path, monkeypatch):
     texts = [f"copy {i // 2} of the text with some words {i // 2 * 7919}" for i in range(40)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(20).write.parquet(f"{tmp_path}/docs")
