@@ -55,9 +55,9 @@ PRIOR_CHARS = 32
 STEPS = 256
 #: Bytes of text in a block, and in the packs that are dealt to blocks.
 BLOCK_BYTES = 20_000_000
-PACK_BYTES = 500_000
+PACK_BYTES = 1_000_000
 #: Characters looked at together, and n-grams that a task holds before it hands on their counts.
-CHARS_AT_ONCE = 250_000
+CHARS_AT_ONCE = 500_000
 GRAMS_AT_ONCE = 500_000
 LANGUAGE_ROWS = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -258,6 +258,27 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
     return docs.select(*cols).mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", check_col: str = "lossless") -> DataFrame:
+    """``docs`` with ``out_col`` as ``encode`` gives it, and whether decoding it gives the text again.
+
+    Both in one pass, so that a task has one Python worker with one model.
+    """
+    common.bound_batches(docs.sparkSession)
+    cols = [c for c in docs.columns if c not in (out_col, check_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(model_path)
+        known = Known(model.end_id)
+        for b in common.slices(batches):
+            texts = [t or "" for t in b.column(cols.index(text_col)).to_pylist()]
+            ids = model.encode(texts, known)
+            same = [model.decode(x) == t for x, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays([*b.columns, lists(ids), pa.array(same, pa.bool_())], names=[*cols, out_col, check_col])
+
+    schema = docs.select(*cols).schema.add(out_col, T.ArrayType(T.IntegerType())).add(check_col, T.BooleanType())
+    return docs.select(*cols).mapInArrow(run, schema)
+
+
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` with ``out_col`` string: the text of ``ids_col`` (null: empty)."""
     common.bound_batches(rows.sparkSession)
