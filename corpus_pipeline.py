@@ -40,9 +40,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("piece_bpe_32k.model")
-    rows = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, path), path)
-    return rows.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.equal_null("decoded", common.text_or_empty()).alias("lossless"))
+    rows = sentencepiece_bpe.encode_checked(docs, tokenizer_path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "lossless")
 
 
 STAGES = [
