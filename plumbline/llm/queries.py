@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, decontamination, html_text, kneser_ney, quality_rules, secret_scan, sentencepiece_bpe, shards, simhash_dedup, token_counts
+from . import chat_format, common, decontamination, html_text, kneser_ney, language_id, quality_rules, secret_scan, sentencepiece_bpe, shards, simhash_dedup, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,6 +63,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_round_trip": op1_sentencepiece_round_trip,
     "op2_kneser_ney_quality": op2_kneser_ney_quality,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_shards": op9_shards,
     "op10_token_counts": op10_token_counts,
+    "op11_language_id": op11_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
