@@ -111,8 +111,8 @@ from s group by conv_id""",
     "op12_prefix_trie": r"""
 with t as (select conv_id c, turn, coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
 o as (select *, row_number() over (partition by c order by turn nulls first, r, x) k from t),
-i as (select distinct c, xor(list_reduce(list_transform(list_concat(['~'], string_split(cast(c as varchar), '')), y -> case when y = '~' then 4294967295 else cast(ascii(y) as bigint) end),
-        (a, b) -> list_reduce(list_concat([xor(a, b)], range(8)), (y, z) -> case when y % 2 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)), 4294967295) % 4 h from t),
+i as (select distinct c, xor(list_reduce(list_transform(list_concat(['~'], string_split(cast(c as varchar), '')), lambda y: case when y = '~' then 4294967295 else cast(ascii(y) as bigint) end),
+        lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda y, z: case when y % 2 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)), 4294967295) % 4 h from t),
 b as (select i.c, o.k p, o.r, o.x from i join o on o.c = i.c - i.c % 20 and o.k <= i.h),
 n as (select c, count(*) n from b group by c),
 m as (select * from b union all select o.c, o.k - i.h + coalesce(n.n, 0), o.r, o.x from o join i on i.c = o.c and o.k > i.h left join n on n.c = o.c),
@@ -128,9 +128,9 @@ select s.c conv_id, cast(s.d as bigint) depth, u.c parent_conv_id, s.n n_convs,
 from s left join g u on u.node = s.up join z on z.node = s.node""",
     "op13_hard_negatives": r"""
 with v as (
-  select vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end l, list_transform(embedding, x -> floor(256 * cast(x as double))) q
+  select vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * cast(x as double))) q
   from embeddings
-  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select a.vec_id a, b.vec_id b, a.l = b.l same, cast(list_inner_product(a.q, b.q) as bigint) score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
 p as (select a, b, score from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
 n as (select p.a, p.b, p.score ps, s.b nb, s.score ns, row_number() over (partition by p.a, p.b order by s.score desc, s.b) r
