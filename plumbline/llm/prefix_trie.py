@@ -63,7 +63,7 @@ def rebuilt(turns: DataFrame, **cols: str) -> DataFrame:
     """``(conv_id, pos, digest, words)`` of the rebuilt conversations, and a row with a null digest at
     place 0 for each of them: the first h turns of the first conversation of its twenty, then its own
     turns after the first h, where h is the CRC-32 of its id modulo ``HEADS``."""
-    rows = numbered(turns, **cols)
+    rows = common.stored(numbered(turns, **cols))
     h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEADS).cast("int")
     base = F.col("conv_id") - F.col("conv_id") % GROUP
     heads = rows.filter((F.col("conv_id") % GROUP == 0) & (F.col("k") < HEADS)).groupBy(F.col("conv_id").alias("base"))
