@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -21,7 +22,8 @@ WIDTHS = {name: np.dtype(name).itemsize for name in ("|u1", "|i1", "<u2", "<i2",
 
 
 def register_codec(name: str, decode) -> None:
-    """Decode chunks of another codec by a function from bytes to bytes; call it where tasks import it."""
+    """Decode chunks of another codec by a function from bytes to bytes. Plans made after this carry it to
+    their tasks, so it need not be importable there."""
     CODECS[name] = decode
 
 
@@ -151,13 +153,23 @@ def chunk_status(raw: bytes | None, dtype: str, compressor: str, fill: str | Non
     if codec is None:
         return "undecodable"
     try:
-        values, want = np.frombuffer(codec(raw), np.dtype(names.get(dtype, dtype))), fill_of(fill, dtype)
+        kind, body = np.dtype(names.get(dtype, dtype)), codec(raw)
+        if len(body) < kind.itemsize:
+            return "undecodable"
+        values, want = np.frombuffer(body[: len(body) // kind.itemsize * kind.itemsize], kind), fill_of(fill, dtype)
     except (ValueError, TypeError, zlib.error):
         return "undecodable"
     same = np.isnan(values) if want != want else values == want
     return "empty" if same.all() else "populated"
 
 
-@pandas_udf(T.StringType())
-def decoded_status(raw: pd.Series, dtype: pd.Series, compressor: pd.Series, fill: pd.Series) -> pd.Series:
-    return pd.Series([chunk_status(*x) for x in zip(raw, dtype, compressor, (None if f is None or f != f else f for f in fill))])
+def decoded_status(raw, dtype, compressor, fill) -> Column:
+    """Status column of chunks; codecs that are registered here go to the tasks with it."""
+    codecs = dict(CODECS)
+
+    @pandas_udf(T.StringType())
+    def status(raw: pd.Series, dtype: pd.Series, compressor: pd.Series, fill: pd.Series) -> pd.Series:
+        CODECS.update(codecs)
+        return pd.Series([chunk_status(*x) for x in zip(raw, dtype, compressor, (None if f is None or f != f else f for f in fill))])
+
+    return status(raw, dtype, compressor, fill)

@@ -1,22 +1,42 @@
-"""Chunk probes: a few present chunks of each level, read and judged.
+"""Chunk probes: a few present chunks of each level, read and judged by reads that depend on each other.
 
-Objects are a relation ``(path, body)``: Spark's ``binaryFile`` source over any file system, or the
-rows of ``evidence_store``. What to read is computed from the level headers and joined with it on
-the path, so no task lists or holds a store.
+Each level is a row; a task asks a store for one object after the other and stops as soon as a level
+has its samples, so what is read grows with the samples and not with what the store holds:
+
+* plain chunks: HEAD of spread candidates in their order, until k are present; of an uncompressed
+  chunk of integers with fill zero, a range of 4 kB, and the rest only if that is all zero;
+* shards: the index from the end of spread shards, its checksum, then the inner chunks chosen, with
+  neighbours in one range;
+* windows: small boxes at fixed shares of a level's extent, for sharded levels.
+
+Rows go to tasks by root; ``max_rps`` is shared by the tasks, so each has its part of it. A store is a base
+(folder, URL), or planted objects that come with the row. Every failure is a sample, never an end.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from .. import schema
 from ..functions import binary
+from ..sources import arrays
+from ..sources.transport import PlantedStore, StoreError, head, open_store
 
 #: Bytes from the start of an object that are looked at before the whole of it.
 PREFIX_BYTES = 4096
+#: Extent of a window, where windows begin (shares of the extent), and how that moves from axis to axis.
+WINDOW = 64
+SHARES, SHIFT = (0.15, 0.5, 0.85), 0.23
+SAMPLE = "root string, level string, place int, chunk array<bigint>, path string, status string, detail string, calls int, bytes bigint, index_crc string"
+ARROW = pa.schema([("root", pa.string()), ("level", pa.string()), ("place", pa.int32()), ("chunk", pa.list_(pa.int64())), ("path", pa.string()), ("status", pa.string()), ("detail", pa.string()), ("calls", pa.int32()), ("bytes", pa.int64()), ("index_crc", pa.string())])
+#: Columns of a level that a probe looks at, with their types; those a relation lacks are null.
+LEVEL = {"shape": "array<bigint>", "chunks": "array<bigint>", "dtype": "string", "fill_value": "string", "compressor_id": "string", "separator": "string", "zarr_format": "int", "filters": "boolean"}
 
 
 def unravelled(flat: Column, grid: Column) -> Column:
@@ -37,23 +57,211 @@ def candidates(levels: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("path", F.concat_ws("/", "root", "level", key)).drop("grid", "flat")
 
 
-def prefix_proves(dtype: Column, fill: Column) -> Column:
-    """Whether a byte that is not zero proves content: integers with fill zero, which is the default."""
-    kind = F.create_map(*(F.lit(x) for name, v in schema.DTYPES.items() for x in (name, v[0])))[dtype]
-    return F.coalesce(kind.isin("u", "i") & (F.coalesce(fill.try_cast("double"), F.when(fill.isNull(), 0.0)) == 0), F.lit(False))
+def spread(grid: tuple[int, ...], k: int) -> list[tuple[int, ...]]:
+    """k places spread over a grid, first and last included."""
+    total = math.prod(grid)
+    k = min(k, total)
+    flat = sorted({round(i * (total - 1) / (k - 1)) for i in range(k)}) if k > 1 else [0]
+    return [tuple(int(x) for x in np.unravel_index(n, grid)) for n in flat]
+
+
+def _verdict(values: np.ndarray, header: arrays.Header) -> tuple[str, str]:
+    fill = arrays.fill_number(header)
+    if arrays.is_fill(values, fill):
+        return "empty", f"all {values.size} values are the fill value {header.fill or 0}"
+    other = int((~np.isnan(values) if fill != fill else values != fill).sum())
+    return "populated", f"{other} of {values.size} values differ from the fill value {header.fill or 0}"
+
+
+def _prefix_proves(header: arrays.Header) -> bool:
+    """Whether a byte that is not zero proves content: uncompressed integers with fill zero."""
+    try:
+        return not header.codecs and header.dtype.kind in "biu" and arrays.fill_number(header) == 0
+    except arrays.Undecodable:
+        return False
+
+
+def _chunk(store, path: str, header: arrays.Header) -> tuple[str, str]:
+    """Status and detail of one object."""
+    try:
+        r = head(store, path)
+    except StoreError as e:
+        return "fetch_error", f"existence check failed: {e}"
+    if r.status == 404:
+        return "absent", "no such chunk"
+    if r.status >= 400:
+        return "fetch_error", f"existence check failed: HTTP {r.status}"
+    size = int(r.headers["content-length"]) if r.headers.get("content-length", "").isdigit() else None
+    try:
+        raw = None
+        if _prefix_proves(header) and size != 0:
+            n = min(PREFIX_BYTES, size or PREFIX_BYTES)
+            first = arrays.fetched(store, path, 0, n)
+            if any(first):
+                return "populated", f"a byte of the first {n} is not zero"
+            raw = first if size == n else None
+        raw = arrays.fetched(store, path) if raw is None else raw
+    except (StoreError, arrays.Absent) as e:
+        return "fetch_error", f"fetch failed: {e}"
+    try:
+        return _verdict(arrays.decoded(raw, header), header)
+    except arrays.Undecodable as e:
+        return "undecodable", f"cannot decode: {e}"
+
+
+def plain_samples(store, base: str, header: arrays.Header, k: int) -> Iterator[dict]:
+    """The first k present of 3 k candidates; the calls that found the absent ones go with the next sample."""
+    found = 0
+    for place, index in enumerate(spread(header.grid, 3 * k)):
+        if found == k:
+            return
+        path = f"{base}/{header.key(index)}"
+        status, detail = _chunk(store, path, header)
+        if status == "absent":
+            continue
+        found += 1
+        calls, size = store.spent()
+        yield {"place": place, "chunk": index, "path": path, "status": status, "detail": detail, "calls": calls, "bytes": size}
+
+
+def shard_samples(store, base: str, header: arrays.Header, k: int, inner: int) -> Iterator[dict]:
+    """Inner chunks of k shards. What was read for the index goes with the first sample of a shard."""
+    place = 0
 
+    def sample(chunk, path, status, detail, crc="", spent=None):
+        nonlocal place
+        calls, size = spent or store.spent()
+        place += 1
+        return {"place": place - 1, "chunk": chunk, "path": path, "status": status, "detail": detail, "calls": calls, "bytes": size, "index_crc": crc}
 
-def probe(levels: DataFrame, objects: DataFrame, k: int = 3) -> DataFrame:
-    """``(root, level, path, status)`` of the first k chunks of each level that are present.
+    for shard in spread(header.grid, k):
+        path = f"{base}/{header.key(shard)}"
+        try:
+            index, crc = arrays.index_of(store, path, header)
+        except arrays.Absent:
+            yield sample(shard, path, "missing", "no such shard: reads as fill")
+            continue
+        except arrays.ChecksumMismatch:
+            yield sample(shard, path, "checksum_mismatch", "the index's checksum is wrong: its offsets are not followed", "mismatch")
+            continue
+        except arrays.TooSmall as e:  # the rest of the level would say no more
+            yield sample(shard, path, "undecodable", str(e))
+            return
+        except StoreError as e:
+            yield sample(shard, path, "fetch_error", f"index: {e}")
+            return
+        begin = tuple(p * c for p, c in zip(shard, header.chunks))
+        inside = tuple(min(g, -(-max(1, s - b) // i)) for g, s, b, i in zip(header.inner_grid, header.shape, begin, header.inner))
+        chosen = spread(inside, inner)
+        numbers = [int(np.ravel_multi_index(i, header.inner_grid)) for i in chosen]
+        bodies = arrays.inner_bodies(store, path, index, numbers)
+        spent = store.spent()
+        for at, body in zip(chosen, bodies.values()):
+            start = tuple(b + i * e for b, i, e in zip(begin, at, header.inner))
+            whole = tuple(s // e for s, e in zip(start, header.inner))
+            name = f"{path}#{'.'.join(map(str, at))}"
+            if body is None:
+                status, detail = "missing", "not in the shard's index: reads as fill"
+            elif isinstance(body, Exception):
+                status, detail = "fetch_error", f"fetch failed: {body}"
+            else:
+                try:
+                    status, detail = _verdict(arrays.shaped(body, header, header.inner)[header.valid(start, header.inner)], header)
+                except arrays.Undecodable as e:
+                    status, detail = "undecodable", f"cannot decode: {e}"
+            yield sample(whole, name, status, detail, crc, spent)
+            spent = (0, 0)
 
-    Absent candidates are no samples. An uncompressed chunk is populated as soon as its first bytes
-    prove it; others are decoded and compared with the fill value.
+
+def window_samples(store, base: str, header: arrays.Header, k: int) -> Iterator[dict]:
+    """k boxes of at most WINDOW cells along the first three axes, whole along others."""
+    for place in range(k):
+        start, stop = [], []
+        for axis, extent in enumerate(header.shape):
+            size = min(WINDOW, extent) if axis < 3 else extent
+            share = (SHARES[place % 3] if k > 1 else SHARES[1]) + SHIFT * axis
+            start.append(int((extent - size) * (share % 1.0)))
+            stop.append(start[-1] + size)
+        try:
+            status, detail = _verdict(arrays.read_box(store, base, header, tuple(start), tuple(stop)), header)
+        except arrays.Undecodable as e:
+            status, detail = "undecodable", f"cannot decode: {e}"
+        except (StoreError, arrays.ChecksumMismatch, arrays.TooSmall) as e:
+            status, detail = "fetch_error", f"window: {e}"
+        calls, size = store.spent()
+        yield {"place": place, "chunk": tuple(start), "path": f"{base}/<window>", "status": status, "detail": detail, "calls": calls, "bytes": size}
+
+
+def level_samples(store, row: dict, k: int, inner: int, windows: bool) -> Iterator[dict]:
+    """Samples of one level. Of sharded levels the header is read, as it holds what the relation doesn't."""
+    base = f"{row['root']}/{row['level']}"
+    one = {"place": 0, "chunk": (), "path": base}
+    sharded = (row["compressor_id"] or "").lower() == "sharding_indexed"
+    try:
+        if sharded:
+            header = arrays.header_of(store, base, ("zarr.json",))
+            if not header.inner:
+                raise arrays.Undecodable("header names no shards")
+        else:
+            shape, chunks = row["shape"], row["chunks"]
+            if shape is None or chunks is None or not len(shape) or len(shape) != len(chunks):
+                return
+            codec = (row["compressor_id"] or "none").lower()
+            if row["filters"]:
+                raise arrays.Undecodable("filters")
+            dtype = np.dtype(row["dtype"] or "uint8")
+            dtype = dtype.newbyteorder("<") if codec == "bytes" else dtype
+            chunks = tuple(int(c) or max(1, int(s)) for s, c in zip(shape, chunks))
+            header = arrays.Header(tuple(map(int, shape)), chunks, None, dtype, row["fill_value"], () if codec in ("none", "bytes") else (codec.split(":")[0],), (), "/" if row["zarr_format"] == 3 else row["separator"] or ".", row["zarr_format"] or 2, ())
+    except (arrays.Undecodable, TypeError) as e:
+        calls, size = store.spent()
+        yield one | {"status": "undecodable", "detail": str(e), "calls": calls, "bytes": size}
+        return
+    except (StoreError, arrays.Absent) as e:
+        calls, size = store.spent()
+        yield one | {"status": "fetch_error", "detail": f"header: {e}", "calls": calls, "bytes": size}
+        return
+    yield from window_samples(store, base, header, k) if sharded and windows else shard_samples(store, base, header, k, inner) if sharded else plain_samples(store, base, header, k)
+    calls, size = store.spent()
+    if calls:  # candidates after the last sample, all of them absent
+        yield {"place": None, "chunk": None, "path": None, "status": "absent", "detail": "no further chunk among the candidates", "calls": calls, "bytes": size}
+
+
+def samples(levels: DataFrame, base: str | None = None, k: int = 3, inner: int = 3, windows: bool = False, tasks: int | None = None, max_rps: float = 0.0) -> DataFrame:
+    """``SAMPLE`` for the present levels of a relation; what was asked for in vain is a row of status
+    ``absent`` without a path, so that calls and bytes add up to all that was read.
+
+    base: a folder or URL; without one, columns ``objects`` (map of path to bytes) and ``faults`` (map
+    of path to status) hold each level's part of a store.
     """
-    rows = candidates(levels, k).join(objects.select("path", "body"), "path")
-    own = W.partitionBy("root", "level").orderBy("place")
-    rows = rows.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k)
-    plain = F.coalesce("compressor_id", F.lit("none")) == "none"
-    head = F.hex(F.substring("body", 1, PREFIX_BYTES))
-    proven = plain & prefix_proves(F.col("dtype"), F.col("fill_value")) & head.rlike("[1-9A-F]")
-    whole = binary.decoded_status("body", F.coalesce("dtype", F.lit("|u1")), F.coalesce("compressor_id", F.lit("none")), "fill_value")
-    return rows.select("root", "level", "path", F.when(proven, "populated").otherwise(whole).alias("status"))
+    planted = base is None
+    tasks = tasks or max(1, levels.sparkSession.sparkContext.defaultParallelism)
+    rate = {"max_rps": max_rps / tasks} if max_rps and base and base.startswith("http") else {}
+    codecs = dict(binary.CODECS)
+    rows = levels.filter("present").withColumnsRenamed({"path": "level"})
+    rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in LEVEL.items() if c not in rows.columns})
+    rows = rows.select("root", "level", *LEVEL, *(["objects", "faults"] if planted else []))
+    if not planted:
+        rows = rows.repartition(tasks, "root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        binary.CODECS.update(codecs)
+        shared = None if planted else open_store(base, **rate)
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                store = arrays.Counted(PlantedStore(dict(row["objects"] or ()), dict(row["faults"] or ())) if planted else shared)
+                out += ({"root": row["root"], "level": row["level"], "index_crc": ""} | s for s in level_samples(store, row, k, inner, windows))
+            yield pa.RecordBatch.from_pylist(out, ARROW)
+
+    return rows.mapInArrow(run, SAMPLE)
+
+
+def statuses(found: DataFrame) -> DataFrame:
+    """``(root, level, path, status)`` of the samples."""
+    return found.filter("path is not null").select("root", "level", "path", "status")
+
+
+def cost(found: DataFrame) -> DataFrame:
+    """``(root, level, calls, bytes)``: what each level's samples took."""
+    return found.groupBy("root", "level").agg(F.sum("calls").cast("bigint").alias("calls"), F.sum("bytes").cast("bigint").alias("bytes"))

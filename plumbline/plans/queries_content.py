@@ -37,18 +37,19 @@ def chosen(spark, sf_dir):
     return sampling.first_hits(samples(spark, sf_dir), ["user_id", "event_type"], ["ts", "event_id"], F.col("status") != "absent", 3, 9)
 
 
-#: Most event types that are put into a plan as a list.
-MOST_TYPES = 1000
+#: Event types that one row carries where each user meets each of them.
+TYPES_A_ROW = 1000
 
 
 def sample_levels(spark, sf_dir):
-    """Each user with each event type; the types are few, which is checked."""
+    """Each user with each event type: types are packed, and the packs joined with the users."""
     e = read(spark, sf_dir, "events")
-    types = [r.event_type for r in e.select("event_type").distinct().limit(MOST_TYPES + 1).collect()]
-    if len(types) > MOST_TYPES:
-        raise ValueError(f"more than {MOST_TYPES} event types")
-    users = e.select("user_id").distinct()
-    return users.select("user_id", F.explode(F.array(*(F.lit(t) for t in sorted(types)))).alias("event_type"), F.when(F.col("user_id") % 5 == 0, False).when(F.col("user_id") % 7 != 0, True).alias("has_chunks"))
+    types = store_table(e.select("event_type").distinct())
+    packs = max(1, -(-types.count() // TYPES_A_ROW))
+    types = types.groupBy(F.pmod(F.xxhash64("event_type"), F.lit(packs)).alias("pack")).agg(F.collect_list("event_type").alias("types"))
+    users = e.select("user_id").distinct().withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)).cast("array<bigint>")))
+    users = users.join(F.broadcast(types) if packs <= 1000 else types, "pack")
+    return users.select("user_id", F.explode("types").alias("event_type"), F.when(F.col("user_id") % 5 == 0, False).when(F.col("user_id") % 7 != 0, True).alias("has_chunks"))
 
 
 @query("w04_first_k", SAMPLES + "select user_id, event_type, event_id, status from chosen")
@@ -57,53 +58,70 @@ def first_k(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ chunk probe
-#: What a store holds at a chunk's path is decided by the first digit of the path's MD5: nothing,
-#: other values than the fill, the fill alone, or three bytes of sevens whatever the type.
+#: What a store holds at a chunk's path is decided by the first digit of the path's MD5: nothing, an error
+#: of the server, other values than the fill, the fill alone (of some of these, sevens after 4,100 bytes of
+#: it), or three bytes of sevens whatever the type. Plain zlib is stored, so its size is known.
 PROBE = "with " + LEVELS + """,
 ok as (select *, list_transform(range(1, len(shape) + 1), lambda i: greatest(1, cast(ceil(shape[i] / chunks[i]) as bigint))) g from lv where present),
 tot as (select *, cast(list_product(g) as bigint) total from ok),
 pos as (select *, unnest(list_sort(list_distinct(list_transform(range(9), lambda i: cast(round_even(i * (total - 1) / 8.0::double, 0) as bigint))))) flat from tot),
 ix as (select *, case when len(g) = 2 then [flat // g[2], flat % g[2]] else [flat // (g[2] * g[3]), (flat // g[3]) % g[2], flat % g[3]] end pl from pos),
 ob as (select *, root || '/' || path || '/' || case when zarr_format = 3 then 'c/' || array_to_string(pl, '/') when separator = '/' then array_to_string(pl, '/') else array_to_string(pl, '.') end obj from ix),
-fd as (select *, substr(md5(obj), 1, 1) d from ob),
-rk as (select *, row_number() over (partition by root, path order by flat) n from fd where d not in ('0', '1', '2', '3')),
-ps as (select root, path as level, obj as path, case
-    when compressor_id not in ('none', 'zlib:l1') then 'undecodable'
-    when d in ('e', 'f') and dtype <> '|u1' and not (compressor_id = 'none' and dtype = '<u2') then 'undecodable'
-    when d in ('a', 'b', 'c', 'd') then 'empty' else 'populated' end status from rk where n <= 3)
+fd as (select *, substr(md5(obj), 1, 1) d, md5(obj) like 'd0%' late, case dtype when '|u1' then 1 when '<u2' then 2 else 4 end w from ob),
+sz as (select *, d in ('0', '1', '2') gone, compressor_id = 'none' and dtype <> '<f4' early, case when d in ('e', 'f') then 3 when late then 4100 + 8 * w else 8 * w end + case when compressor_id = 'zlib:l1' then 11 else 0 end n from fd),
+rk as (select *, count(*) filter (not gone) over (partition by root, path order by flat) hits from sz),
+ps as (select root, path as level, obj as path, gone, hits, 1 + case when gone or d = '3' then 0 when early and late then 2 else 1 end calls, case when gone or d = '3' then 0 when early and late then 4096 + n else n end bytes, case
+    when d = '3' then 'fetch_error' when compressor_id not in ('none', 'zlib:l1') then 'undecodable'
+    when d in ('e', 'f') and dtype = '<f4' then 'undecodable'
+    when d in ('a', 'b', 'c', 'd') and not late then 'empty' else 'populated' end status from rk where hits <= 3 and not (hits = 3 and gone))
 """
 
 
 def planted(spark, sf_dir):
-    """The objects of a store, written to the shared folder: the probe reads what is found there."""
+    """Levels with their part of a store: ``objects`` and ``faults``."""
     @F.pandas_udf("binary")
     def packed(raw: pd.Series, codec: pd.Series) -> pd.Series:
-        return pd.Series([zlib.compress(r) if c.startswith("zlib") else r for r, c in zip(raw, codec)])
+        return pd.Series([zlib.compress(r, 0) if c.startswith("zlib") else r for r, c in zip(raw, codec)])
 
-    rows = probe.candidates(tables.levels(spark, sf_dir), 3)
-    digit = F.substring(F.md5(F.col("path").cast("binary")), 1, 1)
+    levels = tables.levels(spark, sf_dir)
+    rows = probe.candidates(levels, 3)
+    md5 = F.md5(F.col("path").cast("binary"))
+    digit = F.substring(md5, 1, 1)
     width = F.create_map(*(F.lit(x) for name, v in binary.WIDTHS.items() for x in (name, v)))[F.col("dtype")]
-    hexes = F.when(digit.between("a", "d"), F.repeat(F.lit("00"), width * 8)).when(digit.isin("e", "f"), "070707").otherwise(F.repeat(F.lit("07"), width * 8))
-    return store_table(rows.filter(~digit.between("0", "3")).select("path", packed(F.unhex(hexes), F.col("compressor_id")).alias("body")))
+    sevens = F.repeat(F.lit("07"), width * 8)
+    hexes = F.when(md5.startswith("d0"), F.concat(F.repeat(F.lit("00"), F.lit(4100)), sevens)).when(digit.between("a", "d"), F.repeat(F.lit("00"), width * 8)).when(digit.isin("e", "f"), "070707").otherwise(sevens)
+    rows = rows.select("root", "level", "path", digit.alias("digit"), packed(F.unhex(hexes), F.col("compressor_id")).alias("body"))
+    there = F.when(F.col("digit") > "3", F.struct("path", "body"))
+    store = rows.groupBy("root", F.col("level").alias("path")).agg(
+        F.map_from_entries(F.collect_list(there)).alias("objects"),
+        F.map_from_entries(F.collect_list(F.when(F.col("digit") == "3", F.struct("path", F.lit(503))))).alias("faults"),
+    )
+    return levels.join(store, ["root", "path"], "left")
 
 
 def probed(spark, sf_dir):
-    return probe.probe(tables.levels(spark, sf_dir), planted(spark, sf_dir))
+    return probe.samples(planted(spark, sf_dir))
 
 
-@query("k00_chunk_probe", PROBE + "select * from ps")
+@query("k00_chunk_probe", PROBE + "select root, level, path, status from ps where not gone")
 def chunk_probe(spark, sf_dir):
-    return probed(spark, sf_dir)
+    return probe.statuses(probed(spark, sf_dir))
+
+
+@query("k00_probe_cost", PROBE + "select root, level, cast(sum(calls) as bigint) calls, cast(sum(bytes) as bigint) bytes from ps group by 1, 2")
+def probe_cost(spark, sf_dir):
+    """What was asked of the store for each level: no body of a chunk that isn't chosen."""
+    return probe.cost(probed(spark, sf_dir))
 
 
-PROBED = "select root, level, count(*) n, count(*) filter (status in ('populated', 'empty')) decodable, count(*) filter (status = 'empty') as empty from ps group by 1, 2"
+PROBED = "select root, level, count(*) n, count(*) filter (status in ('populated', 'empty')) decodable, count(*) filter (status = 'empty') as empty from ps where not gone group by 1, 2"
 
 
 @query("k00_level_codes", PROBE + f"""select lv.root, lv.path as level, case when x.n is null then case when has_chunks = false then 'CHUNK_LEVEL_NO_CHUNKS' else 'CHUNK_LEVEL_NO_SAMPLES' end else 'CHUNK_SAMPLE_ALL_EMPTY' end code,
     case when x.n is null then 'info' else 'medium' end severity from lv left join ({PROBED}) x on lv.root = x.root and lv.path = x.level where x.n is null or (decodable > 0 and decodable = empty)""")
 def probed_level_codes(spark, sf_dir):
     levels = tables.levels(spark, sf_dir).select("root", F.col("path").alias("level"), "has_chunks")
-    return chunks.level_codes(levels, probed(spark, sf_dir), ["root", "level"])
+    return chunks.level_codes(levels, probe.statuses(probed(spark, sf_dir)), ["root", "level"])
 
 
 CODE = "case status when 'populated' then 'CHUNK_SAMPLE_POPULATED' when 'empty' then 'CHUNK_SAMPLE_EMPTY' when 'missing' then 'CHUNK_SAMPLE_MISSING' when 'absent' then 'CHUNK_SAMPLE_ABSENT' when 'undecodable' then 'CHUNK_UNDECODEABLE' when 'checksum_mismatch' then 'SHARD_INDEX_CHECKSUM_MISMATCH' else 'CHUNK_FETCH_ERROR' end"

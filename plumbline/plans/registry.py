@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_audit, queries_content, queries_names, queries_snapshots, queries_sources
+from . import queries_audit, queries_content, queries_names, queries_snapshots, queries_sources, queries_store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (queries_audit, queries_snapshots, queries_content, queries_names, queries_sources):
+for _module in (queries_audit, queries_snapshots, queries_content, queries_names, queries_sources, queries_store):
     QUERIES |= _module.catalogue.queries
     ORACLE_SQL |= _module.catalogue.sql

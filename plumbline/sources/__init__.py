@@ -30,3 +30,13 @@ def store_table(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mounted_path(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one, as a path for plain file access: for stores of many small objects,
+    which have no Spark writer. The shared folder must be mounted where tasks run."""
+    path = new_path(spark, name)
+    scheme, _, rest = path.partition(":")
+    if "/" not in scheme and rest and scheme != "file":
+        raise RuntimeError(f"objects can't be written to {path}: the shared folder is no mounted file system")
+    return "/" + path.removeprefix("file:").lstrip("/")

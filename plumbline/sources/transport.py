@@ -125,6 +125,55 @@ class ReplayStore(HttpStore):
         return Response(r.get("status", 200), b"" if method == "HEAD" else body, {"Content-Length": str(len(body)), **r.get("headers", {})})
 
 
+def asked(headers: dict | None, size: int) -> tuple[int, int] | None:
+    """Start and end (exclusive) of the range that is asked for, within an object of ``size`` bytes."""
+    m = re.fullmatch(r"bytes=(\d*)-(\d*)", (headers or {}).get("Range", ""))
+    if not m:
+        return None
+    if not m[1]:
+        return max(0, size - int(m[2])), size
+    return int(m[1]), min(size, int(m[2]) + 1 if m[2] else size)
+
+
+def ranged(body: bytes, span: tuple[int, int], size: int) -> Response:
+    """What a server that knows ranges answers."""
+    if span[0] >= span[1]:
+        return Response(416, b"", {"Content-Range": f"bytes */{size}"})
+    return Response(206, body, {"Content-Range": f"bytes {span[0]}-{span[1] - 1}/{size}", "Content-Length": str(len(body))})
+
+
+class PlantedStore:
+    """Objects given by path, answered like a server that knows ranges; ``faults`` gives a status
+    instead. Without a suffix range (``suffixes=False``) it refuses those."""
+
+    def __init__(self, objects: dict[str, bytes], faults: dict[str, int] | None = None, suffixes: bool = True):
+        self.objects, self.faults, self.suffixes = objects, faults or {}, suffixes
+
+    def request(self, method: str, path: str, headers: dict | None = None) -> Response:
+        path = path.strip("/")
+        if path in self.faults:
+            return Response(self.faults[path])
+        body = self.objects.get(path)
+        if body is None:
+            return Response(404)
+        if method == "HEAD":
+            return Response(200, b"", {"Content-Length": str(len(body))})
+        if not self.suffixes and (headers or {}).get("Range", "").startswith("bytes=-"):
+            return Response(501)
+        span = asked(headers, len(body))
+        return Response(200, body, {"Content-Length": str(len(body))}) if span is None else ranged(body[span[0] : span[1]], span, len(body))
+
+    def list(self, path: str) -> list[str]:
+        path = path.strip("/")
+        if path in self.faults:
+            raise StoreError(f"HTTP {self.faults[path]}")
+        under = path + "/" if path else ""
+        names = {n[len(under) :] for n in self.objects if n.startswith(under)}
+        if not names:
+            raise StoreError("404 Not Found")
+        return sorted({n.partition("/")[0] + "/" * ("/" in n) for n in names})
+
+
 class LocalStore:
     """A folder; paths can't leave it. Hidden files are seen, unlike by Spark's file readers."""
 
@@ -142,9 +191,16 @@ class LocalStore:
             full = self.place(path)
             if os.path.isdir(full):
                 return Response(404)
-            body = b"" if method == "HEAD" else open(full, "rb").read()
-            return Response(200, body, {"Content-Length": str(os.path.getsize(full))})
-        except FileNotFoundError:
+            size = os.path.getsize(full)
+            if method == "HEAD":
+                return Response(200, b"", {"Content-Length": str(size)})
+            with open(full, "rb") as f:
+                span = asked(headers, size)
+                if span is None:
+                    return Response(200, f.read(), {"Content-Length": str(size)})
+                f.seek(span[0])
+                return ranged(f.read(span[1] - span[0]), span, size)
+        except (FileNotFoundError, NotADirectoryError):
             return Response(404)
         except OSError as e:
             raise StoreError(f"connection: {e}") from e
@@ -174,6 +230,10 @@ def trailing(store, path: str, length: int) -> bytes:
     if r.status == 416:
         raise StoreError("object smaller than its index")
     if r.status not in (400, 405, 501):
+        # a server answers a suffix that is longer than the object with all of it
+        total = r.headers.get("content-range", "").rpartition("/")[2]
+        if r.status == 200 and len(r.body) < length or r.status == 206 and total.isdigit() and int(total) < length:
+            raise StoreError("object smaller than its index")
         return checked_suffix(r, length)
     r = head(store, path)
     if r.status >= 400:
