@@ -1,11 +1,14 @@
-"""Surface grids as points: masks, extents and codes."""
+"""Surface grids as points: masks, extents and codes; the audit of surfaces in a store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from .. import schema
+from ..sources import store_table
+from ..sources import surface_scan as scanning
 
 AXES = ("x", "y", "z")
 
@@ -40,53 +43,149 @@ def outside(points: DataFrame, key: str, low: float, high: float) -> DataFrame:
     return masked(points).groupBy(key).agg(F.count_if(F.col("valid") & (out[0] | out[1] | out[2])).alias("n_outside"))
 
 
-def overrun(points: DataFrame, key: str, shape_zyx: tuple[float, float, float]) -> DataFrame:
-    """Valid points at or beyond the extent of a target volume."""
-    z, y, x = shape_zyx
-    return masked(points).groupBy(key).agg(F.count_if(F.col("valid") & ((F.col("z") >= z) | (F.col("y") >= y) | (F.col("x") >= x))).alias("n_overrun"))
+# ------------------------------------------------------------------ whole audit of scanned surfaces
+def eligible(found: DataFrame) -> Column:
+    """Whether three readable channels of one float sample share a grid, so that content can be judged."""
+    good = F.forall("channels", lambda c: c.readable & _one_float(c))
+    return good & (F.size(F.array_distinct(F.transform("channels", lambda c: F.struct(c.width, c.height)))) == 1)
 
 
-def codes(stats: DataFrame, key: str) -> DataFrame:
-    """Content codes of each surface; an empty one is not judged further.
+def _one_float(c: Column) -> Column:
+    return (c["format"] == "float") & c.bits.isin(32, 64) & (c.samples == 1)
 
-    ``stats``: of ``statistics`` with ``n_outside`` and ``n_overrun``.
-    """
+
+def found_in_headers(found: DataFrame, most_bytes: int) -> DataFrame:
+    """``(surface, level, code, evidence_state, detail)`` of what a header scan observed."""
+    finding = lambda level, code, state, detail: F.struct(level.alias("level"), code.alias("code"), state.alias("evidence_state"), detail.cast("string").alias("detail"))
+    meta, nothing = F.lit("meta.json"), F.lit(None).cast("string")
+    one = lambda test, *args: F.when(test, F.array(finding(*args)))
+    present, absent, unknown = F.lit("PRESENT"), F.lit("ABSENT"), F.lit("UNKNOWN")
+    each = lambda test, code, state: F.transform(F.filter("channels", test), lambda c: finding(c["name"], F.lit(code), state, c.error))
+    readable = F.filter("channels", lambda c: c.readable)
+    grids = F.array_distinct(F.transform(readable, lambda c: F.struct(c.height, c.width)))
+    over = F.filter("channels", lambda c: c.bytes > most_bytes)
+    parts = [
+        one(F.col("meta_state") == "UNKNOWN", meta, F.lit("ACCESS_UNKNOWN"), unknown, F.col("meta_error")),
+        one(F.col("meta_state") == "ABSENT", meta, F.lit("TIFXYZ_META_MISSING"), absent, nothing),
+        one((F.col("meta_state") == "PRESENT") & ~F.col("meta_readable"), meta, F.lit("TIFXYZ_META_UNREADABLE"), present, nothing),
+        one(F.size("problems") > 0, meta, F.lit("TIFXYZ_META_INCOMPLETE"), present, F.array_join("problems", "; ")),
+        each(lambda c: c.state == "ABSENT", "TIFXYZ_CHANNEL_MISSING", absent),
+        each(lambda c: c.state == "UNKNOWN", "ACCESS_UNKNOWN", unknown),
+        each(lambda c: (c.state == "PRESENT") & ~c.readable, "TIFXYZ_TIFF_UNREADABLE", present),
+        each(lambda c: c.readable & ~_one_float(c), "TIFXYZ_SAMPLE_FORMAT", present),
+        one(F.size(grids) > 1, F.lit(""), F.lit("TIFXYZ_CHANNEL_SHAPE_MISMATCH"), present, F.to_json(grids)),
+        F.when(eligible(found) & (F.size(over) > 0), F.array(finding(F.get(over, F.lit(0))["name"], F.lit("TIFXYZ_CONTENT_UNDECODED"), present, F.lit("over the size cap")))),
+    ]
+    # where every probe confirmed absence there is one finding: nothing to audit
+    gone = (F.col("meta_state") == "ABSENT") & F.forall("channels", lambda c: c.state == "ABSENT")
+    empty = F.array().cast("array<struct<level:string,code:string,evidence_state:string,detail:string>>")
+    all_ = F.flatten(F.array(*(F.coalesce(p, empty) for p in parts)))
+    return found.select("surface", F.inline(F.when(gone, F.array(finding(F.lit(""), F.lit("TIFXYZ_ABSENT"), absent, nothing))).otherwise(all_)))
+
+
+def content_statistics(cells: DataFrame, boxes: DataFrame, shape_zyx: tuple[int, int, int] | None = None) -> DataFrame:
+    """Counts and extents of each surface in one aggregate; ``boxes``: ``(surface, low, high)`` as declared."""
+    valid = F.col("valid")
+    low, high = F.col("low"), F.col("high")
+    slack = lambda v: F.greatest(F.lit(1e-2), F.abs(v) * 1e-5)
+    out = F.lit(False)
+    for i, a in enumerate(AXES):
+        out = out | (F.col(a) < low[i] - slack(low[i])) | (F.col(a) > high[i] + slack(high[i]))
+    marked = (F.col("x") == -1) | (F.col("y") == -1) | (F.col("z") == -1)
+    beyond = (F.col("z") >= shape_zyx[0]) | (F.col("y") >= shape_zyx[1]) | (F.col("x") >= shape_zyx[2]) if shape_zyx else F.lit(False)
+    stats = masked(cells.join(boxes.select("surface", "low", "high"), "surface", "left")).groupBy("surface").agg(
+        F.count("*").alias("n"),
+        F.count_if(valid).alias("n_valid"),
+        F.bround(F.count_if(valid) / F.count("*"), 6).alias("valid_fraction"),
+        F.count_if("partial").alias("n_partial"),
+        F.count_if(~marked & ~F.col("finite")).alias("n_nonfinite"),
+        F.count_if(valid & ((F.col("x") < 0) | (F.col("y") < 0) | (F.col("z") < 0))).alias("n_negative"),
+        F.count_if(valid & F.coalesce(out, F.lit(False))).alias("n_outside"),
+        F.count_if(valid & beyond).alias("n_overrun"),
+        F.array(*(F.min(F.when(valid, F.col(a))) for a in AXES)).alias("data_low"),
+        F.array(*(F.max(F.when(valid, F.col(a))) for a in AXES)).alias("data_high"),
+        F.any_value("low").alias("low"),
+        F.any_value("high").alias("high"),
+    )
+    off = F.lit(False)
+    for i in range(3):
+        off = off | ~fn.is_close(F.col("data_low")[i], low[i], 1e-5, 1e-2) | ~fn.is_close(F.col("data_high")[i], high[i], 1e-5, 1e-2)
+    return stats.withColumn("box_differs", F.col("low").isNotNull() & (F.col("n_valid") > 0) & F.coalesce(off, F.lit(False)))
+
+
+def found_in_content(stats: DataFrame) -> DataFrame:
+    """``(surface, level, code, evidence_state, detail)`` of content; an empty surface is not judged further."""
     some = F.col("n_valid") > 0
+    finding = lambda test, code, detail, level="": F.when(test, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), F.lit("PRESENT").alias("evidence_state"), detail.cast("string").alias("detail")))
     hits = [
-        F.when(~some, "TIFXYZ_EMPTY"),
-        F.when(some & (F.col("n_partial") > 0), "TIFXYZ_INVALID_MASK_MISMATCH"),
-        F.when(some & (F.col("n_nonfinite") > 0), "TIFXYZ_NONFINITE"),
-        F.when(some & (F.col("n_negative") > 0), "TIFXYZ_NEGATIVE_COORDINATE"),
-        F.when(some & (F.col("n_outside") > 0), "TIFXYZ_BBOX_MISMATCH"),
-        F.when(some & (F.col("n_overrun") > 0), "TIFXYZ_TARGET_VOLUME_OVERRUN"),
+        finding(~some, "TIFXYZ_EMPTY", F.concat(F.lit("0/"), F.col("n").cast("string"), F.lit(" valid"))),
+        finding(some & (F.col("n_partial") > 0), "TIFXYZ_INVALID_MASK_MISMATCH", F.col("n_partial")),
+        finding(some & (F.col("n_nonfinite") > 0), "TIFXYZ_NONFINITE", F.col("n_nonfinite")),
+        finding(some & (F.col("n_negative") > 0), "TIFXYZ_NEGATIVE_COORDINATE", F.col("n_negative")),
+        finding(some & (F.col("n_overrun") > 0), "TIFXYZ_TARGET_VOLUME_OVERRUN", F.col("n_overrun")),
+        finding(F.col("box_differs"), "TIFXYZ_BBOX_MISMATCH", F.when(F.col("n_outside") > 0, F.concat(F.col("n_outside").cast("string"), F.lit(" points outside"))).otherwise(F.lit("looser than the data")), "meta.json"),
     ]
-    rows = stats.select(key, F.explode(F.filter(F.array(*hits), lambda c: c.isNotNull())).alias("code"))
-    return rows.withColumn("severity", fn.severity_of("code"))
+    return stats.select("surface", F.inline(F.array_compact(F.array(*hits))))
 
 
-def header_codes(surfaces: DataFrame, key: str) -> DataFrame:
-    """Header codes from what was observed of meta and channels.
+def audit(surfaces: DataFrame, base: str | None = None, content: bool = True, most_bytes: int = scanning.CONTENT_BYTES, shape_zyx: tuple[int, int, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(header scan, findings, content statistics) of surfaces in a store; see ``surface_scan``.
 
-    Columns: state, meta_state, meta_readable, meta_complete, channels (array<struct<name, state,
-    readable, width, height, format>>).
+    Both passes are stored once, as reading them again could find another state. Content is read of
+    surfaces only that are fit for it and of which no channel is over ``most_bytes``.
     """
-    open_ = F.col("state") == "PRESENT"
-    readable = F.filter("channels", lambda c: (c.state == "PRESENT") & c.readable)
-    sizes = F.array_distinct(F.transform(readable, lambda c: F.struct(c.width, c.height)))
-    one = lambda test, code, level="": F.when(test, F.array(F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"))))
-    each = lambda test, code: F.when(open_, F.transform(F.filter("channels", test), lambda c: F.struct(c["name"].alias("level"), F.lit(code).alias("code"))))
-    parts = [
-        one(F.col("state") == "ABSENT", "TIFXYZ_ABSENT"),
-        one(F.col("state") == "UNKNOWN", "TIFXYZ_ACCESS_UNKNOWN"),
-        one(open_ & (F.col("meta_state") == "ABSENT"), "TIFXYZ_META_MISSING", "meta.json"),
-        one(open_ & (F.col("meta_state") == "PRESENT") & ~F.col("meta_readable"), "TIFXYZ_META_UNREADABLE", "meta.json"),
-        one(open_ & (F.col("meta_state") == "PRESENT") & F.col("meta_readable") & ~F.col("meta_complete"), "TIFXYZ_META_INCOMPLETE", "meta.json"),
-        each(lambda c: c.state == "ABSENT", "TIFXYZ_CHANNEL_MISSING"),
-        each(lambda c: c.state == "UNKNOWN", "TIFXYZ_ACCESS_UNKNOWN"),
-        each(lambda c: (c.state == "PRESENT") & ~c.readable, "TIFXYZ_TIFF_UNREADABLE"),
-        each(lambda c: (c.state == "PRESENT") & c.readable & ~c.format.isin("f4", "f8"), "TIFXYZ_SAMPLE_FORMAT"),
-        one(open_ & (F.size(sizes) > 1), "TIFXYZ_CHANNEL_SHAPE_MISMATCH"),
-    ]
-    empty = F.array().cast("array<struct<level:string,code:string>>")
-    rows = surfaces.select(key, F.inline(F.flatten(F.array(*(F.coalesce(p, empty) for p in parts)))))
-    return rows.withColumn("severity", fn.severity_of("code"))
+    found = store_table(scanning.headers(surfaces, base))
+    findings = found_in_headers(found, most_bytes)
+    stats = None
+    if content:
+        fit = found.filter(eligible(found) & F.forall("channels", lambda c: c.bytes <= most_bytes))
+        fit = fit.select("surface", "channels")
+        fit = fit.join(surfaces.select("surface", "objects", "faults"), "surface") if base is None else fit
+        blocks = store_table(scanning.content(fit, base))
+        broken = blocks.filter("channel is not null").select("surface", F.col("channel").alias("level"), "undecoded", "error")
+        whole = blocks.join(broken.select("surface"), "surface", "left_anti")
+        stats = content_statistics(scanning.cells(whole), found, shape_zyx)
+        state = fn.evidence_of_error("error").state
+        gaps = broken.select("surface", "level", F.when(F.col("error").isNull(), "TIFXYZ_CONTENT_UNDECODED").otherwise("ACCESS_UNKNOWN").alias("code"), F.when(F.col("error").isNull(), "PRESENT").otherwise(state).alias("evidence_state"), F.coalesce("undecoded", "error").alias("detail"))
+        findings = findings.unionByName(found_in_content(stats)).unionByName(gaps)
+    return found, findings.withColumn("severity", fn.severity_of("code")), stats
+
+
+def verdicts(found: DataFrame, findings: DataFrame) -> DataFrame:
+    """``(surface, evidence_state, reason, integrity, max_severity)`` of each surface, with findings or none."""
+    rank = fn.severity_rank("severity")
+    sums = findings.groupBy("surface").agg(
+        F.max(rank).alias("rank"),
+        F.bool_or(F.col("code") == "ACCESS_UNKNOWN").alias("blind"),
+        F.bool_or(F.col("code") == "TIFXYZ_ABSENT").alias("gone"),
+        F.bool_or(F.col("evidence_state") == "ABSENT").alias("parts"),
+    )
+    rows = found.select("surface").join(sums, "surface", "left")
+    unsure = F.coalesce(F.col("blind") | F.col("gone"), F.lit(False))
+    return rows.select(
+        "surface",
+        F.when(F.col("gone"), "ABSENT").when(F.col("blind"), "UNKNOWN").otherwise("PRESENT").alias("evidence_state"),
+        F.when(F.col("gone"), "NOT_FOUND").when(F.col("blind"), "ACCESS_UNKNOWN").when(F.col("parts"), "PARTS_ABSENT").alias("reason"),
+        F.when(F.col("rank") == 3, "FAIL").when(unsure, "UNKNOWN").when(F.col("rank") >= 1, "WARN").otherwise("PASS").alias("integrity"),
+        F.coalesce(F.get(F.array(*(F.lit(s) for s in schema.SEVERITIES)), F.col("rank")), F.lit("none")).alias("max_severity"),
+    )
+
+
+def target_failures(found: DataFrame, expected: str) -> DataFrame:
+    """``(surface, why)`` of the surfaces that don't declare the expected volume."""
+    want = F.trim(F.lit(expected))
+    if not expected.strip().rstrip("/"):
+        raise ValueError("the expected volume must be an id or a path")
+    right = F.coalesce(fn.volume_id(F.trim("target")) == fn.volume_id(want), F.lit(False))
+    why = F.when(F.col("meta_state") != "PRESENT", F.concat(F.lit("meta.json is "), "meta_state")).when(~F.col("meta_readable"), "meta.json is no JSON object").otherwise(F.concat(F.lit("target_volume is "), F.coalesce("target", F.lit("not declared"))))
+    return found.filter(~(right & (F.col("meta_state") == "PRESENT"))).select("surface", why.alias("why"))
+
+
+def guarded(found: DataFrame, expected: str) -> DataFrame:
+    """``found`` if every surface declares the expected volume; else an error before anything is audited."""
+    wrong = target_failures(found, expected)
+    n = wrong.count()
+    if n:
+        some = "; ".join(f"{r.surface}: {r.why}" for r in wrong.orderBy("surface").limit(8).collect())
+        raise ValueError(f"{n} surfaces don't declare {expected!r}: {some}")
+    return found

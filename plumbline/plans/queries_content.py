@@ -218,13 +218,6 @@ def level_selection(spark, sf_dir):
     return census(spark, sf_dir).filter("level <> 1").select("root", "level", "stored_bytes")
 
 
-@query("f20_size_cap", "select l_orderkey, l_linenumber from (select *, max(l_quantity) over (partition by l_orderkey) m from lineitem) where m <= 30")
-def size_cap(spark, sf_dir):
-    """Roots of which no channel is over the cap, decided before anything is fetched."""
-    large = read(spark, sf_dir, "lineitem").filter("l_quantity > 30").select("l_orderkey")
-    return read(spark, sf_dir, "lineitem").join(large, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
-
-
 # ------------------------------------------------------------------ surfaces
 POINTS = """with e as (select vec_id, label, i - 1 pos, round(cast(embedding[i] as double) * 100, 3) v from embeddings, lateral (select unnest(range(1, 65)) i)),
 g as (select vec_id, pos // 3 as row, max(v) filter (pos % 3 = 0) x, max(v) filter (pos % 3 = 1) y, max(v) filter (pos % 3 = 2) z from e group by 1, 2),
@@ -275,86 +268,6 @@ def outside(spark, sf_dir):
     return surfaces.outside(points(spark, sf_dir), "vec_id", -20, 20)
 
 
-def content_codes(spark, sf_dir):
-    rows = points(spark, sf_dir)
-    stats = surfaces.statistics(rows, "vec_id").join(surfaces.outside(rows, "vec_id", -20, 20), "vec_id").join(surfaces.overrun(rows, "vec_id", (30, 25, 20)), "vec_id")
-    return surfaces.codes(stats, "vec_id")
-
-
-CONTENT = STATS + """, codes as (select vec_id, 'TIFXYZ_EMPTY' code, 'medium' severity from st where n_valid = 0
-  union all select vec_id, 'TIFXYZ_INVALID_MASK_MISMATCH', 'low' from st where n_valid > 0 and n_partial > 0 union all select vec_id, 'TIFXYZ_NONFINITE', 'low' from st where n_valid > 0 and n_nonfinite > 0
-  union all select vec_id, 'TIFXYZ_NEGATIVE_COORDINATE', 'low' from st where n_valid > 0 and n_negative > 0 union all select vec_id, 'TIFXYZ_BBOX_MISMATCH', 'low' from st where n_valid > 0 and n_outside > 0
-  union all select vec_id, 'TIFXYZ_TARGET_VOLUME_OVERRUN', 'low' from st where n_valid > 0 and n_overrun > 0) """
-query("t00_content_codes", CONTENT + "select * from codes")(content_codes)
-for _i, _code in ((9, "EMPTY"), (10, "INVALID_MASK_MISMATCH"), (11, "NONFINITE"), (12, "NEGATIVE_COORDINATE"), (13, "BBOX_MISMATCH"), (14, "TARGET_VOLUME_OVERRUN")):
-
-    @query(f"t{_i:02d}_{_code.lower()}", CONTENT + f"select * from codes where code = 'TIFXYZ_{_code}'")
-    def content_code(spark, sf_dir, code=f"TIFXYZ_{_code}"):
-        return content_codes(spark, sf_dir).filter(F.col("code") == code)
-
-
-def surface_headers(spark, sf_dir):
-    """Parts as surfaces: what a header scan would have observed of meta and channels."""
-    k = F.col("p_partkey")
-    channel = lambda i, name: F.struct(
-        F.lit(name).alias("name"),
-        F.when((k + i) % 13 == 0, "ABSENT").when((k + i) % 29 == 0, "UNKNOWN").otherwise("PRESENT").alias("state"),
-        ((k + i) % 31 != 0).alias("readable"),
-        (F.col("p_size") - F.when((k + i) % 37 == 0, 1).otherwise(0)).alias("width"),
-        F.col("p_size").alias("height"),
-        F.when((k + i) % 41 == 0, "u2").otherwise("f4").alias("format"),
-    )
-    return read(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("surface"),
-        F.when(k % 47 == 0, "ABSENT").when(k % 53 == 0, "UNKNOWN").otherwise("PRESENT").alias("state"),
-        F.when(k % 11 == 0, "ABSENT").otherwise("PRESENT").alias("meta_state"),
-        (k % 17 != 0).alias("meta_readable"),
-        (k % 19 != 0).alias("meta_complete"),
-        F.array(*(channel(i, f"{a}.tif") for i, a in enumerate("xyz"))).alias("channels"),
-    )
-
-
-HEADERS = """with p as (select p_partkey k, p_size from part), c as (select k, ['x.tif', 'y.tif', 'z.tif'][i + 1] name, case when (k + i) % 13 = 0 then 'ABSENT' when (k + i) % 29 = 0 then 'UNKNOWN' else 'PRESENT' end st, (k + i) % 31 <> 0 readable, p_size - case when (k + i) % 37 = 0 then 1 else 0 end width, (k + i) % 41 = 0 odd
-  from p, (select unnest([0, 1, 2]) i) where k % 47 <> 0 and k % 53 <> 0),
-h as (select k surface, '' as level, 'TIFXYZ_ABSENT' code, 'low' severity from p where k % 47 = 0 union all select k, '', 'TIFXYZ_ACCESS_UNKNOWN', 'info' from p where k % 47 <> 0 and k % 53 = 0
-  union all select k, 'meta.json', case when k % 11 = 0 then 'TIFXYZ_META_MISSING' when k % 17 = 0 then 'TIFXYZ_META_UNREADABLE' else 'TIFXYZ_META_INCOMPLETE' end, case when k % 11 = 0 or k % 17 = 0 then 'medium' else 'low' end from p where k % 47 <> 0 and k % 53 <> 0 and (k % 11 = 0 or k % 17 = 0 or k % 19 = 0)
-  union all select k, name, 'TIFXYZ_CHANNEL_MISSING', 'medium' from c where st = 'ABSENT' union all select k, name, 'TIFXYZ_ACCESS_UNKNOWN', 'info' from c where st = 'UNKNOWN'
-  union all select k, name, 'TIFXYZ_TIFF_UNREADABLE', 'medium' from c where st = 'PRESENT' and not readable union all select k, name, 'TIFXYZ_SAMPLE_FORMAT', 'low' from c where st = 'PRESENT' and readable and odd
-  union all select k, '', 'TIFXYZ_CHANNEL_SHAPE_MISMATCH', 'medium' from c where st = 'PRESENT' and readable group by k having count(distinct width) > 1) """
-
-
-def header_codes(spark, sf_dir):
-    return surfaces.header_codes(surface_headers(spark, sf_dir), "surface")
-
-
-query("t00_header_codes", HEADERS + "select * from h")(header_codes)
-for _i, _code in ((1, "ABSENT"), (2, "META_MISSING"), (3, "META_UNREADABLE"), (4, "META_INCOMPLETE"), (5, "CHANNEL_MISSING"), (6, "TIFF_UNREADABLE"), (7, "CHANNEL_SHAPE_MISMATCH"), (8, "SAMPLE_FORMAT"), (16, "ACCESS_UNKNOWN")):
-
-    @query(f"t{_i:02d}_{_code.lower()}", HEADERS + f"select * from h where code = 'TIFXYZ_{_code}'")
-    def header_code(spark, sf_dir, code=f"TIFXYZ_{_code}"):
-        return header_codes(spark, sf_dir).filter(F.col("code") == code)
-
-
-@query("t15_content_undecoded", "select surface, bytes, case when bytes > 698 then 'TIFXYZ_CONTENT_UNDECODED' end code from (select p_partkey surface, case when p_partkey % 13 = 0 then 8 else 122 + 12 * p_size end bytes from part)")
-def content_undecoded(spark, sf_dir):
-    """Surfaces whose stored image is over a size cap, so that their content is not judged."""
-    from .queries_sources import tiffs
-
-    size = F.octet_length("raw").cast("bigint")
-    return tiffs(spark, sf_dir).select(F.col("p_partkey").alias("surface"), size.alias("bytes"), F.when(size > 698, "TIFXYZ_CONTENT_UNDECODED").alias("code"))
-
-
-@query("a27_survey", CONTENT + "select code, count(distinct vec_id) n, quantile_cont(n_valid, 0.5) median_valid from codes join st using (vec_id) group by 1")
-def survey(spark, sf_dir):
-    stats = surfaces.statistics(points(spark, sf_dir), "vec_id").select("vec_id", "n_valid")
-    return content_codes(spark, sf_dir).join(stats, "vec_id").groupBy("code").agg(F.count_distinct("vec_id").alias("n"), F.percentile("n_valid", 0.5).alias("median_valid"))
-
-
-@query("l09_ordered_codes", CONTENT + "select vec_id, string_agg(code, ',' order by code) codes from codes group by 1")
-def ordered_codes(spark, sf_dir):
-    return content_codes(spark, sf_dir).groupBy("vec_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
-
-
 # ------------------------------------------------------------------ voxels and depths
 @query("a19_support", "select z, count(*) filter (p) positives, count(*) filter (p and not c) phantom, round(case when count(*) filter (p) > 0 then count(*) filter (p and not c) / count(*) filter (p) end, 6) phantom_fraction from (select month(l_shipdate) z, l_quantity > 25 p, l_discount > 0 c from lineitem) group by rollup (z)")
 def support(spark, sf_dir):

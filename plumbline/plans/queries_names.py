@@ -90,14 +90,6 @@ def finding_codes(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey").join(found, "o_orderkey", "left_semi")
 
 
-@query("f16_expected_volume", "select count(*) checked, count(*) filter (c_nationkey is null or c_nationkey < 0) wrong from customer")
-def expected_volume(spark, sf_dir):
-    """Fails closed: any row against the expectation stops the run before output."""
-    wrong = F.col("c_nationkey").isNull() | (F.col("c_nationkey") < 0)
-    guarded = read(spark, sf_dir, "customer").withColumn("ok", F.when(wrong, F.raise_error(F.lit("unexpected volume"))).otherwise(F.lit(True)))
-    return guarded.agg(F.count_if("ok").alias("checked"), F.count_if(~F.col("ok")).alias("wrong"))
-
-
 # ------------------------------------------------------------------ ranges and errors
 RANGES = """with r as (select l_orderkey, l_linenumber, pk % 100 as start, 1 + sk % 50 as length, case when pk % 7 = 0 then 'items ' when pk % 5 = 0 then 'Bytes ' else 'bytes ' end || (pk % 100 + case when pk % 11 = 0 then 1 else 0 end) || '-' || (pk % 100 + sk % 50) || '/' || case when sk % 3 = 0 then '*' else '' || (pk % 100 + sk % 50 + sk % 4) end header, sk % 13 missing from ln),
 p as (select *, regexp_extract(header, '(?i)^\\s*bytes (\\d+)-(\\d+)/(\\d+|\\*)\\s*$', 1) a, regexp_extract(header, '(?i)^\\s*bytes (\\d+)-(\\d+)/(\\d+|\\*)\\s*$', 2) b, regexp_extract(header, '(?i)^\\s*bytes (\\d+)-(\\d+)/(\\d+|\\*)\\s*$', 3) t from r) """

@@ -23,7 +23,7 @@ CHUNK_CODES = {
 SURFACE_CODES = {
     "low": "TIFXYZ_ABSENT TIFXYZ_META_INCOMPLETE TIFXYZ_SAMPLE_FORMAT TIFXYZ_INVALID_MASK_MISMATCH TIFXYZ_NONFINITE TIFXYZ_NEGATIVE_COORDINATE TIFXYZ_BBOX_MISMATCH TIFXYZ_TARGET_VOLUME_OVERRUN".split(),
     "medium": "TIFXYZ_META_MISSING TIFXYZ_META_UNREADABLE TIFXYZ_CHANNEL_MISSING TIFXYZ_TIFF_UNREADABLE TIFXYZ_CHANNEL_SHAPE_MISMATCH TIFXYZ_EMPTY".split(),
-    "info": "TIFXYZ_CONTENT_UNDECODED TIFXYZ_ACCESS_UNKNOWN".split(),
+    "info": "TIFXYZ_CONTENT_UNDECODED ACCESS_UNKNOWN".split(),
 }
 GATE_CODES = {"high": "GATE_UNREADABLE GATE_ROOT_ABSENT AUDIT_ERROR GATE_VOXEL_SIZE_UNKNOWN GATE_VOXEL_SIZE_MISMATCH".split()}
 #: Codes after which there is nothing to audit, so a root can't pass.
