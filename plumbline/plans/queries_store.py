@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import probe, voxels
-from ..sources import array_source, mounted_path
+from ..operators import crawl, probe, voxels
+from ..sources import array_source, listing, mounted_path, new_path
 from .catalogue import Catalogue
 from .tables import read
 
@@ -176,3 +176,71 @@ def array_join(spark, sf_dir):
 def array_support(spark, sf_dir):
     cells = array_source.cells(spark, embedding_array(spark, sf_dir), "vectors/0", stored=True).filter("vec < 512")
     return voxels.support(cells.withColumnRenamed("dim", "z"), "z", F.col("value") > 0, F.col("value") > F.lit(0.05))
+
+
+# ------------------------------------------------------------------ crawl of a store by its listings
+#: Folders whose listing fails: by the digits of the MD5 of their path.
+REFUSED = "substr(md5(path), 1, 2) in ('00', '3c', '5d', '77', 'a1', 'fe')"
+SITE = """with recursive u as (select distinct regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/+$', '') p from pages),
+parts as (select string_split(p, '/') s from u),
+nodes as (select distinct array_to_string(s[1:i], '/') path, case when i > 1 then array_to_string(s[1:i - 1], '/') else '' end parent, s[i] as name from parts, lateral (select unnest(range(1, len(s) + 1)) i)),
+kind as (select *, """ + REFUSED + """ refused, regexp_full_match(name, '[0-9]+(_[0-9]+)*') number, name like '%.zarr' zarr from nodes),
+walk as (select '' path, 0 depth, 'folder' step
+  union all select k.path, w.depth + 1, case when zarr then 'root' when number then 'coordinate' when refused then 'unlisted' else 'folder' end from walk w join kind k on k.parent = w.path where w.step = 'folder') """
+
+
+def recorded_site(spark, sf_dir) -> str:
+    """The hosts and folders of the pages' addresses as listings of a server, some of them refused."""
+    folder = mounted_path(spark, "site")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", ""), "/+$", "")
+    parts = F.split(path, "/")
+    edges = read(spark, sf_dir, "pages").select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i - 1), "/").alias("parent"), F.get(parts, i - 1).alias("name")))).alias("e"))
+    whole = F.when(F.col("e.parent") == "", F.col("e.name")).otherwise(F.concat_ws("/", "e.parent", "e.name"))
+    folders = edges.select(F.col("e.parent").alias("path"), F.col("e.name").alias("name")).unionByName(edges.select(whole.alias("path"), F.lit(None).cast("string").alias("name")))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from urllib.parse import quote
+
+        for b in batches:
+            for path, names in zip(b["path"].to_pylist(), b["names"].to_pylist()):
+                os.makedirs(f"{folder}/{path}", exist_ok=True)
+                links = "".join(f'<a href="{quote(n)}/">{n}</a>' for n in ["..", *names])
+                with open(f"{folder}/{path}/index.html", "w") as f:
+                    f.write(f'<html><a href="?C=M;O=A">by date</a><a href="https://example.org/">home</a>{links}<a href="notes.txt">notes</a></html>')
+                if hashlib.md5(path.encode()).hexdigest()[:2] in ("00", "3c", "5d", "77", "a1", "fe"):
+                    with open(f"{folder}/{path}/.status", "w") as f:
+                        f.write("503")
+            yield b.select(["path"])
+
+    folders.groupBy("path").agg(F.collect_set("name").alias("names")).mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    return f"recorded:{folder}"
+
+
+@query("w08_store_crawl", SITE + "select path, depth, step, case step when 'unlisted' then 'UNKNOWN' else 'PRESENT' end state, case step when 'unlisted' then 'SERVER_ERROR' end reason from walk")
+def store_crawl(spark, sf_dir):
+    """A store is crawled by its listings, depth after depth; what can't be listed stays unknown."""
+    found = crawl.crawl_store(spark, recorded_site(spark, sf_dir), new_path(spark, "crawl"), max_depth=40)
+    return found.select("path", "depth", "step", "state", "reason")
+
+
+# ------------------------------------------------------------------ keys of an object store, page by page
+@query(
+    "s11_paged_keys",
+    """with k as (select distinct l_suppkey s, l_suppkey % 29 = 0 denied, l_returnflag || '/' || l_linenumber || case when l_partkey % 3 = 0 then '/' || l_partkey else '-' || l_partkey % 50 end key from lineitem)
+select 'bucket/' || s as store, key, cast(s % 7 as bigint) size, null error from k where not denied or key not like 'N/%' union all select distinct 'bucket/' || s, null, null, 'HTTP 403' from k where denied and key like 'N/%'""",
+)
+def paged_keys(spark, sf_dir):
+    """Each supplier's bucket in pages of three keys, split where keys branch; of some a branch is refused."""
+    name = F.concat(F.col("l_returnflag"), F.lit("/"), F.col("l_linenumber").cast("string"), F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("/"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("-"), (F.col("l_partkey") % 50).cast("string"))))
+    rows = read(spark, sf_dir, "lineitem").select("l_suppkey", name.alias("name")).distinct()
+    body = F.substring(F.encode(F.lit("x" * 6), "utf-8"), F.lit(1), (F.col("l_suppkey") % 7).cast("int"))
+    buckets = rows.groupBy("l_suppkey").agg(F.collect_list("name").alias("names"))
+    # a prefix of its own for each branch, as the first round would split them
+    buckets = buckets.select(
+        F.concat(F.lit("bucket/"), F.col("l_suppkey").cast("string")).alias("store"),
+        F.map_from_entries(F.transform("names", lambda n: F.struct(n, body))).alias("objects"),
+        F.when(F.col("l_suppkey") % 29 == 0, F.create_map(F.lit("N"), F.lit(403))).alias("faults"),
+        F.explode(F.array_distinct(F.transform("names", lambda n: F.substring_index(n, "/", 1)))).alias("top"),
+    )
+    found = listing.all_keys(buckets.select("store", F.concat("top", F.lit("/")).alias("key"), "objects", "faults"), size=3, pages=2)
+    return found.select("store", F.when(F.col("kind") == "key", F.col("key")).alias("key"), "size", "error")

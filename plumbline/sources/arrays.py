@@ -45,9 +45,9 @@ class Counted:
     def __init__(self, store):
         self.store, self.calls, self.bytes = store, 0, 0
 
-    def request(self, method: str, path: str, headers: dict | None = None):
+    def request(self, method: str, path: str, headers: dict | None = None, query: dict | None = None):
         self.calls += 1
-        r = self.store.request(method, path, headers)
+        r = self.store.request(method, path, headers, query) if query else self.store.request(method, path, headers)
         self.bytes += len(r.body)
         return r
 

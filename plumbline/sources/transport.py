@@ -1,4 +1,4 @@
-"""Read-only object stores: local folders, HTTP and replayed responses.
+"""Read-only object stores: local folders, HTTP, object stores by their HTTP interface, and replayed responses.
 
 Every call gives a plain observation (status, body, headers or an error text); what it proves is
 decided by ``observed``: a confirmed 404 is absence, any other failure is unknown.
@@ -6,15 +6,17 @@ decided by ``observed``: a confirmed 404 is absence, any other failure is unknow
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import random
 import re
 import time
-import urllib.error
 import urllib.parse
-import urllib.request
+from collections.abc import Iterator
 from email.utils import parsedate_to_datetime
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 RETRIED = (408, 429, 500, 502, 503, 504)
 RANGE = re.compile(r"\s*bytes (\d+)-(\d+)/(\d+|\*)\s*", re.IGNORECASE)
@@ -77,23 +79,53 @@ def checked_suffix(r: Response, length: int) -> bytes:
 
 
 class HttpStore:
+    """Plain HTTP. A store keeps its connections: one for each host, opened again if the host closed it."""
+
     def __init__(self, base: str, timeout: float = 120.0, tries: int = 5, max_rps: float = 0.0):
         self.base, self.timeout, self.tries = base.rstrip("/"), timeout, tries
         self.pause, self.last = (1 / max_rps if max_rps else 0.0), 0.0
-
-    def request(self, method: str, path: str, headers: dict | None = None) -> Response:
-        url = f"{self.base}/{urllib.parse.quote(path.lstrip('/'))}"
+        self.open: dict[tuple[str, str], http.client.HTTPConnection] = {}
+
+    def send(self, method: str, url: str, headers: dict) -> Response:
+        """One exchange; redirections are followed."""
+        for _ in range(6):
+            u = urllib.parse.urlsplit(url)
+            host = (u.scheme, u.netloc)
+            again = host in self.open
+            if not again:
+                kind = http.client.HTTPSConnection if u.scheme == "https" else http.client.HTTPConnection
+                self.open[host] = kind(u.netloc, timeout=self.timeout)
+            line = (u.path or "/") + ("?" + u.query if u.query else "")
+            try:
+                self.open[host].request(method, line, headers=headers)
+                got = self.open[host].getresponse()
+                body = got.read()
+            except (http.client.HTTPException, OSError) as e:
+                self.open.pop(host).close()
+                # a kept connection that the host has closed meanwhile is no failure
+                if again and isinstance(e, (http.client.RemoteDisconnected, ConnectionResetError, BrokenPipeError)):
+                    continue
+                if isinstance(e, http.client.HTTPException):
+                    raise ConnectionError(f"{type(e).__name__}: {e}") from e
+                raise
+            if got.status not in (301, 302, 303, 307, 308) or not got.headers.get("Location"):
+                return Response(got.status, body, dict(got.headers))
+            url = urllib.parse.urljoin(url, got.headers["Location"])
+        raise StoreError("too many redirections")
+
+    def url(self, path: str, query: dict | None = None) -> str:
+        return f"{self.base}/{urllib.parse.quote(path.lstrip('/'))}" + ("?" + urllib.parse.urlencode(query) if query else "")
+
+    def request(self, method: str, path: str, headers: dict | None = None, query: dict | None = None) -> Response:
         for attempt in range(self.tries):
             time.sleep(max(0.0, self.last + self.pause - time.monotonic()) if self.pause else 0)
             self.last = time.monotonic()
             try:
-                with urllib.request.urlopen(urllib.request.Request(url, method=method, headers={"Accept-Encoding": "identity", "User-Agent": "plumbline", **(headers or {})}), timeout=self.timeout) as got:
-                    return Response(got.status, got.read(), dict(got.headers))
-            except urllib.error.HTTPError as e:
-                if e.code not in RETRIED or attempt + 1 == self.tries:
-                    return Response(e.code, b"", dict(e.headers))
-                time.sleep(delay(attempt, retry_after=e.headers.get("Retry-After")))
-            except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+                r = self.send(method, self.url(path, query), {"Accept-Encoding": "identity", "User-Agent": "plumbline", **(headers or {})})
+                if r.status not in RETRIED or attempt + 1 == self.tries:
+                    return r
+                time.sleep(delay(attempt, retry_after=r.headers.get("retry-after")))
+            except (TimeoutError, OSError) as e:
                 if attempt + 1 == self.tries:
                     raise StoreError("timeout" if "timed out" in str(e) or isinstance(e, TimeoutError) else f"connection: {e}") from e
                 time.sleep(delay(attempt))
@@ -115,7 +147,7 @@ class ReplayStore(HttpStore):
         super().__init__("", tries=1)
         self.routes, self.default = routes, default
 
-    def request(self, method: str, path: str, headers: dict | None = None) -> Response:
+    def request(self, method: str, path: str, headers: dict | None = None, query: dict | None = None) -> Response:
         r = self.routes.get(path.strip("/"), self.routes.get(path, {"status": self.default}))
         r = r.get(method, r)
         r = r.get((headers or {}).get("Range"), r)
@@ -149,8 +181,10 @@ class PlantedStore:
     def __init__(self, objects: dict[str, bytes], faults: dict[str, int] | None = None, suffixes: bool = True):
         self.objects, self.faults, self.suffixes = objects, faults or {}, suffixes
 
-    def request(self, method: str, path: str, headers: dict | None = None) -> Response:
+    def request(self, method: str, path: str, headers: dict | None = None, query: dict | None = None) -> Response:
         path = path.strip("/")
+        if query and query.get("list-type") == "2":
+            return self.page(query)
         if path in self.faults:
             return Response(self.faults[path])
         body = self.objects.get(path)
@@ -163,6 +197,27 @@ class PlantedStore:
         span = asked(headers, len(body))
         return Response(200, body, {"Content-Length": str(len(body))}) if span is None else ranged(body[span[0] : span[1]], span, len(body))
 
+    def page(self, query: dict) -> Response:
+        """A page of keys in order, as object stores give it. A fault at a prefix denies it where it is asked for."""
+        prefix, mark, most = query.get("prefix", ""), query.get("delimiter", ""), int(query.get("max-keys", 1000))
+        if prefix.rstrip("/") in self.faults:
+            return Response(self.faults[prefix.rstrip("/")])
+        after = query.get("continuation-token") or query.get("start-after", "")
+        entries: dict[str, int | None] = {}
+        for key in sorted(self.objects):
+            if not key.startswith(prefix) or key <= after or mark and after.endswith(mark) and key.startswith(after):
+                continue
+            cut = key.find(mark, len(prefix)) if mark else -1
+            entries.setdefault(key if cut < 0 else key[: cut + len(mark)], len(self.objects[key]) if cut < 0 else None)
+            if len(entries) > most:
+                break
+        shown = list(entries.items())[:most]
+        more = len(entries) > most
+        quoted = lambda k: escape(urllib.parse.quote(k))
+        body = "".join(f"<Contents><Key>{quoted(k)}</Key><Size>{n}</Size></Contents>" if n is not None else f"<CommonPrefixes><Prefix>{quoted(k)}</Prefix></CommonPrefixes>" for k, n in shown)
+        token = f"<NextContinuationToken>{escape(shown[-1][0])}</NextContinuationToken>" if more else ""
+        return Response(200, f'<ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/"><IsTruncated>{str(more).lower()}</IsTruncated>{token}{body}</ListBucketResult>'.encode())
+
     def list(self, path: str) -> list[str]:
         path = path.strip("/")
         if path in self.faults:
@@ -212,6 +267,75 @@ class LocalStore:
         return sorted(n + "/" * os.path.isdir(os.path.join(full, n)) for n in os.listdir(full))
 
 
+class RecordedStore(HttpStore):
+    """A server's pages kept in a folder: ``index.html`` is a folder's listing, and a file ``.status``
+    holds the status that the server gave for it instead."""
+
+    def __init__(self, base: str):
+        super().__init__("", tries=1)
+        self.folder = LocalStore(base.removeprefix("recorded:"))
+
+    def request(self, method: str, path: str, headers: dict | None = None, query: dict | None = None) -> Response:
+        folder = self.folder.place(path)
+        if os.path.isdir(folder):
+            status = self.folder.request("GET", f"{path.strip('/')}/.status")
+            if status.status == 200:
+                return Response(int(status.body))
+            path = f"{path.strip('/')}/index.html"
+        return self.folder.request(method, path, headers)
+
+
+class S3Store(HttpStore):
+    """An object store by its plain HTTP interface, without an account: ``s3://bucket/prefix``. The
+    endpoint is an option or ``AWS_ENDPOINT_URL_S3``."""
+
+    def __init__(self, base: str, endpoint: str | None = None, **options):
+        bucket, _, self.prefix = base.removeprefix("s3://").rstrip("/").partition("/")
+        endpoint = (endpoint or os.environ.get("AWS_ENDPOINT_URL_S3") or "https://s3.amazonaws.com").rstrip("/")
+        super().__init__(f"{endpoint}/{bucket}", **options)
+
+    def url(self, path: str, query: dict | None = None) -> str:
+        if query:  # a listing is asked of the bucket, below this store's prefix
+            return super().url("", {k: f"{self.prefix}/{v}" if self.prefix and k in ("prefix", "start-after") and (v or k == "prefix") else v for k, v in query.items()})
+        return super().url(f"{self.prefix}/{path.lstrip('/')}" if self.prefix else path)
+
+    def list(self, path: str) -> list[str]:
+        under = path.strip("/") + "/" if path.strip("/") else ""
+        names = [name[len(under) :] for keys, folders, _ in listed_pages(self, under, delimiter="/") for name in [k for k, _ in keys] + folders]
+        if not names:
+            raise StoreError("404 Not Found")
+        return sorted({n for n in names if n})
+
+
+def listed_pages(store, prefix: str, after: str = "", delimiter: str = "", size: int = 1000, pages: int | None = None) -> Iterator[tuple[list[tuple[str, int]], list[str], bool]]:
+    """(keys with sizes, common prefixes, whether more follows) page after page, in the order of keys."""
+    own = f"{store.prefix}/" if getattr(store, "prefix", "") else ""
+    token = None
+    while pages is None or pages > 0:
+        pages = None if pages is None else pages - 1
+        query = {"list-type": "2", "prefix": prefix, "max-keys": str(size), "encoding-type": "url"}
+        query |= {"delimiter": delimiter} if delimiter else {}
+        query |= {"continuation-token": token} if token else {"start-after": after} if after else {}
+        r = store.request("GET", "", None, query)
+        if r.status != 200:
+            raise StoreError("404 Not Found" if r.status == 404 else f"HTTP {r.status}")
+        try:
+            doc = ElementTree.fromstring(r.body)
+        except ElementTree.ParseError as e:
+            raise StoreError(f"listing is no XML: {e}") from e
+        for node in doc.iter():
+            node.tag = node.tag.rpartition("}")[2]
+        name = lambda text: urllib.parse.unquote(text or "")[len(own) :]
+        keys = [(name(c.findtext("Key")), int(c.findtext("Size") or 0)) for c in doc.findall("Contents")]
+        more = doc.findtext("IsTruncated") == "true"
+        token = doc.findtext("NextContinuationToken")
+        if more and not token:
+            raise StoreError("listing is cut without a token")
+        yield keys, [name(c.findtext("Prefix")) for c in doc.findall("CommonPrefixes")], more
+        if not more:
+            return
+
+
 def head(store, path: str) -> Response:
     """Whether an object is there, and its size. Where HEAD is refused or gives no length, a range of
     one byte tells both."""
@@ -247,9 +371,13 @@ def trailing(store, path: str, length: int) -> bytes:
 
 
 def open_store(base: str, replay: str | None = None, **options):
-    """The store for a base: replayed routes, HTTP, or a folder."""
+    """The store for a base: replayed routes, an object store, recorded pages, HTTP, or a folder."""
     if replay:
         return ReplayStore(json.loads(replay))
+    if base.startswith("s3://"):
+        return S3Store(base, **options)
+    if base.startswith("recorded:"):
+        return RecordedStore(base)
     return HttpStore(base, **options) if base.startswith(("http://", "https://")) else LocalStore(base)
 
 
