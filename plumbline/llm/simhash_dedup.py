@@ -24,7 +24,8 @@ Similarity
     shingles among them one text is read again, and two sets are joined if their exact Jaccard
     similarity reaches the limit. Two such sets share a shingle among the rarest of each
     (``n - ceil(limit * n) + 1`` of n), so sets meet at those shingles: first with the smallest and
-    the largest set of each, which joins groups of copies by few pairs, then all that are still apart.
+    the largest set of each, which joins groups of copies by few pairs, then all that are still apart
+    and whose parities (a lower bound of what they differ by, 64 bytes a set) leave the limit open.
 
 Components
     Smallest node reachable over links, by rounds of contraction on DataFrames.
@@ -59,6 +60,8 @@ GONE_ROWS = 4_000_000
 PAIRS_AT_ONCE = 500_000
 #: Most rounds that join similar sets by few pairs before all pairs still apart are compared.
 STAR_ROUNDS = 2
+#: Words of parity bits of a set of shingles.
+PARITIES = 8
 
 
 # ------------------------------------------------------------------ fingerprints
@@ -119,17 +122,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + (", set_key binary" if keys else ""))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """``PARITIES`` words of bits, each the parity of the number of hashes in a bucket. Each element that only
+    one of two sets has flips one bit, so two sets differ in at least as many elements as their bits do."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """``(node, hashes)``: the distinct shingle hashes of each row of ``docs``."""
+    """``(node, hashes, bits)``: the distinct shingle hashes of each row of ``docs``, and their parities."""
     common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
-            sets = [np.unique(shingle_hashes(t, shingle, seed)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+            sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in b.column(1).to_pylist()]
+            columns = [b.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "hashes", "bits"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("node"), common.text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "node bigint, hashes array<bigint>")
+    return rows.mapInArrow(run, "node bigint, hashes array<bigint>, bits array<bigint>")
 
 
 # ------------------------------------------------------------------ trie self-join
@@ -391,8 +402,12 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
         rare = rare.select("node", "n", "word").join(label, "node", "left").select("node", "n", "word", F.coalesce("label", "node").alias("label"))
         apart = rare.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("word")
         rare = common.stored(rare.join(apart, "word", "left_semi"))
-    one = lambda s: rare.select("word", *(F.col(c).alias(f"{c[0]}{s}") for c in ("n", "label")), F.col("node").alias(s))
-    rest = one("a").join(one("b"), "word").filter("a < b and la <> lb").filter(sized).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
+    rare = rare.join(sets.select("node", "bits"), "node")
+    one = lambda s: rare.select("word", *(F.col(c).alias(f"{c[0]}{s}") for c in ("n", "label", "bits")), F.col("node").alias(s))
+    # parities tell most that differ too much apart before a pair of them is made; none that is similar is lost
+    differ = sum((F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(PARITIES)), F.lit(0))
+    alike = differ <= F.expr(f"na + nb - 2 * ceil({similarity}D / (1 + {similarity}D) * (na + nb) - 1e-9D)")
+    rest = one("a").join(one("b"), "word").filter("a < b and la <> lb").filter(sized).filter(alike).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
     # what two sets can share: the rare words that both have, and what comes after these in one of them
     most = F.expr(f"met + ceil({similarity}D * greatest(na, nb) - 1e-9D) - 1")
     rest = rest.filter(most >= F.expr(f"{similarity}D / (1 + {similarity}D) * (na + nb) - 1e-9D")).select("a", "b")

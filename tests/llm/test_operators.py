@@ -648,3 +648,13 @@ def test_near_dedup_of_the_pipeline_against_brute_force(spark):
     want = set(brute_components(list(range(len(texts))), sets, near))
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()}
     assert got == want
+
+
+def test_parities_bound_what_sets_differ_by():
+    rnd = np.random.default_rng(5)
+    for n in (0, 1, 5, 60, 400, 3000):
+        for share in (0.0, 0.5, 0.8, 0.95, 1.0):
+            both = rnd.integers(0, 2**63, round(n * share), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([both, rnd.integers(0, 2**63, n - len(both), dtype=np.uint64)])) for _ in range(2))
+            bits = int(np.bitwise_count((simhash_dedup.parities(a) ^ simhash_dedup.parities(b)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(a, b)) and (n != 400 or share != 0.5 or bits > 0.22 * n)
