@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from . import selection
 
 PERCENTILES = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
 
@@ -18,7 +19,8 @@ def support(voxels: DataFrame, plane: str, predicted: Column, supported: Column)
 
 
 def depth_statistics(rows: DataFrame, depth: str, value: str) -> DataFrame:
-    """Moments and exact percentiles over the finite values of each depth."""
+    """Moments and exact percentiles over the finite values of each depth. The percentiles are selected by
+    ranks over ranges of values, so no task holds a depth."""
     finite = fn.is_finite(value)
     x = F.when(finite, F.col(value))
     mean, square = F.avg(x), F.avg(x * x)
@@ -28,9 +30,10 @@ def depth_statistics(rows: DataFrame, depth: str, value: str) -> DataFrame:
         F.round(F.count_if(finite & (F.col(value) != 0)) / F.count("*"), 6).alias("nonzero_fraction"),
         F.round(mean, 6).alias("mean"),
         F.round(F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)), 6).alias("std"),
-        F.percentile(x, F.array(*(F.lit(p) for p in PERCENTILES.values()))).alias("__p"),
     )
-    return stats.withColumns({name: F.round(F.get("__p", F.lit(i)), 6) for i, name in enumerate(PERCENTILES)}).drop("__p")
+    found = selection.percentiles(rows.filter(finite).withColumnRenamed(depth, "__depth"), ["__depth"], value, PERCENTILES)
+    both = stats.join(found, stats[depth].eqNullSafe(found["__depth"]), "left").drop("__depth")
+    return both.withColumns({name: F.round(name, 6) for name in PERCENTILES})
 
 
 def gradient(rows: DataFrame, depth: str, line: str, position: str, value: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import binary
-from ..sources import headers, new_path, sinks, store_table
+from ..sources import headers, loaders, new_path, sinks, store_table
 from ..streaming import windows
 from . import tables
 from .catalogue import Catalogue
@@ -198,28 +199,54 @@ def csv(spark, sf_dir):
 query("s23_findings_csv", AUDIT + "select root, code, count(*) n from findings group by 1, 2")(lambda spark, sf_dir: csv(spark, sf_dir).groupBy("root", "code").agg(F.count("*").alias("n")))
 
 
-@query("s21_roots_jsonl", "select distinct 'root/' || o_orderkey root from orders where o_orderkey % 3 <> 0")
-def roots_jsonl(spark, sf_dir):
-    """Root lists as JSON lines: bad lines are left out, repeated roots count once."""
+ROOT_LINES = "with l as (select *, row_number() over (order by copy, o_orderkey) line from (select o_orderkey, copy from orders, (select unnest([0, 1]) copy))) "
+
+
+def root_lines(spark, sf_dir):
+    """A list of roots, written twice over in the order of keys; every third line is cut off."""
     k = F.col("o_orderkey")
     line = F.when(k % 3 == 0, '{"root": ').otherwise(F.concat(F.lit('{"root":"root/'), k.cast("string"), F.lit('"}')))
+    rows = read(spark, sf_dir, "orders").select(k, line.alias("value"))
+    rows = rows.withColumn("copy", F.lit(0)).unionAll(rows.withColumn("copy", F.lit(1)))
     path = new_path(spark, "roots")
-    rows = read(spark, sf_dir, "orders").select(line.alias("value"))
-    rows.unionAll(rows).write.text(path)
-    return spark.read.schema("root string").option("mode", "DROPMALFORMED").json(path).filter("root is not null").distinct()
+    rows.orderBy("copy", "o_orderkey").select("value").write.text(path)
+    lines = loaders.numbered_lines(spark, path)
+    # as if the files were one: their lines go on counting
+    sizes = lines.groupBy("file").agg(F.max("line").alias("n"))
+    before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))  # a row for each file
+    return lines.join(F.broadcast(before), "file").select("file", (F.col("line") + F.col("before")).alias("line"), "value")
+
+
+@query("s21_roots_jsonl", ROOT_LINES + "select 'root/' || o_orderkey root, min(line) line from l where o_orderkey % 3 <> 0 group by 1")
+def roots_jsonl(spark, sf_dir):
+    """Root lists as JSON lines: bad lines are left out, and of repeated roots the first line counts."""
+    return loaders.roots(root_lines(spark, sf_dir))[0].select("root", "line")
+
+
+@query("s21_line_counts", ROOT_LINES + "select count(*) as lines, count(*) filter (o_orderkey % 3 = 0) bad, count(distinct o_orderkey) filter (o_orderkey % 3 <> 0) roots, count(*) filter (o_orderkey % 3 <> 0) - count(distinct o_orderkey) filter (o_orderkey % 3 <> 0) repeated from l")
+def line_counts(spark, sf_dir):
+    return loaders.roots(root_lines(spark, sf_dir))[1]
 
 
-@query("s22_levels_jsonl", WITH_LEVELS + "select root, path, len(shape) ndim from lv where present")
+@query("s22_levels_jsonl", WITH_LEVELS + ", roots as (select root from lv where present group by 1), named as (select root from roots where root like '%77%' or root like '%500%'), drawn as (select root from roots where root not in (select root from named) order by md5('3|' || root), root limit 25) select root, path as level, len(shape) ndim from lv where present and (root in (select root from named) or root in (select root from drawn))")
 def levels_jsonl(spark, sf_dir):
-    rows = sinks.stored_jsonl(tables.levels(spark, sf_dir).select("root", "path", "present", "shape", "chunks"))
-    return rows.filter("present and shape is not null and chunks is not null").select("root", "path", F.size("shape").cast("bigint").alias("ndim"))
+    """Levels of a scan read back: present ones of the roots that are named, and some others, the same on every run."""
+    rows = tables.levels(spark, sf_dir).select("root", F.col("path").alias("level"), F.col("idx").alias("index"), "present", "shape", "chunks", F.col("compressor_id").alias("compressor"))
+    path = new_path(spark, "levels")
+    sinks.write_jsonl(rows, path)
+    found = loaders.levels(loaders.numbered_lines(spark, path), root_parts=("77", "500"), random_roots=25, seed=3)
+    return found.select("root", "level", F.size("shape").cast("bigint").alias("ndim"))
 
 
-@query("s28_manifest")
+@query("s28_manifest", ALL_FINDINGS.replace("select code, severity, root, level from findings", "select 'findings' output, count(*) as rows, count(*) filter (severity = 'high') high, count(distinct code) codes, true ok from findings"))
 def manifest(spark, sf_dir):
-    """Provenance of a run over the orders; what it counted is in it."""
-    n = read(spark, sf_dir, "orders").count()
-    return sinks.run_manifest(spark, ["audit", sf_dir], {"roots": n}, {}).select("spark", F.col("counters")["roots"].alias("roots"))
+    """The manifest of a run that writes all findings; its counters are observed by the job that writes."""
+    folder = new_path(spark, "run")
+    with sinks.Run(spark, folder, "audit", [sf_dir]) as run:
+        known = F.size(F.collect_set("code"))
+        run.write(all_findings(spark, sf_dir), "findings", "jsonl", {"high": F.count_if(F.col("severity") == "high"), "codes": known})
+    rows = sinks.read_manifest(spark, run.manifest)
+    return rows.select("counters", "ok", F.explode("outputs").alias("output", "o")).select("output", F.col("o.rows").alias("rows"), F.col("counters")["high"].alias("high"), F.col("counters")["codes"].alias("codes"), "ok")
 
 
 # ------------------------------------------------------------------ streams (ours; the surveyed system has none)

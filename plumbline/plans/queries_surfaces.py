@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import surfaces
+from ..operators import selection, surfaces
 from ..sources import surface_scan
 from .catalogue import Catalogue
 from .tables import read
@@ -188,7 +188,9 @@ def surface_verdicts(spark, sf_dir):
 @query("a27_survey", SURFACES + "select code, count(distinct fd.surface) n, quantile_cont(n_valid, 0.5) median_valid from fd left join sf using (surface) group by 1")
 def survey(spark, sf_dir):
     _, said, stats = audited(spark, sf_dir)
-    return said.join(stats.select("surface", "n_valid"), "surface", "left").groupBy("code").agg(F.count_distinct("surface").alias("n"), F.percentile("n_valid", 0.5).alias("median_valid"))
+    rows = said.join(stats.select("surface", "n_valid"), "surface", "left")
+    counts = rows.groupBy("code").agg(F.count_distinct("surface").alias("n"))
+    return counts.join(selection.percentiles(rows, ["code"], "n_valid", {"median_valid": 0.5}), "code", "left")
 
 
 @query("l09_ordered_codes", SURFACES + "select surface, string_agg(code, ',' order by code) codes from fd group by 1")

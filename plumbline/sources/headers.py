@@ -14,28 +14,33 @@ def whole_numbers(raw: Column) -> Column:
     return F.when(values.isNotNull() & F.forall(values, lambda v: v.isNotNull()), values)
 
 
+#: What is looked at of a header; arrays and codecs stay text.
+HEADER = "zarr_format string, shape string, chunks string, dtype string, data_type string, fill_value string, compressor string, codecs string, chunk_grid struct<configuration:struct<chunk_shape:string>>, dimension_separator string, chunk_key_encoding struct<configuration:struct<separator:string>>, dimension_names string"
+
+
 def parsed(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    """``rows`` with the level columns of a v2 (.zarray) or v3 (zarr.json) array header.
+    """``rows`` with the level columns of a v2 (.zarray) or v3 (zarr.json) array header, from one parse.
 
     ``fill_value`` stays text as written; a header that doesn't parse gives an AUDIT_ERROR row.
     """
-    get = lambda path: F.get_json_object(raw, path)
-    v3 = get("$.zarr_format") == "3"
-    bad = F.col(raw).isNotNull() & F.try_parse_json(F.col(raw)).isNull()
+    h = lambda path: F.col(f"__h.{path}")
+    v3 = F.coalesce(h("zarr_format") == "3", F.lit(False))
+    rows = rows.withColumn("__h", F.from_json(raw, HEADER))
     return rows.withColumns(
         {
-            "zarr_format": get("$.zarr_format").cast("int"),
-            "shape": whole_numbers(get("$.shape")),
-            "chunks": whole_numbers(F.when(v3, get("$.chunk_grid.configuration.chunk_shape")).otherwise(get("$.chunks"))),
-            "dtype": F.when(v3, get("$.data_type")).otherwise(get("$.dtype")),
-            "fill_value": get("$.fill_value"),
-            "compressor_id": fn.compressor_id(F.when(v3, get("$.codecs")).otherwise(get("$.compressor"))),
-            "separator": F.when(v3, F.coalesce(get("$.chunk_key_encoding.configuration.separator"), F.lit("/"))).otherwise(F.coalesce(get("$.dimension_separator"), F.lit("."))),
-            "dimension_names": F.from_json(get("$.dimension_names"), "array<string>"),
-            "sharded": v3 & F.coalesce(get("$.codecs").contains("sharding_indexed"), F.lit(False)),
-            "code": F.when(bad, "AUDIT_ERROR"),
+            "zarr_format": h("zarr_format").try_cast("int"),
+            "shape": whole_numbers(h("shape")),
+            "chunks": whole_numbers(F.when(v3, h("chunk_grid.configuration.chunk_shape")).otherwise(h("chunks"))),
+            "dtype": F.when(v3, h("data_type")).otherwise(h("dtype")),
+            "fill_value": h("fill_value"),
+            "compressor_id": fn.compressor_id(F.when(v3, h("codecs")).otherwise(h("compressor"))),
+            "separator": F.when(v3, F.coalesce(h("chunk_key_encoding.configuration.separator"), F.lit("/"))).otherwise(F.coalesce(h("dimension_separator"), F.lit("."))),
+            "dimension_names": F.from_json(h("dimension_names"), "array<string>"),
+            "sharded": v3 & F.coalesce(h("codecs").contains("sharding_indexed"), F.lit(False)),
+            # only what gave no field at all can be no JSON
+            "code": F.when(F.col(raw).isNotNull() & F.coalesce(h("shape"), h("zarr_format")).isNull() & F.try_parse_json(F.col(raw)).isNull(), "AUDIT_ERROR"),
         }
-    )
+    ).drop("__h")
 
 
 def multiscale(rows: DataFrame, raw: str = "raw") -> DataFrame:

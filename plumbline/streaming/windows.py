@@ -27,13 +27,14 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hour and type: each micro-batch is counted and appended, then merged. No watermark
-    drops what comes late, and no state grows with the windows."""
+    """Events by hour and type: each micro-batch is counted and stored under its number, then merged. No
+    watermark drops what comes late, no state grows with the windows, and a batch that is run again
+    takes the place of what it wrote before."""
     out = new_path(spark, "hourly")
 
-    def counted(batch: DataFrame, _: int) -> None:
+    def counted(batch: DataFrame, number: int) -> None:
         hour = F.window(F.col("ts").cast("timestamp"), "1 hour").start
-        batch.groupBy(hour.alias("window_start"), "event_type").agg(F.count("*").alias("n")).write.mode("append").parquet(out)
+        batch.groupBy(hour.alias("window_start"), "event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     events(spark, sf_dir).writeStream.foreachBatch(counted).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema("window_start timestamp, event_type string, n bigint").parquet(out)
@@ -44,8 +45,8 @@ def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user and type: each micro-batch is reduced and appended, then merged."""
     out = new_path(spark, "latest")
 
-    def reduce(batch: DataFrame, _: int) -> None:
-        batch.groupBy("user_id", "event_type").agg(F.max("event_id").alias("last_event")).write.mode("append").parquet(out)
+    def reduce(batch: DataFrame, number: int) -> None:
+        batch.groupBy("user_id", "event_type").agg(F.max("event_id").alias("last_event")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     events(spark, sf_dir).writeStream.foreachBatch(reduce).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(out)
