@@ -49,6 +49,20 @@ def until_gap(rows: DataFrame, by: str, position: str) -> DataFrame:
     return distinct.withColumn("__n", F.col(position) - F.row_number().over(own)).withColumn("__first", F.first("__n").over(own)).filter(F.col("__n") == F.col("__first")).select(by, position)
 
 
+def undeclared(found: DataFrame, declared: DataFrame, by: str, position: str, last: str, most: int) -> DataFrame:
+    """Of the positions ``found`` of each key, those that follow its last declared one without a gap, at most ``most``."""
+    beyond = found.join(declared.select(by, last), by).filter((F.col(position) > F.col(last)) & (F.col(position) <= F.col(last) + most)).distinct()
+    own = W.partitionBy(by).orderBy(position)  # ``most`` rows of a key
+    return beyond.withColumn("__n", F.row_number().over(own)).filter(F.col(position) == F.col(last) + F.col("__n")).select(by, position)
+
+
+def first_of_each(rows: DataFrame, by: str, name: str, k: int) -> DataFrame:
+    """The first k names of each key as text, and how many there are: ranked, so a key's names are never gathered."""
+    ranked = rows.withColumn("__n", F.row_number().over(W.partitionBy(by).orderBy(name))).filter(F.col("__n") <= k)
+    heads = ranked.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("names"))
+    return heads.join(rows.groupBy(by).agg(F.count("*").alias("n")), by)
+
+
 def even_sample(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """n rows of each key, evenly by position: places floor(i * size / n)."""
     wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("__size") / n))

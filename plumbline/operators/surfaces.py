@@ -166,7 +166,7 @@ def verdicts(found: DataFrame, findings: DataFrame) -> DataFrame:
         "surface",
         F.when(F.col("gone"), "ABSENT").when(F.col("blind"), "UNKNOWN").otherwise("PRESENT").alias("evidence_state"),
         F.when(F.col("gone"), "NOT_FOUND").when(F.col("blind"), "ACCESS_UNKNOWN").when(F.col("parts"), "PARTS_ABSENT").alias("reason"),
-        F.when(F.col("rank") == 3, "FAIL").when(unsure, "UNKNOWN").when(F.col("rank") >= 1, "WARN").otherwise("PASS").alias("integrity"),
+        F.when(F.col("rank") == 3, "FAIL").when(unsure, "UNKNOWN").when(F.col("rank") == 2, "WARN").otherwise("PASS").alias("integrity"),
         F.coalesce(F.get(F.array(*(F.lit(s) for s in schema.SEVERITIES)), F.col("rank")), F.lit("none")).alias("max_severity"),
     )
 

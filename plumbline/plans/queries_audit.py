@@ -12,6 +12,7 @@ from ..sources import store_table
 from . import rules, tables
 from .catalogue import Catalogue
 from .oracle import AUDIT, LEVELS, PYRAMIDS
+from .tables import read
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -294,3 +295,95 @@ def versions(spark, sf_dir):
 @query("c26_duplicate_axes", "with " + PYRAMIDS + " select root, array_to_string(axes, ',') axes, r11 = 1 duplicated from py")
 def duplicate_axes(spark, sf_dir):
     return tables.pyramids(spark, sf_dir).select("root", F.array_join("axes", ",").alias("axes"), (F.size(F.array_distinct("axes")) < F.size("axes")).alias("duplicated"))
+
+
+# ------------------------------------------------------------------ truth, tools, targets, conditions
+TRUTH = "tr as (select root, case when k % 40 < 10 then 'broken' when k % 14 = 7 then 'bare' else 'whole' end truth from py), to_ as (select 'audit' tool, root from verdicts where integrity <> 'PASS' union all select distinct 'findings', root from findings where severity in ('high', 'medium') union all select 'headers', root from py where state <> 'PRESENT' or reason is not null)"
+
+
+def truth_and_tools(spark, sf_dir):
+    """What is known of each root, and which roots three tools object to."""
+    pyramids, found = tables.pyramids(spark, sf_dir), findings(spark, sf_dir)
+    k = F.substring_index("root", "/", -1).cast("bigint")
+    truth = pyramids.select("root", F.when(k % 40 < 10, "broken").when(k % 14 == 7, "bare").otherwise("whole").alias("truth"))
+    named = lambda tool, rows: rows.select(F.lit(tool).alias("tool"), "root")
+    tools = named("audit", rules.integrity(pyramids, found).filter("integrity <> 'PASS'")).unionByName(named("findings", found.filter("severity in ('high', 'medium')").distinct()))
+    return truth, tools.unionByName(named("headers", pyramids.filter("state <> 'PRESENT' or reason is not null")))
+
+
+@query("j14_truth_and_tools", AUDIT + ", " + TRUTH + " select distinct tool, root, truth from to_ join tr using (root)")
+def truth_joined(spark, sf_dir):
+    truth, tools = truth_and_tools(spark, sf_dir)
+    return tools.distinct().join(truth, "root").select("tool", "root", "truth")
+
+
+@query("a26_hit_matrix", AUDIT + ", " + TRUTH + " select coalesce(tool, '*') tool, coalesce(truth, '*') truth, count(*) filter (hit) hits, count(*) total from (select t.tool, tr.truth, (t.tool, tr.root) in (select (tool, root) from to_) hit from tr, (select distinct tool from to_) t) group by cube (tool, truth)")
+def hit_matrix(spark, sf_dir):
+    return rules.hit_matrix(*truth_and_tools(spark, sf_dir))
+
+
+@query("a30_target_totals", AUDIT + "select count(*) targets, count(*) filter (n_findings = 0) without_findings, count(*) filter (levels = present) all_present, count(*) filter (levels is null) unmatched, count(*) filter (levels = 1) single, cast(coalesce(sum(levels), 0) as bigint) levels from verdicts left join (select root, count(*) levels, count(*) filter (present) present from lv group by 1) using (root)")
+def target_totals(spark, sf_dir):
+    """Targets by what was found of them: without findings, with all levels, with none."""
+    own = tables.levels(spark, sf_dir).groupBy("root").agg(F.count("*").alias("levels"), F.count_if("present").alias("present"))
+    rows = rolled(spark, sf_dir).select("root", "n_findings").join(own, "root", "left")
+    return rows.agg(
+        F.count("*").alias("targets"),
+        F.count_if(F.col("n_findings") == 0).alias("without_findings"),
+        F.count_if(F.col("levels") == F.col("present")).alias("all_present"),
+        F.count_if(F.col("levels").isNull()).alias("unmatched"),
+        F.count_if(F.col("levels") == 1).alias("single"),
+        F.coalesce(F.sum("levels"), F.lit(0)).alias("levels"),
+    )
+
+
+@query("a32_conditions", AUDIT + "select count(*) roots, count(*) filter (state = 'UNKNOWN') unreachable, count(*) filter (state = 'ABSENT') absent, count(*) filter (coalesce(reason = 'METADATA_UNREADABLE', false)) unreadable, count(*) filter (has_multiscales and version is null) undeclared_version, count(*) filter (marked) marked, count(*) filter (node_kind = 'array') arrays from py")
+def conditions(spark, sf_dir):
+    """How many roots meet each condition of the corpus."""
+    of = {
+        "unreachable": "state = 'UNKNOWN'",
+        "absent": "state = 'ABSENT'",
+        "unreadable": "reason = 'METADATA_UNREADABLE'",
+        "undeclared_version": "has_multiscales and version is null",
+        "marked": "marker is not null",
+        "arrays": "node_kind = 'array'",
+    }
+    return tables.pyramids(spark, sf_dir).agg(F.count("*").alias("roots"), *(F.count_if(F.expr(test)).alias(name) for name, test in of.items()))
+
+
+@query("j02_undeclared", "with d as (select distinct l_orderkey k, l_linenumber n from lineitem), m as (select o_orderkey k, 1 + o_orderkey % 3 last from orders), b as (select k, n, last, row_number() over (partition by k order by n) r from d join m using (k) where n > last and n <= last + 3) select k, n from b where n = last + r")
+def undeclared(spark, sf_dir):
+    """Levels on disk that follow the last declared one: up to the first gap, three at most."""
+    found = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
+    declared = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (1 + F.col("o_orderkey") % 3).alias("last"))
+    return sampling.undeclared(found, declared, "k", "n", "last", 3)
+
+
+@query("j05_level_probe", AUDIT + "select root, path, case when idx % 5 = 4 then 'UNKNOWN' else state end state, case when idx % 5 = 4 or state = 'UNKNOWN' then 'ACCESS_UNKNOWN' when state = 'ABSENT' then 'LEVEL_MISSING' end code from lv")
+def level_probe(spark, sf_dir):
+    """Declared levels with what a probe of their headers said; one that was not probed is unknown, not absent."""
+    levels = tables.levels(spark, sf_dir)
+    probes = levels.filter("idx % 5 <> 4").select("root", "path", "state")
+    state = F.coalesce("state", F.lit("UNKNOWN"))
+    rows = levels.select("root", "path").join(probes, ["root", "path"], "left").select("root", "path", state.alias("state"))
+    return rows.withColumn("code", F.when(F.col("state") == "UNKNOWN", "ACCESS_UNKNOWN").when(F.col("state") == "ABSENT", "LEVEL_MISSING"))
+
+
+@query("w12_first_suffix_table", "select root, reason from (select py.root, t.reason, row_number() over (partition by py.root order by t.n) r from py left join (select n_nationkey n, 'kind ' || n_nationkey reason, case when n_nationkey % 2 = 0 then cast(50 - n_nationkey as varchar) else '' || n_nationkey end suffix from nation) t on ends_with(py.root, t.suffix)) where r = 1".replace("select root, reason from", "with " + PYRAMIDS + " select root, reason from", 1))
+def first_suffix_table(spark, sf_dir):
+    """Each root with the first entry of an ordered table of suffixes that ends its name."""
+    n = F.col("n_nationkey")
+    table = read(spark, sf_dir, "nation").select(n.alias("n"), F.concat(F.lit("kind "), n.cast("string")).alias("reason"), F.when(n % 2 == 0, (50 - n).cast("string")).otherwise(n.cast("string")).alias("suffix"))
+    return sampling.first_suffix(tables.pyramids(spark, sf_dir).select("root"), "root", table, "suffix", "n").select("root", "reason")
+
+
+@query("l06_first_of_each", AUDIT + "select code, string_agg(root, ',' order by root) names, any_value(n) n from (select code, root, row_number() over (partition by code order by root) r, count(*) over (partition by code) n from (select distinct code, root from findings)) where r <= 8 group by 1")
+def first_of_each(spark, sf_dir):
+    """The first eight roots of each code, and how many it has."""
+    return sampling.first_of_each(findings(spark, sf_dir).select("code", "root").distinct(), "code", "root", 8)
+
+
+@query("p20_golden", AUDIT + "select root, level, code, severity, evidence_state, actionable from findings")
+def golden(spark, sf_dir):
+    """Findings as two runs are compared by: without free text."""
+    return rules.golden(findings(spark, sf_dir).withColumn("detail", F.concat("code", F.lit(" at "), "level")))

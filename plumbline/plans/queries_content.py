@@ -275,11 +275,6 @@ def support(spark, sf_dir):
     return voxels.support(rows, "z", F.col("l_quantity") > 25, F.col("l_discount") > 0)
 
 
-@query("f17_foreground", "select l_orderkey, count(*) n from lineitem where l_quantity > 25 and l_discount > 0 group by 1")
-def foreground(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").filter("l_quantity > 25 and l_discount > 0").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-
-
 @query("j13_voxel_join", "select a.vec_id, count(*) n, count(*) filter (a.v > 0.1) positives, count(*) filter (a.v > 0.1 and b.v <= 0) phantom from (select vec_id, unnest(range(64)) i, unnest(embedding) v from embeddings) a join (select vec_id, unnest(range(64)) i, unnest(embedding) v from embeddings) b on a.i = b.i and b.vec_id = a.vec_id + 1 group by 1")
 def voxel_join(spark, sf_dir):
     """Each vector against the next one, cell by cell."""

@@ -129,9 +129,6 @@ def first_suffix(spark, sf_dir):
     return sampling.first_suffix(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name", nations, "suffix", "n_nationkey").select("s_name", "n_name")
 
 
-query("w12_first_suffix_table", SUFFIX)(first_suffix)
-
-
 @query("j07_prefix_join", "select c.c_custkey, n.n_name from customer c join nation n on starts_with('NATION_' || c.c_nationkey, n.n_name) and contains(c.c_name, '1')")
 def prefix_join(spark, sf_dir):
     """Target and pyramid by prefix and content: the paths' prefixes are joined by equality."""
@@ -146,69 +143,17 @@ def pool_without(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey").join(flagged, "o_orderkey", "left_anti")
 
 
-@query("j02_undeclared", "select l_orderkey, l_linenumber from (select distinct l_orderkey, l_linenumber from lineitem) where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')")
-def undeclared(spark, sf_dir):
-    declared = read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().join(declared, "l_orderkey", "left_anti")
-
-
-@query("j05_level_probe", "select o_orderkey, case when n is null then 'ABSENT' else 'PRESENT' end state from orders left join (select l_orderkey, count(*) n from lineitem group by 1) on o_orderkey = l_orderkey")
-def level_probe(spark, sf_dir):
-    seen = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    return read(spark, sf_dir, "orders").select("o_orderkey").join(seen, "o_orderkey", "left").select("o_orderkey", F.when(F.col("n").isNull(), "ABSENT").otherwise("PRESENT").alias("state"))
-
-
-@query("j14_truth_and_tools", "select p.p_type, case when p_size > 25 then 'defect' else 'benign' end truth, count(*) total, count(*) filter (bad) hits from part p join (select l_partkey, bool_or(l_returnflag = 'R') bad from lineitem group by 1) on l_partkey = p_partkey group by 1, 2")
-def truth_and_tools(spark, sf_dir):
-    tool = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("bad"))
-    truth = read(spark, sf_dir, "part").select("p_partkey", "p_type", F.when(F.col("p_size") > 25, "defect").otherwise("benign").alias("truth"))
-    return truth.join(tool, "p_partkey").groupBy("p_type", "truth").agg(F.count("*").alias("total"), F.count_if("bad").alias("hits"))
-
-
-@query("a26_hit_matrix", "select coalesce(p_brand, '*') tool, coalesce(truth, '*') truth, count(*) filter (bad) hits, count(*) total from (select p_brand, case when p_size > 25 then 'defect' else 'benign' end truth, p_retailprice > 1000 bad from part) group by cube (p_brand, truth)")
-def hit_matrix(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").select(F.col("p_brand").alias("tool"), F.when(F.col("p_size") > 25, "defect").otherwise("benign").alias("truth"), (F.col("p_retailprice") > 1000).alias("bad"))
-    return rows.cube("tool", "truth").agg(F.count_if("bad").alias("hits"), F.count("*").alias("total")).select(F.coalesce("tool", F.lit("*")).alias("tool"), F.coalesce("truth", F.lit("*")).alias("truth"), "hits", "total")
-
-
 @query("j18_mirror_pairs", "select split_part(s_name, '#', 2) stem, s_suppkey, c_custkey from supplier join customer on split_part(s_name, '#', 2) = split_part(c_name, '#', 2)")
 def mirror_pairs(spark, sf_dir):
     stem = lambda c: F.regexp_extract(c, "#(.*)$", 1).alias("stem")
     return read(spark, sf_dir, "supplier").select(stem("s_name"), "s_suppkey").join(read(spark, sf_dir, "customer").select(stem("c_name"), "c_custkey"), "stem")
 
 
-@query("a30_target_totals", "select count(*) targets, count(*) filter (n = 1) single, count(*) filter (n is null) unmatched, cast(coalesce(sum(n), 0) as bigint) matches from (select s_suppkey, n from supplier left join (select l_suppkey, count(distinct l_linenumber) n from lineitem where l_returnflag = 'R' and l_quantity > 45 group by 1) on l_suppkey = s_suppkey)")
-def target_totals(spark, sf_dir):
-    found = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity > 45").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_linenumber").alias("n"))
-    rows = read(spark, sf_dir, "supplier").select("s_suppkey").join(found, "s_suppkey", "left")
-    return rows.agg(F.count("*").alias("targets"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n").isNull()).alias("unmatched"), F.coalesce(F.sum("n"), F.lit(0)).alias("matches"))
-
-
-@query("a32_conditions", "select count(*) orders, count(*) filter (o_orderstatus = 'F') closed, count(*) filter (o_totalprice > 300000) large, count(*) filter (o_orderpriority like '1%' and o_orderstatus = 'O') urgent_open from orders")
-def conditions(spark, sf_dir):
-    return read(spark, sf_dir, "orders").agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("closed"), F.count_if(F.col("o_totalprice") > 300000).alias("large"), F.count_if(F.col("o_orderpriority").startswith("1") & (F.col("o_orderstatus") == "O")).alias("urgent_open"))
-
-
-@query("a25_cost_counters", "select event_type category, count(*) calls, cast(sum(length(props)) as bigint) bytes from events group by 1")
-def cost_counters(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("category")).agg(F.count("*").alias("calls"), F.sum(F.length("props")).alias("bytes"))
-
-
 @query("l05_largest", "select l_suppkey, n from (select l_suppkey, count(*) n from lineitem where l_discount > 0.05 group by 1) order by n desc, l_suppkey limit 5")
 def largest(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").filter("l_discount > 0.05").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(5)
 
 
-@query("l06_head_of_each", "select p_brand, array_to_string(list_sort(list(distinct p_type))[1:4], ',') types from part group by 1")
-def head_of_each(spark, sf_dir):
-    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.slice(F.array_sort(F.collect_set("p_type")), 1, 4), ",").alias("types"))
-
-
-@query("f19_limit", "select o_orderkey from orders order by o_orderkey limit 100")
-def limited(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").limit(100)
-
-
 # ------------------------------------------------------------------ crawl
 TREE = """with recursive u as (select distinct regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/+$', '') p from pages),
 parts as (select p, string_split(p, '/') s from u),

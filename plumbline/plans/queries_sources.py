@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions import binary
+from ..functions import binary, table_functions
 from ..sources import headers, loaders, new_path, sinks, store_table
 from ..streaming import windows
 from . import tables
@@ -249,6 +249,32 @@ def manifest(spark, sf_dir):
     return rows.select("counters", "ok", F.explode("outputs").alias("output", "o")).select("output", F.col("o.rows").alias("rows"), F.col("counters")["high"].alias("high"), F.col("counters")["codes"].alias("codes"), "ok")
 
 
+@query("f19_limit", ROOT_LINES + "select 'root/' || o_orderkey root, min(line) line from l where o_orderkey % 3 <> 0 group by 1 order by line limit 40")
+def limited(spark, sf_dir):
+    """The first roots of a list, in its order."""
+    return loaders.roots(root_lines(spark, sf_dir))[0].orderBy("file", "line").limit(40).select("root", "line")
+
+
+# ------------------------------------------------------------------ table functions
+@query("u01_array_headers", WITH_LEVELS + "select root, path, case when ok then array_to_string(shape, ',') end shape, case when ok then array_to_string(chunks, ',') end chunks, case when ok then case dtype when '|u1' then 'uint8' when '<u2' then 'uint16' else 'float32' end end dtype, case when ok then fill_value end fill_value, case when ok then separator end as separator, not ok broken from (select *, (length(path) + length(root)) % 10 <> 9 ok from lv where present and zarr_format = 2)")
+def header_rows(spark, sf_dir):
+    """Headers in a table, read by a table function in SQL."""
+    table_functions.register(spark)
+    return spark.sql("select r.root, r.path, array_join(h.shape, ',') shape, array_join(h.chunks, ',') chunks, h.dtype, h.fill_value, h.separator, h.error is not null broken from {rows} r, lateral array_header(r.raw) h", rows=header_texts(spark, sf_dir, 2))
+
+
+@query("u02_shard_entries", "select p_partkey, cast(p_size as bigint) entries, 1 missing, cast(100 * (p_size - 1) as bigint) bytes, p_partkey % 10 <> 0 ok from part")
+def shard_entries(spark, sf_dir):
+    table_functions.register(spark)
+    return spark.sql("select r.p_partkey, count(*) entries, cast(count_if(t.offset is null) as int) missing, coalesce(sum(t.length), 0) bytes, bool_and(t.checksum_ok) ok from {rows} r, lateral shard_index(r.raw, r.p_size, true) t group by 1", rows=indexes(spark, sf_dir))
+
+
+@query("u03_tiff_directories", "select p_partkey, case when p_partkey % 13 <> 0 then p_size end width, case when p_partkey % 13 <> 0 then 3 end height, case when p_partkey % 13 <> 0 then 1 end strips, p_partkey % 13 = 0 broken from part")
+def tiff_directories(spark, sf_dir):
+    table_functions.register(spark)
+    return spark.sql("select r.p_partkey, t.width, t.height, t.strips, t.error is not null broken from {rows} r, lateral tiff_directory(r.raw) t", rows=tiffs(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ streams (ours; the surveyed system has none)
 @query("st01_windowed_counts", "select date_trunc('hour', ts) window_start, event_type, count(*) n from events group by 1, 2")
 def windowed_counts(spark, sf_dir):

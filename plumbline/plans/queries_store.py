@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import crawl, probe, voxels
+from ..operators import census, crawl, probe, voxels
 from ..sources import array_source, listing, mounted_path, new_path
+from . import queries_content
 from .catalogue import Catalogue
 from .tables import read
 
@@ -244,3 +245,37 @@ def paged_keys(spark, sf_dir):
     )
     found = listing.all_keys(buckets.select("store", F.concat("top", F.lit("/")).alias("key"), "objects", "faults"), size=3, pages=2)
     return found.select("store", F.when(F.col("kind") == "key", F.col("key")).alias("key"), "size", "error")
+
+
+# ------------------------------------------------------------------ census of planted levels, costs, foreground
+#: Keys in the order of the listings: of nested levels axis by axis.
+STORED = queries_content.PROBE.rstrip().rstrip(")").rpartition("ps as (")[0].rstrip().rstrip(",") + """,
+ky as (select *, case when zarr_format = 3 or separator = '/' then list_transform(pl, lambda i: cast(i as varchar)) else [array_to_string(pl, '.')] end o from sz where d > '3'),
+pk as (select *, row_number() over (partition by root, path order by o) - 1 place, count(*) over (partition by root, path) m from ky),
+hd as (select root, path, count(*) head_n, avg(n) mean, bool_and(compressor_id = 'none' and n = list_product(chunks) * w) whole from pk where m <= 4 or place in (0, m // 4, 2 * m // 4, 3 * m // 4) group by 1, 2),
+cs as (select t.root, t.path as level, t.total grid_chunks, coalesce(k.m, 0) present_chunks, round(coalesce(k.m, 0) / t.total, 6) present_fraction, coalesce(h.head_n, 0) head_n, coalesce(cast(floor(h.mean * k.m) as bigint), 0) stored_bytes, case when h.whole then 'exact' else 'estimated' end basis
+  from tot t left join (select root, path, count(*) m from ky group by 1, 2) k using (root, path) left join hd h using (root, path) where len(t.shape) > 0)
+"""
+
+
+@query("a12_listing_census", STORED + "select * from cs")
+def listing_census(spark, sf_dir):
+    """Chunks of the planted levels, counted from listings and weighed by four HEADs a level."""
+    found = census.census(queries_content.planted(spark, sf_dir), head_sample=4, read_sample=2)
+    return found.select("root", "level", "grid_chunks", "present_chunks", "present_fraction", "head_n", "stored_bytes", "basis")
+
+
+@query("a25_cost_counters", queries_content.PROBE + "select compressor_id category, count(distinct (c.root, c.path)) levels, cast(sum(calls) as bigint) calls, cast(sum(bytes) as bigint) bytes from (select root, level as path, sum(calls) calls, sum(bytes) bytes from ps group by 1, 2) c join lv using (root, path) group by 1")
+def cost_counters(spark, sf_dir):
+    """What the probe of a store's chunks took, by codec."""
+    planted = queries_content.planted(spark, sf_dir)
+    cost = probe.cost(probe.samples(planted))
+    rows = cost.join(planted.select("root", F.col("path").alias("level"), F.col("compressor_id").alias("category")), ["root", "level"])
+    return rows.groupBy("category").agg(F.count("*").alias("levels"), F.sum("calls").alias("calls"), F.sum("bytes").alias("bytes"))
+
+
+@query("f17_foreground", CELLS + "select vec, count(*) n, count(*) filter (v > 0.1) foreground from cell where not hole and vec < 640 group by 1")
+def foreground(spark, sf_dir):
+    """Cells of an array above the threshold, row by row."""
+    cells = array_source.cells(spark, embedding_array(spark, sf_dir), "vectors/0", stored=True).filter("vec < 640")
+    return cells.groupBy("vec").agg(F.count("*").alias("n"), F.count_if(F.col("value") > F.lit(0.1)).alias("foreground"))

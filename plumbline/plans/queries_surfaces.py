@@ -178,7 +178,7 @@ def content_statistics(spark, sf_dir):
     SURFACES
     + """, sums as (select surface, max(case severity when 'info' then 0 when 'low' then 1 else 2 end) worst, bool_or(code = 'ACCESS_UNKNOWN') blind, bool_or(code = 'TIFXYZ_ABSENT') none_, bool_or(evidence_state = 'ABSENT') parts from fd group by 1)
 select surface, case when none_ then 'ABSENT' when blind then 'UNKNOWN' else 'PRESENT' end evidence_state, case when none_ then 'NOT_FOUND' when blind then 'ACCESS_UNKNOWN' when parts then 'PARTS_ABSENT' end reason,
-  case when none_ or blind then 'UNKNOWN' when worst >= 1 then 'WARN' else 'PASS' end integrity, case worst when 0 then 'info' when 1 then 'low' when 2 then 'medium' else 'none' end max_severity from p left join sums using (surface)""",
+  case when none_ or blind then 'UNKNOWN' when worst = 2 then 'WARN' else 'PASS' end integrity, case worst when 0 then 'info' when 1 then 'low' when 2 then 'medium' else 'none' end max_severity from p left join sums using (surface)""",
 )
 def surface_verdicts(spark, sf_dir):
     found, said, _ = audited(spark, sf_dir)

@@ -285,3 +285,26 @@ def gate(rolled: DataFrame, fail_on: str = "high", ignore_unreadable: bool = Fal
     fail = F.create_map(*(F.lit(x) for kv in fails.items() for x in kv))[F.col("outcome")]
     code = F.when(F.col("outcome") == "unreadable", "GATE_UNREADABLE").when(F.col("outcome") == "absent", "GATE_ROOT_ABSENT").when(~sized, F.concat(F.lit("GATE_VOXEL_SIZE_"), F.upper("voxel_size")))
     return rows.withColumn("outcome", outcome).select("root", "outcome", fail.alias("fail"), "integrity", "max_severity", code.alias("code"))
+
+
+#: Columns of findings that hold free text.
+FREE_TEXT = ("detail", "observed", "expected", "error")
+
+
+def golden(findings: DataFrame) -> DataFrame:
+    """What two runs are compared by: findings without free text."""
+    return findings.select(*(c for c in findings.columns if c not in FREE_TEXT))
+
+
+def hit_matrix(truth: DataFrame, tools: DataFrame) -> DataFrame:
+    """Hits and totals of each tool for each kind of truth, and of all (``*``).
+
+    ``truth (root, truth)``, ``tools (tool, root)``: the roots that each tool objects to.
+    """
+    names = tools.select("tool").distinct()
+    hits = tools.select("tool", "root").distinct().join(truth, "root").groupBy("tool", "truth").agg(F.count("*").alias("hits"))
+    # a row for each tool and kind of truth
+    totals = truth.groupBy("truth").agg(F.count("*").alias("total")).withColumn("__k", F.lit(0))
+    cells = names.withColumn("__k", F.lit(0)).join(totals, "__k").drop("__k").join(hits, ["tool", "truth"], "left")
+    rows = cells.cube("tool", "truth").agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.sum("total").alias("total"))
+    return rows.select(F.coalesce("tool", F.lit("*")).alias("tool"), F.coalesce("truth", F.lit("*")).alias("truth"), "hits", "total")
