@@ -25,6 +25,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,10 +46,14 @@ PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}(?:KEY|CERTIFICATE|PARAMETERS))---
 PEM_HEADER = re.compile(r"[ \t]*[A-Za-z][A-Za-z0-9-]*:.*")
 CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})[ \t]*$", re.MULTILINE)
 NEW_LINE = re.compile(r"\r?\n|\\r\\n|\\n")
-#: Base64 of either alphabet, on one line or wrapped: lines that follow have nothing before their text.
-RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/_-]+)*")
-LONG_HEX = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{48,}|[0-9A-Fa-f]{2}(?:[: ][0-9A-Fa-f]{2}){23,})(?![0-9A-Fa-f:])")
+#: Base64 of either alphabet, on one line or wrapped (shorter lines then do): before the text of a line that
+#: follows there may be white space and marks of quotation.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:(?:\r?\n|\\r\\n|\\n)[ \t>]*[A-Za-z0-9+/_-]+)*|[A-Za-z0-9+/_-]{20,}(?:(?:\r?\n|\\r\\n|\\n)[ \t>]*[A-Za-z0-9+/_-]{20,})+(?:(?:\r?\n|\\r\\n|\\n)[ \t>]*[A-Za-z0-9+/_-]+)?")
+LONG_HEX = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{20,}(?:(?:\r?\n|\\n)[ \t>]*[0-9A-Fa-f]{2,})+|[0-9A-Fa-f]{48,}|[0-9A-Fa-f]{2}(?:[: ][0-9A-Fa-f]{2}){23,})(?![0-9A-Fa-f:])")
+NOT_HEX = re.compile(r"[^0-9A-Fa-f]+")
 URL_SAFE = str.maketrans("-_", "+/")
+#: Fields of an SSH public key at most; a certificate has fewer.
+SSH_FIELDS = 24
 #: Which texts can hold any candidate at all; most can't, and are left after one search.
 NAME = re.compile(r"pass|secret|token|key", re.IGNORECASE | re.ASCII)
 
@@ -109,8 +114,8 @@ def is_der_key(blob: bytes) -> bool:
 def is_ssh_key(blob: bytes) -> bool:
     """Length-prefixed fields that fill the blob: an SSH public key, or the container of private keys
     (cipher, derivation and its options, how many keys, their public parts, the private part)."""
-    at, fields, most = 0, [], len(blob)
-    if blob.startswith(b"openssh-key-v1\0"):
+    at, fields, most = 0, [], SSH_FIELDS
+    if bytes(blob[:15]) == b"openssh-key-v1\0":
         at, most = 15, 3
     while at < len(blob):
         size = int.from_bytes(blob[at : at + 4], "big")
@@ -121,11 +126,16 @@ def is_ssh_key(blob: bytes) -> bool:
             return False
         fields.append(blob[at + 4 : at + 4 + size])
         at += 4 + size
-    if most < len(blob):
+    if most != SSH_FIELDS:
         return len(fields) == most > 4
     return len(fields) >= 2 and re.fullmatch(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]{2,60}", fields[0]) is not None
 
 
+def is_ssh_start(head: bytes) -> bool:
+    """Whether twelve bytes can begin an SSH public key: the length of a name, and the name's start."""
+    return head[:3] == bytes(3) and 5 <= head[3] <= 66 and head[4:].startswith((b"ssh-", b"ecdsa-", b"sk-"))
+
+
 def unbase64(text: str) -> bytes | None:
     """Bytes of base64 in either alphabet, with or without padding."""
     text = text.rstrip("=").translate(URL_SAFE)
@@ -177,32 +187,48 @@ def in_base64(text: str, m: re.Match) -> tuple[int, int, int] | None:
     for sep in NEW_LINE.finditer(text, m.start(), m.end()):
         parts.append((at, sep.start()))
         at = sep.end()
-        while text[at] in " \t":
+        while text[at] in " \t>":
             at += 1
     parts.append((at, m.end()))
-    first = text[slice(*parts[0])]
-    glued = [i + 1 for i, c in enumerate(first) if c in "_-"]  # a name can stand before the key
+    joined_ = "".join(text[s:e] for s, e in parts).translate(URL_SAFE)
+    ends, n = [], 0  # where lines end, in the joined text
+    for s, e in parts:
+        n += e - s
+        ends.append(n)
+    bytes_: dict[int, bytes] = {}  # the run is decoded once for each of the four ways to align it
+
+    def blob(start: int, end: int) -> memoryview:
+        if start % 4 not in bytes_:
+            own = joined_[start % 4 :]
+            bytes_[start % 4] = base64.b64decode(own[: len(own) // 4 * 4] + (own[len(own) // 4 * 4 :].ljust(4, "A") if len(own) % 4 else ""))
+        at = start // 4 * 3
+        return memoryview(bytes_[start % 4])[at : at + (end - start) * 6 // 8]
+
+    first = parts[0][1] - parts[0][0]
+    glued = [i + 1 for i, c in enumerate(text[slice(*parts[0])]) if c in "_-"]  # a name can stand before the key
     for skip in (0, *glued):
-        head = unbase64(first[skip : skip + 16]) if len(first) - skip >= 32 else None
-        if not head or not (head[0] == 0x30 or head.startswith((b"openssh-key", b"\0\0\0"))):
+        if len(joined_) - skip < 32 or first - skip < 16:
+            break
+        head = bytes(blob(skip, skip + 16))
+        if head[0] == 0x30:  # DER says how long it is, and where the key ends a line does
+            need = der_length(head, 1)
+            if need is None or (end := skip - (-(need[0] + need[1]) * 8 // 6)) > len(joined_):
+                continue
+            at = bisect_left(ends, end)
+            some = [at] if at < len(ends) and ends[at] == end else []
+        elif head.startswith(b"openssh-key") or is_ssh_start(head):
+            some = list(dict.fromkeys((*range(len(ends))[-2:], 0)))
+        else:
             continue
-        own = [(parts[0][0] + skip, parts[0][1]), *parts[1:]]
-        need = der_length(head, 1) if head[0] == 0x30 else None
-        chars = -(-(need[0] + need[1]) * 8 // 6) if need else None
-        ends, n = [], 0
-        for i, (s, e) in enumerate(own):
-            n += e - s
-            if chars is None or n == chars:
-                ends.append(i)
-            elif n > chars:
-                break
-        for i in dict.fromkeys((*ends[-2:], *ends[:1])):
-            kind = key_kind(unbase64("".join(text[s:e] for s, e in own[: i + 1])))
+        for i in some:
+            if (ends[i] - skip) % 4 == 1 or ends[i] <= skip:
+                continue
+            kind = key_kind(blob(skip, ends[i]))
             if kind:
-                end = own[i][1]
-                while end < own[i][1] + 2 and text[end : end + 1] == "=":
+                end = parts[i][1]
+                while end < parts[i][1] + 2 and text[end : end + 1] == "=":
                     end += 1
-                return own[0][0], kind, end
+                return parts[0][0] + skip, kind, end
     return None
 
 
@@ -219,7 +245,7 @@ def confirmed(text: str) -> list[tuple[int, int, int]]:
         if not any(s <= m.start() < e for s, _, e in in_armour) and (found := in_base64(text, m)):
             out.append(found)
     for m in LONG_HEX.finditer(text):
-        digits = m[0].replace(":", "").replace(" ", "")
+        digits = NOT_HEX.sub("", NEW_LINE.sub("", m[0]))
         if len(digits) % 2 == 0 and (kind := key_kind(bytes.fromhex(digits))):
             out.append((m.start(), kind, m.end()))
     return out

@@ -658,3 +658,34 @@ def test_parities_bound_what_sets_differ_by():
             a, b = (np.unique(np.concatenate([both, rnd.integers(0, 2**63, n - len(both), dtype=np.uint64)])) for _ in range(2))
             bits = int(np.bitwise_count((simhash_dedup.parities(a) ^ simhash_dedup.parities(b)).view(np.uint64)).sum())
             assert bits <= len(np.setxor1d(a, b)) and (n != 400 or share != 0.5 or bits > 0.22 * n)
+
+
+def _der(tag, body):
+    size = len(body)
+    return bytes([tag]) + (bytes([size]) if size < 128 else bytes([0x81, size]) if size < 256 else bytes([0x82]) + size.to_bytes(2, "big")) + body
+
+
+@pytest.mark.parametrize("width", [20, 24, 32, 33, 64, 76])
+def test_keys_in_short_and_quoted_lines(width):
+    rnd = random.Random(width)
+    key = _der(0x30, _der(2, b"\0") + _der(2, b"\1" + bytes(rnd.randrange(256) for _ in range(160))) + _der(2, b"\1\0\1"))
+    for code, kind in ((base64.b64encode(key).decode(), "der"), (base64.urlsafe_b64encode(key).decode(), "der"), (key.hex().upper(), "der")):
+        for before in ("", "> ", "   ", ">> "):
+            for end in ("\n", "\r\n"):
+                text = "see" + end + before + (end + before).join(code[i : i + width] for i in range(0, len(code), width)) + end + end + "That was it."
+                found = [(secret_scan.KINDS[k], text[s:e]) for s, k, e in secret_scan.confirmed(text)]
+                # the line before may be taken for a first line of hex, never for one of base64
+                assert [k for k, _ in found] == [kind] and re.sub(r"[\s>]", "", found[0][1]) == code
+                damaged = text.replace(code[40:44], "AAAA" if code[40:44] != "AAAA" else "BBBB", 1)
+                assert len(secret_scan.confirmed(damaged)) <= 1
+
+
+@pytest.mark.parametrize("unit", ["AAAA_", "MIIB_", "AAAAB3NzaC1yc2E_", "AAAA\n", "_", "MIIBIjANBgkqhkiG9w0BAQEFAAOCAQ8A-", "30820122"])
+def test_secrets_in_linear_time(unit):
+    times = []
+    for n in (100_000, 400_000):
+        text = unit * (n // len(unit))
+        began = time.process_time()
+        secret_scan.find(text)
+        times.append(time.process_time() - began)
+    assert times[1] < 2 and times[1] < 12 * max(times[0], 0.05)
