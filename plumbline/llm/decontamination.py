@@ -3,19 +3,16 @@
 Texts are lower-cased and cut into words (runs of letters, digits and underscores); shingles are
 five words (an item with fewer words is one shingle of them all). For each document:
 
-1. Places: where the document has a shingle of an item. A window and an item without a common one
-   have similarity 0, so for each item only the windows over its places are looked at.
-2. Windows with the length of the item, fingerprinted by SimHash over their shingles, repeats
-   counted, from running sums of bits.
-3. Hamming blocks: two fingerprints within ``RADIUS`` = 23 of 64 bits agree in one of eight blocks
-   up to two bits, so a pair that agrees so in none is given up; what is left is compared whole. At
-   the similarity asked for, the chance that a similar window is further away is about one in a
-   million.
+1. Windows with the length of an item, of every length that items have. A window is left out only if it
+   has too few shingles of the benchmark to be similar to anything in it (counted by running sums).
+2. A window is fingerprinted by SimHash over its shingles, repeats counted, from running sums of bits.
+3. Multi-index of the items' fingerprints, one for each length: eight blocks of eight bits, and for each
+   block and value the items whose block differs from it in at most two bits. Two fingerprints within
+   ``RADIUS`` = 23 bits have such a block by the pigeonhole principle, so a window's eight lookups return
+   every item within the radius; those further away go by their whole distance. At the similarity asked
+   for, the chance that a similar window is further away is about one in a million.
 4. Verification: exact weighted-shingle similarity, sum of minima by sum of maxima of counts.
 
-At that radius the blocks don't serve to look items up: each block value with up to two bits changed
-is met by 37 of 256 values, so eight lookups would return an item more than once on average.
-
 The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text, kept by each Python
 worker. A larger benchmark takes a pass over the documents for each block, and the passes' findings
 are stored and put together by row.
@@ -77,8 +74,29 @@ def _pack(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
+class MultiIndex:
+    """Fingerprints by the values of their blocks."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        values = np.arange(256, dtype=np.uint8)
+        own = prints.view(np.uint8).reshape(-1, BLOCKS)
+        # for each block a row of bits for each value: the fingerprints that a lookup of it returns
+        self.tables = [np.packbits(np.bitwise_count(values[:, None] ^ own[:, j]) <= RADIUS // BLOCKS, axis=1) for j in range(BLOCKS)]
+
+    def lookup(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in ``prints``, in the index) of all pairs within the radius."""
+        own = np.ascontiguousarray(prints).view(np.uint8).reshape(-1, BLOCKS)
+        found = self.tables[0][own[:, 0]]
+        for j in range(1, BLOCKS):
+            found = found | self.tables[j][own[:, j]]
+        at, item = np.nonzero(np.unpackbits(found, axis=1, count=len(self.prints)))
+        near = np.bitwise_count(prints[at] ^ self.prints[item]) <= RADIUS
+        return at[near], item[near]
+
+
 class Benchmark:
-    """Items of a benchmark block: places of their shingles and the index of their fingerprints."""
+    """Items of a benchmark block: their shingles, and for each length an index of fingerprints."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         by_words: dict[tuple[str, ...], list[int]] = defaultdict(list)
@@ -90,14 +108,14 @@ class Benchmark:
         self.size = [min(SHINGLE, len(w)) for w in self.words]
         self.counts = [Counter(shingles(list(w), k)) for w, k in zip(self.words, self.size)]
         self.vocabulary = {x: i for i, x in enumerate(dict.fromkeys(x for w in self.words for x in w), 1)}
-        places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        known: dict[int, set[int]] = defaultdict(set)
+        by_length: dict[int, list[int]] = defaultdict(list)
         for item, (w, k) in enumerate(zip(self.words, self.size)):
-            for at, h in enumerate(self.hashes(np.array([self.vocabulary[x] for x in w], np.int64), k).tolist()):
-                places[k][h].append((item, at))
-        self.places = {k: (np.array(sorted(d), np.uint64), dict(d)) for k, d in places.items()}
-        parts = ((shingles(list(w), k)) for w, k in zip(self.words, self.size))
-        prints = [_pack(_bits(p).sum(0, dtype=np.int64)[None], np.array([len(p)])) for p in parts]
-        self.prints = np.concatenate(prints) if prints else np.empty(0, np.uint64)
+            known[k].update(self.hashes(np.array([self.vocabulary[x] for x in w], np.int64), k).tolist())
+            by_length[len(w)].append(item)
+        self.known = {k: np.array(sorted(h), np.uint64) for k, h in known.items()}
+        prints = [_pack(_bits(p).sum(0, dtype=np.int64)[None], np.array([len(p)]))[0] for p in (shingles(list(w), k) for w, k in zip(self.words, self.size))]
+        self.by_length = {n: (np.array(own), MultiIndex(np.array([prints[i] for i in own], np.uint64))) for n, own in sorted(by_length.items())}
 
     @staticmethod
     def hashes(ids: np.ndarray, k: int) -> np.ndarray:
@@ -109,42 +127,40 @@ class Benchmark:
             out = (out ^ ids[j : j + n]) * MIX
         return out
 
+    def _sums(self, ids: np.ndarray, k: int) -> np.ndarray:
+        """Running sums of which shingles of k words are in the benchmark."""
+        inside = np.zeros(max(0, len(ids) - k + 1), bool)
+        zeros = np.concatenate(([0], np.cumsum(ids == 0)))
+        at = np.flatnonzero(zeros[k:] == zeros[:-k]) if len(ids) >= k else np.empty(0, np.int64)
+        if len(at):  # runs of k known words
+            h = self.hashes(ids, k)[at]
+            keys = self.known[k]
+            inside[at] = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+        return np.concatenate(([0], np.cumsum(inside)))
+
     def leaks(self, text: str | None) -> list[dict]:
         words = words_of(text)
         ids = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words)) if words else np.empty(0, np.int64)
         if not ids.any():
             return []
-        held: dict[int, list[int]] = defaultdict(list)  # places of each item's shingles
-        zeros = np.concatenate(([0], np.cumsum(ids == 0)))
-        for k, (keys, places) in self.places.items():
-            if len(ids) < k:
-                continue
-            at = np.flatnonzero(zeros[k:] == zeros[:-k])  # runs of k known words
-            if not len(at):
-                continue
-            h = self.hashes(ids, k)[at]
-            found = np.searchsorted(keys, h)
-            hit = keys[np.minimum(found, len(keys) - 1)] == h
-            for p, key in zip(at[hit].tolist(), h[hit].tolist()):
-                for item in {item for item, _ in places[key]}:
-                    held[item].append(p)
-        by_length: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
-        for item, own in held.items():
-            n, last = len(self.words[item]), max(0, len(words) - len(self.words[item]))
-            p = np.array(own)
-            low, high = np.clip(p - (n - self.size[item]), 0, last), np.clip(p, 0, last) + 1
-            low[1:] = np.maximum(low[1:], high[:-1])  # each start once
-            n_own = np.maximum(0, high - low)
-            by_length[n][item] = np.repeat(low - (np.cumsum(n_own) - n_own), n_own) + np.arange(int(n_own.sum()))
+        sums = {k: self._sums(ids, k) for k in self.known}
         best: dict[int, tuple[float, int, int]] = {}
-        for n, items in by_length.items():
-            self._search(words, n, items, best)
+        for n, (items, index) in self.by_length.items():
+            k = min(SHINGLE, n)
+            own = n - k + 1
+            if sums[k][-1] < SIMILARITY * own - 1e-9:  # not even all together
+                continue
+            starts = np.arange(max(1, len(words) - n + 1))
+            count = np.maximum(1, np.minimum(starts + n, len(words)) - starts - k + 1)
+            held = sums[k][starts + count] - sums[k][starts]
+            # what a window shares with an item is among its shingles that the benchmark has
+            starts = starts[held >= SIMILARITY * (count + own - held) - 1e-9]
+            if len(starts):
+                self._search(words, n, k, starts, items, index, best)
         return [{"item_id": i, "start_word": s, "end_word": e, "similarity": v} for item, (v, s, e) in sorted(best.items()) for i in self.ids[item]]
 
-    def _search(self, words: list[str], n: int, items: dict[int, np.ndarray], best: dict) -> None:
-        """The best window of each item among its own starts; all items have n words."""
-        starts = np.unique(np.concatenate(list(items.values())))
-        k = min(SHINGLE, n, len(words))
+    def _search(self, words: list[str], n: int, k: int, starts: np.ndarray, items: np.ndarray, index: MultiIndex, best: dict) -> None:
+        """The best window of each of the items, which all have n words."""
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > 4 * n) + 1):
             for at in range(0, len(part), WINDOWS_AT_ONCE):
                 s = part[at : at + WINDOWS_AT_ONCE]
@@ -152,22 +168,12 @@ class Benchmark:
                 run = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(_bits(shingles(words[low:high], k)), axis=0, dtype=np.int64)))
                 ends = np.minimum(s + n, len(words))
                 count = np.maximum(1, ends - s - k + 1)
-                window = _pack(run[s - low + count] - run[s - low], count)
-                for item, own in items.items():
-                    own = own[np.searchsorted(own, s[0]) : np.searchsorted(own, s[-1], "right")]
-                    own = np.searchsorted(s, own)
-                    apart = window[own] ^ self.prints[item]
-                    own, apart = (x[_some_block_agrees(apart)] for x in (own, apart))
-                    for w in own[np.bitwise_count(apart) <= RADIUS].tolist():
-                        start, end = int(s[w]), int(ends[w])
-                        v = similarity(Counter(shingles(words[start:end], self.size[item])), self.counts[item])
-                        if v >= SIMILARITY and (item not in best or (v, -start) > (best[item][0], -best[item][1])):
-                            best[item] = (v, start, end)
-
-
-def _some_block_agrees(apart: np.ndarray) -> np.ndarray:
-    """Which differences have a block of at most ``RADIUS // BLOCKS`` bits."""
-    return (np.bitwise_count(np.ascontiguousarray(apart).view(np.uint8).reshape(-1, BLOCKS)) <= RADIUS // BLOCKS).any(axis=1)
+                windows, found = index.lookup(_pack(run[s - low + count] - run[s - low], count))
+                for w, item in zip(windows.tolist(), items[found].tolist()):
+                    start, end = int(s[w]), int(ends[w])
+                    v = similarity(Counter(shingles(words[start:end], k)), self.counts[item])
+                    if v >= SIMILARITY and (item not in best or (v, -start) > (best[item][0], -best[item][1])):
+                        best[item] = (v, start, end)
 
 
 @lru_cache(maxsize=1)

@@ -689,3 +689,54 @@ def test_secrets_in_linear_time(unit):
         secret_scan.find(text)
         times.append(time.process_time() - began)
     assert times[1] < 2 and times[1] < 12 * max(times[0], 0.05)
+
+
+def test_multi_index_returns_all_within_the_radius():
+    rnd = np.random.default_rng(2)
+    prints = rnd.integers(0, 2**64, 300, dtype=np.uint64)
+    index = decontamination.MultiIndex(prints)
+    flips = [sum(1 << int(b) for b in rnd.choice(64, n, replace=False)) for n in rnd.integers(0, 64, 400)]
+    asked = np.array([int(prints[i % 300]) ^ f for i, f in enumerate(flips)], np.uint64)
+    got = set(zip(*(x.tolist() for x in index.lookup(asked))))
+    assert got == {(i, j) for i, a in enumerate(asked.tolist()) for j, b in enumerate(prints.tolist()) if (a ^ b).bit_count() <= decontamination.RADIUS}
+
+
+def test_leaks_come_through_the_index(monkeypatch):
+    item = " ".join(f"w{i}" for i in range(40))
+    bench = decontamination.Benchmark([(1, item)])
+    assert [x["item_id"] for x in bench.leaks("before " + item + " after")] == [1]
+    monkeypatch.setattr(decontamination.MultiIndex, "lookup", lambda *_: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    assert bench.leaks("before " + item + " after") == []
+
+
+def test_recall_of_leaks_at_the_limit():
+    """Planted passages whose best window is just similar enough: nearly all are found."""
+    rnd = random.Random(8)
+    word = lambda: f"v{rnd.randrange(5000)}"
+    items = [[word() for _ in range(rnd.randrange(20, 120))] for _ in range(300)]
+    bench = decontamination.Benchmark([(i, " ".join(w)) for i, w in enumerate(items)])
+    wanted = found = 0
+    for i, w in enumerate(items):
+        near = list(w)
+        while True:
+            changed = list(near)
+            changed[rnd.randrange(len(w))] = word()
+            if decontamination.similarity(collections.Counter(decontamination.shingles(changed, 5)), collections.Counter(decontamination.shingles(w, 5))) < 0.8:
+                break
+            near = changed
+        wanted += 1
+        text = " ".join([word() for _ in range(rnd.randrange(60))] + near + [word() for _ in range(30)])
+        found += i in {x["item_id"] for x in bench.leaks(text)}
+    assert found >= 0.99 * wanted
+
+
+def test_items_with_one_opening():
+    rnd = random.Random(9)
+    opening = " ".join(f"o{i}" for i in range(12))
+    items = [(i, opening + " " + " ".join(f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(20, 80)))) for i in range(20_000)]
+    bench = decontamination.Benchmark(items)
+    text = " ".join(f"x{rnd.randrange(3000)}" for _ in range(400)) + " " + opening + " " + " ".join(f"w{rnd.randrange(3000)}" for _ in range(400))
+    began = time.process_time()
+    assert bench.leaks(text) == []
+    assert time.process_time() - began < 1
+    assert [x["item_id"] for x in bench.leaks("so " + items[777][1])] == [777]
