@@ -13,11 +13,12 @@ token; an apostrophe because a contraction may follow it.
 
 Defined cases: null text is the empty text with 0 tokens; repeated rows and null ids keep their
 rows; special strings inside a text are handled as the library does by default; empty tables give
-empty results; other columns are ignored.
+empty results; other columns are ignored. A file of another kind of tokenizer is an error.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -48,6 +49,11 @@ def load(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    spec = json.loads(t.to_str())
+    cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+    # the places where texts are cut are proven for this kind of file only: another would be miscounted
+    if model["type"] != "BPE" or model["dropout"] or spec["normalizer"] or cut.get("type") != "ByteLevel" or not cut.get("use_regex") or cut.get("add_prefix_space"):
+        raise ValueError(f"{path}: no byte-level BPE with its usual pattern")
     t.no_truncation()
     t.no_padding()
     return t

@@ -740,3 +740,9 @@ def test_items_with_one_opening():
     assert bench.leaks(text) == []
     assert time.process_time() - began < 1
     assert [x["item_id"] for x in bench.leaks("so " + items[777][1])] == [777]
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="usual pattern"):
+        token_counts.load(queries.tokenizer_path("word_bpe_49k.json"))
+    assert token_counts.load(queries.tokenizer_path("byte_bpe_50k.json"))
