@@ -167,7 +167,7 @@ def fill_test(spark, sf_dir):
     """Chunks of one value: decoded and compared with the fill value."""
     k = F.col("p_partkey")
     raw = F.unhex(F.repeat(F.when(k % 3 == 0, "00").otherwise("07"), F.col("p_size") * 4))
-    codec = F.when(k % 5 == 4, "volcomp").otherwise("none")
+    codec = F.when(k % 5 == 4, "blosc").otherwise("none")
     return read(spark, sf_dir, "part").select("p_partkey", binary.decoded_status(raw, F.lit("<f4"), codec, F.lit("0")).alias("status"))
 
 

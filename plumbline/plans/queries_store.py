@@ -74,7 +74,8 @@ def sharded_levels(spark, sf_dir):
             kinds = pa.schema([("root", pa.string()), ("path", pa.string()), ("present", pa.bool_()), ("compressor_id", pa.string()), ("objects", pa.map_(pa.string(), pa.binary())), ("faults", pa.map_(pa.string(), pa.int32()))])
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return read(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(plant, "root string, path string, present boolean, compressor_id string, objects map<string, binary>, faults map<string, int>")
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism)
+    return parts.mapInArrow(plant, "root string, path string, present boolean, compressor_id string, objects map<string, binary>, faults map<string, int>")
 
 
 SHARDS = """with p as (select p_partkey p, p_size * 6 z, (p_size * 6 + 31) // 32 ns from part),

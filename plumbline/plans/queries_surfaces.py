@@ -99,7 +99,8 @@ def planted(spark, sf_dir):
                 rows.append({"surface": f"surface/{k}", "objects": list(objects.items()), "faults": list(faults.items())})
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return read(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(plant, "surface string, objects map<string, binary>, faults map<string, int>")
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism)
+    return parts.mapInArrow(plant, "surface string, objects map<string, binary>, faults map<string, int>")
 
 
 # ------------------------------------------------------------------ the same rules in SQL
