@@ -99,7 +99,8 @@ def indexes(spark, sf_dir):
         sums = binary.crc32c_of(out).tolist()
         return pd.Series([raw + (crc ^ (k % 10 == 0)).to_bytes(4, "little") for raw, crc, k in zip(out, sums, key)])
 
-    return read(spark, sf_dir, "part").select("p_partkey", "p_size", build("p_partkey", "p_size").alias("raw"))
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism)
+    return parts.select("p_partkey", "p_size", build("p_partkey", "p_size").alias("raw"))
 
 
 @query("c32_unpack_index", "select p_partkey, p_size entries, 1 missing, cast(p_size * (p_size - 1) // 2 * 100 + p_size * (p_partkey % 100) - ((p_partkey % p_size) * 100 + p_partkey % 100) as bigint) offsets from part")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import census, crawl, probe, voxels
-from ..sources import array_source, listing, mounted_path, new_path
+from ..sources import array_source, arrays, listing, mounted_path, new_path
 from . import queries_content
 from .catalogue import Catalogue
 from .tables import read
@@ -26,13 +26,20 @@ query = catalogue.query
 SHARD_HEADER = '{"zarr_format":3,"node_type":"array","shape":[%d],"data_type":"uint8","chunk_grid":{"name":"regular","configuration":{"chunk_shape":[32]}},"fill_value":0,"codecs":[{"name":"sharding_indexed","configuration":{"chunk_shape":[8],"codecs":[{"name":"bytes"}],"index_codecs":[{"name":"bytes"},{"name":"crc32c"}]}}]}'
 
 
-def _bitwise_crc32c(data: bytes) -> int:
-    """One bit after the other; the reader has a program of its own."""
+def _bitwise(crc: int) -> int:
+    for _ in range(8):
+        crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+    return crc
+
+
+BYTES = [_bitwise(n) for n in range(256)]
+
+
+def _bytewise_crc32c(data: bytes) -> int:
+    """One byte after the other; the reader has a program of its own."""
     crc = 0xFFFFFFFF
     for byte in data:
-        crc ^= byte
-        for _ in range(8):
-            crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+        crc = crc >> 8 ^ BYTES[(crc ^ byte) & 255]
     return crc ^ 0xFFFFFFFF
 
 
@@ -51,7 +58,7 @@ def _shard(p: int, s: int, cells: int) -> bytes:
             continue
         index += len(body).to_bytes(8, "little") + len(part).to_bytes(8, "little")
         body += part
-    crc = _bitwise_crc32c(index) ^ (_digit(p, s) == "3")
+    crc = _bytewise_crc32c(index) ^ (_digit(p, s) == "3")
     return body + index + crc.to_bytes(4, "little")
 
 
@@ -59,7 +66,7 @@ def sharded_levels(spark, sf_dir):
     """Levels with their part of a store: shards that are absent, cut short, with a wrong checksum or refused."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in arrays.slices(batches):
             rows = []
             for p, size in zip(b["p_partkey"].to_pylist(), b["p_size"].to_pylist()):
                 base, cells = f"part/{p}/0", size * 6
