@@ -38,3 +38,10 @@ def test_few_bytes_are_summed_without_steps_of_arrays(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(binary, "_steps", None)
     assert binary.crc32c_of([b"123456789"]).tolist() == [0xE3069283]
+
+
+def test_all_present_levels_are_read_back(spark):
+    from plumbline.plans import queries_sources, tables
+
+    want = tables.levels(spark, SMALL).filter("present").count()
+    assert queries_sources.levels_jsonl(spark, SMALL).count() == want
