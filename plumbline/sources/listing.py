@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import slices
 from .transport import PlantedStore, StoreError, listed_pages, open_store
 
 ROW = "store string, kind string, key string, size bigint, after string, error string"
@@ -53,26 +54,28 @@ def all_keys(prefixes: DataFrame, base: str | None = None, size: int = 1000, pag
     from . import store_table
 
     spark, planted = prefixes.sparkSession, base is None
-    plants = prefixes.select("store", "objects", "faults").dropDuplicates(["store"]) if planted else None
+    # made once, and dealt by store in every round: a row for each store, with its parts
+    plants = store_table(prefixes.select("store", "objects", "faults").dropDuplicates(["store"])) if planted else None
     work = prefixes.select("store", "key", F.lit("").alias("after")).distinct()
     kinds = pa.schema([("store", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("size", pa.int64()), ("after", pa.string()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = None if planted else open_store(base)
-        for b in batches:
+        out = []
+        for b in slices(batches, 32):
             for r in b.to_pylist():
                 store = PlantedStore(dict(r["objects"] or ()), dict(r["faults"] or ())) if planted else shared
-                out = []
-                for row in listed_part(store, r["key"], r["after"], size, pages):
-                    out.append({"store": r["store"]} | row)
-                    if len(out) == 10_000:
-                        yield pa.RecordBatch.from_pylist(out, kinds)
-                        out = []
-                yield pa.RecordBatch.from_pylist(out, kinds)
+                for part in r["parts"] if planted else [r]:
+                    for row in listed_part(store, part["key"], part["after"], size, pages):
+                        out.append({"store": r["store"]} | row)
+                        if len(out) == 10_000:
+                            yield pa.RecordBatch.from_pylist(out, kinds)
+                            out = []
+        yield pa.RecordBatch.from_pylist(out, kinds)
 
     whole = None
     while True:
-        parts = work.join(plants, "store") if planted else work.repartition(tasks or spark.sparkContext.defaultParallelism)
+        parts = work.groupBy("store").agg(F.collect_list(F.struct("key", "after")).alias("parts")).join(plants.hint("merge"), "store") if planted else work.repartition(tasks or spark.sparkContext.defaultParallelism)
         found = store_table(parts.mapInArrow(run, ROW))
         done = found.filter("kind <> 'part'")
         whole = done if whole is None else whole.unionByName(done)

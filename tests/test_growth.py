@@ -45,3 +45,22 @@ def test_all_present_levels_are_read_back(spark):
 
     want = tables.levels(spark, SMALL).filter("present").count()
     assert queries_sources.levels_jsonl(spark, SMALL).count() == want
+
+
+def test_keys_of_a_planted_store_are_put_in_order_once():
+    from plumbline.sources.transport import PlantedStore, listed_pages
+
+    class Objects(dict):
+        walks = 0
+
+        def __iter__(self):
+            self.walks += 1
+            return super().__iter__()
+
+    objects = Objects({f"{'abc'[n % 3]}/{n:03}": b"x" for n in range(300)})
+    store = PlantedStore(objects)
+    for prefix, after in (("", ""), ("b/", ""), ("b/", "b/100"), ("", "b/\U0010ffff"), ("x", "")):
+        found = [k for keys, _, _ in listed_pages(store, prefix, after, size=3) for k, _ in keys]
+        assert found == sorted(k for k in objects.keys() if k.startswith(prefix) and k > after)
+    branches = [b for _, own, _ in listed_pages(store, "", "a/", "/", 1) for b in own]
+    assert branches == ["b/", "c/"] and objects.walks == 1
