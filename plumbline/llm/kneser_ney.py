@@ -60,6 +60,8 @@ PACK_BYTES = 1_000_000
 CHARS_AT_ONCE = 500_000
 GRAMS_AT_ONCE = 500_000
 LANGUAGE_ROWS = 100_000
+#: Questions of a batch.
+GRAMS_A_BATCH = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,14 +177,19 @@ def model(top: DataFrame, order: int = ORDER) -> DataFrame:
     return common.stored(rows.groupBy("lang", "gram").agg(F.max("p").alias("p"), F.max("g").alias("g")))
 
 
-def closed(grams: set[str]) -> set[str]:
-    """The n-grams with all that their probabilities ask for: suffixes, and what comes before the
-    last character of each."""
-    out, level = set(), grams
-    while level:
-        out |= level
-        level = {g[1:] for g in level if g} - out
-    return out | {g[:-1] for g in out}
+def distinct(parts: list[pa.Array]) -> pa.Array:
+    return pc.unique(pa.chunked_array(parts, pa.string()))
+
+
+def closed(grams: pa.Array, order: int) -> Iterator[pa.Array]:
+    """The distinct n-grams of ``order`` characters with all that their probabilities ask for: suffixes, and what
+    comes before the last character of each; shorter ones follow, each once, the empty one last."""
+    level, before = grams, pa.array([], pa.string())
+    for n in range(order, 0, -1):
+        yield distinct([level, before])
+        before = pc.utf8_slice_codeunits(level, 0, n - 1)
+        level = distinct([pc.utf8_slice_codeunits(level, 1, n)])
+    yield pa.array([""], pa.string())
 
 
 class Answers:
@@ -271,22 +278,28 @@ def questions(packs: DataFrame, text_at: int, order: int) -> DataFrame:
     """``(own, block, gram)``: what each block asks the model, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, grams = None, set()
+        # held as Arrow arrays: a set of Python strings is some ten times their size
+        block, grams, fresh = None, [], 0
 
         def rows() -> Iterator[pa.RecordBatch]:
             if block is not None:
-                asked = sorted(closed(grams) | {""})
-                yield pa.RecordBatch.from_arrays([pa.array([block[0]] * len(asked), pa.string()), pa.array([block[1]] * len(asked), pa.int64()), pa.array(asked, pa.string())], names=["own", "block", "gram"])
+                for asked in closed(distinct(grams), order):
+                    for at in range(0, len(asked), GRAMS_A_BATCH):
+                        part = asked.slice(at, GRAMS_A_BATCH)
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block[0], pa.string()), len(part)), pa.repeat(pa.scalar(block[1], pa.int64()), len(part)), part], names=["own", "block", "gram"])
                 grams.clear()
 
         for b in batches:  # sorted by block
             for own, number, body in zip(*(c for c in b.columns)):
                 if (own.as_py(), number.as_py()) != block:
                     yield from rows()
-                    block = own.as_py(), number.as_py()
+                    block, fresh = (own.as_py(), number.as_py()), 0
                 texts = [t or "" for t in unpacked(body.as_py()).column(text_at).to_pylist()]
                 for group in pieces(texts, order):
-                    grams.update(windows(group, order)[0])
+                    grams.append(pa.array(windows(group, order)[0], pa.string()))
+                    fresh += len(grams[-1])
+                    if fresh > GRAMS_AT_ONCE:
+                        grams[:], fresh = [distinct(grams)], 0
         yield from rows()
         pa.default_memory_pool().release_unused()
 

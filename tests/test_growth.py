@@ -64,3 +64,13 @@ def test_keys_of_a_planted_store_are_put_in_order_once():
         assert found == sorted(k for k in objects.keys() if k.startswith(prefix) and k > after)
     branches = [b for _, own, _ in listed_pages(store, "", "a/", "/", 1) for b in own]
     assert branches == ["b/", "c/"] and objects.walks == 1
+
+
+def test_questions_are_closed_without_python_strings():
+    from plumbline.llm import kneser_ney
+
+    parts = list(kneser_ney.closed(pa.array(["abc", "abd", "bca"]), 3))
+    assert all(isinstance(p, pa.Array) for p in parts)
+    got = [g for p in parts for g in p.to_pylist()]
+    # all suffixes, and each of them without its last character
+    assert sorted(got) == sorted({"abc", "abd", "bca", "bc", "bd", "ca", "c", "d", "a", "", "ab", "b"})
