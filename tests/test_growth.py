@@ -74,3 +74,19 @@ def test_questions_are_closed_without_python_strings():
     got = [g for p in parts for g in p.to_pylist()]
     # all suffixes, and each of them without its last character
     assert sorted(got) == sorted({"abc", "abd", "bca", "bc", "bd", "ca", "c", "d", "a", "", "ab", "b"})
+
+
+def test_small_levels_are_one_step_of_a_census(spark):
+    from plumbline.operators import census
+
+    shape = "root string, path string, present boolean, shape array<bigint>, chunks array<bigint>, dtype string, compressor_id string, separator string, zarr_format int, objects map<string, binary>, faults map<string, int>"
+    level = lambda root, n, faults: (root, "0", True, [2 * n, 6], [2, 2], "<f4", "none", "/", 2, {f"{root}/0/{i}/{j}": bytes(16 - (i == 1)) for i in range(n) for j in range(3)}, faults)
+    rows = spark.createDataFrame([level("a", 4, {}), level("b", 20, {}), level("c", 20, {"c/0/3": 503}), level("d", 4, {"d/0": 500}), level("e", 4, {"e/0/1/1": 503})], shape)
+    levels = rows.withColumnRenamed("path", "level")
+    said = lambda found: {r.root: r[1:] for r in found.select("root", "n", "error", "least", "most", "total", "raw", "packed").collect()}
+    one = census.visits(levels, None, 5, 3, None)
+    assert sorted(r.root for r in one.filter("large").collect()) == ["b", "c"]
+    spread, small = said(census.spread_visits(levels, None, 5, 3, None)), said(one.filter("not large"))
+    assert all(spread[root] == found for root, found in small.items()) and sorted(small) == ["a", "d", "e"]
+    got = {r.root: r.present_chunks for r in census.census(rows, head_sample=5, read_sample=3).collect()}
+    assert got == {"a": 12, "b": 60, "c": None, "d": None, "e": 12}
