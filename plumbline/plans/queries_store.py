@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import census, crawl, probe, voxels
 from ..sources import array_source, arrays, listing, mounted_path, new_path
-from . import queries_content
+from . import queries_content, tables
 from .catalogue import Catalogue
 from .tables import read
 
@@ -276,9 +276,8 @@ def listing_census(spark, sf_dir):
 @query("a25_cost_counters", queries_content.PROBE + "select compressor_id category, count(distinct (c.root, c.path)) levels, cast(sum(calls) as bigint) calls, cast(sum(bytes) as bigint) bytes from (select root, level as path, sum(calls) calls, sum(bytes) bytes from ps group by 1, 2) c join lv using (root, path) group by 1")
 def cost_counters(spark, sf_dir):
     """What the probe of a store's chunks took, by codec."""
-    planted = queries_content.planted(spark, sf_dir)
-    cost = probe.cost(probe.samples(planted))
-    rows = cost.join(planted.select("root", F.col("path").alias("level"), F.col("compressor_id").alias("category")), ["root", "level"])
+    cost = probe.cost(queries_content.probed(spark, sf_dir))
+    rows = cost.join(tables.levels(spark, sf_dir).select("root", F.col("path").alias("level"), F.col("compressor_id").alias("category")), ["root", "level"])
     return rows.groupBy("category").agg(F.count("*").alias("levels"), F.sum("calls").alias("calls"), F.sum("bytes").alias("bytes"))
 
 

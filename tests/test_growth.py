@@ -76,6 +76,24 @@ def test_questions_are_closed_without_python_strings():
     assert sorted(got) == sorted({"abc", "abd", "bca", "bc", "bd", "ca", "c", "d", "a", "", "ab", "b"})
 
 
+def test_levels_are_planted_in_their_own_rows(spark):
+    from plumbline.plans import queries_content, tables
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = queries_content.planted(spark, SMALL)
+    count = lambda text: (text.count("Exchange hash"), text.count("Generate explode"), text.count("Join"))
+    assert count(plan(rows)) == count(plan(tables.levels(spark, SMALL)))
+
+
+def test_rows_of_a_batch_are_those_of_to_pylist():
+    batch = pa.RecordBatch.from_pydict({
+        "s": pa.array(["x", None, "\u00e9", ""]), "n": pa.array([1, None, 3, 4]), "i": pa.array([1, 2, 3, 4], pa.int32()), "b": pa.array([True, None, False, True]),
+        "m": pa.array([[("a", b"1"), ("b", None)], None, [], [("c", b"")]], pa.map_(pa.string(), pa.binary())), "l": pa.array([[1, 2], None, [], [3, None]], pa.list_(pa.int64())),
+    })
+    for part in (batch, batch.slice(1), batch.slice(1, 2), batch.slice(0, 0), batch.slice(3)):
+        assert list(arrays.rows_of(part)) == part.to_pylist()
+
+
 def test_small_levels_are_one_step_of_a_census(spark):
     from plumbline.operators import census
 
