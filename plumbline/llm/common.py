@@ -69,6 +69,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, once nothing reads it any more: what was made of it is stored itself."""
+    spark = table.sparkSession
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
     """``df`` (stored, narrow rows) marked for broadcasting if it has at most ``rows`` rows; a
     larger one is left to shuffled joins."""

@@ -112,12 +112,19 @@ def counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """``(lang, gram, c)``: counts of all n-grams of ``order`` characters of the rows ``(lang, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        # held as Arrow tables: counters of Python strings are some ten times their size
+        held: dict[str, list[pa.Table]] = {}
+        fresh = 0
+
+        def merged(lang: str) -> pa.Table:
+            sums = pa.concat_tables(held[lang]).group_by("gram", use_threads=False).aggregate([("c", "sum")])
+            held[lang] = [pa.table([sums["gram"], sums["c_sum"]], names=["gram", "c"])]
+            return held[lang][0]
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for lang, found in held.items():
-                grams = sorted(found)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array([found[g] for g in grams], pa.int64())], names=["lang", "gram", "c"])
+            for lang in list(held):
+                for part in merged(lang).sort_by("gram").to_batches(GRAMS_A_BATCH):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), part.num_rows), part["gram"], part["c"]], names=["lang", "gram", "c"])
             held.clear()
 
         for b in common.slices(batches):
@@ -127,12 +134,14 @@ def counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
             for lang, texts in by.items():
                 for group in pieces(texts, order):
                     grams, which, _ = windows(group, order)
-                    found = held.setdefault(lang, Counter())
-                    for g, n in zip(grams, np.bincount(which, minlength=len(grams)).tolist()):
-                        found[g] += n
-            if sum(map(len, held.values())) > GRAMS_AT_ONCE:
-                yield from rows()
+                    held.setdefault(lang, []).append(pa.table([pa.array(grams, pa.string()), pa.array(np.bincount(which, minlength=len(grams)))], names=["gram", "c"]))
+                    fresh += len(grams)
+                    if fresh > GRAMS_AT_ONCE:
+                        fresh = 0
+                        if sum(merged(x).num_rows for x in list(held)) > GRAMS_AT_ONCE:
+                            yield from rows()
         yield from rows()
+        pa.default_memory_pool().release_unused()
 
     found = trusted.select("lang", "text").mapInArrow(run, "lang string, gram string, c bigint")
     return found.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
@@ -174,7 +183,10 @@ def model(top: DataFrame, order: int = ORDER) -> DataFrame:
     weights = contexts.select("lang", F.col("context").alias("gram"), none.alias("p"), (sum(F.col(f"d{i}") * F.col(f"m{i}") for i in (1, 2, 3)) / F.col("total")).alias("g"))
     empty = by_order[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p")).select("lang", F.lit("").alias("gram"), "p", none.alias("g"))
     rows = shares.unionByName(weights).unionByName(empty)
-    return common.stored(rows.groupBy("lang", "gram").agg(F.max("p").alias("p"), F.max("g").alias("g")))
+    out = common.stored(rows.groupBy("lang", "gram").agg(F.max("p").alias("p"), F.max("g").alias("g")))
+    for counted in by_order.values():
+        common.discard(counted)
+    return out
 
 
 def distinct(parts: list[pa.Array]) -> pa.Array:
@@ -353,6 +365,7 @@ class Classifier:
         known = known.filter((F.col("docs") >= LEAST_DOCS) & (F.col("held") > 0)).select("lang", F.col("lang").alias("own"))
         self.languages = common.stored(known)
         self.model = model(with_pooled(gathered, self.languages), order)
+        common.discard(gathered)
         self.limits = self._limits(trusted.filter("held").select("lang", "text"), quantile, slack)
 
     def _limits(self, held: DataFrame, quantile: float, slack: float) -> DataFrame:

@@ -108,3 +108,26 @@ def test_small_levels_are_one_step_of_a_census(spark):
     assert all(spread[root] == found for root, found in small.items()) and sorted(small) == ["a", "d", "e"]
     got = {r.root: r.present_chunks for r in census.census(rows, head_sample=5, read_sample=3).collect()}
     assert got == {"a": 12, "b": 60, "c": None, "d": None, "e": 12}
+
+
+def test_tables_of_counts_go_when_the_model_is_stored(spark, tmp_path):
+    from collections import Counter
+
+    from plumbline.llm import common, kneser_ney
+
+    texts = [("de", "aba\u00e9aba"), ("de", "ab"), ("en", "ab \U0001f600 ab"), ("en", "b")]
+    rows = spark.createDataFrame(texts, "lang string, text string")
+    want = Counter((lang, (kneser_ney.START * 2 + t)[i : i + 3]) for lang, t in texts for i in range(len(t)))
+    kept, store = [], common.stored
+    counted = common.stored(kneser_ney.counts(rows, 3))
+    assert {(r.lang, r.gram): r.c for r in counted.collect()} == want
+    try:
+        common.stored = lambda df: kept.append(store(df)) or kept[-1]
+        model = kneser_ney.model(counted, 3)
+    finally:
+        common.stored = store
+    import os
+
+    there = [os.path.isdir(t.inputFiles()[0].removeprefix("file://").rpartition("/")[0]) for t in kept]
+    # counts of three orders are gone, their discounts and the model stay
+    assert there == [False, False, False, True, True] and model.count() > len(want)
