@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -32,12 +33,19 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``. At the end of a task, memory that Arrow holds for
-    reuse goes back, as the worker may stay idle."""
+    """The same rows in batches of at most ``rows``; at the end, ``release``."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Give back the memory that Arrow and the C library hold for reuse: at the end of a task, as its worker may stay idle."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -57,7 +57,7 @@ STEPS = 256
 BLOCK_BYTES = 20_000_000
 PACK_BYTES = 1_000_000
 #: Characters looked at together, and n-grams that a task holds before it hands on their counts.
-CHARS_AT_ONCE = 500_000
+CHARS_AT_ONCE = 200_000
 GRAMS_AT_ONCE = 500_000
 LANGUAGE_ROWS = 100_000
 #: Questions of a batch.
@@ -141,7 +141,7 @@ def counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
                         if sum(merged(x).num_rows for x in list(held)) > GRAMS_AT_ONCE:
                             yield from rows()
         yield from rows()
-        pa.default_memory_pool().release_unused()
+        common.release()
 
     found = trusted.select("lang", "text").mapInArrow(run, "lang string, gram string, c bigint")
     return found.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
@@ -313,7 +313,7 @@ def questions(packs: DataFrame, text_at: int, order: int) -> DataFrame:
                     if fresh > GRAMS_AT_ONCE:
                         grams[:], fresh = [distinct(grams)], 0
         yield from rows()
-        pa.default_memory_pool().release_unused()
+        common.release()
 
     return packs.sortWithinPartitions("own", "block").mapInArrow(run, "own string, block bigint, gram string")
 
@@ -343,7 +343,7 @@ def scored(docs: DataFrame, model_: DataFrame, languages: DataFrame, lang_col: s
             rows = unpacked(body.as_py())
             chars, bits = got.score([t or "" for t in rows.column(text_at).to_pylist()])
             out.append(pa.table([*rows.columns, pa.array([own] * len(chars), pa.string()), pa.array(chars), pa.array(bits)], names=schema.names))
-        pa.default_memory_pool().release_unused()
+        common.release()
         return pa.concat_tables(out) if out else pa.Table.from_batches([], pa.schema([]))
 
     keys = ["own", "block"]

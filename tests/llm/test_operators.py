@@ -7,6 +7,7 @@ import html
 import itertools
 import json
 import math
+import os
 import random
 import re
 import struct
@@ -746,3 +747,18 @@ def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError, match="usual pattern"):
         token_counts.load(queries.tokenizer_path("word_bpe_49k.json"))
     assert token_counts.load(queries.tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_release_gives_back_freed_memory():
+    """A worker that has ended its task holds no more than what is in use: small pieces that were freed go back too."""
+    from pathlib import Path
+
+    if "glibc" not in os.confstr("CS_GNU_LIBC_VERSION"):
+        pytest.skip("only glibc can be asked for it")
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1])
+    parts = [np.ones(8_000) for _ in range(2_000)]  # 128 MB in pieces too small to be mapped one by one
+    pins = parts[::100]
+    del parts
+    before = held()
+    common.release()
+    assert held() < before - 60_000 and len(pins) == 20
