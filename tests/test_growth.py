@@ -1,6 +1,7 @@
 """Steps whose cost must not grow faster than the input."""
 
 import pyarrow as pa
+import pytest
 
 from plumbline.functions import binary
 from plumbline.operators import surfaces
@@ -131,3 +132,11 @@ def test_tables_of_counts_go_when_the_model_is_stored(spark, tmp_path):
     there = [os.path.isdir(t.inputFiles()[0].removeprefix("file://").rpartition("/")[0]) for t in kept]
     # counts of three orders are gone, their discounts and the model stay
     assert there == [False, False, False, True, True] and model.count() > len(want)
+
+
+@pytest.mark.parametrize("name", ["j14_truth_and_tools", "a26_hit_matrix", "l06_first_of_each"])
+def test_the_audit_runs_once_where_it_is_read_twice(spark, name):
+    """What is read again is a stored table, so no plan beyond it goes back to the levels."""
+    from plumbline.plans import registry
+
+    assert not any("lineitem" in f for f in registry.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles())
