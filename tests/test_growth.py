@@ -140,3 +140,15 @@ def test_the_audit_runs_once_where_it_is_read_twice(spark, name):
     from plumbline.plans import registry
 
     assert not any("lineitem" in f for f in registry.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_the_audit_deals_levels_once_and_gathers_none(spark):
+    plan = registry_plan(spark, "r00_audit")
+    # lines, and orders if they are many; windows and the join find them in place
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Aggregate" in plan and "ObjectHashAggregate" not in plan
+
+
+def registry_plan(spark, name):
+    from plumbline.plans import registry
+
+    return registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
