@@ -148,6 +148,16 @@ def test_the_audit_deals_levels_once_and_gathers_none(spark):
     assert plan.count("Exchange hashpartitioning") <= 2 and "Aggregate" in plan and "ObjectHashAggregate" not in plan
 
 
+def test_the_audit_is_not_run_again_to_put_its_rows_in_order(spark, monkeypatch):
+    from plumbline.plans import queries_audit
+
+    dealt, placed = [], queries_audit.sampling.placed
+    monkeypatch.setattr(queries_audit.sampling, "placed", lambda rows, *a: dealt.append(rows) or placed(rows, *a))
+    queries_audit.gate_order(spark, SMALL)
+    assert "Generate" not in dealt[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in registry_plan(spark, "l02_registry_order")
+
+
 def registry_plan(spark, name):
     from plumbline.plans import registry
 
